@@ -1,22 +1,42 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread as the next one's docs."""
+"""The corpus pipeline: stages over documents, each written as Parquet and reread as the next one's docs.
+
+Every stage works on all rows that the one before it kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huescope.llm import mixing, queries, tokens
+from huescope.llm import decontaminate, mixing, near_dedup, quality, queries, tokens
 from huescope.llm.shared import table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.choose(docs, queries.read(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (runs of five words, 0.8) stays."""
+    return near_dedup.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.without_leaks(docs, queries.read(spark, sf_dir, "benchmark"))
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their target weights; rows are the passages taken."""
     return mixing.mix_documents(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as token ids, written and read back."""
     return tokens.token_digests(docs, queries.tokenizer_path())
 
 
-STAGES = [("mixing", mix_stage), ("tokens", token_stage)]
+STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("decontamination", decontamination_stage), ("mixing", mix_stage), ("tokens", token_stage)]
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, tokens, urls
+from . import decontaminate, embeddings, html, licenses, lm, mixing, near_dedup, quality, tokens, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,33 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by runs of four words and a similarity of 0.8."""
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=4, similarity=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items: a row for each document and item found in it."""
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed and kept or not."""
+    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of those whose crc32(doc_id) mod 10 is not 0."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", held.alias("held"))
+    return lm.score(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as captures, against dated entries made from their hosts and URLs by rule (the tables have no list)."""
     pages = read(spark, sf_dir, "pages")
@@ -92,7 +119,18 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op5_url_filters": op5_url_filters, "op7_mixing": op7_mixing, "op8_license_scan": op8_license_scan, "op9_token_binary": op9_token_binary}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings linked by a cosine of 0.93 within their label."""
+    return embeddings.near_embeddings(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_decontamination, op3_quality_classifier, op4_html_extraction, op5_url_filters,
+        op6_lm_scoring, op7_mixing, op8_license_scan, op9_token_binary, op10_embedding_near_dedup,
+    )
+}
 
 
 def sql() -> dict[str, str]:

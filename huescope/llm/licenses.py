@@ -91,9 +91,14 @@ def canonical(text: Column) -> Column:
     form = F.translate(text, UPPER, LOWER)
     form = F.regexp_replace(F.regexp_replace(form, COPYRIGHT, " "), RESERVED, " ")
     form = F.trim(F.regexp_replace(form, MARKS, " "))
-    for spelling, same in SPELLINGS.items():
-        form = F.when(form.contains(spelling), F.regexp_replace(form, f"(?<![a-z0-9]){spelling}(?![a-z0-9])", same)).otherwise(form)
-    return F.nullif(form, F.lit(""))
+    pairs = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
+    some = f"(?:^| )(?:{'|'.join(SPELLINGS)})(?: |$)"
+
+    def alike(f: Column) -> Column:
+        words = F.transform(F.split(f, " "), lambda w: F.coalesce(F.element_at(pairs, w), w))
+        return F.when(f.rlike(some), F.array_join(words, " ")).otherwise(f)
+
+    return F.nullif(F.transform(F.array(form), alike)[0], F.lit(""))
 
 
 def canonical_text(text: str) -> str:
@@ -103,9 +108,7 @@ def canonical_text(text: str) -> str:
     form = re.sub(r"[A-Z]", lambda m: m[0].lower(), text)
     form = re.sub(RESERVED, " ", re.sub(COPYRIGHT, " ", form))
     form = re.sub(r"[^a-z0-9\x80-\U0010FFFF]+", " ", form).strip(" ")
-    for spelling, same in SPELLINGS.items():
-        form = re.sub(f"(?<![a-z0-9]){spelling}(?![a-z0-9])", same, form)
-    return form
+    return " ".join(SPELLINGS.get(w, w) for w in form.split(" "))
 
 
 def known_digests(licences: dict[str, list[str]] = LICENCES) -> list[tuple[str, str]]:

@@ -9,9 +9,10 @@ set's size, and each agrees between two sets with their Jaccard similarity as pr
 of independent ones. ROWS coordinates make a band; a pair at similarity 0.8 shares none of the BANDS with
 probability 5e-6.
 
-Buckets are not paired off. In each round every bucket compares its members with one pivot, drawn anew, unless they
-are already connected; links are confirmed on the full sets and components brought up to date. When few pairs of
-one bucket remain whose components differ, all of these are compared: only pairs whose connection is already
+Buckets are not paired off. In a turn every bucket compares its members with one pivot - at first the one whose
+buckets hold most rows, which is what the others were copied from, then a random one - unless they are already
+connected; links are confirmed on the full sets and components brought up to date, and buckets of one component are
+done. When few pairs of one bucket remain whose components differ, or after TURNS turns, all of these are compared: only pairs whose connection is already
 proven are never looked at, so components are those of all links that share a bucket.
 
 Nulls: a null or empty text, or one without words, has an empty set, is linked with nothing and kept. A null
@@ -33,6 +34,7 @@ from .spans import LOWER, chunks, mix, span_hashes, word_spans
 WIDTH, SIMILARITY = 5, 80
 ROWS, BANDS = 6, 40
 T = ROWS * BANDS
+TURNS = 4
 _U = np.uint64
 _STEP = _U(0x9FB21C651E98DF25)
 _SEEDS = mix(np.arange(2 * T, dtype=np.uint64), 31)
@@ -149,8 +151,10 @@ def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[Dat
     same = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     classes = table(same.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    members = table(banded.join(shared, "key").select("key", "node", "n"), "buckets")
+    shared = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    met = banded.join(shared, "key")
+    degree = met.groupBy("node").agg(F.sum("c").alias("degree"))
+    members = table(met.join(degree, "node").select("key", "node", "n", "degree"), "buckets")
     wanted = classes.join(members.select("node").distinct(), "node").select(F.col("first_id"), "node", "h1", "h2")
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "h1", "h2", "text")
     sets = table(found.mapInArrow(_sets(width), "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets", codec="uncompressed")
@@ -168,19 +172,22 @@ def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[Dat
         links = new if links is None else links.union(new)
         roots = table(components(links), "roots")
 
-    for turn in range(8):
+    for turn in range(TURNS):
         named = _rooted(members, roots)
-        pivot = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root", "n")).alias("p"))
+        first = (-F.col("degree")) if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
+        pivot = named.groupBy("key").agg(F.min(F.struct(first, "node", "root", "n")).alias("p"))
         pairs = named.join(pivot, "key").select("node", "root", "n", F.col("p.node").alias("other"), F.col("p.root").alias("other_root"), F.col("p.n").alias("m"))
         confirm(pairs.filter("root != other_root").filter(_fits("n", "m", similarity)))
-        by_root = _rooted(members, roots).groupBy("key", "root").agg(F.count("*").alias("c"))
-        open_keys = by_root.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("r")).filter("r > 1")
-        open_keys = table(open_keys.select("key", (F.col("c") * F.col("c") - F.col("s")).alias("left")), "open")
-        left = open_keys.agg(F.sum("left")).first()[0] or 0
+        rooted = _rooted(members, roots)
+        by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
+        still = by_root.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("r")).filter("r > 1")
+        still = table(still.select("key", (F.col("c") * F.col("c") - F.col("s")).alias("left")), "open")
+        left = still.agg(F.sum("left")).first()[0] or 0
+        members = members.join(still.select("key"), "key")
         if left <= 4 * size:
             break
     if left:
-        named = table(_rooted(members.join(open_keys.select("key"), "key"), roots), "named")
+        named = table(_rooted(members, roots), "named")
         other = named.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"))
         confirm(named.join(other, "key").filter("node < other and root != other_root").filter(_fits("n", "m", similarity)).select("node", "other"))
     return rows.drop("bands"), classes.drop("bands"), roots

@@ -51,6 +51,7 @@ SPELLINGS = {
     "realise": "realize",
     "recognise": "recognize",
     "signalling": "signaling",
+    "sublicence": "sublicense",
     "utilisation": "utilization",
     "whilst": "while",
     "wilful": "willful",

@@ -4,8 +4,8 @@ Each source's texts, in doc_id order, are one stream of words cut into blocks of
 get targets in words by weight; a source's target fills a number of slots, which are dealt to output
 shards by a multinomial draw (each slot draws its shard, so the counts of a source over the shards are
 multinomial while its total is exact). Slot i of a source takes block p_e(i mod n), where n is its
-number of blocks, e = i div n the pass over them and p_e a pseudorandom permutation keyed by source,
-pass and seed. Slots and blocks meet in a join on (source, block): every key has one block and at most
+number of blocks, e = i div n the pass over them and p_e a pseudorandom permutation of the full blocks keyed by source,
+pass and seed; a last block that isn't full ends each pass, so that the words taken add up to the target exactly. Slots and blocks meet in a join on (source, block): every key has one block and at most
 two slots, so no key is hot. Reruns agree: nothing depends on partitions but the order of rows that
 agree in doc_id, which are ordered by their text.
 
@@ -74,10 +74,11 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 def _slots(block: int, shards: int, seed: int):
     def run(batches):
         for batch in batches:
-            no, i, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("source_no", "slot", "blocks"))
+            no, i, n, full = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("source_no", "slot", "blocks", "full"))
             turn = i // np.maximum(n, 1)
             key = mix(mix(no.astype(np.uint64), seed) + turn.astype(np.uint64), seed)
-            to = permuted(i - turn * n, n, key)
+            place = i - turn * n
+            to = np.where(place < full, permuted(np.minimum(place, np.maximum(full - 1, 0)), np.maximum(full, 1), key), place)
             shard = (mix(mix(no.astype(np.uint64), seed + 1) + i.astype(np.uint64), seed + 1) % np.uint64(shards)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(no, pa.int32()), pa.array(to), pa.array(i), pa.array(turn), pa.array(shard), batch.column("take")], ["source_no", "block", "slot", "turn", "shard", "take"])
 
@@ -95,10 +96,13 @@ def mix_plan(docs: DataFrame, keep: list[str], weights=WEIGHTS, share=SHARE, mos
     rows = placed.join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     b = F.lit(block)
     want = F.floor(F.col("target") + 0.5)
-    plan = goals.select("source_no", F.ceil(F.col("source_size") / b).alias("blocks"), want.alias("want"), F.ceil(want / b).alias("n")).filter("n > 0")
+    plan = goals.filter("source_size > 0").select("source_no", F.ceil(F.col("source_size") / b).alias("blocks"), F.floor(F.col("source_size") / b).alias("full"), F.floor(want / F.col("source_size")).alias("turns"), (want % F.col("source_size")).alias("rest"))
+    plan = plan.withColumn("n", F.col("turns") * F.col("blocks") + F.ceil(F.col("rest") / b)).filter("n > 0")
     parts = plan.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _CHUNK).cast("long")))).repartition("source_no", "_c")
     slots = parts.withColumn("slot", F.explode(F.sequence(F.col("_c") * _CHUNK, F.least((F.col("_c") + 1) * _CHUNK, F.col("n")) - 1)))
-    slots = slots.select("source_no", "slot", "blocks", F.least(b.cast("long"), F.col("want") - F.col("slot") * b).cast("long").alias("take"))
+    left = F.col("rest") - (F.col("slot") - F.col("turns") * F.col("blocks")) * b
+    take = F.when(F.col("slot") < F.col("turns") * F.col("blocks"), b).otherwise(F.least(b.cast("long"), left)).cast("long")
+    slots = slots.select("source_no", "slot", "blocks", "full", take.alias("take"))
     dealt = slots.mapInArrow(_slots(block, shards, seed), "source_no int, block long, slot long, turn long, shard long, take long")
     whole = rows.filter("size > 0").select("row_no", "source_no", "_start", "size")
     pieces = whole.withColumn("block", F.explode(F.sequence(F.floor(F.col("_start") / b), F.floor((F.col("_start") + F.col("size") - 1) / b))))

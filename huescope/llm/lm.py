@@ -33,6 +33,13 @@ _FLUSH = 2_000_000
 _START = "▁".encode()
 
 
+def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log(exp(a) + exp(b)), by numpy's vector instructions; -inf is nothing."""
+    most = np.maximum(a, b)
+    least = np.minimum(a, b)
+    return np.where(least == -np.inf, most, most + np.log(1.0 + np.exp(least - np.where(most == -np.inf, 0.0, most))))
+
+
 class Lattice:
     """All segmentations of words into pieces (byte strings)."""
 
@@ -86,13 +93,13 @@ class Lattice:
         forward = np.full((size + 1, n), -np.inf)
         forward[0] = 0.0
         for s, e, w, p in arcs:
-            forward[e, w] = np.logaddexp(forward[e, w], forward[s, w] + log_p[p])
+            forward[e, w] = _add(forward[e, w], forward[s, w] + log_p[p])
         if counts is not None:
             backward = np.full((size + 1, n), -np.inf)
             backward[size] = 0.0
             for s, e, w, p in sorted(arcs, key=lambda arc: -arc[0]):
                 onward = backward[e, w] + log_p[p]
-                backward[s, w] = np.logaddexp(backward[s, w], onward)
+                backward[s, w] = _add(backward[s, w], onward)
                 counts[:-1] += np.bincount(p, np.exp(forward[s, w] + onward - forward[size, w]), minlength=len(counts) - 1)
             counts[-1] += n
         return forward[size] + log_p[-1]

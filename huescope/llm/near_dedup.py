@@ -12,7 +12,7 @@ probability 5e-6.
 Buckets are not paired off. In a turn every bucket compares its members with one pivot - at first the one whose
 buckets hold most rows, which is what the others were copied from, then a random one - unless they are already
 connected; links are confirmed on the full sets and components brought up to date, and buckets of one component are
-done. When few pairs of one bucket remain whose components differ, or after TURNS turns, all of these are compared: only pairs whose connection is already
+done. When few pairs of one bucket remain whose components differ, when a turn finds no link, or after TURNS turns, all of these are compared: only pairs whose connection is already
 proven are never looked at, so components are those of all links that share a bucket.
 
 Nulls: a null or empty text, or one without words, has an empty set, is linked with nothing and kept. A null
@@ -159,32 +159,42 @@ def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[Dat
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "h1", "h2", "text")
     sets = table(found.mapInArrow(_sets(width), "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets", codec="uncompressed")
     size = members.count()
-    roots, links, tested = None, None, None
+    roots, tested = None, None
 
-    def confirm(pairs: DataFrame) -> None:
-        nonlocal roots, links, tested
+    def confirm(pairs: DataFrame) -> bool:
+        """Confirm links among pairs and bring roots up to date; whether there were any."""
+        nonlocal roots, tested
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         half = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
         whole = half.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
         new = table(whole.mapInArrow(_linked(similarity), "a long, b long"), "links")
-        links = new if links is None else links.union(new)
-        roots = table(components(links), "roots")
+        if roots is None:
+            roots = table(components(new), "roots")
+            return not new.isEmpty()
+        if new.isEmpty():
+            return False
+        for end in ("a", "b"):  # links between components known so far: few, and they need few rounds
+            new = new.join(roots.select(F.col("node").alias(end), F.col("root").alias("r")), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+        moved = table(components(new), "moved")
+        kept = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = table(kept.union(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
+        return True
 
     for turn in range(TURNS):
         named = _rooted(members, roots)
         first = (-F.col("degree")) if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
         pivot = named.groupBy("key").agg(F.min(F.struct(first, "node", "root", "n")).alias("p"))
         pairs = named.join(pivot, "key").select("node", "root", "n", F.col("p.node").alias("other"), F.col("p.root").alias("other_root"), F.col("p.n").alias("m"))
-        confirm(pairs.filter("root != other_root").filter(_fits("n", "m", similarity)))
+        joined = confirm(pairs.filter("root != other_root").filter(_fits("n", "m", similarity)))
         rooted = _rooted(members, roots)
         by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
         still = by_root.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("r")).filter("r > 1")
         still = table(still.select("key", (F.col("c") * F.col("c") - F.col("s")).alias("left")), "open")
         left = still.agg(F.sum("left")).first()[0] or 0
         members = members.join(still.select("key"), "key")
-        if left <= 4 * size:
+        if left <= 4 * size or not joined:
             break
     if left:
         named = table(_rooted(members, roots), "named")

@@ -12,8 +12,10 @@ probability 5e-6.
 Buckets are not paired off. In a turn every bucket compares its members with one pivot - at first the one whose
 buckets hold most rows, which is what the others were copied from, then a random one - unless they are already
 connected; links are confirmed on the full sets and components brought up to date, and buckets of one component are
-done. When few pairs of one bucket remain whose components differ, when a turn finds no link, or after TURNS turns, all of these are compared: only pairs whose connection is already
-proven are never looked at, so components are those of all links that share a bucket.
+done. When few pairs of one bucket remain whose components differ, when a turn finds no link, or after TURNS turns, the members
+of open buckets meet by their rarest shingles instead of in pairs: each set's prefix, in an order from rare to frequent, holds an
+element of every similar set (see _by_prefix). Only pairs whose connection is already proven or that can't be similar are never
+looked at, so components are those of all links that share a bucket.
 
 Nulls: a null or empty text, or one without words, has an empty set, is linked with nothing and kept. A null
 doc_id counts after all others. Rows that repeat a doc_id are rows of their own. Columns other than doc_id and
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -144,6 +146,34 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _elements(batches):
+    for batch in batches:
+        held = batch.column("set").to_pylist()
+        size = np.fromiter((len(x) // 8 for x in held), np.int64, len(held))
+        row = pa.array(np.repeat(np.arange(len(held)), size))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("node", "root", "n")), pa.array(np.frombuffer(b"".join(held), np.int64))], ["node", "root", "n", "s"])
+
+
+def _by_prefix(nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(node, other): a superset of the similar pairs of nodes (node, n, root) of different roots.
+
+    A set of n shares at least similarity * n / 100 elements with a similar one, so of its elements in an order common
+    to all sets, one of the first n less that, plus one, is shared. The order has first the elements that one root alone has,
+    which meet nothing, then the rarest; a long shared passage comes last and by itself brings nobody together.
+    """
+    held = table(nodes.join(sets, "node").select("node", "root", "n", "set").mapInArrow(_elements, "node long, root long, n long, s long"), "elements")
+    meets = held.groupBy("s").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("s", "c")
+    met = held.join(meets, "s")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("c", "s"))
+    ranked = met.withColumns({"place": place, "m": F.count("*").over(Window.partitionBy("node"))})
+    least = F.floor((F.col("n") * similarity + 99) / 100)
+    first = ranked.filter(F.col("place") <= F.col("m") - least + 1)
+    first = table(first.select("node", "root", "n", "s", (F.col("m") - F.col("place") + 1).alias("rest")), "prefixes")
+    other = first.select("s", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("k"), F.col("rest").alias("other_rest"))
+    enough = (100 + similarity) * F.least("rest", "other_rest") >= similarity * (F.col("n") + F.col("k"))  # if s is the first shared one, no more than these are
+    return first.join(other, "s").filter("node < other and root != other_root").filter(enough & _fits("n", "k", similarity)).select("node", "other")
+
+
 def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: doc_id, tie, n, h1, h2; classes: node, n, h1, h2, first_id; roots: node, root of the linked ones)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text"))
@@ -197,9 +227,7 @@ def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[Dat
         if left <= 4 * size or not joined:
             break
     if left:
-        named = table(_rooted(members, roots), "named")
-        other = named.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"))
-        confirm(named.join(other, "key").filter("node < other and root != other_root").filter(_fits("n", "m", similarity)).select("node", "other"))
+        confirm(_by_prefix(_rooted(members.select("node", "n").distinct(), roots), sets, similarity))
     return rows.drop("bands"), classes.drop("bands"), roots
 
 

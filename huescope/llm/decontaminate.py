@@ -5,10 +5,11 @@ is in a document if some run of its words is within n // 5 edits (insertions, de
 word): a similarity of 0.8 or more; items of fewer than five words must occur as they are.
 
 A CGK walk reads a sequence word by word and stays or moves on by a random bit of (step, word), so that few edits mean
-few differing steps. Items of about equal length (a factor of 1.25) form a group. A window of the group's size starts at
+few differing steps. As edits add up along a walk, items of more than PIECE words are walked in pieces of about equal length, all of them: one piece at
+least has no more than its share of the edits, wherever they are. Pieces of about equal length (a factor of 1.25) form a group. A window of the group's size starts at
 every word of every document; its walk is sampled at SAMPLED steps by each of TABLES tables, and windows that agree
-with an item in all samples of a table are candidates. Before the walk, windows are left out that can't match: of the first m
-words of a match m less its edits are the item's, so as many must be of the group's vocabulary. Candidates
+with a piece in all samples of a table are candidates. Before the walk, windows are left out that can't match: of the first m
+words of a match m less its edits are the piece's, so as many must be of the group's vocabulary. Candidates
 are confirmed by the full edit distance between the item and the words around the window.
 
 The benchmark goes to the tasks in blocks of at most about BLOCK items, one pass over the documents for each; documents are never
@@ -19,6 +20,8 @@ columns are carried along or left. An empty benchmark or table gives no rows.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,7 @@ from .shared import table
 from .spans import chunks, mix, ragged, span_hashes, word_spans
 
 BLOCK, EDITS, GROWTH = 5_000, 5, 1.25
-WALKS, TABLES, SAMPLED, STEPS = 6, 24, 3, 96
+WALKS, TABLES, SAMPLED, PIECE = 6, 24, 3, 64
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
@@ -42,27 +45,34 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Index:
-    """Items (id, text) by groups of length, with the keys of their walks."""
+    """Items (id, text) and their pieces by groups of length, with the keys of the pieces' walks."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        found: dict[int, list[tuple[int | None, np.ndarray]]] = {}
+        self.items: list[tuple[int | None, np.ndarray]] = []
+        found: dict[int, list[tuple[int, int, np.ndarray]]] = {}
         for i, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             if len(raw):
                 h, _ = words(raw, np.array([0, len(raw)]))
-                if len(h):
-                    found.setdefault(int(np.floor(np.log(len(h)) / np.log(GROWTH) + 1e-9)), []).append((i, h))
+                n = -(-len(h) // PIECE)
+                for a, b in pairwise(len(h) * j // max(n, 1) for j in range(n + 1)):
+                    found.setdefault(int(np.floor(np.log(b - a) / np.log(GROWTH) + 1e-9)), []).append((len(self.items), a, h[a:b]))
+                self.items.append((i, h))
         self.groups = []
-        for members in found.values():
-            m, most = min(len(h) for _, h in members), max(len(h) for _, h in members) // EDITS
-            steps = max(1, min(STEPS, 3 * m // 2))
+        for pieces in found.values():
+            members = [h for _, _, h in pieces]
+            m, most = min(map(len, members)), max(map(len, members)) // EDITS
+            steps = max(1, 3 * m // 2)
+            owner, start = np.array([x for x, _, _ in pieces]), np.array([a for _, a, _ in pieces])
+            n = np.array([len(self.items[x][1]) for x in owner])
+            slack = most + np.where(n > PIECE, n // EDITS, 0)
             rng = np.random.default_rng(m)
             picks = [np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False)) for _ in range(TABLES)]
-            vocabulary = np.unique(np.concatenate([h for _, h in members]))
-            flat = np.concatenate([np.append(h, np.zeros(steps + 1, np.uint64)) for _, h in members])
-            at = np.cumsum([0] + [len(h) + steps + 1 for _, h in members])[:-1]
+            vocabulary = np.unique(np.concatenate(members))
+            flat = np.concatenate([np.append(h, np.zeros(steps + 1, np.uint64)) for h in members])
+            at = np.cumsum([0] + [len(h) + steps + 1 for h in members])[:-1]
             keys = [(np.sort(k), np.argsort(k, kind="stable")) for k in self.keys(flat, at, steps, picks)]
-            self.groups.append((m, most, steps, picks, vocabulary, members, keys))
+            self.groups.append((m, most, steps, picks, vocabulary, owner, start, slack, keys))
 
     @staticmethod
     def keys(h: np.ndarray, at: np.ndarray, steps: int, picks: list[np.ndarray]):
@@ -84,8 +94,8 @@ class Index:
 
     def matches(self, h: np.ndarray, offsets: np.ndarray):
         """(row, item id, edits, words of the item, end) of the best match of each item in each row; end: the word after it."""
-        n = len(h)
-        for m, most, steps, picks, vocabulary, members, keys in self.groups:
+        n, candidates = len(h), []
+        for m, most, steps, picks, vocabulary, owner, start, slack, keys in self.groups:
             slots = 1 << 18
             seen = np.zeros(slots, bool)
             seen[(vocabulary & np.uint64(slots - 1)).astype(np.int64)] = True
@@ -105,26 +115,32 @@ class Index:
                     found.append(np.stack([np.repeat(at[hit], size), order[ragged(lo[hit], size)]]))
             if not found:
                 continue
-            place, item = np.unique(np.concatenate(found, axis=1), axis=1)
+            place, piece = np.unique(np.concatenate(found, axis=1), axis=1)
             row = np.searchsorted(offsets, place, "right") - 1
-            _, one = np.unique(np.stack([row, item, place // (most + 1)]), axis=1, return_index=True)
-            yield from self.confirm(h, offsets, members, most, place[one], item[one], row[one])
-
-    @staticmethod
-    def confirm(h, offsets, members, most, place, item, row):
-        lengths = np.array([len(x) for _, x in members])
+            candidates.append(np.stack([row, owner[piece], place - start[piece], slack[piece]]))
+        if candidates:
+            row, item, place, slack = np.concatenate(candidates, axis=1)
+            _, one = np.unique(np.stack([row, item, slack, place // (slack + 1)]), axis=1, return_index=True)
+            yield from self.confirm(h, offsets, place[one], item[one], row[one], slack[one])
+
+    def confirm(self, h, offsets, place, item, row, slack):
+        lengths = np.array([len(x) for _, x in self.items])
+        order = np.argsort(lengths[item], kind="stable")[::-1]
+        place, item, row, slack = place[order], item[order], row[order], slack[order]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for a in range(0, len(place), 2000):
-            p, i, r = place[a : a + 2000], item[a : a + 2000], row[a : a + 2000]
+        a = b = 0
+        while (a := b) < len(place):
+            b = a + max(1, min(2000, (1 << 20) // int(lengths[item[a]])))
+            p, i, r, most = place[a:b], item[a:b], row[a:b], slack[a:b]
             n = lengths[i]
             first = np.maximum(p - most, offsets[r])
-            width = int(n.max()) + 3 * most + 2
+            width = int((n + 3 * most).max()) + 2
             at = first[:, None] + np.arange(width)
             inside = at < np.minimum(offsets[r + 1], p + n + 2 * most + 2)[:, None]
             text = np.where(inside, h[np.minimum(at, len(h) - 1)], np.uint64(0))
             wanted = np.full((len(p), int(n.max())), np.uint64(1), np.uint64)
             for k in range(len(p)):
-                wanted[k, : n[k]] = members[i[k]][1]
+                wanted[k, : n[k]] = self.items[i[k]][1]
             steps = np.arange(width + 1, dtype=np.int32)
             now = np.zeros((len(p), width + 1), np.int32)
             final = np.zeros_like(now)
@@ -139,7 +155,7 @@ class Index:
                 key, value = (int(r[k]), int(i[k])), (int(edits[k]), int(first[k] + end[k] - offsets[r[k]]))
                 best[key] = min(best.get(key, value), value)
         for (r, i), (edits, end) in best.items():
-            yield r, members[i][0], edits, len(members[i][1]), end
+            yield r, self.items[i][0], edits, len(self.items[i][1]), end
 
 
 def blocks(benchmark: DataFrame, size: int = BLOCK):

@@ -108,6 +108,21 @@ def test_decontamination_recall():
     assert hits >= 0.97 * n
 
 
+@pytest.mark.parametrize("n", [100, 200, 400])
+@pytest.mark.parametrize("place", ["head cut", "head replaced", "tail cut", "tail replaced", "spread"])
+def test_decontamination_recall_of_long_items(n, place):
+    """As many edits as count, wherever they are, also in an item longer than others of its group."""
+    rng, hits, k = np.random.default_rng(n), 0, n // 5
+    for _ in range(20):
+        item = [f"v{x}" for x in rng.integers(0, 5000, n)]
+        gone = set(rng.choice(n, k, replace=False).tolist()) if place == "spread" else set(range(k)) if "head" in place else set(range(n - k, n))
+        doc = [f"x{j}" if j in gone else w for j, w in enumerate(item) if j not in gone or "cut" not in place]
+        raw = np.frombuffer(" ".join([f"u{x}" for x in rng.integers(0, 500, n)] + doc + [f"u{x}" for x in rng.integers(0, 500, n)]).encode(), np.uint8)
+        index = decontaminate.Index([(1, " ".join(item)), (2, " ".join(f"q{j}" for j in range(n * 9 // 10)))])
+        hits += bool(list(index.matches(*decontaminate.words(raw, np.array([0, len(raw)])))))
+    assert hits >= 19
+
+
 def test_quality(spark, odd, empty):
     docs, labels = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
     got = quality.judge(docs, labels).join(labels, "doc_id")

@@ -1,6 +1,7 @@
 """Benchmark decontamination: CGK random walks, bit sampling over item-sized windows, exact edit verification.
 
-Texts and items become sequences of words: runs of letters, digits and bytes beyond ASCII, A-Z lower-cased. An item of n words
+Texts and items become sequences of words: runs of letters, marks and digits, A-Z lower-cased. Punctuation, white space and ASCII symbols
+end words; each character of a script without spaces (Chinese, Japanese, Thai, ...) and each other symbol is a word of its own. An item of n words
 is in a document if some run of its words is within n // 5 edits (insertions, deletions, replacements of a
 word): a similarity of 0.8 or more; items of fewer than five words must occur as they are.
 
@@ -20,6 +21,8 @@ columns are carried along or left. An empty benchmark or table gives no rows.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -35,12 +38,46 @@ WALKS, TABLES, SAMPLED, PIECE = 6, 24, 3, 64
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
 _PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
+#: Code points of scripts without spaces.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF),
+    (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),
+)
+_END, _WORD, _ALONE = range(3)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Of each code point whether it ends words, belongs to one or is one."""
+    kinds = np.full(0x110000, _WORD, np.uint8)
+    for a, b in UNSPACED:
+        kinds[a : b + 1] = _ALONE
+    for c in (*range(0x80, 0x20000), *range(0xE0000, 0xE0200)):
+        category = unicodedata.category(chr(c))
+        if category[0] in "PZ" or category == "Cc" or c in (0x200B, 0x2060, 0xFEFF):
+            kinds[c] = _END
+        elif category[0] == "S" and category != "Sk":
+            kinds[c] = _ALONE
+    return kinds
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words and the n + 1 offsets of the rows into them."""
-    data = _PLAIN[data]
-    starts, ends, counts = word_spans(data, offsets)
+    data, cuts = _PLAIN[data], offsets
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int32)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        code = first & (0x7F >> size)
+        for k in range(1, 4):
+            code = np.where(k < size, code << 6 | data[np.minimum(lead + k, len(data) - 1)] & 0x3F, code)
+        kind = _kinds()[np.minimum(code, 0x10FFFF)]
+        alone = kind == _ALONE
+        cuts = np.union1d(offsets, np.concatenate([lead[alone], np.minimum(lead + size, len(data))[alone]]))
+        for k in range(4):
+            data[(lead + k)[(kind == _END) & (k < size) & (lead + k < len(data))]] = 0x20
+    starts, ends, _ = word_spans(data, cuts)
+    counts = np.diff(np.searchsorted(starts, offsets))
     return span_hashes(data, starts, ends), np.append(0, np.cumsum(counts))
 
 

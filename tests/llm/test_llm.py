@@ -123,6 +123,20 @@ def test_decontamination_recall_of_long_items(n, place):
     assert hits >= 19
 
 
+def test_decontamination_words_beyond_ascii():
+    """Copies inside running text without spaces, and words between punctuation and spaces beyond ASCII."""
+    chinese, thai = "水在标准大气压下加热到一百度时会沸腾", "น้ำเดือดที่อุณหภูมิหนึ่งร้อยองศา"
+    english = "the “boiling point” of water falls — slowly — as one climbs"
+    index = decontaminate.Index([(1, chinese), (2, thai), (3, english), (4, "naïve café über alles 5€"), (5, "😀")])
+    docs = [
+        "众所周知，" + chinese + "。所以山上不同！", "เรารู้ว่า" + thai + "เสมอ", "众所周知，水在標準大气压下加热，到一百度时会沸腾了。", "(" + english.replace("—", "-").replace("“", '"').replace(" ", "\u00a0") + "…",
+        "«naïve\u3000café» über\u2009alles\u00a05 €", "", "水在山上", "cafés naïve", "ok😀😀",
+    ]
+    raw = [d.encode() for d in docs]
+    got = index.matches(*decontaminate.words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw])))
+    assert sorted((r, i, edits) for r, i, edits, *_ in got) == [(0, 1, 0), (1, 2, 0), (2, 1, 2), (3, 3, 0), (4, 4, 0), (8, 5, 0)]
+
+
 def test_quality(spark, odd, empty):
     docs, labels = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet"), spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
     got = quality.judge(docs, labels).join(labels, "doc_id")

@@ -5,8 +5,10 @@ of at most SAMPLE classes (the least by hash): principal directions, then altern
 and the best rotation, which balances the bits. Several rotations from different starts give as many bits
 as the tables need. A table is a run of bits; its length is the logarithm of the number of classes, so buckets stay
 small at any size, and the number of tables follows from it: two vectors at the threshold differ in a bit with
-probability angle/pi and share no table with probability MISS. All vectors are indexed. Two classes are compared in the first
-table that they share only, hence once, by cosine in double precision on the vectors themselves.
+probability angle/pi, the angle being that of the coded vectors (centred, and within the principal directions), which is wider than the threshold's where vectors
+have a common direction; it is taken from vectors of the sample and others made at the threshold from them, so that on average they share no table
+with probability MISS. If centring would take more than MOST_TABLES tables, vectors are coded as they are, should that take fewer. All vectors are indexed. Tables go
+in runs of RUN; within one, two classes are compared in the first table that they share only, hence once, by cosine in double precision on the vectors themselves.
 
 Left alone (n_links 0, component_id = vec_id, kept): vectors that are null, empty or zero or hold a null, NaN or infinite
 component, and those without label. Vectors of different lengths are not compared. A null vec_id
@@ -26,31 +28,56 @@ from .components import components
 from .shared import table
 
 COSINE, SAMPLE, MISS, ROUNDS = 0.93, 20_000, 0.01, 30
+MOST_TABLES, RUN, PROBES = 500, 32, 2_000
 
 
-def rotations(x: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, directions): codes are the signs of (unit vector - mean) @ directions, `bits` of them."""
-    mean = x.mean(0)
-    x = x - mean
+def principal(x: np.ndarray) -> np.ndarray:
+    """The directions of the greatest variance, 64 at most, as columns."""
     values, vectors = np.linalg.eigh(x.T @ x)
-    d = x.shape[1]
-    principal = vectors[:, np.argsort(values)[::-1][: min(64, d)]]
-    v = x @ principal
+    return vectors[:, np.argsort(values)[::-1][:64]]
+
+
+def rotations(x: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 10, mean: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, directions): codes are the signs of (unit vector - mean) @ directions, `bits` of them; another point can be given as the mean."""
+    mean = x.mean(0) if mean is None else mean
+    x = x - mean
+    main = principal(x)
+    v = x @ main
     rng, parts = np.random.default_rng(seed), []
     while sum(p.shape[1] for p in parts) < bits:
         r = np.linalg.qr(rng.standard_normal((v.shape[1],) * 2))[0]
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
             r = (u @ w).T
-        parts.append(principal @ r)
+        parts.append(main @ r)
     return mean, np.concatenate(parts, axis=1)[:, :bits]
 
 
-def plan(n: int, cosine: float, miss: float = MISS) -> tuple[int, int]:
-    """(bits of a table, tables) for n vectors."""
+def agreement(x: np.ndarray, mean: np.ndarray, cosine: float, seed: int = 11) -> np.ndarray:
+    """(2, n): the probabilities that a bit is equal for vectors of x and others at the threshold, off in directions in which x varies and in any ones."""
+    main, rng = principal(x - mean), np.random.default_rng(seed)
+    own = x[:PROBES]
+    off = np.stack([x[rng.integers(len(x), size=len(own))] - x[rng.integers(len(x), size=len(own))], rng.standard_normal(own.shape)])
+    off -= (off * own).sum(2, keepdims=True) * own
+    off /= np.maximum(np.linalg.norm(off, axis=2, keepdims=True), 1e-12)
+    a, b = (own - mean) @ main, (cosine * own + math.sqrt(max(0.0, 1 - cosine * cosine)) * off - mean) @ main
+    angle = (a * b).sum(2) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=2), 1e-12)
+    return 1 - np.arccos(np.clip(angle, -1, 1)) / math.pi
+
+
+def plan(n: int, cosine: float, miss: float = MISS, same: np.ndarray | None = None) -> tuple[int, int]:
+    """(bits of a table, tables) for n vectors; same: how likely bits agree at the threshold (agreement()), if not as by its angle."""
     length = min(60, max(8, math.ceil(math.log2(max(n, 2)))))
-    same = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** length
-    return length, max(1, math.ceil(math.log(miss) / math.log1p(-min(same, 1 - 1e-9))))
+    by_angle = np.full((1, 1), 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi)
+    met = np.minimum((by_angle if same is None else np.minimum(same, by_angle)) ** length, 1 - 1e-9)
+    missed = lambda tables: np.exp(tables * np.log1p(-met)).mean(1).max()
+    low, high = 0, 1
+    while missed(high) > miss * (1 + 1e-9) and high < 1 << 40:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if missed(mid) > miss * (1 + 1e-9) else (low, mid)
+    return length, high
 
 
 def _unit(batch_column: pa.Array, width: int) -> np.ndarray:
@@ -67,11 +94,15 @@ def _unit(batch_column: pa.Array, width: int) -> np.ndarray:
 
 def _codes(mean: np.ndarray, directions: np.ndarray, length: int):
     weights = (np.uint64(1) << np.arange(length, dtype=np.uint64))[None, None, :]
+    size = max(1, (1 << 22) // directions.shape[1])
 
     def run(batches):
         for batch in batches:
-            bit = (_unit(batch.column("vec"), len(mean)) - mean) @ directions >= 0
-            key = (bit.reshape(len(bit), directions.shape[1] // length, length) * weights).sum(2, dtype=np.uint64).view(np.int64)
+            x = _unit(batch.column("vec"), len(mean)) - mean
+            key = np.zeros((len(x), directions.shape[1] // length), np.int64)
+            for a in range(0, len(x), size):
+                bit = x[a : a + size] @ directions >= 0
+                key[a : a + size] = (bit.reshape(len(bit), key.shape[1], length) * weights).sum(2, dtype=np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * key.shape[1]), pa.array(key.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label"), batch.column("d"), lists], ["node", "label", "d", "keys"])
 
@@ -96,14 +127,22 @@ def close_pairs(classes: DataFrame, cosine: float = COSINE, sample: int = SAMPLE
         return classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     width = classes.agg(F.max("d")).first()[0]
     fit = classes.select("vec").orderBy(F.xxhash64("vec")).limit(sample).toArrow().column("vec").combine_chunks()
-    length, tables = plan(n, cosine, miss)
-    mean, directions = rotations(_unit(fit, width), length * tables)
+    unit = _unit(fit, width)
+    mean = unit.mean(0)
+    length, tables = plan(n, cosine, miss, agreement(unit, mean, cosine))
+    if tables > MOST_TABLES:
+        _, other = plan(n, cosine, miss, agreement(unit, 0 * mean, cosine))
+        mean, tables = (0 * mean, other) if other < tables else (mean, tables)
+    mean, directions = rotations(unit, length * tables, mean=mean)
     kind = classes.schema["label"].dataType.simpleString()
     coded = table(classes.select("node", "label", "d", "vec").mapInArrow(_codes(mean, directions, length), f"node long, label {kind}, d int, keys array<long>"), "codes")
-    x = coded.select("node", "label", "d", "keys", F.posexplode("keys").alias("place", "key"))
-    y = x.select(F.col("node").alias("other"), "label", "d", F.col("keys").alias("others"), "place", "key")
+    runs = F.array(*[F.slice("keys", i + 1, RUN) for i in range(0, tables, RUN)])
+    coded = coded.select("node", "label", "d", F.posexplode(runs).alias("run", "keys"))
+    x = coded.select("node", "label", "d", "run", "keys", F.posexplode("keys").alias("place", "key"))
+    y = x.select(F.col("node").alias("other"), "label", "d", "run", F.col("keys").alias("others"), "place", "key")
     first = F.array_position(F.zip_with("keys", "others", lambda p, q: p == q), True) == F.col("place") + 1
-    pairs = table(x.join(y, ["label", "d", "place", "key"]).filter("node < other").filter(first).select(F.col("node").alias("a"), F.col("other").alias("b")), "pairs")
+    met = x.join(y, ["label", "d", "run", "place", "key"]).filter("node < other").filter(first).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    pairs = table(met.distinct() if tables > RUN else met, "pairs")
     vec = classes.select(F.col("node").alias("a"), F.col("vec").alias("x"))
     met = pairs.join(vec, "a").join(vec.select(F.col("a").alias("b"), F.col("x").alias("y")), "b").select("a", "b", "x", "y")
     return met.mapInArrow(_close(cosine), "a long, b long")

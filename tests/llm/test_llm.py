@@ -266,6 +266,21 @@ def test_embeddings(spark):
     assert embeddings.near_embeddings(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_a_common_direction(spark):
+    """Links are found as promised where all vectors lean one way."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1000, 64)) / 8
+    x[:, 0] += 1.8
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=u.shape)
+    off -= (off * u).sum(1, keepdims=True) * u
+    u = np.concatenate([u, 0.931 * u + math.sqrt(1 - 0.931**2) * off / np.linalg.norm(off, axis=1, keepdims=True)])
+    assert np.linalg.norm(u.mean(0)) > 0.8
+    links = (u @ u.T >= 0.93).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embeddings.near_embeddings(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(u)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(got.values()) >= 0.98 * links.sum() and all(got[i] <= links[i] for i in got)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs

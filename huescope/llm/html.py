@@ -8,7 +8,8 @@ minimum cut, by augmenting paths, separates content from boilerplate. Before tha
 edges take their label (no minimum cut has another) and pass their edges' weight on to their neighbours; few are left.
 
 A null or empty page, or one without content, gives an empty text. Character references are decoded, also those without a
-semicolon; unfinished tags at the end are markup. Raw text (scripts, styles, titles, form fields) is never content. Repeated rows
+semicolon; unfinished tags at the end are markup. Raw text (scripts, styles, titles, form fields) is never content, nor is what stands in silent elements
+(buttons, drawings, players); these end with their parent at the latest, and one that has no end tag of its own is left out as a tag only. Formulas are text. Repeated rows
 are judged alike, null urls and ids are carried as they are, other columns are left; an empty table gives no rows.
 """
 
@@ -22,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Elements whose text is no text of the page.
-RAW = ("script", "style", "title", "textarea", "template", "noscript", "iframe", "object", "select", "svg", "math", "button", "canvas", "audio", "video")
+RAW = ("script", "style", "title", "textarea", "noscript", "iframe")
+#: Elements with markup in them whose text is no text of the page.
+SILENT = ("template", "object", "select", "svg", "button", "canvas", "audio", "video", "annotation", "annotation-xml")
 #: Elements that start and end a block.
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -63,12 +66,51 @@ def hint(tag: str, attributes: str) -> float:
     return weight
 
 
+def _parts(page: str) -> list[tuple[str, str, str, str]]:
+    """(text before it, "/" or nothing, name, attributes) of each tag of a page; the last one is empty. Raw elements are left out with their text."""
+    out, at, raw = [], 0, None
+    while at < len(page):
+        if raw:
+            end = raw.search(page, at)
+            if not end:
+                break
+            at, raw = end.end(), None
+        found = _TAG.search(page, at)
+        text = page[at : found.start() if found else len(page)]
+        if not found:
+            out.append((text, "", "", ""))
+            break
+        at = found.end()
+        shut, tag, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+        tag = (tag or "").lower()
+        if tag in RAW:
+            if not shut and not attributes.endswith("/"):
+                raw = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I)
+            tag = ""
+        out.append((text, shut or "", tag, attributes or ""))
+    return out
+
+
+def _silent(parts: list[tuple[str, str, str, str]]) -> set[int]:
+    """The places of start tags of silent elements that have an end tag."""
+    opened: dict[str, list[int]] = {tag: [] for tag in SILENT}
+    found = set()
+    for i, (_, shut, tag, attributes) in enumerate(parts):
+        if tag in opened:
+            if shut:
+                if opened[tag]:
+                    found.add(opened[tag].pop())
+            elif not attributes.endswith("/"):
+                opened[tag].append(i)
+    return found
+
+
 def blocks(page: str) -> list[tuple[str, int, float, tuple[int, ...]]]:
     """(text, linked characters, hints' sum, path of containers) of each block of a page that has text."""
     out: list[tuple[str, int, float, tuple[int, ...]]] = []
     stack: list[tuple[str, float, tuple[int, ...]]] = [("", 0.0, ())]
     held: list[tuple[str, bool]] = []
-    at, number, link, raw = 0, 0, 0, None
+    number, link, quiet = 0, 0, 0  # quiet: the outermost silent element's place on the stack
 
     def close() -> None:
         if held:
@@ -77,41 +119,46 @@ def blocks(page: str) -> list[tuple[str, int, float, tuple[int, ...]]]:
                 out.append((text, sum(len(x) for x, linked in held if linked), stack[-1][1], stack[-1][2]))
             held.clear()
 
+    def cut(i: int) -> None:
+        nonlocal quiet
+        if quiet and i < quiet:
+            del stack[quiet:]
+            quiet = 0
+            close()
+        del stack[i:]
+
     def pop(tags, stop) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in tags:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i][0] in stop:
                 return
 
-    while at < len(page):
-        if raw:
-            end = raw.search(page, at)
-            if not end:
-                break
-            at, raw = end.end(), None
-        found = _TAG.search(page, at)
-        text = page[at : found.start() if found else len(page)]
-        if text:
+    parts = _parts(page)
+    silent = _silent(parts)
+    for i, (text, shut, tag, attributes) in enumerate(parts):
+        if text and not quiet:
             held.append((text, link > 0))
-        if not found:
-            break
-        at = found.end()
-        shut, tag, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
         if not tag:
             continue
-        tag = tag.lower()
         if tag == "a":
             link = 0 if shut else 1
-        elif tag == "br":
+        elif tag == "br" and not quiet:
             held.append((" ", False))
-        elif tag in RAW:
-            if not shut and not attributes.endswith("/"):
-                raw = re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I)
+        elif tag in SILENT:
+            if i in silent:
+                stack.append((tag, *stack[-1][1:]))
+                quiet = quiet or len(stack) - 1
+            elif shut and quiet:
+                last = next((j for j in range(len(stack) - 1, quiet - 1, -1) if stack[j][0] == tag), 0)
+                if last:
+                    del stack[last:]
+                    quiet = quiet if last > quiet else 0
         elif tag in BLOCK:
-            close()
-            link = 0
+            if not quiet:
+                close()
+                link = 0
             if shut:
                 pop((tag,), ())
                 continue
@@ -120,7 +167,7 @@ def blocks(page: str) -> list[tuple[str, int, float, tuple[int, ...]]]:
             elif tag in ("article", "main", "body", "footer"):
                 pop(("nav", "p", "head"), ("article", "main", "div", "section"))
             if stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                stack.pop()
+                cut(len(stack) - 1)
             if tag not in VOID:
                 number += 1
                 _, weight, path = stack[-1]
@@ -128,7 +175,7 @@ def blocks(page: str) -> list[tuple[str, int, float, tuple[int, ...]]]:
                 if tag == "header" and weight > 0:  # of an article
                     own = max(own, 0.0)
                 stack.append((tag, weight + own if tag != "head" else -20.0, (*path, number)[-40:]))
-        elif attributes and not shut and re.search(r"hidden|display\s*:\s*none", attributes):
+        elif attributes and not shut and not quiet and re.search(r"hidden|display\s*:\s*none", attributes):
             held.append((" ", False))
     close()
     return out

@@ -166,6 +166,22 @@ def test_html(spark):
     assert got == [(1, want, len(want)), (2, "", 0), (3, "", 0), (1, want, len(want)), (4, "", 0), (5, want, len(want))]
 
 
+def test_html_silent_elements():
+    """Elements without an end tag take nothing with them, nested ones end where they end, formulas stay in their sentence."""
+    text = "<article><h1>Heading</h1><p>A long first paragraph, which says what the page is about.</p>{}<p>A second one, just as long, which ends the page's text.</p></article>"
+    want = html.main_text(f"<body>{text.format('')}</body>")
+    assert want.count("\n") == 2
+    for tag in html.SILENT:
+        for page in (f"<div><{tag}></div>{text}", f"<{tag} src=x>{text}", f"<div><{tag}>Menu</div>{text}<{tag}>Menu</{tag}>", f"<div><{tag}>Menu</div>{text}</{tag}>"):
+            assert html.main_text("<body>" + page.format("") + "</body>") == want, page
+        for inner in (f"<{tag}>Not <{tag}>content</{tag}> of it, however long it is, and whatever it ends with.</{tag}>", f"<{tag}><p>Not content</p></{tag}>", f"<{tag}/>", f"<div><{tag}></div>"):
+            assert html.main_text("<body>" + text.format(inner) + "</body>") == want, inner
+        assert html.main_text(f"<article><p>One sentence <{tag}>and <{tag}>no</{tag}> button</{tag}>goes on to its end.</p></article>") == "One sentence goes on to its end."
+    formula = "<article><p>The formula <math><semantics><mrow><mi>a</mi><mo>=</mo><mi>b</mi></mrow><annotation>a=b</annotation></semantics></math> stays where it is.</p></article>"
+    assert html.main_text(formula) == "The formula a=b stays where it is."
+    assert html.main_text("<script>x" + text) == ""
+
+
 def test_minimum_cut_by_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(60):

@@ -10,6 +10,8 @@ Nulls and empty texts have no form and no licence; rows are kept as they are, re
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,8 @@ LICENCES = {
     "BSD-2-Clause": [t + _BSD_START + _BSD_1 + _BSD_2 + _BSD_END for t in ("BSD 2-Clause License\n", "")],
     "BSD-3-Clause": [t + _BSD_START + _BSD_1 + _BSD_2 + _BSD_3 + _BSD_END for t in ("BSD 3-Clause License\n", "")],
 }
+#: Digests and names of long licences, made by license_digests.py.
+DIGESTS = Path(__file__).with_name("license_digests.csv")
 
 
 def canonical(text: Column) -> Column:
@@ -113,10 +117,11 @@ def canonical_text(text: str) -> str:
 
 
 def known_digests(licences: dict[str, list[str]] = LICENCES) -> list[tuple[str, str]]:
-    """(digest, licence) of each known text."""
+    """(digest, licence) of each known text; by default also those of DIGESTS."""
     import hashlib
 
-    return sorted({(hashlib.sha256(canonical_text(t).encode()).hexdigest(), name) for name, texts in licences.items() for t in texts})
+    kept = DIGESTS.read_text().split() if licences is LICENCES else []
+    return sorted({(hashlib.sha256(canonical_text(t).encode()).hexdigest(), name) for name, texts in licences.items() for t in texts} | {tuple(x.split(",")) for x in kept})
 
 
 def known(spark: SparkSession, licences: dict[str, list[str]] = LICENCES) -> DataFrame:

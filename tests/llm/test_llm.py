@@ -244,6 +244,20 @@ def test_licenses(spark):
     assert {r.doc_id: r.license for r in licenses.scan(docs, licenses.known(spark)).collect()} == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: None}
 
 
+def test_long_licenses(spark):
+    """Whole texts of long licences, with and without title and appendix; each digest has one name."""
+    folder = "/usr/share/common-licenses"
+    read = lambda name: open(f"{folder}/{name}").read()  # noqa: E731, SIM115
+    apache, gpl = read("Apache-2.0"), read("GPL-3")
+    want = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0-Perl"}
+    texts = [(read(f), n) for f, n in want.items()]
+    texts += [(apache[: apache.index("APPENDIX")], "Apache-2.0"), (apache[apache.index("TERMS AND") :].upper(), "Apache-2.0"), (gpl[: gpl.index("How to Apply")].replace("https:", "http:"), "GPL-3.0"), (apache[:-300], None), (gpl + " and more", None)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(docs, licenses.known(spark)).collect()} == {i: n for i, (_, n) in enumerate(texts)}
+    known = licenses.known_digests()
+    assert len({d for d, _ in known}) == len(known)
+
+
 def test_tokens_round_trip(odd, empty):
     from tokenizers import Tokenizer
 

@@ -76,28 +76,34 @@ def text_edges(pixels: DataFrame) -> DataFrame:
     return sobel(closing(opening(adaptive_threshold(luma(pixels)))))
 
 
-def contours(edges: DataFrame) -> DataFrame:
-    """(image_id, contour_id, n, x1, y1, x2, y2): boxes of 8-connected edge pixels in raster order of their first; lone pixels are left out."""
+def contour_points(edges: DataFrame) -> DataFrame:
+    """(image_id, contour_id, ord, x, y): 8-connected edge pixels in the order in which a flood fill from their first in raster order, left out itself, finds them."""
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
-        left, out = set(zip(t["y"].tolist(), t["x"].tolist(), strict=True)), []
+        left, out, contour = set(zip(t["y"].tolist(), t["x"].tolist(), strict=True)), [], 0
         for start in sorted(left):
             if start in left:
                 left.discard(start)
                 todo, found = [start], []
                 while todo:
                     y, x = todo.pop()
-                    for p in [(y + j, x + i) for j in (-1, 0, 1) for i in (-1, 0, 1)]:
+                    for p in [(y + j, x + i) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1))]:
                         if p in left:
                             left.discard(p)
                             found.append(p)
                             todo.append(p)
                 if found:
-                    ys, xs = zip(*found, strict=True)
-                    out.append((t["image_id"].iloc[0], len(out), len(found), min(xs), min(ys), max(xs), max(ys)))
-        return pd.DataFrame(out, columns=["image_id", "contour_id", "n", "x1", "y1", "x2", "y2"])
+                    out += [(t["image_id"].iloc[0], contour, n, x, y) for n, (y, x) in enumerate(found)]
+                    contour += 1
+        return pd.DataFrame(out, columns=["image_id", "contour_id", "ord", "x", "y"])
+
+    return edges.filter("v = 255").select("image_id", "x", "y").groupBy("image_id").applyInPandas(one, "image_id long, contour_id int, ord int, x int, y int")
 
-    return edges.filter("v = 255").select("image_id", "x", "y").groupBy("image_id").applyInPandas(one, "image_id long, contour_id int, n int, x1 int, y1 int, x2 int, y2 int")
+
+def contours(edges: DataFrame) -> DataFrame:
+    """(image_id, contour_id, n, x1, y1, x2, y2): the numbers and boxes of contour_points()."""
+    box = [F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2")]
+    return contour_points(edges).groupBy("image_id", "contour_id").agg(F.count("*").cast("int").alias("n"), *box)
 
 
 def text_segments(binary: DataFrame) -> DataFrame:

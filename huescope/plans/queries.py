@@ -247,7 +247,7 @@ def uniform_reference(spark, d):
 
 @query
 def nearest_css_name(spark, d):
-    rgb = px.histogram(trimmed(spark, d, "rgb")).filter("rank <= 3").select("image_id", "rank", "c")
+    rgb = px.histogram(trimmed(spark, d, "rgb")).select("image_id", "rank", "c")
     return names.nearest(rgb, "c").select("image_id", "rank", "c", "name")
 
 
@@ -302,4 +302,4 @@ def text_segments(spark, d):
 
 @query
 def contours(spark, d):
-    return regions.contours(regions.text_edges(whole(spark, d)))
+    return regions.contour_points(regions.text_edges(whole(spark, d)))

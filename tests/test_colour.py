@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from huescope.functions import arrays, names, spaces
 from huescope.operators import clusters, regions
 from huescope.operators import pixels as px
+from huescope.plans import queries
 from huescope.sources.images import pixels_of
 
 SF = "/root/testdata/sf0.001"
@@ -112,6 +113,22 @@ def test_contours_and_segments(spark):
     assert [(r.y, r.x1, r.x2) for r in regions.text_segments(binary).collect()] == [(1, 10, 16)]
 
 
+def test_contour_points(spark):
+    rows = np.full((6, 9, 3), 255, np.uint8)
+    rows[1, 1:4] = rows[2, 4] = rows[4, 6:8] = rows[5, 0] = 0
+    edge = regions.luma(image(spark, rows)).withColumn("v", regions.F.when(regions.F.col("v") == 0, 255).otherwise(0))
+    got = sorted((r.contour_id, r.ord, r.x, r.y) for r in regions.contour_points(edge).collect())
+    assert got == [(0, 0, 2, 1), (0, 1, 3, 1), (0, 2, 4, 2), (1, 0, 7, 4)]
+
+
+def test_contours_and_names_are_whole(spark):
+    d = "/root/testdata/sf0.001"
+    assert queries.QUERIES["contours"](spark, d).columns == ["image_id", "contour_id", "ord", "x", "y"]
+    named = queries.QUERIES["nearest_css_name"](spark, d)
+    colours = queries.px.histogram(queries.trimmed(spark, d, "rgb"))
+    assert named.count() == colours.count() > colours.filter("rank <= 3").count()
+
+
 def test_elbow_and_slope():
     assert clusters.slope([1, 2, 3], [3.0, 2.0, 1.0]) == -1.0
     assert clusters.elbow_k(lambda k: 1 / k, 1, (1, 2), (50,)) == 1

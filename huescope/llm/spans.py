@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2_000_000
+CHUNK = 1 << 19
 U = np.uint64
 
 SPACE = np.zeros(256, bool)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from huescope.llm import components, decontaminate, embeddings, html, licenses, lm, mixing, near_dedup, quality, queries, tokens, urls
+from huescope.llm.spans import chunks
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, `set` int"
@@ -277,6 +278,29 @@ def test_tokens_round_trip(odd, empty):
     assert (tokens.unpack(tokens.pack(values)) == values).all() and len(tokens.unpack(tokens.pack(values[:0]))) == 0
 
 
+def test_encoder_equals_the_library():
+    """Odd neighbours of letters, digits, marks, apostrophes, white space and the added token, with a cache that runs over."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library, encoder, rng = Tokenizer.from_file(path), tokens.Encoder(path), np.random.default_rng(9)
+    alpha = [*"ab'sd re,.0 9\n\t  é\u00a0\u3000日x\x1c\x00\x7f<|>!", "<|endoftext|>", "'s", "'re", "\r\n", " '", "can't", "word " * 30, "x" * 90]
+    texts = ["".join(rng.choice(alpha, rng.integers(0, 40))) for _ in range(3000)]
+    want = [[*e.ids, tokens.END] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.cuts
+    for _ in range(2):
+        got = []
+        for _, _, data, offsets in chunks(pa.array(texts), 4000):
+            ids, counts = encoder.encode(data, offsets)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == want
+        encoder.compact()
+    values = rng.integers(0, 2**18, 50).astype(np.uint32)
+    back, counts = tokens.unpack_all(tokens.pack_all(values, np.array([7, 0, 43])))
+    assert (back == values).all() and counts.tolist() == [7, 0, 43]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(60, 16))

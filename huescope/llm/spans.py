@@ -49,14 +49,22 @@ def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+class Spans:
+    """Hashes of spans of the same bytes; which: one of two independent hashes."""
+
+    def __init__(self, data: np.ndarray, which: int = 0):
+        up, self.down = powers(len(data) + 1, which)
+        self.total = np.empty(len(data) + 1, np.uint64)
+        self.total[0] = 0
+        np.cumsum(_LETTERS[which][data] * up[: len(data)], out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """A hash of the bytes of each span; which: one of two independent ones."""
-    up, down = powers(len(data) + 1, which)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_LETTERS[which][data] * up[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * down[starts]
-    return mix(raw + (ends - starts).astype(np.uint64))
+    return Spans(data, which).hashes(starts, ends)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

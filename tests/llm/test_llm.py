@@ -229,6 +229,62 @@ def test_lattice_sums_all_segmentations():
     assert np.isclose(counts[2], p[3] * p[2] * p[5] / want) and counts[5] == 1
 
 
+def test_lm_score_by_brute_force(spark):
+    """score and lattice_score against all segmentations, classes and counts in plain Python; held-out documents teach nothing."""
+    model = queries.tokenizer_path("piece_bpe_32k.model")
+    rows = [(1, "ab cat the the", "en", False), (2, "the cab é", "en", False), (3, "der ab ab", "de", False), (4, "zz cat", None, False), (5, "the quux " + "x1" * 300, "fr", True), (6, "", "de", False), (7, "the quux", "fr", True)]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, held boolean"), model).collect()}
+    pieces, start = lm.vocabulary(model)
+    number, most = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
+
+    def segmentations(b):
+        if not b:
+            yield []
+        for k in range(1, min(len(b), most) + 1):
+            if b[:k] in number:
+                for rest in segmentations(b[k:]):
+                    yield [number[b[:k]], *rest]
+
+    classes, train = ["de", "en", None], [r for r in rows if not r[3]]
+    counts = {c: Counter(w for r in train if r[2] == c for w in r[1].split()) for c in classes}
+    ends = {c: sum(r[2] == c for r in train) for c in classes}
+    every = sum(counts.values(), Counter())
+    ways = {w: list(segmentations(("▁" + w).encode())) for w in {*every, "quux"}}
+    weights = {c: np.exp(start) for c in classes}
+    way = lambda c, w: math.prod(weights[c][p] for p in w) * weights[c][-1]
+    for _ in range(lm.ROUNDS):
+        used = {c: np.full(len(start), 0.01) for c in classes}
+        for c in classes:
+            for w in counts[c]:
+                shares = np.array([way(c, x) for x in ways[w]])
+                for x, share in zip(ways[w], shares / shares.sum(), strict=True):
+                    for p in x:
+                        used[c][p] += share
+                used[c][-1] += 1
+        weights = {c: used[c] / used[c].sum() for c in classes}
+
+    def discounted(counter, end, w, base):
+        n = [*counter.values(), *([end] if end else [])]
+        one, two = n.count(1), n.count(2)
+        cut = one / (one + 2 * two) if one and two else 0.5
+        have = end if w is None else counter[w]
+        return max(have - cut, 0) / sum(n) + cut * len(n) / sum(n) * base
+
+    def probability(c, w):
+        base = lm.END if w is None else sum(way(c, x) for x in ways[w]) * (1 - lm.END)
+        below = base * (1 - lm.POOLED) + lm.POOLED * discounted(every, sum(ends.values()), w, base)
+        return discounted(counts[c], ends[c], w, below)
+
+    for i, text, *_ in rows:
+        words = [*text.split(), None]
+        if i == 5:
+            assert math.isfinite(got[i].score) and got[i].score < got[7].score - 300
+            continue
+        want = sum(ends[c] / len(train) * math.prod(probability(c, w) for w in words) for c in classes)
+        plain = sum(math.log10(lm.END if w is None else sum(math.exp(sum(start[p] for p in x) + start[-1]) for x in ways[w]) * (1 - lm.END)) for w in words)
+        assert abs(got[i].score - math.log10(want)) < 1e-6 and abs(got[i].lattice_score - plain) < 1e-6, i
+
+
 def test_mixing(odd, empty):
     rows = mixing.mix_sizes(odd).collect()
     assert len(rows) == len(ODD) and all(r.taken <= 2 * r.size for r in rows)

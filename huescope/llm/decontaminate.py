@@ -13,8 +13,9 @@ with a piece in all samples of a table are candidates. Before the walk, windows
 words of a match m less its edits are the piece's, so as many must be of the group's vocabulary. Candidates
 are confirmed by the full edit distance between the item and the words around the window.
 
-The benchmark goes to the tasks in blocks of at most about BLOCK items, one pass over the documents for each; documents are never
-shuffled and nothing depends on other documents. Nulls: a null or empty text has no words and matches nothing, and so does a null
+The benchmark goes to the tasks in blocks of at most about BLOCK items, one pass over the documents for each, and the driver holds one block at a
+time; documents are never shuffled and nothing depends on other documents. Of matches of an item with equal edits in a row the first by its end counts. Very
+long texts are searched whole. Nulls: a null or empty text has no words and matches nothing, and so does a null
 or empty item; null ids are carried as they are. Repeated rows and repeated items are judged alike, each on its own; other
 columns are carried along or left. An empty benchmark or table gives no rows.
 """
@@ -30,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, whole_row
 from .spans import chunks, mix, ragged, span_hashes, word_spans
 
-BLOCK, EDITS, GROWTH = 5_000, 5, 1.25
+BLOCK, EDITS, GROWTH = 20_000, 5, 1.25
 WALKS, TABLES, SAMPLED, PIECE = 6, 24, 3, 64
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -196,14 +197,14 @@ class Index:
 
 
 def blocks(benchmark: DataFrame, size: int = BLOCK):
-    """The benchmark as indexes of about `size` items at most, one after the other."""
+    """(number of blocks, index) of the benchmark's blocks of about `size` items at most, one after the other."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     n = -(-items.count() // size)
     if n > 1:
         items = table(items.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "items")
     for b in range(n):
         part = items.filter(F.col("b") == b) if n > 1 else items
-        yield Index([(r["item_id"], r["text"]) for r in part.collect()])
+        yield n, Index([(r["item_id"], r["text"]) for r in part.collect()])
 
 
 def _find(index: Index):
@@ -221,26 +222,31 @@ def _find(index: Index):
 def _clean(index: Index):
     def run(batches):
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for a, _, data, offsets in chunks(batch.column("text")):
+            rows, keep = batch.column("row"), np.ones(batch.num_rows, bool)
+            for a, _, data, offsets in chunks(rows.field("text")):
                 for r, *_ in index.matches(*words(data, offsets)):
                     keep[a + r] = False
-            yield batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_struct_array(rows).filter(pa.array(keep))
 
     return run
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, edits, item_words, end_word: one row for each row of docs and item found in it."""
+    kinds = "doc_id long, item_id long, edits long, item_words long, end_word long"
     texts, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for index in blocks(benchmark, block):
-        found = texts.mapInArrow(_find(index), "doc_id long, item_id long, edits long, item_words long, end_word long")
+    for n, index in blocks(benchmark, block):
+        found = texts.mapInArrow(_find(index), kinds)
+        if n > 1:  # a block's index goes before the next one is made
+            found = table(found, "leaks")
         out = found if out is None else out.union(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, edits long, item_words long, end_word long")
+    return out if out is not None else docs.sparkSession.createDataFrame([], kinds)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs in which no item is found."""
-    for index in blocks(benchmark, block):
-        docs = docs.mapInArrow(_clean(index), docs.schema)
+    for n, index in blocks(benchmark, block):
+        docs = docs.select(whole_row(docs)).mapInArrow(_clean(index), docs.schema)
+        if n > 1:
+            docs = table(docs, "clean")
     return docs

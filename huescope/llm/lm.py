@@ -9,8 +9,8 @@ word's probability in a class is its discounted share of the class's tokens plus
 counts of counts) times its base: the lattice's, with a part POOLED of the same estimate over all training tokens. A text's probability is the sum over classes of the class's share times the product over
 tokens - a proper distribution over token sequences, marginal over segmentations and classes.
 
-Counts are gathered over all training documents, aggregated in each task before the shuffle. The HEAD most frequent words go to
-the tasks; all others meet their documents in a join on the word's hash (64 bits), so nothing that grows is broadcast.
+Counts are gathered over all training documents, aggregated in each task before the shuffle. The most frequent words, HEAD at most (of words
+about as frequent all or none), go to the tasks; all others meet their documents in a join on the word's hash (64 bits), so nothing that grows is broadcast.
 Hot words are among the head. Nulls: a null text is empty and has the end alone; a null held is training. Without training
 tokens all words are novel. Repeated rows are rows of their own; ties among words or classes are by hash or name; very long texts and words are scored
 whole, in a chunk of their own; other columns, whatever their names, are left; an empty table gives no rows.
@@ -343,7 +343,15 @@ def score(docs: DataFrame, model: str, head: int = HEAD, rounds: int = ROUNDS) -
     known = table(weighed.select("h", n.alias("n_train"), F.array(*values, plain, (n > 0).cast("double"), F.col("lattice")[classes] + math.log(1 - END)).alias("logs")), "known")
     end_parts = [parts_of(k, end[k], end.sum(), max) for k in range(classes)]
     end_logs = np.array([*(math.log(sure + rest * END) for sure, rest in end_parts), math.log10((end.sum() + 0.1) / (all_tokens + 0.1 * (all_kinds + 1))), float(end.sum() > 0), math.log(END)])
-    top = known.filter("n_train > 0").orderBy(F.desc("n_train"), "h").limit(head).select("h", "logs").toArrow()  # bounded by the parameter
+    level = F.floor(F.log2("n_train") * 16)
+    least, room = None, head
+    for r in known.filter("n_train > 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # levels of a count: 1,024 at most
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    heads = known.filter(F.lit(False) if least is None else (F.col("n_train") > 0) & (level >= least))
+    top = heads.select("h", "logs").toArrow()  # bounded by the parameter
     head_h = top.column("h").to_numpy().view(np.uint64)
     head_logs = np.ascontiguousarray(top.column("logs").combine_chunks().flatten().to_numpy().reshape(len(head_h), -1).T) if len(head_h) else np.zeros((classes + 3, 0))
 

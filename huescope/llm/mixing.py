@@ -7,22 +7,24 @@ multinomial while its total is exact). Slot i of a source takes block p_e(i mod
 number of blocks, e = i div n the pass over them and p_e a pseudorandom permutation of the full blocks keyed by source,
 pass and seed; a last block that isn't full ends each pass, so that the words taken add up to the target exactly. Slots and blocks meet in a join on (source, block): every key has one block and at most
 two slots, so no key is hot. Reruns agree: nothing depends on partitions but the order of rows that
-agree in doc_id, which are ordered by their text.
+agree in doc_id, which are ordered by their text. Only the sources' own totals, a row each, are brought together in one task.
 
 Nulls: a null text is empty; a null source is a source of its own, last in order; a null doc_id is
-ordered first. Without words nothing is taken. Other columns are neither read nor confused with ours.
+ordered first. Without words nothing is taken, and an empty table gives no rows. Very long texts are cut into as many blocks as they fill. Repeated rows are
+rows of their own. Other columns, whatever their names, are neither read nor confused with ours.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .offsets import running_start
-from .spans import mix
 from .shared import table
+from .spans import chunks, mix, word_spans
 
 BLOCK, SHARDS, SEED = 256, 64, 20
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -85,49 +87,107 @@ def _slots(block: int, shards: int, seed: int):
     return run
 
 
-def mix_plan(docs: DataFrame, keep: list[str], weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, shards=SHARDS, seed=SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows, taken). rows: the columns `keep` with row_no, size, source_size, source_no, target; taken: row_no, turn,
-    slot, shard, first, last: words first .. last-1 of that row fill a part of that slot."""
-    texts = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col("source"), F.col("doc_id").alias("_id"), F.xxhash64(texts).alias("_tie"), word_count(F.col("text")).alias("size"))
-    placed = running_start(base, [F.col("_id"), F.col("_tie")], "size", "_start", group="source")
+def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, shards=SHARDS, seed=SEED) -> tuple[DataFrame, DataFrame]:
+    """(rows, taken). rows: row_no, doc_id, tie (of the text), size, source, source_size, source_no, target; taken: row_no, source_no, turn,
+    slot, shard, first, last: words first .. last-1 of that row fill a part of that slot. Texts are read once and not carried on."""
+    tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    base = table(docs.select("doc_id", "source", tie.alias("tie"), word_count(F.col("text")).alias("size")), "sizes")
+    placed = running_start(base, [F.col("doc_id"), F.col("tie")], "size", "start", group="source")
     placed = table(placed.withColumn("row_no", F.monotonically_increasing_id()), "placed")
     goals = table(targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "goals")
-    rows = placed.join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    rows = placed.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     b = F.lit(block)
     want = F.floor(F.col("target") + 0.5)
     plan = goals.filter("source_size > 0").select("source_no", F.ceil(F.col("source_size") / b).alias("blocks"), F.floor(F.col("source_size") / b).alias("full"), F.floor(want / F.col("source_size")).alias("turns"), (want % F.col("source_size")).alias("rest"))
     plan = plan.withColumn("n", F.col("turns") * F.col("blocks") + F.ceil(F.col("rest") / b)).filter("n > 0")
-    parts = plan.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _CHUNK).cast("long")))).repartition("source_no", "_c")
-    slots = parts.withColumn("slot", F.explode(F.sequence(F.col("_c") * _CHUNK, F.least((F.col("_c") + 1) * _CHUNK, F.col("n")) - 1)))
+    parts = plan.withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / _CHUNK).cast("long")))).repartition("source_no", "c")
+    slots = parts.withColumn("slot", F.explode(F.sequence(F.col("c") * _CHUNK, F.least((F.col("c") + 1) * _CHUNK, F.col("n")) - 1)))
     left = F.col("rest") - (F.col("slot") - F.col("turns") * F.col("blocks")) * b
     take = F.when(F.col("slot") < F.col("turns") * F.col("blocks"), b).otherwise(F.least(b.cast("long"), left)).cast("long")
     slots = slots.select("source_no", "slot", "blocks", "full", take.alias("take"))
     dealt = slots.mapInArrow(_slots(block, shards, seed), "source_no int, block long, slot long, turn long, shard long, take long")
-    whole = rows.filter("size > 0").select("row_no", "source_no", "_start", "size")
-    pieces = whole.withColumn("block", F.explode(F.sequence(F.floor(F.col("_start") / b), F.floor((F.col("_start") + F.col("size") - 1) / b))))
-    inside = F.col("block") * b - F.col("_start")  # the block's first word, counted in the row
-    met = pieces.join(dealt, ["source_no", "block"])
-    taken = met.select("row_no", "turn", "slot", "shard", F.greatest(F.lit(0), inside).alias("first"), F.least(F.col("size"), inside + F.col("take")).alias("last"))
+    whole = rows.filter("size > 0").select("row_no", "source_no", "start", "size")
+    pieces = whole.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
+    inside = F.col("block") * b - F.col("start")  # the block's first word, counted in the row
+    met = pieces.join(dealt.hint("merge"), ["source_no", "block"])  # both sides grow with the input
+    taken = met.select("row_no", "source_no", "turn", "slot", "shard", F.greatest(F.lit(0), inside).alias("first"), F.least(F.col("size"), inside + F.col("take")).alias("last"))
     return rows, taken.filter("last > first")
 
 
 def mix_sizes(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row."""
-    rows, taken = mix_plan(docs, ["doc_id"], **options)
+    rows, taken = mix_plan(docs, **options)
     sums = taken.groupBy("row_no").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    return rows.join(sums, "row_no", "left").select(F.col("k_doc_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(sums.hint("merge"), "row_no", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _passages(columns: list[str], more: list[str], merged: bool):
+    """Rows of `columns` (c0, c1, ... in their order) with each run of words in `runs` as the text, white space inside it as it was.
+    merged: runs that touch are one passage; one of all words is the whole text."""
+    place = columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts, runs = batch.column(f"c{place}"), batch.column("runs").to_pylist()
+            for a, b, data, offsets in chunks(texts):
+                starts, ends, counts = word_spans(data, offsets)
+                at, raw = np.append(0, np.cumsum(counts)).tolist(), data.tobytes()
+                row, text, fields = [], [], []
+                for i in range(a, b):
+                    found: list = []
+                    for r in sorted(runs[i], key=lambda r: (r["first"], r["last"])):
+                        if merged and found and found[-1]["last"] == r["first"]:
+                            found[-1] = {**found[-1], "last": r["last"]}
+                        else:
+                            found.append(r)
+                    for r in found:
+                        x, y = int(starts[at[i - a] + r["first"]]), int(ends[at[i - a] + r["last"] - 1])
+                        if merged and r["last"] - r["first"] == counts[i - a]:
+                            x, y = int(offsets[i - a]), int(offsets[i - a + 1])
+                        row.append(i)
+                        text.append(raw[x:y])
+                        fields.append(r)
+                for k in range(0, len(row), 1000):
+                    index, own = pa.array(row[k : k + 1000], pa.int64()), pa.array(text[k : k + 1000], pa.binary()).cast(pa.string())
+                    out = [own if c == "text" else batch.column(f"c{j}").take(index) for j, c in enumerate(columns)]
+                    if "n_chars" in columns:
+                        j = columns.index("n_chars")
+                        out[j] = pa.compute.utf8_length(own).cast(batch.column(f"c{j}").type)
+                    out += [pa.array([f[m] for f in fields[k : k + 1000]], pa.int64()) for m in more]
+                    yield pa.RecordBatch.from_arrays(out, [*columns, *more])
+
+    return run
+
+
+def _texts(docs: DataFrame, rows: DataFrame, taken: DataFrame, by: list[str]) -> DataFrame:
+    """c0, c1, ... (the columns of docs) and runs, for each row that is taken and each value of `by`. Rows that agree in doc_id, source and text are
+    copies of each other: their other columns are those of one of them."""
+    runs = taken.groupBy("row_no", *by).agg(F.collect_list(F.struct("first", "last", "source_no", "slot", "shard")).alias("runs"))
+    keyed = rows.select("row_no", "doc_id", "source", "tie").join(runs.hint("merge"), "row_no")
+    tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    own = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"c{j}") for j, c in enumerate(docs.columns)], F.struct("doc_id", "source", tie).alias("key"))
+    again = rows.filter("size > 0").groupBy("source", "doc_id", "tie").count().filter("count > 1")
+    if not again.isEmpty():
+        own = own.dropDuplicates(["key"])
+    return keyed.select(F.struct("doc_id", "source", "tie").alias("key"), "runs").join(own, "key").drop("key")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows with the columns of docs: each pass over a row that takes any of its words gives a row with
-    those words; a pass that takes all of them gives the text as it is. n_chars, where there is one, is the new text's."""
-    rows, taken = mix_plan(docs, docs.columns, **options)
-    runs = taken.groupBy("row_no", "turn").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum(F.col("last") - F.col("first")).alias("n"))
-    met = rows.join(runs, "row_no")
-    words = F.regexp_extract_all(F.col("k_text"), F.lit(WORD), 0)
-    parts = F.flatten(F.transform("runs", lambda r: F.slice(words, (r["first"] + 1).cast("int"), (r["last"] - r["first"]).cast("int"))))
-    text = F.when(F.col("n") == F.col("size"), F.col("k_text")).otherwise(F.array_join(parts, " "))
-    met = met.withColumn("k_text", text)
-    out = [F.char_length("k_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"k_{c}").alias(c) for c in docs.columns]
-    return met.select(*out)
+    """The mix as rows with the columns of docs: each pass over a row gives a row for each passage that it takes, a run of words of blocks that touch,
+    as it stands in the text; a pass that takes all words gives the text as it is. n_chars, where there is one, is the passage's."""
+    rows, taken = mix_plan(docs, **options)
+    return _texts(docs, rows, taken, ["turn"]).mapInArrow(_passages(docs.columns, [], True), docs.schema)
+
+
+def mix_shards(docs: DataFrame, **options) -> DataFrame:
+    """The mix as blocks of fixed length dealt to output shards: shard, source_no, slot, doc_id, text, first, last.
+
+    The rows of one (source_no, slot) are a block's passages, in doc_id order and in order of first within a text; their words are block many,
+    fewer in the block that ends a pass or the mix. Write with partitionBy("shard").
+    """
+    rows, taken = mix_plan(docs, **options)
+    own = docs.select("doc_id", "source", "text")
+    more = ["first", "last", "source_no", "slot", "shard"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    cut = _texts(own, rows, taken, ["turn"]).mapInArrow(_passages(own.columns, more, False), f"doc_id {kind}, source string, text string, first long, last long, source_no long, slot long, shard long")
+    return cut.select("shard", "source_no", "slot", "doc_id", "text", "first", "last")

@@ -17,7 +17,7 @@ of open buckets meet by their rarest shingles instead of in pairs: each set's pr
 element of every similar set (see _by_prefix). Only pairs whose connection is already proven or that can't be similar are never
 looked at, so components are those of all links that share a bucket.
 
-Nulls: a null or empty text, or one without words, has an empty set, is linked with nothing and kept. A null
+Very long texts have as long sets, a pair of which is compared in one task; a chunk of texts has one long text at most. Nulls: a null or empty text, or one without words, has an empty set, is linked with nothing and kept. A null
 doc_id counts after all others. Rows that repeat a doc_id are rows of their own. Columns other than doc_id and
 text are not read; an empty table gives no rows.
 """
@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import table
+from .shared import table, whole_row
 from .spans import LOWER, chunks, mix, span_hashes, word_spans
 
 WIDTH, SIMILARITY = 5, 80
@@ -125,7 +126,7 @@ def _linked(similarity: int):
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
             ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
+            for i in range(batch.num_rows):  # a pair at a time: sets are as long as their texts
                 p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
                 both = np.sort(np.concatenate([p, q]))
                 shared = int((both[1:] == both[:-1]).sum())
@@ -148,10 +149,16 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def _elements(batches):
     for batch in batches:
-        held = batch.column("set").to_pylist()
-        size = np.fromiter((len(x) // 8 for x in held), np.int64, len(held))
-        row = pa.array(np.repeat(np.arange(len(held)), size))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("node", "root", "n")), pa.array(np.frombuffer(b"".join(held), np.int64))], ["node", "root", "n", "s"])
+        ends = np.cumsum(pa.compute.binary_length(batch.column("set")).to_numpy())
+        a = 0
+        while a < batch.num_rows:  # parts of bounded size, a longer set by itself
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 22), "right")))
+            part = batch.slice(a, b - a)
+            held = part.column("set").to_pylist()
+            size = np.fromiter((len(x) // 8 for x in held), np.int64, len(held))
+            row = pa.array(np.repeat(np.arange(len(held)), size))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in ("node", "root", "n")), pa.array(np.frombuffer(b"".join(held), np.int64))], ["node", "root", "n", "s"])
+            a = b
 
 
 def _by_prefix(nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -246,16 +253,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMIL
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row of least doc_id stays (ties: by the text's hash)."""
+    """The rows of docs without near duplicates: of each component the row of least doc_id stays (ties: by the text's hash; of equal rows one).
+
+    Rows with empty sets all stay. Columns of docs may have any names.
+    """
     found = table(near_duplicates(docs, width, similarity), "found")
     best = found.filter("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tie")).alias("w"))
-    best = table(best.select(F.col("w.doc_id").alias("_id"), F.col("w.tie").alias("_tie")).distinct(), "winners")
-    tie = F.xxhash64("text")
-    empty = found.filter("class is null").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
-    good = best.union(empty).distinct()
-    kept = docs.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (tie == F.col("_tie")), "left_semi")
+    best = table(best.select(F.col("w.doc_id").alias("id"), F.col("w.tie").alias("tie")).distinct(), "winners")
+    empty = found.filter("class is null").select(F.col("doc_id").alias("id"), "tie").distinct()
+    good = best.union(empty).distinct().toDF("good_id", "good_tie")
+    own = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("tie"))
+    kept = own.join(good, F.col("id").eqNullSafe(F.col("good_id")) & (F.col("tie") == F.col("good_tie")), "left_semi")
     again = found.filter("class is not null").groupBy("doc_id", "tie").count().filter("count > 1")
-    if again.isEmpty():
-        return kept
-    key = F.when(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id())
-    return kept.withColumns({"_key": key, "_tie": tie}).dropDuplicates(["doc_id", "_tie", "_key"]).select(*docs.columns)
+    if not again.isEmpty():
+        key = F.when(~F.coalesce("row.text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id())
+        kept = kept.withColumn("key", key).dropDuplicates(["id", "tie", "key"])
+    return kept.select("row.*")

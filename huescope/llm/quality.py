@@ -11,7 +11,8 @@ noise stay. The noise is a hash of doc_id and text: reruns agree. The k-th great
 
 Nulls: a null or empty text weighs 0, as much as one that tells nothing; null doc_ids have no label; labels that are null are
 left out, contradicting ones count as bad. Rows that tie with the k-th all stay (repeated rows do), so equal rows are
-treated alike. Without labels of both kinds nothing is rejected. Other columns are carried along or left.
+treated alike. Without labels of both kinds nothing is rejected, and an empty table gives no rows. Very long texts are weighed whole. Other columns, whatever
+their names, are carried along or left.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, whole_row
 from .spans import SPACE, chunks, mix, span_hashes
 
 BUCKETS, SAMPLE, SCALE, SMOOTH = 10_000, 20_000, 100.0, 1.0
@@ -101,8 +102,9 @@ def _score(ratio: np.ndarray):
 def _choose(ratio: np.ndarray, least: float):
     def run(batches):
         for batch in batches:
-            key = weights(ratio, batch.column("text")) + gumbel(batch.column("_seed").to_numpy())
-            yield batch.drop_columns(["_seed"]).filter(pa.array(key >= least))
+            rows = batch.column("row")
+            key = weights(ratio, rows.field("text")) + gumbel(batch.column("seed").to_numpy())
+            yield pa.RecordBatch.from_struct_array(rows).filter(pa.array(key >= least))
 
     return run
 
@@ -168,4 +170,4 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def choose(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that judge() keeps, in one more pass over the texts, without a shuffle."""
     _, ratio, least = fit(docs, labels)
-    return docs.withColumn("_seed", _seed()).mapInArrow(_choose(ratio, least), docs.schema)
+    return docs.select(whole_row(docs), _seed().alias("seed")).mapInArrow(_choose(ratio, least), docs.schema)

@@ -5,30 +5,46 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder named in spark.checkpoint.dir; where that is unset and the master is local (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="huescope-")
+        _gone_at_exit(spark, _own[app])
     return _own[app]
 
 
+def _gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the folder deleted when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it again: its lineage is cut, it survives lost executors."""
+    """Write df to the shared folder and read it again: its lineage is cut, it survives lost executors. It goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct: other columns beside it can't clash with them, and select("row.*") gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
 def small(df: DataFrame, most: int) -> bool:
     """Whether df has at most so many rows; counts no further than that."""
     return df.limit(most + 1).count() <= most

@@ -183,6 +183,24 @@ def test_html_silent_elements():
     assert html.main_text("<script>x" + text) == ""
 
 
+def test_clashing_names(spark):
+    """Own columns of the names that the operators use inside come back as they were."""
+    names = ["row", "id", "tie", "key", "seed", "text", "doc_id", "source", "_id", "_tie", "_key", "_seed", "good_id", "class", "runs", "c0", "start", "a.b"]
+    rows = [tuple(LONG if n == "text" else i if n == "doc_id" else "s" if n == "source" else 10 * i + k for k, n in enumerate(names)) for i in (1, 2)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n in ('text', 'source') else 'long'}" for n in names))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "not in any of these texts at all")], "item_id long, text string")
+    assert [tuple(r) for r in near_dedup.keep_one(docs).collect()] == rows[:1]
+    assert sorted(tuple(r) for r in quality.choose(docs, labels).collect()) == rows
+    assert sorted(tuple(r) for r in decontaminate.without_leaks(docs, bench).collect()) == rows
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == names and {tuple(x for x, n in zip(r, names, strict=True) if n != "text") for r in mixed.collect()} <= {tuple(x for x, n in zip(r, names, strict=True) if n != "text") for r in rows}
+    captures = spark.createDataFrame([(1, "http://a.org/", 5, "x", 7, False), (1, "http://a.org/", 5, "x", 7, False)], "page_id long, url string, fetched long, host string, since long, kept boolean")
+    entries = spark.createDataFrame([("host", "a.org", 1, "block")], "kind string, key string, since long, action string")
+    got = urls.judge(captures, entries)
+    assert got.columns == ["page_id", "url", "fetched", *urls.RESULT] and [(r.host, r.since, r.kept) for r in got.select("host", "since", "kept").collect()] == [("a.org", 1, False)] * 2
+
+
 def test_minimum_cut_by_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(60):
@@ -292,7 +310,51 @@ def test_mixing(odd, empty):
         assert abs(sum(r.taken for r in rows if (r.source_size, r.target) == size) - size[1]) <= 1
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sizes(odd).collect()))
     assert mixing.mix_documents(odd).columns == odd.columns
-    assert mixing.mix_sizes(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+    assert mixing.mix_sizes(empty).count() == 0 and mixing.mix_documents(empty).count() == 0 and mixing.mix_shards(empty).count() == 0
+
+
+def test_mixing_targets_by_filling_up(spark):
+    """Targets against a plain loop that reshares what is above a cap; sizes and words taken against the texts."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 900))), s) for i, s in enumerate(rng.choice(["a", "b", "c", "d", None], 300, p=[0.6, 0.2, 0.1, 0.05, 0.05]).tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sizes(docs).collect()
+    sizes: Counter = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    names = sorted([s for s in sizes if s is not None]) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    goal, capped = {}, set()
+    while True:
+        left = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in capped)
+        goal = {s: 2.0 * sizes[s] if s in capped else left * weight[s] / sum(weight[x] for x in names if x not in capped) for s in names}
+        over = {s for s in names if s not in capped and goal[s] > 2 * sizes[s]}
+        if not over:
+            break
+        capped |= over
+    source = {i: s for i, _, s in rows}
+    assert capped and all(r.size == len(rows[r.doc_id][1].split()) and r.source_size == sizes[source[r.doc_id]] and abs(r.target - goal[source[r.doc_id]]) < 1e-6 and r.taken <= 2 * r.size for r in got)
+    for s in names:
+        assert sum(r.taken for r in got if source[r.doc_id] == s) == math.floor(goal[s] + 0.5)
+
+
+def test_mixing_passages_and_shards(spark):
+    """Passages stand in their texts as they are, line breaks included; blocks hold a fixed number of words; shards are drawn evenly."""
+    text = "\n".join(f"line {i}  has words" for i in range(2000))
+    docs = spark.createDataFrame([(1, text, "a", 5), (2, "short one", "a", 6), (2, "short one", "a", 6), (3, " a  b ", "b", 7), (4, None, "b", 8)], "doc_id long, text string, source string, `key` int")
+    sizes = mixing.mix_sizes(docs)
+    taken = sum(r.taken for r in sizes.collect())
+    out = mixing.mix_documents(docs).collect()
+    assert sum(len(r.text.split()) for r in out) == taken and all(r.text in text for r in out if r.doc_id == 1) and any("\n" in r.text for r in out)
+    assert all(r.text == " a  b " for r in out if r.doc_id == 3) and {r.doc_id: r.key for r in out}.items() <= {1: 5, 2: 6, 3: 7}.items()
+    blocks = mixing.mix_shards(docs, block=20, shards=4).collect()
+    words: Counter = Counter()
+    for r in blocks:
+        words[r.source_no, r.slot] += len(r.text.split())
+        assert len(r.text.split()) == r["last"] - r["first"]
+    assert sum(words.values()) == taken and max(words.values()) == 20 and sum(v < 20 for v in words.values()) <= 6
+    per = Counter(shard for shard, _, _ in {(r.shard, r.source_no, r.slot) for r in blocks})
+    assert set(per) == {0, 1, 2, 3} and all(abs(n - len(words) / 4) < 5 * math.sqrt(len(words) / 4) for n in per.values())
 
 
 def test_licenses(spark):
@@ -399,3 +461,15 @@ def test_pipeline(spark):
         assert after.columns == docs.columns, name
         kept = after
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_odd_rows(spark, odd, empty):
+    """Null, empty, repeated and very long rows, and none at all, through every stage."""
+    for rows in (odd, empty):
+        kept = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, SF)
+            assert kept.columns == rows.columns and kept.schema["text"].dataType == rows.schema["text"].dataType, name
+        out = corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()
+        assert len(out) == kept.count()
+        assert (len(out) > 0) == (rows is odd) and all(r.n_tokens > 0 for r in out)

@@ -9,10 +9,10 @@ set's size, and each agrees between two sets with their Jaccard similarity as pr
 of independent ones. ROWS coordinates make a band; a pair at similarity 0.8 shares none of the BANDS with
 probability 5e-6.
 
-Buckets are not paired off. In a turn every bucket compares its members with one pivot - at first the one whose
-buckets hold most rows, which is what the others were copied from, then a random one - unless they are already
-connected; links are confirmed on the full sets and components brought up to date, and buckets of one component are
-done. When few pairs of one bucket remain whose components differ, when a turn finds no link, or after TURNS turns, the members
+Buckets are not paired off. First the buckets of FIRST bands compare their members with one pivot each, the one whose
+buckets hold most rows, which is what the others were copied from; links are confirmed on the full sets and make components. Then, of all bands,
+only buckets that hold several components are looked at, in turns: members outside a bucket's largest component are compared with a random member of
+it, and components are brought up to date. When few pairs of one bucket remain whose components differ, when a turn finds no link, or after TURNS turns, the members
 of open buckets meet by their rarest shingles instead of in pairs: each set's prefix, in an order from rare to frequent, holds an
 element of every similar set (see _by_prefix). Only pairs whose connection is already proven or that can't be similar are never
 looked at, so components are those of all links that share a bucket.
@@ -37,7 +37,7 @@ from .spans import LOWER, chunks, mix, span_hashes, word_spans
 WIDTH, SIMILARITY = 5, 80
 ROWS, BANDS = 6, 40
 T = ROWS * BANDS
-TURNS = 4
+TURNS, FIRST = 4, 8
 _U = np.uint64
 _STEP = _U(0x9FB21C651E98DF25)
 _SEEDS = mix(np.arange(2 * T, dtype=np.uint64), 31)
@@ -187,16 +187,15 @@ def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[Dat
     rows = table(texts.mapInArrow(_sketches(width), "doc_id long, tie long, n long, h1 long, h2 long, bands array<long>"), "sketches")
     same = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     classes = table(same.withColumn("node", F.monotonically_increasing_id()), "classes")
-    banded = classes.select("node", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    met = banded.join(shared, "key")
-    degree = met.groupBy("node").agg(F.sum("c").alias("degree"))
-    members = table(met.join(degree, "node").select("key", "node", "n", "degree"), "buckets")
-    wanted = classes.join(members.select("node").distinct(), "node").select(F.col("first_id"), "node", "h1", "h2")
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "h1", "h2", "text")
-    sets = table(found.mapInArrow(_sets(width), "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets", codec="uncompressed")
-    size = members.count()
-    roots, tested = None, None
+    roots, tested, sets = None, None, None
+
+    def fetch(nodes: DataFrame) -> None:
+        """Add the sets of these nodes, in one pass over the texts."""
+        nonlocal sets
+        wanted = classes.join(nodes, "node").select("first_id", "node", "h1", "h2")
+        found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "h1", "h2", "text")
+        new = table(found.mapInArrow(_sets(width), "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets", codec="uncompressed")
+        sets = new if sets is None else sets.union(new)
 
     def confirm(pairs: DataFrame) -> bool:
         """Confirm links among pairs and bring roots up to date; whether there were any."""
@@ -219,22 +218,35 @@ def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[Dat
         roots = table(kept.union(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
         return True
 
-    for turn in range(TURNS):
-        named = _rooted(members, roots)
-        first = (-F.col("degree")) if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
-        pivot = named.groupBy("key").agg(F.min(F.struct(first, "node", "root", "n")).alias("p"))
-        pairs = named.join(pivot, "key").select("node", "root", "n", F.col("p.node").alias("other"), F.col("p.root").alias("other_root"), F.col("p.n").alias("m"))
-        joined = confirm(pairs.filter("root != other_root").filter(_fits("n", "m", similarity)))
-        rooted = _rooted(members, roots)
-        by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
-        still = by_root.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count("*").alias("r")).filter("r > 1")
-        still = table(still.select("key", (F.col("c") * F.col("c") - F.col("s")).alias("left")), "open")
-        left = still.agg(F.sum("left")).first()[0] or 0
-        members = members.join(still.select("key"), "key")
-        if left <= 4 * size or not joined:
+    banded = classes.select("node", "n", F.explode(F.slice("bands", 1, FIRST)).alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    met = banded.join(shared, "key")
+    degree = met.groupBy("node").agg(F.sum("c").alias("degree"))
+    members = table(met.join(degree, "node").select("key", "node", "n", "degree"), "buckets")
+    fetch(members.select("node").distinct())
+    pivot = members.groupBy("key").agg(F.min(F.struct(-F.col("degree"), "node", "n")).alias("p"))
+    pairs = members.join(pivot, "key").select("node", "n", F.col("p.node").alias("other"), F.col("p.n").alias("m"))
+    confirm(pairs.filter("node != other").filter(_fits("n", "m", similarity)))
+
+    for turn in range(TURNS + 1):
+        named = _rooted(classes.select("node", "n", "bands"), roots)
+        every = named.select("node", "n", "root", F.explode("bands").alias("key"))
+        by_root = every.groupBy("key", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), "node", "n")).alias("rep"))
+        bucket = by_root.groupBy("key").agg(F.count("*").alias("r"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.max(F.struct("c", "root", "rep")).alias("main"))
+        still = table(bucket.filter("r > 1").select("key", "c", (F.col("c") * F.col("c") - F.col("s")).alias("left"), F.col("main.root").alias("main"), F.col("main.rep.node").alias("other"), F.col("main.rep.n").alias("m")), "open")
+        size, left = still.agg(F.sum("c"), F.sum("left")).first()
+        if not left:
+            break
+        if turn == 0:
+            bare = named.join(sets.select("node"), "node", "left_anti").select("node", F.explode("bands").alias("key"))
+            bare = table(bare.join(still, "key", "left_semi").select("node").distinct(), "bare")
+            if not bare.isEmpty():
+                fetch(bare)
+        if turn > 1 and (left <= 4 * size or not joined) or turn == TURNS:
+            confirm(_by_prefix(every.join(still, "key", "left_semi").select("node", "n", "root").distinct(), sets, similarity))
             break
-    if left:
-        confirm(_by_prefix(_rooted(members.select("node", "n").distinct(), roots), sets, similarity))
+        outside = every.alias("x").join(still.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("root") != F.col("main"))).select("node", "n", "other", "m")
+        joined = confirm(outside.filter(_fits("n", "m", similarity)))
     return rows.drop("bands"), classes.drop("bands"), roots
 
 

@@ -38,7 +38,7 @@ END = 0
 MAGIC = b"SVR1"
 _SLOTS = 1 << 20
 _POOL = 1 << 23
-_SHORT, _LONGEST, _CALL = 16, 64, 20_000
+_SHORT, _LONGEST, _CALL = 16, 64, 5_000
 _IDS = 1 << 20
 _APOSTROPHE = 0x27
 _CLASS = np.full(256, 4, np.uint8)  # 0 white space, 1 letters, 2 digits, 3 other visible ASCII, 4 beyond ASCII, 5 controls

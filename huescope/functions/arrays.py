@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .spaces import M1_INVERSE, M2_INVERSE, M3_INVERSE
+from .spaces import LAB_SLOPE, LAB_WHITE, M1, M1_INVERSE, M2, M2_INVERSE, M3, M3_INVERSE
 
 
 def channels(c: np.ndarray) -> np.ndarray:
@@ -17,33 +17,90 @@ def pack(v: np.ndarray) -> np.ndarray:
     return v[..., 0] << 16 | v[..., 1] << 8 | v[..., 2]
 
 
+def fields(c: np.ndarray, space: str) -> np.ndarray:
+    """What distances are of: the channels, in lab with the lightness as it is."""
+    v = channels(c).astype(float)
+    if space == "lab":
+        v[..., 0] = np.asarray(c, np.int64) >> 16
+    return v
+
+
 def distances(p: np.ndarray, q: np.ndarray, space: str) -> np.ndarray:
-    """The matrix of distances between two lists of colours."""
+    """The matrix of distances between two lists of colours, made in blocks of rows."""
+    x, y = fields(p, space), fields(q, space)
     scale = np.array((1.0, 1.0, 1.0) if space == "rgb" else (1 / 2.55, 2.35 / 1.275, 2.35 / 1.275))
-    d = (channels(p)[:, None, :] - channels(q)[None, :, :]) * scale
-    return np.sqrt((d * d).sum(-1))
+    out = np.empty((len(x), len(y)))
+    step = max(1, (1 << 18) // max(1, len(y)))
+    for a in range(0, len(x), step):
+        part = x[a : a + step, None, :]
+        if space == "lab":
+            out[a : a + step] = ciede2000(part, y[None, :, :])
+        else:
+            d = (part - y[None, :, :]) * scale
+            out[a : a + step] = np.sqrt((d * d).sum(-1))
+    return out
+
+
+def ciede2000(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The CIEDE2000 differences of Lab colours, by the published formula."""
+    (l1, a1, b1), (l2, a2, b2) = (np.moveaxis(v, -1, 0) for v in (p, q))
+    c7 = ((np.hypot(a1, b1) + np.hypot(a2, b2)) / 2) ** 7
+    stretch = 1.5 - np.sqrt(c7 / (c7 + 25.0**7)) / 2
+    a1, a2 = a1 * stretch, a2 * stretch
+    c1, c2 = np.hypot(a1, b1), np.hypot(a2, b2)
+    h1, h2 = (np.degrees(np.arctan2(b + 0 * a, a)) % 360 for a, b in ((a1, b1), (a2, b2)))
+    turn, both, grey = h2 - h1, h1 + h2, c1 * c2 == 0
+    dh = np.where(grey, 0, np.where(np.abs(turn) <= 180, turn, np.where(turn > 180, turn - 360, turn + 360)))
+    h = np.where(grey, both, np.where(np.abs(turn) <= 180, both / 2, np.where(both < 360, (both + 360) / 2, (both - 360) / 2)))
+    light, c = (l1 + l2) / 2, (c1 + c2) / 2
+    t = 1 - 0.17 * np.cos(np.radians(h - 30)) + 0.24 * np.cos(np.radians(2 * h)) + 0.32 * np.cos(np.radians(3 * h + 6)) - 0.20 * np.cos(np.radians(4 * h - 63))
+    off = (light - 50) ** 2
+    x, y, z = (l2 - l1) / (1 + 0.015 * off / np.sqrt(off + 20)), (c2 - c1) / (1 + 0.045 * c), 2 * np.sqrt(c1 * c2) * np.sin(np.radians(dh) / 2) / (1 + 0.015 * c * t)
+    turn = -np.sin(np.radians(60 * np.exp(-(((h - 275) / 25) ** 2)))) * 2 * np.sqrt(c**7 / (c**7 + 25.0**7))
+    return np.sqrt(np.maximum(0.0, x * x + y * y + z * z + turn * y * z))
+
+
+def linear(c: np.ndarray) -> np.ndarray:
+    return ((channels(c) + 0.055) / 1.055) ** 2.4
 
 
 def to_rgb(c: np.ndarray, space: str) -> np.ndarray:
     if space == "rgb":
         return np.asarray(c, np.int64)
-    v = channels(c)
-    lab = np.stack([v[..., 0] / 2.55, v[..., 1] / 1.275 - 100, v[..., 2] / 1.275 - 100], -1)
-    light = ((lab @ np.array(M3_INVERSE).T) ** 3) @ np.array(M2_INVERSE).T @ np.array(M1_INVERSE).T
-    byte = np.where(light < 0, 0.0, np.maximum(light, 0) ** (1 / 2.4) * 1.055 - 0.055)
-    return pack(np.clip(np.floor(byte + 0.499999999), 0, 255))
-
-
-def lightness(c: np.ndarray) -> np.ndarray:
-    return (np.asarray(c, np.int64) >> 16) / 2.06
+    v = fields(c, space)
+    if space == "lab":
+        light, a, b = v[..., 0] / 2.55, v[..., 1] / 1.02 - 125, v[..., 2] / 1.02 - 125
+        f1 = (light + 16) / 116
+        cube = lambda f: np.where(f > 24 / 116, f**3, (116 * f - 16) / LAB_SLOPE)
+        xyz = np.stack([cube(a / 500 + f1), np.where(light > 8, f1**3, light / LAB_SLOPE), cube(f1 - b / 200)], -1) * np.array(LAB_WHITE)
+        flat, half = xyz @ np.array(M1_INVERSE).T, 0.5
+    else:
+        lab = np.stack([v[..., 0] / 2.55, v[..., 1] / 1.275 - 100, v[..., 2] / 1.275 - 100], -1)
+        flat, half = ((lab @ np.array(M3_INVERSE).T) ** 3) @ np.array(M2_INVERSE).T @ np.array(M1_INVERSE).T, 0.499999999
+    byte = np.where(flat < 0, 0.0, np.maximum(flat, 0) ** (1 / 2.4) * 1.055 - 0.055)
+    return pack(np.clip(np.floor(byte + half), 0, 255))
+
+
+def lightness(c: np.ndarray, space: str) -> np.ndarray:
+    if space == "rgb":
+        return linear(c) @ np.array(M1[1]) * 100
+    return (np.asarray(c, np.int64) >> 16) / (2.06 if space == "oklab" else 2.55)
 
 
-def chroma(c: np.ndarray) -> np.ndarray:
-    a, b = channels(c)[..., 1] / 1.275 - 100, channels(c)[..., 2] / 1.275 - 100
+def chroma(c: np.ndarray, space: str) -> np.ndarray:
+    v = channels(c)
+    if space == "rgb":
+        lab = np.cbrt(linear(c) @ np.array(M1).T @ np.array(M2).T) @ np.array(M3).T
+        a, b = lab[..., 1], lab[..., 2]
+    else:
+        a, b = (v[..., i] / (1.275 if space == "oklab" else 1.02) - (100 if space == "oklab" else 125) for i in (1, 2))
     return np.where((np.abs(a) < 7.5e-5) & (np.abs(b) < 7.5e-5), 0.0, np.hypot(a, b)) / 1.5
 
 
 def contrast(text: np.ndarray, ground: np.ndarray, space: str) -> np.ndarray:
+    if space == "lab":
+        return np.abs((np.asarray(text, np.int64) >> 16) - (np.asarray(ground, np.int64) >> 16)) / 2.55
+
     def luminance(c):
         y = ((channels(to_rgb(c, space)) / 255) ** 2.4) @ np.array((0.2126729, 0.7151522, 0.0721750))
         return np.where(y < 0.022, y + np.maximum(0.022 - y, 0) ** 1.414, y)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import spaces
+from . import arrays
+from .spaces import ciede2000  # noqa: F401
 
 #: The CSS colour keywords, in alphabetical order.
 CSS = (
@@ -35,53 +38,34 @@ def names(spark: SparkSession, basic: bool = False) -> DataFrame:
     return spark.createDataFrame(pairs, "name string, name_ord int, name_rgb int")
 
 
-def lab(rgb: Column) -> Column:
-    """CIE Lab (D50) of a packed RGB colour, as an array."""
-    line = lambda v: F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
-    f = lambda t: F.when(t > 216 / 24389, F.cbrt(t)).otherwise((t * (24389 / 27) + 16) / 116)
-    light = [line(x / 255) for x in spaces.channels(rgb)]
-    xyz = [f(sum((F.lit(m) * v for m, v in zip(row, light, strict=True)), F.lit(0.0)) / w) for row, w in zip(D50, WHITE, strict=True)]
-    return spaces._bound(xyz, lambda v: F.array(v[1] * 116 - 16, (v[0] - v[1]) * 500, (v[1] - v[2]) * 200))
-
-
-def ciede2000(p: list[Column], q: list[Column]) -> Column:
-    """The CIEDE2000 difference of two Lab colours, by the published formula."""
-    deg, rad = F.degrees, F.radians
-    (l1, a1, b1), (l2, a2, b2) = p, q
-    c7 = F.pow((F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2, F.lit(7.0))
-    stretch = 1.5 - F.sqrt(c7 / (c7 + 25.0**7)) / 2
+def nearest_name(rgb: np.ndarray, basic: bool = False) -> np.ndarray:
+    """The keyword nearest to each packed RGB colour, ties to the first, in blocks of colours."""
+    words = CSS.split()
+    known = [(n, int(h, 16)) for n, h in zip(words[::2], words[1::2], strict=True) if not basic or n in BASIC]
+    labs, own = _lab(np.array([c for _, c in known])), np.array([n for n, _ in known], object)
+    out = np.empty(len(rgb), object)
+    for a in range(0, len(rgb), 1000):
+        d = arrays.ciede2000(labs[None, :, :], _lab(rgb[a : a + 1000])[:, None, :])
+        out[a : a + 1000] = own[np.round(d, 9).argmin(1)]
+    return out
 
-    def second(v):
-        l1, a1, b1, l2, a2, b2 = v
-        c1, c2 = F.sqrt(a1 * a1 + b1 * b1), F.sqrt(a2 * a2 + b2 * b2)
-        hue = lambda a, b: F.when((a == 0) & (b == 0), 0.0).otherwise(F.pmod(deg(F.atan2(b, a)), F.lit(360.0)))
-        return spaces._bound([l1, l2, c1, c2, hue(a1, b1), hue(a2, b2)], third)
 
-    def third(v):
-        l1, l2, c1, c2, h1, h2 = v
-        turn, grey = h2 - h1, c1 * c2 == 0
-        dh = F.when(grey, 0.0).when(F.abs(turn) <= 180, turn).when(turn > 180, turn - 360).otherwise(turn + 360)
-        both = h1 + h2
-        mean = F.when(grey, both).when(F.abs(turn) <= 180, both / 2).when(both < 360, (both + 360) / 2).otherwise((both - 360) / 2)
-        return spaces._bound([(l1 + l2) / 2, (c1 + c2) / 2, mean, l2 - l1, c2 - c1, 2 * F.sqrt(c1 * c2) * F.sin(rad(dh) / 2)], last)
+def _lab(rgb: np.ndarray) -> np.ndarray:
+    """CIE Lab (D50) of packed RGB colours."""
+    v = arrays.channels(rgb) / 255
+    xyz = np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4) @ np.array(D50).T / np.array(WHITE)
+    f = np.where(xyz > 216 / 24389, np.cbrt(xyz), (xyz * (24389 / 27) + 16) / 116)
+    return np.stack([f[..., 1] * 116 - 16, (f[..., 0] - f[..., 1]) * 500, (f[..., 1] - f[..., 2]) * 200], -1)
 
-    def last(v):
-        light, c, h, dl, dc, dh = v
-        t = 1 - 0.17 * F.cos(rad(h - 30)) + 0.24 * F.cos(rad(2 * h)) + 0.32 * F.cos(rad(3 * h + 6)) - 0.20 * F.cos(rad(4 * h - 63))
-        off = F.pow(light - 50, F.lit(2.0))
-        x, y, z = dl / (1 + 0.015 * off / F.sqrt(off + 20)), dc / (1 + 0.045 * c), dh / (1 + 0.015 * c * t)
-        m7 = F.pow(c, F.lit(7.0))
-        turn = -F.sin(rad(60 * F.exp(-F.pow((h - 275) / 25, F.lit(2.0))))) * 2 * F.sqrt(m7 / (m7 + 25.0**7))
-        return F.sqrt(F.greatest(F.lit(0.0), x * x + y * y + z * z + turn * y * z))
 
-    return spaces._bound([l1, a1 * stretch, b1, l2, a2 * stretch, b2], second)
+def nearest(colours: DataFrame, column: str, basic: bool = False) -> DataFrame:
+    """colours with `name`, the keyword nearest to the packed RGB of `column`, ties to the first (by nine decimals)."""
 
+    @F.pandas_udf("string")
+    def name(rgb: pd.Series) -> pd.Series:  # a batch of rows at a time
+        each, back = np.unique(rgb.fillna(-1).to_numpy(np.int64), return_inverse=True)
+        found = nearest_name(each & 0xFFFFFF, basic)
+        found[each < 0] = None
+        return pd.Series(found[back])
 
-def nearest(colours: DataFrame, column: str, basic: bool = False) -> DataFrame:
-    """colours with `name`, the keyword nearest to the packed RGB of `column`, ties to the first; each distinct colour is compared once."""
-    spark = colours.sparkSession
-    known = F.broadcast(names(spark, basic).withColumn("nl", lab(F.col("name_rgb"))))  # 148 rows at most
-    each = colours.select(F.col(column).alias("_rgb")).filter("_rgb is not null").distinct().withColumn("cl", lab(F.col("_rgb")))
-    met = each.join(known, F.lit(True)).withColumn("d", ciede2000([F.col("nl")[i] for i in range(3)], [F.col("cl")[i] for i in range(3)]))
-    best = met.groupBy("_rgb").agg(F.min(F.struct("d", "name_ord", "name")).alias("m")).select("_rgb", F.col("m.name").alias("name"))
-    return colours.join(best, F.col(column) == F.col("_rgb"), "left").drop("_rgb")
+    return colours.withColumn("name", name(F.col(column)))

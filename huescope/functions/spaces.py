@@ -1,7 +1,8 @@
 """Colour spaces as Column expressions over packed colours (one int, 8 bits a channel); no Python runs per row.
 
 `rgb` packs the bytes themselves, `oklab` lightness and the two opponent axes scaled to bytes. Bytes enter the gamma curve
-unscaled and without its linear toe, so numbers are those of the summary's own space, not of standard OKLab. Nulls stay null.
+unscaled and without its linear toe, so numbers are those of the summary's own space, not of standard OKLab. `lab` packs CIE Lab the same
+way; its numbers outgrow their bytes, so packed colours are ints whose fields overlap, negative ones among them, as int arithmetic makes them. Nulls stay null.
 """
 
 from __future__ import annotations
@@ -17,9 +18,25 @@ M3_INVERSE = ((1.0, 0.3963377773761749, 0.2158037573099136), (1.0, -0.1055613458
 M2_INVERSE = ((1.2268798758459243, -0.5578149944602171, 0.2813910456659647), (-0.0405757452148008, 1.1122868032803170, -0.0717110580655164), (-0.0763729366746601, -0.4214933324022432, 1.5869240198367816))
 M1_INVERSE = ((3.2409699419045226, -1.537383177570094, -0.4986107602930034), (-0.9692436362808796, 1.8759675015077202, 0.04155505740717559), (0.05563007969699366, -0.20397695888897652, 1.0569715142428786))
 #: Distance under which two colours count as alike, by space.
-EPSILON = {"rgb": 20.0, "oklab": 8.0}
-BLACK = {"rgb": 0, "oklab": 127 * 256 + 127}
-WHITE = {"rgb": 0xFFFFFF, "oklab": (206 << 16) | (127 << 8) | 127}
+EPSILON = {"rgb": 20.0, "oklab": 8.0, "lab": 7.0}
+#: White of Lab by chromaticity, and the bounds of its curve.
+LAB_WHITE = (0.3457 / 0.3585, 1.0, (1.0 - 0.3457 - 0.3585) / 0.3585)
+LAB_LOW, LAB_SLOPE = 216 / 24389, 24389 / 27
+
+
+def _lab_of_grey(byte: int) -> int:
+    """lab of a grey, by plain ints and floats (see pack_lab)."""
+    v = ((byte + 0.055) / 1.055) ** 2.4
+    t = [sum(w * v for w in row) / white for row, white in zip(M1, LAB_WHITE, strict=True)]
+    f = [x ** (1 / 3) if x > LAB_LOW else (LAB_SLOPE * x + 16) / 116 for x in t]
+    fields = ((116 * f[1] - 16) * 2.55, (500 * (f[0] - f[1]) + 125) * 1.02, (200 * (f[1] - f[2]) + 125) * 1.02)
+    n = [int(x + 0.5) if x > 0 else -int(0.5 - x) for x in fields]
+    whole = (n[0] << 16 | n[1] << 8 | n[2]) & 0xFFFFFFFF
+    return whole - (1 << 32) if whole >> 31 else whole
+
+
+BLACK = {"rgb": 0, "oklab": 127 * 256 + 127, "lab": _lab_of_grey(0)}
+WHITE = {"rgb": 0xFFFFFF, "oklab": (206 << 16) | (127 << 8) | 127, "lab": _lab_of_grey(255)}
 
 
 def nearest_int(v: Column) -> Column:
@@ -73,16 +90,82 @@ def unpack_oklab(c: Column) -> Column:
     return _bound(start, lambda v: _bound(_times(M1_INVERSE, _times(M2_INVERSE, cubes(v))), lambda u: pack(*[whole(x) for x in u])))
 
 
+def pack_lab(r: Column, g: Column, b: Column) -> Column:
+    curve = lambda t: F.when(t > LAB_LOW, F.cbrt(t)).otherwise((t * LAB_SLOPE + 16) / 116)
+    whole = lambda v: F.floor(v + 0.5).cast("int")
+
+    def fields(f):
+        light, first, second = whole((f[1] * 116 - 16) * 2.55), whole(((f[0] - f[1]) * 500 + 125) * 1.02), whole(((f[1] - f[2]) * 200 + 125) * 1.02)
+        return F.shiftleft(light, 16).bitwiseOR(F.shiftleft(first, 8)).bitwiseOR(second)
+
+    return _bound([linear(x.cast("double")) for x in (r, g, b)], lambda v: _bound([curve(t / w) for t, w in zip(_times(M1, v), LAB_WHITE, strict=True)], fields))
+
+
+def lab_fields(c: Column) -> tuple[Column, Column, Column]:
+    """Lightness (signed) and the two axes as bytes of a packed lab colour."""
+    return F.shiftright(c, 16), F.shiftright(c, 8).bitwiseAND(255), c.bitwiseAND(255)
+
+
+def unpack_lab(c: Column) -> Column:
+    light, a, b = lab_fields(c)
+
+    def back(v):
+        light, a, b = v
+        f1 = (light + 16) / 116
+        f0, f2 = a / 500 + f1, f1 - b / 200
+        cube = lambda f: F.when(f > 24 / 116, f * f * f).otherwise((f * 116 - 16) / LAB_SLOPE)
+        return _bound([cube(f0) * LAB_WHITE[0], F.when(light > 8, f1 * f1 * f1).otherwise(light / LAB_SLOPE) * LAB_WHITE[1], cube(f2) * LAB_WHITE[2]], lambda t: _bound(_times(M1_INVERSE, t), lambda u: pack(*[byte(x) for x in u])))
+
+    # a negative base has no root: such a byte is 0
+    byte = lambda x: F.when(x < 0, 0).otherwise(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(F.pow(F.greatest(x, F.lit(0.0)), F.lit(1 / 2.4)) * 1.055 - 0.055 + 0.5))).cast("int"))
+    return _bound([light / 2.55, a / 1.02 - 125, b / 1.02 - 125], back)
+
+
+def ciede2000(p: list[Column], q: list[Column]) -> Column:
+    """The CIEDE2000 difference of two Lab colours, by the published formula."""
+    deg, rad = F.degrees, F.radians
+    (l1, a1, b1), (l2, a2, b2) = p, q
+    c7 = F.pow((F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2, F.lit(7.0))
+    stretch = 1.5 - F.sqrt(c7 / (c7 + 25.0**7)) / 2
+
+    def second(v):
+        l1, a1, b1, l2, a2, b2 = v
+        c1, c2 = F.sqrt(a1 * a1 + b1 * b1), F.sqrt(a2 * a2 + b2 * b2)
+        hue = lambda a, b: F.when((a == 0) & (b == 0), 0.0).otherwise(F.pmod(deg(F.atan2(b, a)), F.lit(360.0)))
+        return _bound([l1, l2, c1, c2, hue(a1, b1), hue(a2, b2)], third)
+
+    def third(v):
+        l1, l2, c1, c2, h1, h2 = v
+        turn, grey = h2 - h1, c1 * c2 == 0
+        dh = F.when(grey, 0.0).when(F.abs(turn) <= 180, turn).when(turn > 180, turn - 360).otherwise(turn + 360)
+        both = h1 + h2
+        mean = F.when(grey, both).when(F.abs(turn) <= 180, both / 2).when(both < 360, (both + 360) / 2).otherwise((both - 360) / 2)
+        return _bound([(l1 + l2) / 2, (c1 + c2) / 2, mean, l2 - l1, c2 - c1, 2 * F.sqrt(c1 * c2) * F.sin(rad(dh) / 2)], last)
+
+    def last(v):
+        light, c, h, dl, dc, dh = v
+        t = 1 - 0.17 * F.cos(rad(h - 30)) + 0.24 * F.cos(rad(2 * h)) + 0.32 * F.cos(rad(3 * h + 6)) - 0.20 * F.cos(rad(4 * h - 63))
+        off = F.pow(light - 50, F.lit(2.0))
+        x, y, z = dl / (1 + 0.015 * off / F.sqrt(off + 20)), dc / (1 + 0.045 * c), dh / (1 + 0.015 * c * t)
+        m7 = F.pow(c, F.lit(7.0))
+        turn = -F.sin(rad(60 * F.exp(-F.pow((h - 275) / 25, F.lit(2.0))))) * 2 * F.sqrt(m7 / (m7 + 25.0**7))
+        return F.sqrt(F.greatest(F.lit(0.0), x * x + y * y + z * z + turn * y * z))
+
+    return _bound([l1, a1 * stretch, b1, l2, a2 * stretch, b2], second)
+
+
 def to_packed(r: Column, g: Column, b: Column, space: str) -> Column:
-    return pack(r, g, b) if space == "rgb" else pack_oklab(r, g, b)
+    return pack(r, g, b) if space == "rgb" else pack_lab(r, g, b) if space == "lab" else pack_oklab(r, g, b)
 
 
 def to_rgb(c: Column, space: str) -> Column:
-    return c if space == "rgb" else unpack_oklab(c)
+    return c if space == "rgb" else unpack_lab(c) if space == "lab" else unpack_oklab(c)
 
 
 def distance(p: Column, q: Column, space: str) -> Column:
-    """Euclidean; in oklab lightness on 0 .. 100 and the axes weighted by 2.35."""
+    """Euclidean; in oklab lightness on 0 .. 100 and the axes weighted by 2.35. In lab the CIEDE2000 difference of the fields as they are."""
+    if space == "lab":
+        return ciede2000([x.cast("double") for x in lab_fields(p)], [x.cast("double") for x in lab_fields(q)])
     scale = (1.0, 1.0, 1.0) if space == "rgb" else (1 / 2.55, 2.35 / 1.275, 2.35 / 1.275)
     d = [(x - y) * F.lit(s) for x, y, s in zip(channels(p), channels(q), scale, strict=True)]
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
@@ -91,12 +174,16 @@ def distance(p: Column, q: Column, space: str) -> Column:
 def lightness(c: Column, space: str) -> Column:
     if space == "oklab":
         return F.shiftright(c, 16) / 2.06
+    if space == "lab":
+        return F.shiftright(c, 16) / 2.55
     return _times(M1, [linear(x.cast("double")) for x in channels(c)])[1] * 100
 
 
 def chroma(c: Column, space: str) -> Column:
     if space == "oklab":
         a, b = (x / 1.275 - 100 for x in channels(c)[1:])
+    elif space == "lab":
+        a, b = (x / 1.02 - 125 for x in channels(c)[1:])
     else:
         lab = lab_of(*channels(c))
         a, b = lab[1], lab[2]
@@ -104,24 +191,33 @@ def chroma(c: Column, space: str) -> Column:
     return F.when(grey, 0.0).otherwise(F.sqrt(a * a + b * b)) / 1.5
 
 
-def contrast_of_rgb(text: Column, ground: Column) -> Column:
-    """APCA contrast of packed RGB colours, negative polarity over 1.08, positive over 1.06; the order matters."""
+def luminance(rgb: Column) -> Column:
+    """APCA's luminance of a packed RGB colour, softened near black."""
     weight = (0.2126729, 0.7151522, 0.0721750)
-    y = lambda c: sum((F.lit(w) * F.pow(x / 255, F.lit(2.4)) for w, x in zip(weight, channels(c), strict=True)), F.lit(0.0))
-    soft = lambda v: F.when(v < 0.022, v + F.pow(F.greatest(F.lit(0.022) - v, F.lit(0.0)), F.lit(1.414))).otherwise(v)
+    y = sum((F.lit(w) * F.pow(x / 255, F.lit(2.4)) for w, x in zip(weight, channels(rgb), strict=True)), F.lit(0.0))
+    return _bound([y], lambda v: F.when(v[0] < 0.022, v[0] + F.pow(F.greatest(F.lit(0.022) - v[0], F.lit(0.0)), F.lit(1.414))).otherwise(v[0]))
+
+
+def contrast_of_luminances(t: Column, g: Column) -> Column:
+    """APCA contrast of text and ground, negative polarity over 1.08, positive over 1.06; the order matters."""
+    dark = 1.14 * (F.pow(g, F.lit(0.56)) - F.pow(t, F.lit(0.57)))
+    light = 1.14 * (F.pow(g, F.lit(0.65)) - F.pow(t, F.lit(0.62)))
+    raw = F.when(F.abs(g - t) < 0.0005, 0.0).when(g > t, dark).otherwise(light)
 
-    def judged(v):
-        t, g = v
-        dark = 1.14 * (F.pow(g, F.lit(0.56)) - F.pow(t, F.lit(0.57)))
-        light = 1.14 * (F.pow(g, F.lit(0.65)) - F.pow(t, F.lit(0.62)))
-        raw = F.when(F.abs(g - t) < 0.0005, 0.0).when(g > t, dark).otherwise(light)
-        cut = F.when(F.abs(raw) < 0.1, 0.0).when(raw > 0, raw - 0.027).otherwise(raw + 0.027) * 100
-        return F.when(cut < 0, -cut / 1.08).otherwise(cut / 1.06)
+    def cut(v):
+        return F.when(F.abs(v[0]) < 0.1, 0.0).when(v[0] > 0, (v[0] - 0.027) * 100 / 1.06).otherwise((v[0] + 0.027) * -100 / 1.08)
 
-    return _bound([soft(y(text)), soft(y(ground))], judged)
+    return _bound([raw], cut)
+
+
+def contrast_of_rgb(text: Column, ground: Column) -> Column:
+    """APCA contrast of packed RGB colours."""
+    return _bound([luminance(text), luminance(ground)], lambda v: contrast_of_luminances(v[0], v[1]))
 
 
 def contrast(p: Column, q: Column, space: str) -> Column:
+    if space == "lab":
+        return F.abs(F.shiftright(p, 16) - F.shiftright(q, 16)) / 2.55
     return contrast_of_rgb(to_rgb(p, space), to_rgb(q, space))
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays
@@ -86,7 +86,8 @@ def slope(points: list[int], values: list[float]) -> float:
 
 
 def elbow_k(fit, n: int, start: tuple[int, ...], end: tuple[int, ...]) -> int:
-    """k where the lines through the first and the last fits meet; n colours, fit(k) = error. Few colours: all of them, at most max(start)."""
+    """k where the lines through the first and the last fits meet; n colours, fit(k) = error. 0 stands for all colours that aren't alike.
+    Few colours: all of them, at most max(start). Lines that meet below 0 give 1."""
     if n == 1:
         return 1
     early, late = [k for k in start if k < n], [k for k in end if k < n]
@@ -98,7 +99,8 @@ def elbow_k(fit, n: int, start: tuple[int, ...], end: tuple[int, ...]) -> int:
     s, e = slope(early, [errors[k] for k in early]), slope(late, [errors[k] for k in late])
     if s == e or math.isnan(s) or math.isnan(e):
         return 1
-    return max(1, min(n, math.ceil((errors[late[0]] - e * late[0] - errors[early[0]] + s * early[0]) / (s - e))))
+    k = min(n, math.ceil((errors[late[0]] - e * late[0] - errors[early[0]] + s * early[0]) / (s - e)))
+    return k if k >= 0 else 1
 
 
 def uniform_reference(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +111,22 @@ def uniform_reference(n: int) -> tuple[np.ndarray, np.ndarray]:
     return flat[0 : 2 * n : 2], flat[1 : 2 * n : 2]
 
 
-def fit(colours: np.ndarray, counts: np.ndarray, total: int, o: Options) -> dict[int, int]:
-    """The centroids by the chosen strategy; total: the image's pixels."""
+def references(sizes: DataFrame, o: Options) -> DataFrame:
+    """(total, reference: errors for min_k .. max_k) of the gap statistic's reference for each number of pixels, fitted once for all images of that size."""
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        flat, weight = uniform_reference(int(t["total"].iloc[0]))
+        k = int(t["k"].iloc[0])
+        return pd.DataFrame({"total": t["total"].iloc[:1], "k": k, "error": kmeans(flat, weight, k, o.space, o.rounds)[1]})
+
+    ks = sizes.select("total").distinct().withColumn("k", F.explode(F.sequence(F.lit(o.min_k), F.lit(o.max_k))))
+    each = ks.groupBy("total", "k").applyInPandas(one, "total long, k int, error double")
+    ordered = F.array_sort(F.collect_list(F.struct("k", "error")))
+    return each.groupBy("total").agg(F.transform(ordered, lambda x: x["error"]).alias("reference"))
+
+
+def fit(colours: np.ndarray, counts: np.ndarray, reference: list[float], o: Options) -> dict[int, int]:
+    """The centroids by the chosen strategy; reference: the gap statistic's, as references() gives it."""
     done: dict[int, tuple[dict[int, int], float]] = {}
 
     def run(k: int) -> float:
@@ -123,11 +139,10 @@ def fit(colours: np.ndarray, counts: np.ndarray, total: int, o: Options) -> dict
     elif o.strategy == "elbow":
         k = elbow_k(run, len(colours), o.start, o.end)
     else:
-        flat, weight = uniform_reference(total)
         best, k = -math.inf, o.min_k
         for i in range(o.min_k, o.max_k + 1):
-            error, reference = run(i), kmeans(flat, weight, i, o.space, o.rounds)[1]
-            gap = math.inf if error == 0 else math.log(reference) - math.log(error) if reference > 0 else -math.inf
+            error, even = run(i), reference[i - o.min_k]
+            gap = math.inf if error == 0 else math.log(even) - math.log(error) if even > 0 else -math.inf
             if gap > best:
                 best, k = gap, i
     run(k)
@@ -180,7 +195,7 @@ def roles(centroids: dict[int, int], near: dict[int, tuple[int, int]], outer: in
             inner = WHITE[s] if ratio(outer, WHITE[s]) > ratio(outer, BLACK[s]) else BLACK[s]
             c[inner] = 1
             c[outer] = c.get(outer, 0) - 1
-    light = lambda k: float(arrays.lightness(np.array(k)))
+    light = lambda k: float(arrays.lightness(np.array(k), s))
     f = 0.8 if light(inner) > light(outer) else 1.2
     outside = [k for k in c if abs(light(k) - light(inner)) * f > abs(light(k) - light(outer))]
     inside = [k for k in c if k not in outside]
@@ -188,7 +203,7 @@ def roles(centroids: dict[int, int], near: dict[int, tuple[int, int]], outer: in
     for k in inside:
         if k not in (outer, inner) and c[k] / total >= 0.01 and ratio(outer, k) >= 9:
             l = 100 - light(k) if light(outer) > light(inner) else light(k)  # noqa: E741
-            value = float(arrays.chroma(np.array(k))) * arrays.distances(np.array([k]), np.array([inner]), s)[0, 0] * c[k] / total * 100 * l**4 * (delta.get(k, 0) + 1) ** 3
+            value = float(arrays.chroma(np.array(k), s)) * arrays.distances(np.array([k]), np.array([inner]), s)[0, 0] * c[k] / total * 100 * l**4 * (delta.get(k, 0) + 1) ** 3
             if value > best:
                 accent, best = k, value
     third, best = outer, 0.0
@@ -198,21 +213,37 @@ def roles(centroids: dict[int, int], near: dict[int, tuple[int, int]], outer: in
             if value > best:
                 third, best = k, value
     rgb = lambda ks: [int(x) for x in arrays.to_rgb(np.array(list(ks), np.int64), s)] if len(ks) else []
-    names = dict(zip(("outer", "inner", "third", "accent"), rgb([outer, inner, third, accent]), strict=True))
-    return names | {"outer_colors": rgb(outside), "inner_colors": rgb(inside), "centroids": list(zip(rgb(list(c)), c.values(), strict=True))}
+    counted = lambda ks: list(zip(rgb(ks), [c[k] for k in ks], strict=True))
+    picked = {"outer": outer, "inner": inner, "third": third, "accent": accent}
+    names = dict(zip(picked, rgb(picked.values()), strict=True))
+    pairs = {"outer_inner": ratio(outer, inner), "outer_accent": ratio(outer, accent), "third_inner": ratio(third, inner), "third_accent": ratio(third, accent)}
+    return names | {"outer_colors": counted(outside), "inner_colors": counted(inside), "centroids": counted(list(c)), "contrasts": pairs, "lightnesses": {n: light(k) for n, k in picked.items()}}
 
 
-RESULT = "image_id long, outer int, inner int, third int, accent int, outer_colors array<int>, inner_colors array<int>, centroids array<struct<rgb:int,cnt:bigint>>"
+_COUNTED = "array<struct<rgb:int,cnt:bigint>>"
+RESULT = (
+    f"image_id long, outer int, inner int, third int, accent int, outer_colors {_COUNTED}, inner_colors {_COUNTED}, centroids {_COUNTED}, "
+    "contrasts struct<outer_inner:double,outer_accent:double,third_inner:double,third_accent:double>, lightnesses struct<outer:double,inner:double,third:double,accent:double>"
+)
 
 
 def colour_table(pixels: DataFrame, o: Options) -> DataFrame:
-    """(image_id, c, cnt, rank, n, s, first, ring_n, ring_first) of trimmed pixels: all that follows needs no pixels."""
-    own = px.packed(px.trim(pixels, o.trim_percent), o.space)
-    sal = px.saliency(px.grey(own, o.space))
-    hist = px.histogram(own, sal, o.saliency_weight).select("image_id", "c", "cnt", "rank")
-    met = own.join(sal.select("image_id", "idx", "sal"), ["image_id", "idx"]).groupBy("image_id", "c").agg(F.count("*").alias("n"), F.sum("sal").alias("s"), F.min("idx").alias("first"))
-    tally = px.ring(own).groupBy("image_id", "c").agg(F.count("*").alias("ring_n"), F.min("idx").alias("ring_first"))
-    return hist.join(met, ["image_id", "c"]).join(tally, ["image_id", "c"], "left").fillna({"ring_n": 0})
+    """(image_id, c, cnt, rank, n, s, first, ring_n, ring_first, total) of trimmed pixels: all that follows needs no pixels.
+
+    Pixels are dealt by image once, for the saliency; all else is one grouped sum and windows over the same partitions.
+    """
+    sal = px.saliency(px.grey(px.packed(px.trim(pixels, o.trim_percent), o.space), o.space))
+    rim = px.on_ring(F.col("idx"), F.col("w"), F.col("h"))
+    raw = sal.groupBy("image_id", "c").agg(F.count("*").alias("n"), F.sum("sal").alias("s"), F.min("idx").alias("first"), F.count_if(rim).alias("ring_n"), F.min(F.when(rim, F.col("idx"))).alias("ring_first"))
+    out = raw.withColumns({"cnt": px.weighted("n", "s", o.saliency_weight), "total": F.sum("n").over(Window.partitionBy("image_id"))})
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("cnt"), "first")))
+
+
+def _with_reference(table: DataFrame, o: Options) -> DataFrame:
+    if o.strategy != "gap":
+        return table.withColumn("reference", F.array().cast("array<double>"))
+    known = references(table.select("total"), o)  # a row a size
+    return table.join(known, "total")
 
 
 def _near(colours: np.ndarray, keys: np.ndarray, weight: np.ndarray, first: np.ndarray, space: str) -> dict[int, tuple[int, int]]:
@@ -221,7 +252,7 @@ def _near(colours: np.ndarray, keys: np.ndarray, weight: np.ndarray, first: np.n
 
 
 def _centroids(t: pd.DataFrame, o: Options) -> dict[int, int]:
-    return fit(t["c"].to_numpy(), t["cnt"].to_numpy(), int(t["n"].sum()), o)
+    return fit(t["c"].to_numpy(), t["cnt"].to_numpy(), list(t["reference"].iloc[0]), o)
 
 
 def extract_colors(pixels: DataFrame, o: Options = Options()) -> DataFrame:
@@ -241,7 +272,7 @@ def extract_colors(pixels: DataFrame, o: Options = Options()) -> DataFrame:
         out = roles(found, _near(c, keys, t["s"].to_numpy(), t["first"].to_numpy(), o.space), outer, total, o)
         return pd.DataFrame([{"image_id": t["image_id"].iloc[0]} | out])
 
-    return colour_table(pixels, o).groupBy("image_id").applyInPandas(one, RESULT)
+    return _with_reference(colour_table(pixels, o), o).groupBy("image_id").applyInPandas(one, RESULT)
 
 
 def fits(pixels: DataFrame, ks: tuple[int, ...], o: Options = Options()) -> DataFrame:
@@ -269,4 +300,4 @@ def chosen(pixels: DataFrame, o: Options, clamped: bool = False, merged: bool =
             found = merge(found, o.space)
         return pd.DataFrame({"image_id": t["image_id"].iloc[0], "ord": range(len(found)), "c": list(found), "cnt": list(found.values())})
 
-    return colour_table(pixels, o).groupBy("image_id").applyInPandas(one, "image_id long, ord int, c int, cnt long")
+    return _with_reference(colour_table(pixels, o), o).groupBy("image_id").applyInPandas(one, "image_id long, ord int, c int, cnt long")

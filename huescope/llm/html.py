@@ -1,8 +1,8 @@
 """Main text of web pages by a minimum cut over their blocks.
 
 A page's markup becomes blocks: texts between tags that start or end a block, with the containers they stand in.
-A small linear classifier (length, sentence marks, share of linked text, telling tags and names of containers) gives each block a cost
-for either label; the costs are the capacities to the two terminals. Neighbours in page order are joined by
+A small linear classifier (length, sentence marks, share of linked text, telling tags and names of containers; its weights are fixed, as no labelled pages are at hand) gives
+each block log odds as its cost for either label; the costs are the capacities to the two terminals. Neighbours in page order are joined by
 an edge whose capacity falls with their distance in the page's tree, and so are blocks that follow each other in one container. The
 minimum cut, by augmenting paths, separates content from boilerplate. Before that, blocks whose own cost outweighs all their
 edges take their label (no minimum cut has another) and pass their edges' weight on to their neighbours; few are left.
@@ -37,7 +37,7 @@ AGAINST = frozenset(
     "ad ads adv advert advertisement advertising advertorial banner banners breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup privacy promo promoted promotion recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split()
 )
 IN_FAVOUR = frozenset("article articlebody body content entry main maincontent post story text".split())
-ADJACENT, SIBLING = 1.5, 1.0
+ADJACENT, SIBLING, BOUND = 1.5, 1.0, 2.0
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -105,12 +105,13 @@ def _silent(parts: list[tuple[str, str, str, str]]) -> set[int]:
     return found
 
 
-def blocks(page: str) -> list[tuple[str, int, float, tuple[int, ...]]]:
-    """(text, linked characters, hints' sum, path of containers) of each block of a page that has text."""
-    out: list[tuple[str, int, float, tuple[int, ...]]] = []
-    stack: list[tuple[str, float, tuple[int, ...]]] = [("", 0.0, ())]
+def blocks(page: str) -> tuple[list[tuple[str, int, float, int]], list[int], list[int]]:
+    """((text, linked characters, hints' sum, container) of each block of a page that has text, each container's parent, its depth)."""
+    out: list[tuple[str, int, float, int]] = []
+    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]
+    parent, depth = [0], [0]
     held: list[tuple[str, bool]] = []
-    number, link, quiet = 0, 0, 0  # quiet: the outermost silent element's place on the stack
+    link, quiet = 0, 0  # quiet: the outermost silent element's place on the stack
 
     def close() -> None:
         if held:
@@ -169,40 +170,40 @@ def blocks(page: str) -> list[tuple[str, int, float, tuple[int, ...]]]:
             if stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                 cut(len(stack) - 1)
             if tag not in VOID:
-                number += 1
-                _, weight, path = stack[-1]
+                _, weight, inside = stack[-1]
+                parent.append(inside)
+                depth.append(depth[inside] + 1)
                 own = hint(tag, attributes)
                 if tag == "header" and weight > 0:  # of an article
                     own = max(own, 0.0)
-                stack.append((tag, weight + own if tag != "head" else -20.0, (*path, number)[-40:]))
+                stack.append((tag, weight + own if tag != "head" else -20.0, len(parent) - 1))
         elif attributes and not shut and not quiet and re.search(r"hidden|display\s*:\s*none", attributes):
             held.append((" ", False))
     close()
-    return out
+    return out, parent, depth
 
 
 def score(text: str, linked: int, hints: float) -> float:
-    """The classifier's evidence for content; negative: for boilerplate."""
+    """The classifier's log odds of content; negative: of boilerplate. What the text itself says is BOUND at most, so that neighbours can outvote it;
+    what names and elements say is not."""
     n = len(text)
-    value = -1.0 + min(n, 400) / 100 + (0.5 if text[-1] in ".!?:\"'”»…" else 0.0) + hints
-    return value - 5.0 * min(1.0, linked / n)
+    value = -0.5 + min(n, 400) / 100 + (0.5 if text[-1] in ".!?:\"'”»…" else 0.0) - 5.0 * min(1.0, linked / n)
+    return max(-BOUND, min(BOUND, value)) + hints
 
 
-def _edges(found: list) -> list[tuple[int, int, float]]:
+def _edges(found: list, parent: list[int], depth: list[int]) -> list[tuple[int, int, float]]:
     edges, last = [], {}
-    for i, (_, _, _, path) in enumerate(found):
+    for i, (_, _, _, own) in enumerate(found):
         if i:
-            before = found[i - 1][3]
-            common = 0
-            for x, y in zip(before, path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            edges.append((i - 1, i, ADJACENT / (1 + max(0, len(path) + len(before) - 2 * common - 2))))
-        parent = path[:-1]
-        if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
+            x, y = found[i - 1][3], own
+            far = depth[x] + depth[y] - 2
+            while x != y:  # up to the container that holds both
+                x, y = (parent[x], y) if depth[x] > depth[y] else (x, parent[y])
+            edges.append((i - 1, i, ADJACENT / (1 + max(0, far - 2 * depth[x])) ** 2))
+        around = parent[own]
+        if around in last and last[around] != i - 1:
+            edges.append((last[around], i, SIBLING))
+        last[around] = i
     return edges
 
 
@@ -259,8 +260,8 @@ def minimum_cut(own: list[float], edges: list[tuple[int, int, float]]) -> list[b
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, a line each."""
-    found = blocks(page or "")
-    content = minimum_cut([score(t, linked, h) for t, linked, h, _ in found], _edges(found))
+    found, parent, depth = blocks(page or "")
+    content = minimum_cut([score(t, linked, h) for t, linked, h, _ in found], _edges(found, parent, depth))
     return "\n".join(t for (t, *_), kept in zip(found, content, strict=True) if kept)
 
 

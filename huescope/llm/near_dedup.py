@@ -11,8 +11,8 @@ probability 5e-6.
 
 Buckets are not paired off. First the buckets of FIRST bands compare their members with one pivot each, the one whose
 buckets hold most rows, which is what the others were copied from; links are confirmed on the full sets and make components. Then, of all bands,
-only buckets that hold several components are looked at: members outside a bucket's largest component are compared with a member of it in that bucket, then
-with any other, and components are brought up to date. Members of buckets that are still open
+only buckets that hold several components are looked at: members outside a bucket's largest component are compared with the member of it that met most
+at first, then with any other, and components are brought up to date. Members of buckets that are still open
 meet by their rarest shingles instead of in pairs: each set's prefix, in an order from rare to frequent, holds an
 element of every similar set (see _by_prefix). Only pairs whose connection is already proven or that can't be similar are never
 looked at, so components are those of all links that share a bucket.
@@ -190,19 +190,23 @@ def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[Dat
     roots, tested, sets = None, None, None
 
     def fetch(nodes: DataFrame) -> None:
-        """Add the sets of these nodes, in one pass over the texts."""
+        """Add the sets of those of these nodes that have none yet, in one pass over the texts."""
         nonlocal sets
+        nodes = table((nodes if sets is None else nodes.join(sets.select("node"), "node", "left_anti")).distinct(), "wanted")
+        if sets is not None and nodes.isEmpty():
+            return
         wanted = classes.join(nodes, "node").select("first_id", "node", "h1", "h2")
         found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "h1", "h2", "text")
         new = table(found.mapInArrow(_sets(width), "node long, set binary").groupBy("node").agg(F.first("set").alias("set")), "sets", codec="uncompressed")
         sets = new if sets is None else sets.union(new)
 
     def confirm(pairs: DataFrame) -> bool:
-        """Confirm links among pairs and bring roots up to date; whether there were any."""
+        """Confirm links among pairs (node, other) of similar sizes and bring roots up to date; whether there were any."""
         nonlocal roots, tested
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        pairs = pairs.filter("node != other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
+        fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         half = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
         whole = half.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
         new = table(whole.mapInArrow(_linked(similarity), "a long, b long"), "links")
@@ -218,48 +222,51 @@ def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[Dat
         roots = table(kept.union(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
         return True
 
-    banded = classes.select("node", "n", F.explode(F.slice("bands", 1, FIRST)).alias("key"))
+    def sized(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets' sizes can be similar enough."""
+        size = classes.select("node", "n")
+        both = pairs.join(size, "node").join(size.select(F.col("node").alias("other"), F.col("n").alias("m")), "other")
+        return both.filter(_fits("n", "m", similarity)).select("node", "other")
+
+    banded = classes.select("node", F.explode(F.slice("bands", 1, FIRST)).alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    met = banded.join(shared, "key")
-    degree = met.groupBy("node").agg(F.sum("c").alias("degree"))
-    members = table(met.join(degree, "node").select("key", "node", "n", "degree"), "buckets")
-    fetch(members.select("node").distinct())
-    pivot = members.groupBy("key").agg(F.min(F.struct(-F.col("degree"), "node", "n")).alias("p"))
-    pairs = members.join(pivot, "key").select("node", "n", F.col("p.node").alias("other"), F.col("p.n").alias("m"))
-    confirm(pairs.filter("node != other").filter(_fits("n", "m", similarity)))
-
-    # of all bands, buckets that hold several components: who is outside the largest one, and one of its members
-    named = _rooted(classes.select("node", "n", "bands"), roots)
-    sizes = named.groupBy("root").agg(F.count("*").alias("size"))
-    every = table(named.join(sizes, "root"), "named").select("node", "n", "root", "size", F.explode("bands").alias("key"))
-    whose = F.struct((-F.col("size")).alias("less"), "root", "node", "n")
-    bucket = every.groupBy("key").agg(F.min(whose).alias("main"), F.max(F.struct((-F.col("size")).alias("less"), "root")).alias("last"))
-    still = table(bucket.filter("main.root != last.root").select("key", F.col("main.root").alias("main"), F.col("main.node").alias("other"), F.col("main.n").alias("m")), "open")
-    outside = every.alias("x").join(still.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("root") != F.col("main"))).select("y.key", "node", "n", "main", "other", "m")
+    members = table(banded.join(shared, "key"), "buckets")
+    degree = table(members.groupBy("node").agg(F.sum("c").alias("degree")), "degrees")
+    pivot = members.join(degree, "node").groupBy("key").agg(F.min(F.struct(-F.col("degree"), "node")).alias("p"))
+    confirm(sized(members.join(pivot, "key").select("node", F.col("p.node").alias("other")).filter("node != other").distinct()))
+
+    # of all bands, buckets that hold several components: who is outside the largest one. A component's rank is a
+    # number that is less for a greater one (by powers of two) and has its root in the low bits, below 2 ** 56
+    size = roots.groupBy("root").agg(F.count("*").alias("size"))
+    less = 63 - F.floor(F.log2(F.coalesce("size", F.lit(1)))).cast("long")
+    named = _rooted(classes.select("node", "bands"), roots).join(size, "root", "left")
+    named = table(named.select("node", (F.shiftleft(less, 56) + F.col("root")).alias("rank"), "bands"), "named")
+    every = named.select("node", "rank", F.explode("bands").alias("key"))
+    still = every.groupBy("key").agg(F.min("rank").alias("main"), F.max("rank").alias("last"))
+    still = table(still.filter("main < last").select("key", "main"), "open")
+    outside = every.join(still, "key").filter("rank > main").select("key", "node", F.col("main").bitwiseAND(F.lit(2**56 - 1)).alias("main"))
     outside = table(outside, "outside")
-    bare = classes.join(sets.select("node"), "node", "left_anti").select("node", F.explode("bands").alias("key"))
-    bare = table(bare.join(still, "key", "left_semi").select("node").distinct(), "bare")
-    if not bare.isEmpty():
-        fetch(bare)
-    for turn in range(TURNS):
-        if turn:  # another member of the largest component, whichever bucket it is in
-            member = _rooted(classes.select("node", "n"), roots).groupBy("root").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")).alias("p"))
-            pairs = outside.select("node", "n", "main").join(member.select(F.col("root").alias("main"), F.col("p.node").alias("other"), F.col("p.n").alias("m")), "main")
-            bare = table(pairs.select(F.col("other").alias("node")).distinct().join(sets.select("node"), "node", "left_anti"), "bare")
-            if not bare.isEmpty():
-                fetch(bare)
-        else:
-            pairs = outside
-        joined = confirm(pairs.filter("node != other").filter(_fits("n", "m", similarity)).select("node", "other"))
+    for turn in range(TURNS):  # the largest component's member that met most at first, then any other
+        central = F.struct(F.xxhash64("node", F.lit(turn)) if turn else -F.coalesce("degree", F.lit(0)), "node")
+        member = _rooted(outside.select(F.col("main").alias("root")).distinct().join(roots, "root", "left").select(F.coalesce("node", "root").alias("node")), roots)
+        member = member.join(degree, "node", "left").groupBy("root").agg(F.min(central).alias("p"))
+        pairs = outside.select("node", "main").distinct().join(member.select(F.col("root").alias("main"), F.col("p.node").alias("other")), "main")
+        pairs = table(pairs.select("node", "other"), "meetings")
+        if not turn:  # all of them at once, whether or not these pairs are similar
+            fetch(pairs.select(F.explode(F.array("node", "other")).alias("node")))
+        joined = confirm(sized(pairs))
         now = roots.select("node", F.col("root").alias("r"))
-        moved = outside.select("key", "node", "n", "main", "other", "m").join(now, "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+        moved = outside.join(now, "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
         moved = moved.join(now.withColumnRenamed("node", "main"), "main", "left").withColumn("now", F.coalesce("r", "main")).drop("r")
-        outside = table(moved.filter("root != now").select("key", "node", "n", F.col("now").alias("main"), "other", "m"), "outside")
+        outside = table(moved.filter("root != now").select("key", "node", F.col("now").alias("main")), "outside")
         if not joined:
             break
-    keys = outside.select("key").distinct()
-    last = classes.select("node", "n", F.explode("bands").alias("key")).join(keys, "key", "left_semi").select("node", "n").distinct()
-    confirm(_by_prefix(_rooted(last, roots), sets, similarity))
+    if not outside.isEmpty():
+        keys = outside.select("key").distinct()
+        last = classes.select("node", "n", F.explode("bands").alias("key")).join(keys, "key", "left_semi").select("node", "n").distinct()
+        last = table(_rooted(last, roots), "last")
+        fetch(last.select("node"))
+        confirm(_by_prefix(last, sets, similarity))
     return rows.drop("bands"), classes.drop("bands"), roots
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +33,18 @@ def _gone_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it again: its lineage is cut, it survives lost executors. It goes when the application ends."""
+    """Write df to the shared folder and read it again: its lineage is cut, it survives lost executors. It goes when the application ends.
+
+    Spark deletes the shuffles of the write once the table is there, instead of when the driver's heap is next collected.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html, licenses, lm, mixing, near_dedup, quality, runs, tokens, urls
+from . import decontaminate, delta_lloyd, embeddings, html, licenses, lm, mixing, near_dedup, quality, runs, tokens, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,6 +124,11 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_embeddings(read(spark, sf_dir, "embeddings"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of 64 components in eight clusters after ten rounds."""
+    return delta_lloyd.cluster_digests(read(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of all documents, with the planted repeats, and what is left of each without its repeated words."""
     return runs.document_runs(read(spark, sf_dir, "documents"), plant=True).drop("n_words")
@@ -133,10 +138,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_decontamination, op3_quality_classifier, op4_html_extraction, op5_url_filters,
-        op6_lm_scoring, op7_mixing, op8_license_scan, op9_token_binary, op10_embedding_near_dedup, op13_periodic_runs,
+        op6_lm_scoring, op7_mixing, op8_license_scan, op9_token_binary, op10_embedding_near_dedup, op11_centroid_clustering, op13_periodic_runs,
     )
 }
 
 
 def sql() -> dict[str, str]:
-    return {"op5_url_filters": OP5_SQL, "op8_license_scan": op8_sql()}
+    return {"op5_url_filters": OP5_SQL, "op8_license_scan": op8_sql(), "op11_centroid_clustering": delta_lloyd.sql()}

@@ -46,7 +46,16 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     _gone_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._own_table = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the folders of what table() returned; nothing may read them any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._own_table)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def whole_row(df: DataFrame) -> Column:

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, delta_lloyd, embeddings, html, licenses, lm, mixing, near_dedup, quality, runs, tokens, urls
+from . import decontaminate, delta_lloyd, embeddings, html, licenses, lm, mixing, near_dedup, quality, runs, substrings, tokens, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,6 +129,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_lloyd.cluster_digests(read(spark, sf_dir, "embeddings"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 50 words that start in one of a smaller doc_id."""
+    return substrings.substring_digests(read(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of all documents, with the planted repeats, and what is left of each without its repeated words."""
     return runs.document_runs(read(spark, sf_dir, "documents"), plant=True).drop("n_words")
@@ -138,10 +143,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_decontamination, op3_quality_classifier, op4_html_extraction, op5_url_filters,
-        op6_lm_scoring, op7_mixing, op8_license_scan, op9_token_binary, op10_embedding_near_dedup, op11_centroid_clustering, op13_periodic_runs,
+        op6_lm_scoring, op7_mixing, op8_license_scan, op9_token_binary, op10_embedding_near_dedup, op11_centroid_clustering,
+        op12_substring_dedup, op13_periodic_runs,
     )
 }
 
 
 def sql() -> dict[str, str]:
-    return {"op5_url_filters": OP5_SQL, "op8_license_scan": op8_sql(), "op11_centroid_clustering": delta_lloyd.sql()}
+    return {"op5_url_filters": OP5_SQL, "op8_license_scan": op8_sql(), "op11_centroid_clustering": delta_lloyd.sql(), "op12_substring_dedup": substrings.SQL}

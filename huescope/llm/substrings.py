@@ -3,8 +3,9 @@
 A window is `window` consecutive words of one document; it goes where its words also start in a document of a smaller
 doc_id. To send every document past every shard would be quadratic, so shards are dealt by content first. A window's
 anchor is the least hash of its runs of `gram` words: equal windows have equal anchors, neighbours mostly share one, and a document has
-about one for every 17 words. Windows whose anchor occurs in other documents are hashed whole, and each repeated hash gets an owner, the smallest doc_id that has it. What a
-document owns, in maximal stretches, is reference text: each repeated passage is in there once. What others own of it are its queries, which go
+about one for every 17 words. Neighbouring windows of one anchor are a run, hashed whole. Equal runs belong to the smallest doc_id that has them, which owns their windows as far as others are concerned.
+Only where an anchor has several different runs (at the ends of passages, around edits) their first occurrences are compared window by window, by a hash of each, and
+a window belongs to the smallest doc_id among these. What a document owns that others have, in maximal stretches, is reference text; what others own of it are its queries, which go
 to the owner's shard.
 
 A shard holds the references of some owners, about SHARD characters. Its suffix automaton runs over words, not hashes, with the smallest doc_id
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop, table, whole_row
-from .spans import chunks, mix, ragged, span_hashes, word_spans
+from .spans import chunks, mix, powers, ragged, span_hashes, word_spans
 
 WINDOW, GRAM = 50, 16
 SHARD, QUERY = 1 << 19, 1 << 22
@@ -63,22 +64,28 @@ def least_of(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Windows:
-    """The words of a chunk's documents, and their windows: `at`, the place of each one's first word, and `anchor`."""
+    """The words of a chunk's documents and their runs: `doc`, `place` (of the first word), `number` (of windows), `anchor`, `whole` (a hash of all its words)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
-        self.data, self.width = data, window
         self.starts, self.ends, self.counts = word_spans(data, offsets)
         self.first = np.cumsum(self.counts) - self.counts
-        self.hashes = span_hashes(data, self.starts, self.ends)
-        self.number = np.maximum(self.counts - window + 1, 0)
-        self.at = ragged(self.first, self.number)
-        self.anchor = least_of(rolled(self.hashes, gram), window - gram + 1)[self.at] if len(self.at) else np.zeros(0, _U)
-
-    def lists(self, keep: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
-        """The values of the kept windows, a list a document."""
-        size = np.add.reduceat(np.append(keep, False).astype(np.int64), np.append(0, np.cumsum(self.number)[:-1])) * (self.number > 0) if len(self.number) else self.number
-        cut = pa.array(np.append(0, np.cumsum(size)), pa.int32())
-        return [pa.ListArray.from_arrays(cut, pa.array(v[keep])) for v in values]
+        hashes = span_hashes(data, self.starts, self.ends)
+        number = np.maximum(self.counts - window + 1, 0)
+        at, doc = ragged(self.first, number), np.repeat(np.arange(len(number)), number)
+        anchor = least_of(rolled(hashes, gram), window - gram + 1)[at] if len(at) else np.zeros(0, _U)
+        new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))[: len(at)])
+        self.doc, self.anchor, self.number = doc[new], anchor[new], np.diff(np.append(new, len(at)))
+        self.place = at[new] - self.first[self.doc]
+        up, down = powers(len(hashes) + 1, 0)
+        total = np.append(_U(0), np.cumsum(hashes * up[: len(hashes)]))
+        size = self.number + window - 1
+        self.whole = mix((total[at[new] + size] - total[at[new]]) * down[at[new]] + size.astype(_U), 52)
+
+    def lists(self) -> pa.Array:
+        """A list of runs a document."""
+        cut = np.searchsorted(self.doc, np.arange(len(self.counts) + 1))
+        columns = [pa.array(self.anchor.view(np.int64)), pa.array(self.whole.view(np.int64)), pa.array(self.place, pa.int32()), pa.array(self.number, pa.int32())]
+        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(columns, ["anchor", "whole", "place", "number"]))
 
 
 def words_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
@@ -89,30 +96,35 @@ def words_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
     return out[:-1].tobytes().decode("utf-8", "surrogatepass")
 
 
-def _anchors(window: int, gram: int):
+def _runs(window: int, gram: int):
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column("text")):
                 w = Windows(data, offsets, window, gram)
-                doc = np.repeat(np.arange(b - a), w.number)
-                new = np.append(True, (w.anchor[1:] != w.anchor[:-1]) | (doc[1:] != doc[:-1]))[: len(doc)]
                 text = [words_of(data, w.starts[x : x + n], w.ends[x : x + n]) if n else "" for x, n in zip(w.first.tolist(), w.counts.tolist(), strict=True)]
                 columns = [batch.column(c).slice(a, b - a) for c in ("doc_id", "rank", "tie")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(w.counts, pa.int64()), pa.array(text, pa.string()), *w.lists(new, w.anchor.view(np.int64))], ["doc_id", "rank", "tie", "n_words", "kept", "anchors"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(w.counts, pa.int64()), pa.array(text, pa.string()), w.lists()], ["doc_id", "rank", "tie", "n_words", "kept", "runs"])
 
     return run
 
 
-def _hashes(window: int, gram: int):
+def _hashes(window: int):
+    """The places and hashes of all windows of the given runs (place, number) of each document."""
+
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in chunks(batch.column("text")):
-                w = Windows(data, offsets, window, gram)
-                known = np.unique(batch.column("shared").slice(a, b - a).flatten().to_numpy()).view(_U)  # shared by whom doesn't matter
-                keep = np.isin(w.anchor, known)
-                place = (w.at - np.repeat(w.first, w.number)).astype(np.int32)
-                whole = rolled(w.hashes, window)[w.at].view(np.int64) if len(w.at) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ("rank", "tie")] + w.lists(keep, place, whole), ["rank", "tie", "place", "hash"])
+                starts, ends, counts = word_spans(data, offsets)
+                first = np.cumsum(counts) - counts
+                runs = batch.column("runs").slice(a, b - a)
+                size = runs.value_lengths().to_numpy()
+                place, number = (runs.flatten().field(x).to_numpy().astype(np.int64) for x in ("place", "number"))
+                doc = np.repeat(np.repeat(np.arange(b - a), size), number)
+                place = ragged(place, number)
+                whole = rolled(span_hashes(data, starts, ends), window)[first[doc] + place] if len(doc) else np.zeros(0, _U)
+                cut = np.searchsorted(doc, np.arange(b - a + 1))
+                held = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(whole.view(np.int64))], ["place", "hash"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ("rank", "tie")] + [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), held)], ["rank", "tie", "windows"])
 
     return run
 
@@ -129,9 +141,8 @@ def _stretches(window: int):
                 out: list[tuple] = []
                 for i in range(b - a):
                     found = batch.column("found")[a + i].values
-                    place, owner = found.field("place").to_numpy(), found.field("owner").to_numpy()
-                    order = np.argsort(place)
-                    place, owner = place[order], owner[order]
+                    place, number, owner = (found.field(x).to_numpy() for x in ("place", "number", "owner"))
+                    owner, place = np.unique(np.stack([np.repeat(owner, number), ragged(place.astype(np.int64), number)]), axis=1)
                     cut = np.flatnonzero(np.append(True, (np.diff(place) != 1) | (np.diff(owner) != 0)))
                     for x, y in zip(cut.tolist(), [*(cut[1:] - 1).tolist(), len(place) - 1], strict=True):
                         p, q = first[i] + place[x], first[i] + place[y] + window
@@ -263,21 +274,26 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     rank is the doc_id, or LAST for null; tie a hash of the text.
     """
     texts = _texts(docs)
-    rows = texts.mapInArrow(_anchors(window, gram), "doc_id long, rank long, tie long, n_words long, kept string, anchors array<long>")
-    rows = table(rows.select("doc_id", "rank", "tie", "n_words", F.sha2("kept", 256).alias("digest"), "anchors"), "rows")
-    anchors = rows.select("rank", "tie", F.explode("anchors").alias("anchor"))
-    several = lambda df, key: df.groupBy(key).agg(F.min("rank").alias("owner"), F.max("rank").alias("last")).filter("owner < last").select(key, "owner")
-    shared = table(several(anchors, "anchor").select("anchor"), "anchors")
-    own = anchors.join(shared, "anchor").groupBy("rank", "tie").agg(F.collect_set("anchor").alias("shared"))
-    windows = texts.join(own, ["rank", "tie"]).select("rank", "tie", "shared", "text").mapInArrow(_hashes(window, gram), "rank long, tie long, place array<int>, hash array<long>")
-    windows = table(windows.dropDuplicates(["rank", "tie"]), "windows")
-    drop(shared)
-    repeated = table(several(windows.select("rank", F.explode("hash").alias("hash")), "hash"), "repeated")
-    each = windows.select("rank", "tie", F.posexplode("hash").alias("i", "hash"), "place").select("rank", "tie", "hash", F.get("place", F.col("i")).alias("place"))
-    found = each.join(repeated, "hash").groupBy("rank", "tie").agg(F.collect_list(F.struct("place", "owner")).alias("found"))
-    parts = texts.dropDuplicates(["rank", "tie"]).join(found, ["rank", "tie"]).select("rank", "tie", "found", "text")
+    rows = texts.mapInArrow(_runs(window, gram), "doc_id long, rank long, tie long, n_words long, kept string, runs array<struct<anchor:bigint,whole:bigint,place:int,number:int>>")
+    rows = table(rows.select("doc_id", "rank", "tie", "n_words", F.sha2("kept", 256).alias("digest"), "runs"), "rows")
+    runs = rows.select("rank", "tie", F.explode("runs").alias("r")).select("rank", "tie", "r.*")
+    owned = [F.min("rank").alias("owner"), F.max("rank").alias("last")]
+    shared = runs.groupBy("anchor").agg(*owned, (F.min("whole") != F.max("whole")).alias("open")).filter("owner < last").select("anchor", "open")
+    met = table(runs.join(shared, "anchor"), "runs")
+    kinds = table(met.groupBy("anchor", "whole").agg(*owned), "kinds")
+    own = table(met.join(kinds, ["anchor", "whole"]).filter("open or owner < last").select("rank", "tie", "place", "number", "owner", "last", "open"), "owned")
+    drop(met, kinds)
+    firsts = own.filter("open and rank = owner").groupBy("rank", "tie").agg(F.collect_set(F.struct("place", "number")).alias("runs"))
+    hashed = texts.join(firsts, ["rank", "tie"]).select("rank", "tie", "runs", "text").mapInArrow(_hashes(window), "rank long, tie long, windows array<struct<place:int,hash:bigint>>")
+    windows = table(hashed, "windows")
+    hashed = windows.select("rank", "tie", F.explode("windows").alias("w")).select("rank", "tie", "w.*")
+    repeated = table(hashed.groupBy("hash").agg(*owned).filter("owner < last").select("hash", "owner"), "repeated")
+    single = hashed.join(repeated, "hash").select("rank", "tie", "place", F.lit(1).alias("number"), "owner")
+    found = own.filter("owner < last").select("rank", "tie", "place", "number", "owner").union(single)
+    found = found.groupBy("rank", "tie").agg(F.collect_list(F.struct("place", "number", "owner")).alias("found"))
+    parts = texts.join(found, ["rank", "tie"]).select("rank", "tie", "found", "text")
     parts = table(parts.mapInArrow(_stretches(window), "owner long, rank long, tie long, place int, text string"), "stretches")
-    drop(windows, repeated)
+    drop(own, windows, repeated)
     size, reference = F.length("text"), F.col("owner") == F.col("rank")
     total = parts.agg(F.sum(F.when(reference, size))).first()[0] or 0
     parts = parts.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(total // SHARD + 1)))
@@ -300,8 +316,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs without their repeated passages: texts that lose words are what is kept, joined by single spaces, others are as they were."""
     _, spans = repeated_spans(docs, window)
     keyed = docs.select(whole_row(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), F.xxhash64("text").alias("tie"))
-    text = _texts(docs).dropDuplicates(["rank", "tie"]).join(spans, ["rank", "tie"]).select("doc_id", "rank", "tie", "spans", "text")
-    known = text.mapInArrow(_cut, _CUT).select("rank", "tie", "kept")
+    text = _texts(docs).join(spans, ["rank", "tie"]).select("doc_id", "rank", "tie", "spans", "text")
+    known = text.mapInArrow(_cut, _CUT).select("rank", "tie", "kept").dropDuplicates(["rank", "tie"])
     out = keyed.join(known, ["rank", "tie"], "left")
     return out.select(F.when(F.col("kept").isNull(), F.col("row")).otherwise(F.col("row").withField("text", F.col("kept"))).alias("row")).select("row.*")
 

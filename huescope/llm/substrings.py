@@ -256,11 +256,11 @@ def _cut(batches):
                 at = first[i] + np.flatnonzero(np.cumsum(depth)[:n] == 0)
                 kept.append(words_of(data, starts[at], ends[at]) if len(at) else "")
                 gone.append(n - len(at))
-            columns = [batch.column(c).slice(a, b - a) for c in ("doc_id", "rank", "tie")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "rank", "tie", "n_words", "n_removed", "kept"])
+            columns = [batch.column(c).slice(a, b - a) for c in ("rank", "tie", "spans")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["rank", "tie", "spans", "n_removed", "kept"])
 
 
-_CUT = "doc_id long, rank long, tie long, n_words long, n_removed long, kept string"
+_CUT = "rank long, tie long, spans array<struct<`from`:int,upto:int>>, n_removed long, kept string"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, rank, tie, n_words, digest of all words; spans: rank, tie, spans, the words to remove as [from, upto) of each row that loses some).
+    """(rows: doc_id, rank, tie, n_words, digest of all words; cut: rank, tie, spans, the words to remove as [from, upto), n_removed, kept, the others, of each that loses some).
 
     rank is the doc_id, or LAST for null; tie a hash of the text.
     """
@@ -283,17 +283,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     kinds = table(met.groupBy("anchor", "whole").agg(*owned), "kinds")
     own = table(met.join(kinds, ["anchor", "whole"]).filter("open or owner < last").select("rank", "tie", "place", "number", "owner", "last", "open"), "owned")
     drop(met, kinds)
-    firsts = own.filter("open and rank = owner").groupBy("rank", "tie").agg(F.collect_set(F.struct("place", "number")).alias("runs"))
-    hashed = texts.join(firsts, ["rank", "tie"]).select("rank", "tie", "runs", "text").mapInArrow(_hashes(window), "rank long, tie long, windows array<struct<place:int,hash:bigint>>")
-    windows = table(hashed, "windows")
+    held = own.groupBy("rank", "tie").agg(F.collect_set(F.struct("place", "number", "owner", "last", "open")).alias("runs"))
+    held = table(texts.join(held, ["rank", "tie"]).select("rank", "tie", "runs", "text"), "texts")  # of those that share something
+    drop(own)
+    pick = lambda keep: F.transform(F.filter("runs", keep), lambda r: F.struct(r["place"].alias("place"), r["number"].alias("number"), r["owner"].alias("owner")))
+    firsts = held.withColumn("runs", pick(lambda r: r["open"] & (r["owner"] == F.col("rank")))).filter(F.size("runs") > 0)
+    windows = table(firsts.mapInArrow(_hashes(window), "rank long, tie long, windows array<struct<place:int,hash:bigint>>"), "windows")
     hashed = windows.select("rank", "tie", F.explode("windows").alias("w")).select("rank", "tie", "w.*")
     repeated = table(hashed.groupBy("hash").agg(*owned).filter("owner < last").select("hash", "owner"), "repeated")
-    single = hashed.join(repeated, "hash").select("rank", "tie", "place", F.lit(1).alias("number"), "owner")
-    found = own.filter("owner < last").select("rank", "tie", "place", "number", "owner").union(single)
-    found = found.groupBy("rank", "tie").agg(F.collect_list(F.struct("place", "number", "owner")).alias("found"))
-    parts = texts.join(found, ["rank", "tie"]).select("rank", "tie", "found", "text")
+    single = hashed.join(repeated, "hash").groupBy("rank", "tie").agg(F.collect_list(F.struct("place", F.lit(1).alias("number"), "owner")).alias("found"))
+    whole = held.withColumn("found", pick(lambda r: r["owner"] < r["last"])).filter(F.size("found") > 0).select("rank", "tie", "found", "text")
+    parts = whole.union(firsts.join(single, ["rank", "tie"]).select("rank", "tie", "found", "text"))
     parts = table(parts.mapInArrow(_stretches(window), "owner long, rank long, tie long, place int, text string"), "stretches")
-    drop(own, windows, repeated)
+    drop(windows, repeated)
     size, reference = F.length("text"), F.col("owner") == F.col("rank")
     total = parts.agg(F.sum(F.when(reference, size))).first()[0] or 0
     parts = parts.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(total // SHARD + 1)))
@@ -301,24 +303,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
     own_copy = F.array(F.pmod(F.xxhash64("rank", "tie", "place"), F.col("copies")).cast("int"))
     dealt = parts.join(copies, "shard").withColumn("copy", F.explode(F.when(reference, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(own_copy)))
     spans = dealt.select("shard", "copy", "owner", "rank", "tie", "place", "text").groupBy("shard", "copy").applyInArrow(_removed(window), "rank long, tie long, `from` int, upto int")
-    return rows, table(spans.groupBy("rank", "tie").agg(F.collect_list(F.struct("from", "upto")).alias("spans")), "spans")
+    spans = table(spans.groupBy("rank", "tie").agg(F.collect_list(F.struct("from", "upto")).alias("spans")), "spans")
+    cut = held.join(spans, ["rank", "tie"]).select("rank", "tie", "spans", "text").mapInArrow(_cut, _CUT)
+    return rows, cut.dropDuplicates(["rank", "tie"])
 
 
 def substring_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by single spaces) of each row of docs."""
-    rows, spans = repeated_spans(docs, window)
-    cut = _texts(docs).join(spans, ["rank", "tie"]).select("doc_id", "rank", "tie", "spans", "text").mapInArrow(_cut, _CUT)
-    whole = rows.join(spans, ["rank", "tie"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"))
-    return whole.union(cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)))
+    rows, cut = repeated_spans(docs, window)
+    out = rows.drop("runs").join(cut.select("rank", "tie", "n_removed", F.sha2("kept", 256).alias("less")), ["rank", "tie"], "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("less", "digest").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs without their repeated passages: texts that lose words are what is kept, joined by single spaces, others are as they were."""
-    _, spans = repeated_spans(docs, window)
+    cut = repeated_spans(docs, window)[1].select("rank", "tie", "kept")
     keyed = docs.select(whole_row(docs), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("rank"), F.xxhash64("text").alias("tie"))
-    text = _texts(docs).join(spans, ["rank", "tie"]).select("doc_id", "rank", "tie", "spans", "text")
-    known = text.mapInArrow(_cut, _CUT).select("rank", "tie", "kept").dropDuplicates(["rank", "tie"])
-    out = keyed.join(known, ["rank", "tie"], "left")
+    out = keyed.join(cut, ["rank", "tie"], "left")
     return out.select(F.when(F.col("kept").isNull(), F.col("row")).otherwise(F.col("row").withField("text", F.col("kept"))).alias("row")).select("row.*")
 
 

@@ -25,20 +25,32 @@ def fields(c: np.ndarray, space: str) -> np.ndarray:
     return v
 
 
-def distances(p: np.ndarray, q: np.ndarray, space: str) -> np.ndarray:
-    """The matrix of distances between two lists of colours, made in blocks of rows."""
+def _scale(space: str) -> np.ndarray:
+    return np.array((1.0, 1.0, 1.0) if space == "rgb" else (1 / 2.55, 2.35 / 1.275, 2.35 / 1.275))
+
+
+def _between(x: np.ndarray, y: np.ndarray, space: str) -> np.ndarray:
+    if space == "lab":
+        return ciede2000(x, y)
+    d = (x - y) * _scale(space)
+    return np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
+
+
+def apart(p: np.ndarray, q: np.ndarray, space: str) -> np.ndarray:
+    """The distance of each colour of p to the one of q at its place."""
+    return _between(fields(p, space), fields(q, space), space)
+
+
+def nearest(p: np.ndarray, q: np.ndarray, space: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each colour of p the place in q of the nearest one, ties to the first, and its distance; in blocks of rows."""
     x, y = fields(p, space), fields(q, space)
-    scale = np.array((1.0, 1.0, 1.0) if space == "rgb" else (1 / 2.55, 2.35 / 1.275, 2.35 / 1.275))
-    out = np.empty((len(x), len(y)))
+    at, d = np.empty(len(x), np.int64), np.empty(len(x))
     step = max(1, (1 << 18) // max(1, len(y)))
     for a in range(0, len(x), step):
-        part = x[a : a + step, None, :]
-        if space == "lab":
-            out[a : a + step] = ciede2000(part, y[None, :, :])
-        else:
-            d = (part - y[None, :, :]) * scale
-            out[a : a + step] = np.sqrt((d * d).sum(-1))
-    return out
+        part = _between(x[a : a + step, None, :], y[None, :, :], space)
+        at[a : a + step] = part.argmin(1)
+        d[a : a + step] = part[np.arange(len(part)), at[a : a + step]]
+    return at, d
 
 
 def ciede2000(p: np.ndarray, q: np.ndarray) -> np.ndarray:

@@ -1,21 +1,19 @@
-"""Steps that iterate within an image: seeding, k-means, choice of k, clamping, merging and roles.
+"""The summary of images' colours: choice of k, clamping, merging and roles, for all images at once.
 
-What Spark groups for them is an image's table of colours (a row a colour, bounded by the image), so an image is one task's
-work and images run in parallel. All ties go to the earlier row; nothing is random.
+Pixels become a table of colours (a row an image and colour); k-means runs in rounds over all images (kmeans.py), the strategies choose k by
+expressions over the errors, and what follows folds an image's few centroids in their order, as arrays in one row an image. All ties go to the earlier row; nothing is random.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays
-from ..functions.spaces import BLACK, EPSILON, WHITE
+from ..functions import spaces
+from ..sources.tables import written
+from . import kmeans
 from . import pixels as px
 
 
@@ -37,267 +35,244 @@ class Options:
     rounds: int = 100
 
 
-def seeds(colours: np.ndarray, k: int, space: str) -> np.ndarray:
-    """The first k colours that are each at least epsilon from those before; fewer if there aren't so many, all for k = 0."""
-    kept: list[int] = []
-    for i in range(len(colours)):
-        if not kept or (arrays.distances(colours[i : i + 1], colours[kept], space) >= EPSILON[space]).all():
-            kept.append(i)
-            if len(kept) == k:
-                break
-    return colours[kept]
+C = F.col
+_ALL = 1 << 30
+_PAIRS = "array<struct<c:int,cnt:bigint>>"
 
 
-def kmeans(colours: np.ndarray, counts: np.ndarray, k: int, space: str, rounds: int = 100) -> tuple[dict[int, int], float]:
-    """(medoid -> count in the clusters' order, mean squared distance to the rounded means).
+def colour_table(pixels: DataFrame, o: Options) -> DataFrame:
+    """(ref, image_id, c, cnt, rank, n, s, first, ring_n, ring_first, total, colours) of trimmed pixels: all that follows needs no pixels.
 
-    Colours are in rank order. Means are packed ints each round; a cluster without weight has the mean 0. A later
-    cluster of the same medoid takes its place's count over.
+    Pixels are dealt by image once, for the saliency; all else is one grouped sum and windows over the same partitions. ref is false.
     """
-    now, bytes_ = seeds(colours, k, space), arrays.channels(colours)
-    mine = np.full(len(colours), -1)
-    for _ in range(rounds):
-        to = arrays.distances(colours, now, space).argmin(1)
-        if (to == mine).all():
-            break
-        mine = to
-        sums = np.stack([np.bincount(mine, bytes_[:, c] * counts, minlength=len(now)) for c in range(3)], 1)
-        weight = np.bincount(mine, counts, minlength=len(now))[:, None]
-        now = arrays.pack(np.where(weight > 0, np.floor(sums / np.maximum(weight, 1) + 0.499999999), 0))
-    away = arrays.distances(colours, now, space)
-    out: dict[int, int] = {}
-    for j in range(len(now)):
-        member = np.flatnonzero(mine == j)
-        out[int(colours[member[away[member, j].argmin()]]) if len(member) else int(now[j])] = int(counts[member].sum())
-    total = counts.sum()
-    own = away[np.arange(len(colours)), mine]
-    return out, float((own * own * counts).sum() / total) if total else math.nan
-
-
-def slope(points: list[int], values: list[float]) -> float:
-    """Least-squares slope; values beyond 1.5 interquartile ranges are left out of the sums, but counted."""
-    n = len(points)
-    ordered = sorted(values)
-    q1, q3 = ordered[n // 4], ordered[3 * n // 4]
-    kept = [(x, y) for x, y in zip(points, values, strict=True) if q1 - 1.5 * (q3 - q1) <= y <= q3 + 1.5 * (q3 - q1)]
-    sx, sy = sum(x for x, _ in kept), sum(y for _, y in kept)
-    below = n * sum(x * x for x, _ in kept) - sx * sx
-    return (n * sum(x * y for x, y in kept) - sx * sy) / below if n >= 2 and below else 0.0
-
-
-def elbow_k(fit, n: int, start: tuple[int, ...], end: tuple[int, ...]) -> int:
-    """k where the lines through the first and the last fits meet; n colours, fit(k) = error. 0 stands for all colours that aren't alike.
-    Few colours: all of them, at most max(start). Lines that meet below 0 give 1."""
-    if n == 1:
-        return 1
-    early, late = [k for k in start if k < n], [k for k in end if k < n]
-    errors = {k: fit(k) for k in early + late}
-    if end and n > 2 * end[-1]:
-        late, errors[n] = [*late, n], 0.0
-    if not early or not late:
-        return min(n, max((1, *start)))
-    s, e = slope(early, [errors[k] for k in early]), slope(late, [errors[k] for k in late])
-    if s == e or math.isnan(s) or math.isnan(e):
-        return 1
-    k = min(n, math.ceil((errors[late[0]] - e * late[0] - errors[early[0]] + s * early[0]) / (s - e)))
-    return k if k >= 0 else 1
-
-
-def uniform_reference(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The gap statistic's reference for n pixels: (colours, counts) as the evenly spread list pairs off when read two by two."""
-    flat = np.zeros(2 * n + 1, np.int64)
-    flat[:n] = np.floor(np.arange(n) * (0xFFFFFF / max(n, 1)) + 0.5)
-    flat[n] = 1
-    return flat[0 : 2 * n : 2], flat[1 : 2 * n : 2]
-
-
-def references(sizes: DataFrame, o: Options) -> DataFrame:
-    """(total, reference: errors for min_k .. max_k) of the gap statistic's reference for each number of pixels, fitted once for all images of that size."""
-
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        flat, weight = uniform_reference(int(t["total"].iloc[0]))
-        k = int(t["k"].iloc[0])
-        return pd.DataFrame({"total": t["total"].iloc[:1], "k": k, "error": kmeans(flat, weight, k, o.space, o.rounds)[1]})
-
-    ks = sizes.select("total").distinct().withColumn("k", F.explode(F.sequence(F.lit(o.min_k), F.lit(o.max_k))))
-    each = ks.groupBy("total", "k").applyInPandas(one, "total long, k int, error double")
-    ordered = F.array_sort(F.collect_list(F.struct("k", "error")))
-    return each.groupBy("total").agg(F.transform(ordered, lambda x: x["error"]).alias("reference"))
-
-
-def fit(colours: np.ndarray, counts: np.ndarray, reference: list[float], o: Options) -> dict[int, int]:
-    """The centroids by the chosen strategy; reference: the gap statistic's, as references() gives it."""
-    done: dict[int, tuple[dict[int, int], float]] = {}
-
-    def run(k: int) -> float:
-        if k not in done:
-            done[k] = kmeans(colours, counts, k, o.space, o.rounds)
-        return done[k][1]
-
-    if o.strategy == "constant":
-        k = o.k
-    elif o.strategy == "elbow":
-        k = elbow_k(run, len(colours), o.start, o.end)
-    else:
-        best, k = -math.inf, o.min_k
-        for i in range(o.min_k, o.max_k + 1):
-            error, even = run(i), reference[i - o.min_k]
-            gap = math.inf if error == 0 else math.log(even) - math.log(error) if even > 0 else -math.inf
-            if gap > best:
-                best, k = gap, i
-    run(k)
-    return done[k][0]
-
-
-def clamp(centroids: dict[int, int], colours: np.ndarray, counts: np.ndarray, total: int, percent: float, space: str) -> dict[int, int]:
-    """Centroids moved to colours of the image with a share of at least `percent`; one that is its own nearest stays."""
-    least, known, out = percent / 100, dict(zip(colours.tolist(), counts.tolist(), strict=True)), dict(centroids)
-    often = counts / total >= least
-    pool = colours[often] if often.any() else colours
-    for c in list(centroids):
-        if known.get(c, 0) > 0 and known[c] / total >= least:
-            continue
-        near = int(pool[arrays.distances(np.array([c]), pool, space)[0].argmin()])
-        if near != c:
-            out[near] = out.get(near, 0) + out.pop(c)
-    return out
-
-
-def merge(centroids: dict[int, int], space: str) -> dict[int, int]:
-    """Colours within epsilon of each other become one, the most frequent, last in order. A pair that meets groups joins these but isn't added itself."""
-    keys, groups = list(centroids), []
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            if arrays.distances(np.array([a]), np.array([b]), space)[0, 0] < EPSILON[space]:
-                met = [g for g in groups if a in g or b in g]
-                groups = [g for g in groups if not (a in g or b in g)] + [list(dict.fromkeys(x for g in met for x in g)) if met else [a, b]]
-    out = dict(centroids)
-    for g in groups:
-        n = {c: out.pop(c) for c in g if c in out}
-        if n:
-            top = max(n, key=lambda c: n[c])
-            out[top if n[top] > 0 else 0] = sum(n.values())
-    return out
-
-
-def roles(centroids: dict[int, int], near: dict[int, tuple[int, int]], outer: int, total: int, o: Options) -> dict:
-    """outer, inner, third, accent and the pools. near: centroid -> (salient pixels, first pixel) of the colours nearest to it."""
-    c, s = dict(centroids), o.space
-    salient = sum(x for x, _ in near.values())
-    delta = {k: ((near[k][0] / salient - c[k] / total) + 100) / 2 for k in sorted(near, key=lambda k: near[k][1])} if salient else {}
-    ratio = lambda p, q: float(arrays.contrast(np.array([p]), np.array([q]), s)[0])
-    inner = next((k for k in sorted(delta, key=lambda k: -delta[k]) if ratio(outer, k) >= o.min_contrast), None)
-    if inner is None:
-        rest = [(ratio(outer, k), -i, k) for i, k in enumerate(c) if k != outer]
-        if rest and max(rest)[0] >= o.min_contrast:
-            inner = max(rest)[2]
-        else:
-            inner = WHITE[s] if ratio(outer, WHITE[s]) > ratio(outer, BLACK[s]) else BLACK[s]
-            c[inner] = 1
-            c[outer] = c.get(outer, 0) - 1
-    light = lambda k: float(arrays.lightness(np.array(k), s))
-    f = 0.8 if light(inner) > light(outer) else 1.2
-    outside = [k for k in c if abs(light(k) - light(inner)) * f > abs(light(k) - light(outer))]
-    inside = [k for k in c if k not in outside]
-    accent, best = inner, 0.0
-    for k in inside:
-        if k not in (outer, inner) and c[k] / total >= 0.01 and ratio(outer, k) >= 9:
-            l = 100 - light(k) if light(outer) > light(inner) else light(k)  # noqa: E741
-            value = float(arrays.chroma(np.array(k), s)) * arrays.distances(np.array([k]), np.array([inner]), s)[0, 0] * c[k] / total * 100 * l**4 * (delta.get(k, 0) + 1) ** 3
-            if value > best:
-                accent, best = k, value
-    third, best = outer, 0.0
-    for k in outside:
-        if k not in (outer, inner) and c[k] / total >= 0.01:
-            value = min(ratio(k, inner), ratio(k, accent)) * c[k] / total * 100
-            if value > best:
-                third, best = k, value
-    rgb = lambda ks: [int(x) for x in arrays.to_rgb(np.array(list(ks), np.int64), s)] if len(ks) else []
-    counted = lambda ks: list(zip(rgb(ks), [c[k] for k in ks], strict=True))
-    picked = {"outer": outer, "inner": inner, "third": third, "accent": accent}
-    names = dict(zip(picked, rgb(picked.values()), strict=True))
-    pairs = {"outer_inner": ratio(outer, inner), "outer_accent": ratio(outer, accent), "third_inner": ratio(third, inner), "third_accent": ratio(third, accent)}
-    return names | {"outer_colors": counted(outside), "inner_colors": counted(inside), "centroids": counted(list(c)), "contrasts": pairs, "lightnesses": {n: light(k) for n, k in picked.items()}}
-
-
-_COUNTED = "array<struct<rgb:int,cnt:bigint>>"
-RESULT = (
-    f"image_id long, outer int, inner int, third int, accent int, outer_colors {_COUNTED}, inner_colors {_COUNTED}, centroids {_COUNTED}, "
-    "contrasts struct<outer_inner:double,outer_accent:double,third_inner:double,third_accent:double>, lightnesses struct<outer:double,inner:double,third:double,accent:double>"
-)
+    sal = px.saliency(px.grey(px.packed(px.trim(pixels, o.trim_percent), o.space), o.space))
+    rim = px.on_ring(C("idx"), C("w"), C("h"))
+    raw = sal.groupBy("image_id", "c").agg(F.count("*").alias("n"), F.sum("sal").alias("s"), F.min("idx").alias("first"), F.count_if(rim).alias("ring_n"), F.min(F.when(rim, C("idx"))).alias("ring_first"))
+    image = Window.partitionBy("image_id")
+    out = raw.withColumns({"cnt": px.weighted("n", "s", o.saliency_weight), "total": F.sum("n").over(image), "colours": F.count("*").over(image).cast("int"), "ref": F.lit(False)})
+    return out.withColumn("rank", F.row_number().over(image.orderBy(F.desc("cnt"), "first")))
 
 
-def colour_table(pixels: DataFrame, o: Options) -> DataFrame:
-    """(image_id, c, cnt, rank, n, s, first, ring_n, ring_first, total) of trimmed pixels: all that follows needs no pixels.
+def _sum(values: Column, of) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + of(x))
 
-    Pixels are dealt by image once, for the saliency; all else is one grouped sum and windows over the same partitions.
-    """
-    sal = px.saliency(px.grey(px.packed(px.trim(pixels, o.trim_percent), o.space), o.space))
-    rim = px.on_ring(F.col("idx"), F.col("w"), F.col("h"))
-    raw = sal.groupBy("image_id", "c").agg(F.count("*").alias("n"), F.sum("sal").alias("s"), F.min("idx").alias("first"), F.count_if(rim).alias("ring_n"), F.min(F.when(rim, F.col("idx"))).alias("ring_first"))
-    out = raw.withColumns({"cnt": px.weighted("n", "s", o.saliency_weight), "total": F.sum("n").over(Window.partitionBy("image_id"))})
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("cnt"), "first")))
 
+def slope(points: Column) -> Column:
+    """Least-squares slope of an array of (k, error); errors beyond 1.5 interquartile ranges are left out of the sums, but counted."""
+    ordered, n = F.array_sort(F.transform(points, lambda p: p["error"])), F.size(points)
+    at = lambda place: F.element_at(ordered, (F.floor(place) + 1).cast("int"))
 
-def _with_reference(table: DataFrame, o: Options) -> DataFrame:
-    if o.strategy != "gap":
-        return table.withColumn("reference", F.array().cast("array<double>"))
-    known = references(table.select("total"), o)  # a row a size
-    return table.join(known, "total")
+    def line(q: Column) -> Column:
+        reach = (q["high"] - q["low"]) * 1.5
+        kept = F.filter(points, lambda p: p["error"].between(q["low"] - reach, q["high"] + reach))
+        sx, sy = _sum(kept, lambda p: p["k"]), _sum(kept, lambda p: p["error"])
+        below = n * _sum(kept, lambda p: p["k"] * p["k"]) - sx * sx
+        return F.when((n >= 2) & (below != 0), (n * _sum(kept, lambda p: p["k"] * p["error"]) - sx * sy) / below).otherwise(F.lit(0.0))
 
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.transform(F.array(F.struct(at(n / 4).alias("low"), at(n * 3 / 4).alias("high"))), line)[0])
 
-def _near(colours: np.ndarray, keys: np.ndarray, weight: np.ndarray, first: np.ndarray, space: str) -> dict[int, tuple[int, int]]:
-    to = arrays.distances(colours, keys, space).argmin(1)
-    return {int(keys[j]): (int(weight[to == j].sum()), int(first[to == j].min())) for j in np.unique(to)}
 
+def elbow_k(errors: Column, n: Column, start: tuple[int, ...], end: tuple[int, ...]) -> Column:
+    """k where the lines through the first and the last errors meet; n colours, errors: array of (k, error) by k. 0 stands for all colours that aren't alike.
 
-def _centroids(t: pd.DataFrame, o: Options) -> dict[int, int]:
-    return fit(t["c"].to_numpy(), t["cnt"].to_numpy(), list(t["reference"].iloc[0]), o)
+    Few colours: all of them, at most max(start). Lines that meet below 0 give 1.
+    """
+    of = lambda ks: F.filter(errors, lambda p: p["k"].isin(*ks)) if ks else F.filter(errors, lambda p: F.lit(False))
+    whole = F.array(F.struct(n.cast("int").alias("k"), F.lit(0.0).alias("error")))
+    early, late = of(start), F.when(n > 2 * end[-1], F.concat(of(end), whole)).otherwise(of(end)) if end else of(end)
+
+    def meet(v: Column) -> Column:
+        s, e, a, b = slope(v["early"]), slope(v["late"]), F.get(v["early"], F.lit(0)), F.get(v["late"], F.lit(0))
+        k = lambda t: F.least(n.cast("long"), F.ceil((b["error"] - t["e"] * b["k"] - a["error"] + t["s"] * a["k"]) / (t["s"] - t["e"])))
+        cross = lambda t: F.when((t["s"] == t["e"]) | F.isnan(t["s"]) | F.isnan(t["e"]), F.lit(1)).otherwise(F.when(k(t) >= 0, k(t)).otherwise(1)).cast("int")
+        lines = F.transform(F.array(F.struct(s.alias("s"), e.alias("e"))), cross)[0]
+        return F.when((F.size(v["early"]) == 0) | (F.size(v["late"]) == 0), F.least(n, F.lit(max((1, *start)))).cast("int")).otherwise(lines)
+
+    return F.when(n == 1, F.lit(1)).otherwise(F.transform(F.array(F.struct(early.alias("early"), late.alias("late"))), meet)[0])
+
+
+def uniform_reference(sizes: DataFrame) -> DataFrame:
+    """The gap statistic's reference for each number of pixels (image_id), as rows like a colour table's with ref true: an evenly spread list, read two by two."""
+    n = C("image_id")
+    flat = lambda j: F.when(j < n, F.floor(j * (F.lit(float(0xFFFFFF)) / n) + 0.5)).when(j == n, 1).otherwise(0)
+    rows = sizes.select(n, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"))
+    return rows.select(F.lit(True).alias("ref"), n, (C("i") + 1).cast("int").alias("rank"), flat(C("i") * 2).cast("int").alias("c"), flat(C("i") * 2 + 1).cast("long").alias("cnt"), n.cast("int").alias("colours"))
+
+
+def choice(table: DataFrame, o: Options) -> DataFrame:
+    """(image_id, cents: array of (c, cnt)): each image's centroids by the chosen strategy, over a written colour table."""
+    colours = table.select("ref", "image_id", "rank", "c", "cnt", "colours")
+    images = table.filter("rank = 1").select("ref", "image_id", "colours", "total")
+    each = lambda ks: F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+    picked = lambda fitted: fitted.select("image_id", C("centroids").alias("cents"))
+    if o.strategy == "constant":
+        return picked(kmeans.fits(colours, images.select("ref", "image_id", F.lit(o.k).alias("k")), o.space, o.rounds))
+    if o.strategy == "elbow":
+        probes = kmeans.fits(colours, images.select("ref", "image_id", "colours", each(sorted({*o.start, *o.end}))).filter("k < colours"), o.space, o.rounds)
+        errors = probes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("k", "error"))).alias("errors"))
+        chosen = images.join(errors, "image_id", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<struct<k:int,error:double>>")))
+        chosen = written(chosen.select("ref", "image_id", elbow_k(C("errors"), C("colours"), o.start, o.end).alias("k")), "chosen")
+        known = probes.join(chosen, ["ref", "image_id", "k"], "left_semi")
+        rest = kmeans.fits(colours, chosen.join(probes, ["ref", "image_id", "k"], "left_anti"), o.space, o.rounds)
+        return picked(known.unionByName(rest))
+    ks = range(o.min_k, o.max_k + 1)
+    sizes = written(uniform_reference(images.select(C("total").alias("image_id")).distinct()), "references")
+    wanted = images.select("ref", "image_id").union(sizes.select("ref", "image_id").distinct()).select("*", each(ks))
+    fitted = kmeans.fits(colours.unionByName(sizes), wanted, o.space, o.rounds)
+    even = fitted.filter("ref").select(C("image_id").alias("total"), "k", C("error").alias("even"))
+    own = fitted.filter("not ref").join(images.select("image_id", "total"), "image_id").join(even, ["total", "k"])
+    gap = F.when(C("error") == 0, float("inf")).when(C("even") > 0, F.ln("even") - F.ln("error")).otherwise(float("-inf"))
+    best = own.groupBy("image_id").agg(F.min(F.struct((-gap).alias("gap"), C("k"), C("centroids"))).alias("m"))
+    return best.select("image_id", C("m.centroids").alias("cents"))
+
+
+def clamp(cents: DataFrame, table: DataFrame, percent: float, space: str) -> DataFrame:
+    """cents (image_id, cents) moved to colours of the image with a share of at least `percent`; one that is its own nearest stays."""
+    often = C("cnt") / C("total") >= percent / 100
+    pool = table.select("image_id", "c", "rank", "cnt", often.alias("often"), F.max(often).over(Window.partitionBy("image_id")).alias("some"))
+    one = cents.select("image_id", F.posexplode("cents").alias("i", "x")).select("image_id", "i", "x.c", "x.cnt")
+    common = pool.filter("often and cnt > 0").select("image_id", "c")
+    lost = one.join(common, ["image_id", "c"], "left_anti").select("image_id", "i", C("c").alias("p"))
+    met = lost.join(pool.filter("often or not some"), "image_id").withColumn("d", spaces.distance(C("p"), C("c"), space))
+    near = met.groupBy("image_id", "i").agg(F.min(F.struct("d", "rank", "c")).alias("m")).select("image_id", "i", C("m.c").alias("near"))
+    moves = near.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "near"))).alias("moves"))
+
+    def moved(kept: Column, x: Column) -> Column:
+        own = F.filter(kept, lambda y: y["c"] == x["c"])[0]["cnt"]
+        rest = F.filter(kept, lambda y: y["c"] != x["c"])
+        more = F.transform(rest, lambda y: F.when(y["c"] == x["near"], F.struct(y["c"].alias("c"), (y["cnt"] + own).alias("cnt"))).otherwise(y))
+        new = F.concat(rest, F.array(F.struct(x["near"].alias("c"), own.alias("cnt"))))
+        return F.when(x["near"].isNull() | (x["near"] == x["c"]), kept).otherwise(F.when(F.exists(rest, lambda y: y["c"] == x["near"]), more).otherwise(new))
+
+    to = F.transform("cents", lambda x, i: F.struct(x["c"].alias("c"), F.try_element_at("moves", i).alias("near")))
+    return cents.join(moves, "image_id", "left").select("image_id", F.aggregate(F.coalesce(to, F.array().cast("array<struct<c:int,near:int>>")), C("cents"), moved).alias("cents"))
+
+
+def merged(cents: Column, space: str) -> Column:
+    """An array of (c, cnt) where colours within epsilon of each other are one, the most frequent, last in order. A pair that meets groups joins these but isn't added itself."""
+    alike = lambda a: lambda b: spaces.distance(a["c"], b["c"], space) < spaces.EPSILON[space]
+    pairs = F.flatten(F.transform(cents, lambda a, i: F.transform(F.filter(F.slice(cents, i + 2, _ALL), alike(a)), lambda b: F.struct(a["c"].alias("a"), b["c"].alias("b")))))
+
+    def joined(groups: Column, p: Column) -> Column:
+        meets = lambda g: F.array_contains(g, p["a"]) | F.array_contains(g, p["b"])
+        met = F.filter(groups, meets)
+        one = F.when(F.size(met) > 0, F.array_distinct(F.flatten(met))).otherwise(F.array(p["a"], p["b"]))
+        return F.concat(F.filter(groups, lambda g: ~meets(g)), F.array(one))
+
+    groups = F.aggregate(pairs, F.array().cast("array<array<int>>"), joined)
+
+    def one(kept: Column, g: Column) -> Column:
+        members = F.filter(F.transform(g, lambda c: F.filter(kept, lambda y: y["c"] == c)[0]), lambda y: y.isNotNull())
+        n = F.aggregate(members, F.lit(0).cast("long"), lambda a, y: a + y["cnt"])
+        top = F.aggregate(F.slice(members, 2, _ALL), members[0], lambda a, y: F.when(y["cnt"] > a["cnt"], y).otherwise(a))
+        key = F.when(top["cnt"] > 0, top["c"]).otherwise(0)
+        now = F.struct(key.alias("c"), n.alias("cnt"))
+        rest = F.filter(kept, lambda y: ~F.array_contains(g, y["c"]))
+        there = F.transform(rest, lambda y: F.when(y["c"] == key, now).otherwise(y))
+        return F.when(F.size(members) == 0, kept).otherwise(F.when(F.exists(rest, lambda y: y["c"] == key), there).otherwise(F.concat(rest, F.array(now))))
+
+    return F.aggregate(groups, cents, one)
+
+
+def contrast(p: Column, q: Column, space: str) -> Column:
+    """The contrast of two centroids (structs with y and light), as spaces.contrast() has it; the order matters."""
+    return F.abs(p["light"] - q["light"]) if space == "lab" else spaces.contrast_of_luminances(p["y"], q["y"])
+
+
+#: A centroid's fields.
+_KIND = "struct<ord:int,c:int,cnt:bigint,rgb:int,light:double,chroma:double,y:double,s:bigint,first:int,rim:bigint,rim_first:int>"
+
+
+def _measured(rows: DataFrame, space: str) -> DataFrame:
+    """rows (c) with rgb, light, chroma and y, APCA's luminance."""
+    rgb = rows.withColumns({"rgb": spaces.to_rgb(C("c"), space).cast("int"), "light": spaces.lightness(C("c"), space), "chroma": spaces.chroma(C("c"), space)})
+    return rgb.withColumn("y", spaces.luminance(C("rgb")))
+
+
+def zones(cents: DataFrame, table: DataFrame, space: str) -> DataFrame:
+    """(image_id, total, all_s, zones: array of centroids as _KIND): what of each image is nearest to each of its centroids; first is null where nothing is.
+
+    Every array ends with three that are not of the image: black, white and the packed colour 0, with ord -3 .. -1.
+    """
+    found = table.join(cents, "image_id").withColumn("ord", px.nearest_place(C("c"), F.transform("cents", lambda x: x["c"]), space))
+    own = found.groupBy("image_id", "ord").agg(F.sum("s").alias("s"), F.min("first").alias("first"), F.sum("ring_n").alias("rim"), F.min("ring_first").alias("rim_first"), F.first("total").alias("total"))
+    ends = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(0).cast("long").alias("cnt")) for c in (spaces.BLACK[space], spaces.WHITE[space], 0)])
+    one = cents.select("image_id", F.size("cents").alias("m"), F.posexplode(F.concat("cents", ends)).alias("i", "x"))
+    one = _measured(one.select("image_id", F.when(C("i") < C("m"), C("i")).otherwise(C("i") - C("m") - 3).alias("ord"), "x.c", "x.cnt"), space)
+    fields = F.struct(*[f.split(":")[0] for f in _KIND[7:-1].split(",")])
+    held = one.join(own, ["image_id", "ord"], "left").groupBy("image_id").agg(F.max("total").alias("total"), F.sum("s").alias("all_s"), F.array_sort(F.collect_list(fields)).alias("v"))
+    return held.select("image_id", "total", "all_s", F.slice("v", 4, _ALL).alias("zones"), C("v")[0].alias("black"), C("v")[1].alias("white"), C("v")[2].alias("zero"))
+
+
+def roles(zoned: DataFrame, o: Options) -> DataFrame:
+    """zoned with outer, inner, third and accent as centroids, and zones as the choice leaves them, with outside (of the outer pool), a row an image."""
+    ratio = lambda p, q: contrast(p, q, o.space)
+    pick = lambda values, keep, *order: F.array_min(F.transform(F.filter(values, keep), lambda x: F.struct(*[f(x).alias(f"_{n}") for n, f in enumerate(order)], x.alias("x"))))["x"]
+    at = zoned.withColumn("outer", F.coalesce(pick("zones", lambda x: x["rim"] > 0, lambda x: -x["rim"], lambda x: x["rim_first"]), C("zero")))
+    share = lambda x: F.when((C("all_s") > 0) & x["first"].isNotNull(), (x["s"] / C("all_s") - x["cnt"] / C("total") + 100) / 2)
+    told = F.transform("zones", lambda x: F.struct(share(x).alias("delta"), ratio(C("outer"), x).alias("k"), x.alias("x")))
+    at = at.withColumn("told", told)
+    far = lambda t: t["k"] >= o.min_contrast
+    salient = pick("told", lambda t: far(t) & t["delta"].isNotNull(), lambda t: -t["delta"], lambda t: t["x"]["first"])["x"]
+    plain = pick("told", lambda t: far(t) & (t["x"]["c"] != C("outer.c")), lambda t: -t["k"], lambda t: t["x"]["ord"])["x"]
+    end = F.when(ratio(C("outer"), C("white")) > ratio(C("outer"), C("black")), C("white")).otherwise(C("black"))
+    at = at.withColumns({"found": F.coalesce(salient, plain), "end": end}).withColumn("inner", F.coalesce("found", "end"))
+
+    def put(zones: Column, x: Column, cnt) -> Column:
+        """zones with cnt(the count there, 0 if none) for x's colour, in its place or at the end."""
+        new = x.withField("cnt", cnt(F.lit(0).cast("long"))).withField("ord", F.size(zones))
+        there = F.transform(zones, lambda y: F.when(y["c"] == x["c"], y.withField("cnt", cnt(y["cnt"]))).otherwise(y))
+        return F.when(F.exists(zones, lambda y: y["c"] == x["c"]), there).otherwise(F.concat(zones, F.array(new)))
+
+    at = at.withColumn("zones", F.when(C("found").isNull(), put(C("zones"), C("inner"), lambda n: F.lit(1).cast("long"))).otherwise(C("zones")))
+    at = at.withColumn("zones", F.when(C("found").isNull(), put(C("zones"), C("outer"), lambda n: n - 1)).otherwise(C("zones")))
+    f = F.when(C("inner.light") > C("outer.light"), 0.8).otherwise(1.2)
+    outside = lambda x: F.abs(x["light"] - C("inner.light")) * f > F.abs(x["light"] - C("outer.light"))
+    at = at.withColumn("zones", F.transform("zones", lambda x: x.withField("outside", outside(x))))
+    free = lambda x: (x["c"] != C("outer.c")) & (x["c"] != C("inner.c")) & (x["cnt"] / C("total") >= 0.01)
+    height = lambda x: F.when(C("outer.light") > C("inner.light"), 100 - x["light"]).otherwise(x["light"])
+    delta = lambda x: F.coalesce(share(x), F.lit(0.0))
+    telling = lambda x: x["chroma"] * spaces.distance(x["c"], C("inner.c"), o.space) * x["cnt"] / C("total") * 100 * F.pow(height(x), F.lit(4.0)) * F.pow(delta(x) + 1, F.lit(3.0))
+    top = lambda keep, value: pick(F.transform(F.filter("zones", keep), lambda x: F.struct(value(x).alias("v"), x.alias("x"))), lambda t: t["v"] > 0, lambda t: -t["v"], lambda t: t["x"]["ord"])["x"]
+    bare = lambda x: x.dropFields("outside")
+    at = at.withColumn("accent", F.coalesce(bare(top(lambda x: ~x["outside"] & free(x) & (ratio(C("outer"), x) >= 9), telling)), C("inner")))
+    apart = lambda x: F.least(ratio(x, C("inner")), ratio(x, C("accent"))) * x["cnt"] / C("total") * 100
+    return at.withColumn("third", F.coalesce(bare(top(lambda x: x["outside"] & free(x), apart)), C("outer")))
+
+
+def record(picked: DataFrame, space: str) -> DataFrame:
+    """A row an image: roles, pools and centroids as RGB ints, contrasts and lightnesses."""
+    names = ("outer", "inner", "third", "accent")
+    counted = lambda keep: F.transform(F.filter("zones", keep), lambda x: F.struct(x["rgb"].alias("rgb"), x["cnt"].alias("cnt")))
+    pairs = [contrast(C(a), C(b), space).alias(f"{a}_{b}") for a, b in (("outer", "inner"), ("outer", "accent"), ("third", "inner"), ("third", "accent"))]
+    pools = [counted(lambda x: x["outside"]).alias("outer_colors"), counted(lambda x: ~x["outside"]).alias("inner_colors"), counted(lambda x: F.lit(True)).alias("centroids")]
+    return picked.select("image_id", *[C(f"{n}.rgb").alias(n) for n in names], *pools, F.struct(*pairs).alias("contrasts"), F.struct(*[C(f"{n}.light").alias(n) for n in names]).alias("lightnesses"))
+
+
+def chosen_centroids(table: DataFrame, o: Options, clamped: bool = True, merge: bool = True) -> DataFrame:
+    """(image_id, cents: array of (c, cnt)): the strategy's centroids over a written colour table, clamped and merged if asked for."""
+    cents = choice(table, o)
+    if clamped and o.clamp is not None:
+        cents = clamp(cents, table, o.clamp, o.space)
+    return cents.select("image_id", merged(C("cents"), o.space).alias("cents")) if merge else cents
 
 
 def extract_colors(pixels: DataFrame, o: Options = Options()) -> DataFrame:
     """A row an image: its roles, pools and centroids as RGB ints."""
-
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("rank")
-        c, cnt, total = t["c"].to_numpy(), t["cnt"].to_numpy(), int(t["n"].sum())
-        found = _centroids(t, o)
-        if o.clamp is not None:
-            found = clamp(found, c, cnt, total, o.clamp, o.space)
-        found = merge(found, o.space)
-        keys = np.array(list(found), np.int64)
-        border = t["ring_n"].to_numpy() > 0
-        zones = _near(c[border], keys, t["ring_n"].to_numpy()[border], t["ring_first"].fillna(0).to_numpy()[border], o.space)
-        outer = min(zones, key=lambda k: (-zones[k][0], zones[k][1])) if zones else 0
-        out = roles(found, _near(c, keys, t["s"].to_numpy(), t["first"].to_numpy(), o.space), outer, total, o)
-        return pd.DataFrame([{"image_id": t["image_id"].iloc[0]} | out])
-
-    return _with_reference(colour_table(pixels, o), o).groupBy("image_id").applyInPandas(one, RESULT)
+    table = written(colour_table(pixels, o), "colours")
+    cents = written(chosen_centroids(table, o), "cents")
+    return record(roles(written(zones(cents, table, o.space), "zones"), o), o.space)
 
 
 def fits(pixels: DataFrame, ks: tuple[int, ...], o: Options = Options()) -> DataFrame:
-    """(image_id, k, wcss, centroids): k-means of each image's weighted histogram, one task's group for each image and k."""
-
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("rank")
-        k = int(t["k"].iloc[0])
-        found, error = kmeans(t["c"].to_numpy(), t["cnt"].to_numpy(), k, o.space, o.rounds)
-        return pd.DataFrame([{"image_id": t["image_id"].iloc[0], "k": k, "wcss": error, "centroids": list(found.items())}])
-
-    table = colour_table(pixels, o).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    return table.groupBy("image_id", "k").applyInPandas(one, "image_id long, k int, wcss double, centroids array<struct<c:int,cnt:bigint>>")
+    """(image_id, k, wcss, ord, c, cnt): k-means of each image's weighted histogram, a row a centroid."""
+    table = written(colour_table(pixels, o), "colours")
+    wanted = table.filter("rank = 1").select("ref", "image_id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+    fitted = kmeans.fits(table.select("ref", "image_id", "rank", "c", "cnt", "colours"), wanted, o.space, o.rounds)
+    return fitted.select("image_id", "k", C("error").alias("wcss"), F.posexplode("centroids").alias("ord", "x")).select("image_id", "k", "wcss", "ord", "x.c", "x.cnt")
 
 
 def chosen(pixels: DataFrame, o: Options, clamped: bool = False, merged: bool = False) -> DataFrame:
     """(image_id, ord, c, cnt): the strategy's centroids, clamped and merged if asked for."""
-
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("rank")
-        found = _centroids(t, o)
-        if clamped:
-            found = clamp(found, t["c"].to_numpy(), t["cnt"].to_numpy(), int(t["n"].sum()), o.clamp or 0.0, o.space)
-        if merged:
-            found = merge(found, o.space)
-        return pd.DataFrame({"image_id": t["image_id"].iloc[0], "ord": range(len(found)), "c": list(found), "cnt": list(found.values())})
-
-    return _with_reference(colour_table(pixels, o), o).groupBy("image_id").applyInPandas(one, "image_id long, ord int, c int, cnt long")
+    cents = chosen_centroids(written(colour_table(pixels, o), "colours"), o, clamped, merged)
+    return cents.select("image_id", F.posexplode("cents").alias("ord", "x")).select("image_id", "ord", "x.c", "x.cnt")

@@ -121,15 +121,20 @@ def on_ring(idx, w, h):
     return F.sqrt(dx * dx + dy * dy) > F.greatest(w, h) / 2 * 0.95
 
 
+def nearest_place(c, cents, space: str):
+    """The place in the array cents of the colour nearest to c, ties to the first."""
+    return F.array_min(F.transform(cents, lambda x, i: F.struct(spaces.distance(c, x, space).alias("d"), i.alias("i"))))["i"]
+
+
 def assign(colours: DataFrame, centroids: DataFrame, space: str = "oklab") -> DataFrame:
-    """colours (image_id, c, ...) with ord and cent, the nearest of the image's centroids (image_id, ord, cent), ties to the first.
+    """colours (image_id, c, ...) with ord and cent, the nearest of the image's centroids (image_id, ord, cent), and its distance d, ties to the first.
 
-    Centroids are few an image; they meet on image_id and the least is kept by a grouped minimum.
+    Centroids are few an image: they meet the colours as one array, and each row keeps its least.
     """
-    met = colours.join(centroids.select("image_id", "ord", F.col("cent")), "image_id")
-    met = met.withColumn("d", spaces.distance(F.col("c"), F.col("cent"), space))
-    keys = [c for c in colours.columns]
-    return met.groupBy(*keys).agg(F.min(F.struct("d", "ord", "cent")).alias("m")).select(*keys, F.col("m.ord").alias("ord"), F.col("m.cent").alias("cent"), F.col("m.d").alias("d"))
+    few = centroids.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ord", "cent"))).alias("_cents"))
+    met = colours.join(few, "image_id")
+    least = F.array_min(F.transform("_cents", lambda x: F.struct(spaces.distance(F.col("c"), x["cent"], space).alias("d"), x["ord"].alias("ord"), x["cent"].alias("cent"))))
+    return met.select(*colours.columns, least.alias("_m")).select(*colours.columns, F.col("_m.ord").alias("ord"), F.col("_m.cent").alias("cent"), F.col("_m.d").alias("d"))
 
 
 def top_centroids(hist: DataFrame, k: int = 8) -> DataFrame:
@@ -144,20 +149,18 @@ def centroid_means(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("image_id", "ord").agg(spaces.pack(*means).alias("mean"), w.alias("wsum"))
 
 
-def outer_colour(pixels: DataFrame, centroids: DataFrame, space: str = "oklab") -> DataFrame:
-    """(image_id, outer): the centroid nearest to most of the ring's pixels, ties to the one met first."""
-    tally = ring(pixels).groupBy("image_id", "c").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
+def outer_colour(table: DataFrame, centroids: DataFrame, space: str = "oklab") -> DataFrame:
+    """(image_id, outer): the centroid nearest to most of the ring's pixels, ties to the one met first. table: colours with ring_n, ring_first."""
+    tally = table.filter("ring_n > 0").select("image_id", "c", F.col("ring_n").alias("n"), F.col("ring_first").alias("first"))
     zones = assign(tally, centroids, space).groupBy("image_id", "cent").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     return zones.groupBy("image_id").agg(F.min(F.struct(-F.col("n"), "first", "cent")).alias("m")).select("image_id", F.col("m.cent").alias("outer"))
 
 
-def saliency_share(pixels: DataFrame, saliency_map: DataFrame, centroids: DataFrame, space: str = "oklab") -> DataFrame:
-    """(image_id, cent, delta, first): ((share of the salient pixels) - (share of the pixels) + 100) / 2; none without salient pixels."""
-    met = pixels.join(saliency_map.select("image_id", "idx", "sal"), ["image_id", "idx"])
-    base = met.groupBy("image_id", "c").agg(F.sum("sal").alias("s"), F.count("*").alias("n"), F.min("idx").alias("first"))
-    near = assign(base, centroids, space).groupBy("image_id", "cent").agg(F.sum("s").alias("s"), F.min("first").alias("first"))
-    total = base.groupBy("image_id").agg(F.sum("s").alias("all_s"), F.sum("n").alias("total"))
-    out = near.join(total, "image_id").filter("all_s > 0").join(centroids.select("image_id", "cent", "cnt"), ["image_id", "cent"])
+def saliency_share(table: DataFrame, centroids: DataFrame, space: str = "oklab") -> DataFrame:
+    """(image_id, cent, delta, first): ((share of the salient pixels) - (share of the pixels) + 100) / 2; none without salient pixels. table: colours with s, first, total."""
+    near = assign(table.select("image_id", "c", "s", "first", "total"), centroids, space).groupBy("image_id", "cent").agg(F.sum("s").alias("s"), F.min("first").alias("first"), F.first("total").alias("total"))
+    all_s = F.sum("s").over(Window.partitionBy("image_id"))
+    out = near.withColumn("all_s", all_s).filter("all_s > 0").join(centroids.select("image_id", "cent", "cnt"), ["image_id", "cent"])
     delta = (F.col("s") / F.col("all_s") - F.col("cnt") / F.col("total") + 100) / 2
     return out.select("image_id", "cent", delta.alias("delta"), "first")
 

@@ -184,6 +184,9 @@ def sql() -> dict[str, str]:
     sum_of = lambda w: f"sum(q.v * {w})"
     gx, gy = sum_of("(q.x - p.x) * (2 - abs(q.y - p.y))"), sum_of("(q.y - p.y) * (2 - abs(q.x - p.x))")
     out["sobel"] = f"{smooth}\nSELECT p.image_id, p.idx, CASE WHEN p.x BETWEEN 1 AND p.w - 2 AND p.y BETWEEN 1 AND p.h - 2 AND sqrt({gx} * {gx} + {gy} * {gy}) > 128 THEN 255 ELSE 0 END AS v FROM adaptive p JOIN adaptive q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY p.image_id, p.w, p.h, p.idx, p.x, p.y"
+    from . import oracle_clusters  # its steps come after these
+
+    out |= oracle_clusters.sql()
     out["text_segments"] = f"WITH RECURSIVE {_pixels('l_linenumber', 64)},\n{_SCAN}"
     return out
 
@@ -241,8 +244,8 @@ def _ciede(source: str, keep: str) -> str:
     return f"SELECT {keep}, d FROM {source}"
 
 
-def _named() -> str:
-    """SQL for (c, name) of each colour of rgb."""
+def _named(colours: str = "(SELECT DISTINCT c FROM rgb)") -> str:
+    """SQL for (c, name) of each of the packed RGB colours."""
     words = CSS.split()
     rows = ", ".join(f"({i}, '{n}', {int(h, 16)})" for i, (n, h) in enumerate(zip(words[::2], words[1::2], strict=True)))
 
@@ -252,7 +255,7 @@ def _named() -> str:
         f = ", ".join(f"CASE WHEN t{i} > {LAB_LOW!r} THEN cbrt(t{i}) ELSE (t{i} * {LAB_SLOPE!r} + 16) / 116 END AS f{i}" for i in range(3))
         return f"(SELECT * EXCLUDE (c), c AS c{n}, f1 * 116 - 16 AS l{n}, (f0 - f1) * 500 AS a{n}, (f1 - f2) * 200 AS b{n} FROM (SELECT * EXCLUDE (t0, t1, t2), {f} FROM (SELECT * EXCLUDE (q0, q1, q2), {xyz} FROM (SELECT *, {lin} FROM {source}))))"
 
-    both = f"(SELECT k.name, k.o, e.c2, k.l1, k.a1, k.b1, e.l2, e.a2, e.b2 FROM {lab(f'(VALUES {rows}) v(o, name, c)', 1)} k CROSS JOIN {lab('(SELECT DISTINCT c FROM rgb)', 2)} e)"
+    both = f"(SELECT k.name, k.o, e.c2, k.l1, k.a1, k.b1, e.l2, e.a2, e.b2 FROM {lab(f'(VALUES {rows}) v(o, name, c)', 1)} k CROSS JOIN {lab(colours, 2)} e)"
     return f"SELECT c2 AS c, name FROM ({_ciede(both, 'c2, name, o')}) QUALIFY row_number() OVER (PARTITION BY c2 ORDER BY round(d, 9), o) = 1"
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, spaces
-from ..operators import clusters, regions
+from ..operators import clusters, kmeans, regions
 from ..operators import pixels as px
 from ..sources.images import derived_pixels
+from ..sources.tables import written
 
 C = F.col
 QUERIES: dict = {}
@@ -43,10 +43,10 @@ def salient(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return own, px.saliency(px.grey(own))
 
 
-def centroids(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pixels, saliency, the eight most frequent colours as centroids)."""
-    own, sal = salient(spark, d)
-    return own, sal, px.top_centroids(px.histogram(own, sal))
+def centroids(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(the colour table, written once, with salient colours weighing more; its eight most frequent colours as centroids)."""
+    table = written(clusters.colour_table(whole(spark, d), clusters.Options()), "colours")
+    return table, px.top_centroids(table)
 
 
 def r6(c):
@@ -153,29 +153,29 @@ def top_colors(spark, d):
     return rgb.select("image_id", "rank", spaces.hex_string(C("c")).alias("hex"), "cnt")
 
 
+def _assigned(spark, d):
+    table, cents = centroids(spark, d)
+    return px.assign(table.select("image_id", "c", "cnt"), cents)
+
+
 @query
 def nearest_seed_assign(spark, d):
-    own, sal, cents = centroids(spark, d)
-    hist = px.histogram(own, sal).select("image_id", "c", "cnt")
-    return px.assign(hist, cents).select("image_id", "c", "cnt", "ord", r6(C("d")).alias("d"))
+    return _assigned(spark, d).select("image_id", "c", "cnt", "ord", r6(C("d")).alias("d"))
 
 
 @query
 def centroid_update(spark, d):
-    own, sal, cents = centroids(spark, d)
-    return px.centroid_means(px.assign(px.histogram(own, sal).select("image_id", "c", "cnt"), cents))
+    return px.centroid_means(_assigned(spark, d))
 
 
 @query
 def wcss_step(spark, d):
-    own, sal, cents = centroids(spark, d)
-    near = px.assign(px.histogram(own, sal).select("image_id", "c", "cnt"), cents)
-    return near.groupBy("image_id").agg(r6(F.sum(C("d") * C("d") * C("cnt")) / F.sum("cnt")).alias("wcss"))
+    return _assigned(spark, d).groupBy("image_id").agg(r6(F.sum(C("d") * C("d") * C("cnt")) / F.sum("cnt")).alias("wcss"))
 
 
 @query
 def near_duplicate_pairs(spark, d):
-    return px.near_duplicates(centroids(spark, d)[2]).withColumn("d", r6(C("d")))
+    return px.near_duplicates(centroids(spark, d)[1]).withColumn("d", r6(C("d")))
 
 
 @query
@@ -185,8 +185,7 @@ def border_ring(spark, d):
 
 @query
 def border_tally(spark, d):
-    own, _, cents = centroids(spark, d)
-    return px.outer_colour(own, cents)
+    return px.outer_colour(*centroids(spark, d))
 
 
 @query
@@ -199,8 +198,7 @@ def _picks(spark, d):
 
     One table of colours is enough: each colour goes to its nearest centroid once, and all choices are windows over an image's few centroids.
     """
-    table = clusters.colour_table(whole(spark, d), clusters.Options())
-    cents = px.top_centroids(table)
+    table, cents = centroids(spark, d)
     near = px.assign(table, cents)
     own = near.groupBy("image_id", "ord", "cent").agg(
         F.sum("cnt").alias("weight"), F.max(F.when(C("c") == C("cent"), C("cnt"))).alias("cnt"), F.sum("s").alias("s"), F.min("first").alias("first"),
@@ -249,36 +247,23 @@ def pool_split(spark, d):
 @query
 def seed_colours(spark, d):
     """The first six colours by rank that are not alike."""
-
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("rank")
-        found = clusters.seeds(t["c"].to_numpy(), 6, "oklab")
-        return pd.DataFrame({"image_id": t["image_id"].iloc[0], "ord": range(1, len(found) + 1), "c": found})
-
-    return px.histogram(*salient(spark, d)).groupBy("image_id").applyInPandas(one, "image_id long, ord int, c int")
+    own = px.histogram(*salient(spark, d)).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "c")))["c"].alias("all"))
+    return own.select("image_id", F.posexplode(kmeans.seeds(C("all"), F.lit(6), "oklab")).alias("ord", "c")).select("image_id", (C("ord") + 1).alias("ord"), "c")
 
 
 @query
 def clamp_nearest(spark, d):
     """The centroids of one update, moved to the image's colours of at least 0.3 percent."""
-    own, sal, cents = centroids(spark, d)
-    hist = px.histogram(own, sal)
-    means = px.centroid_means(px.assign(hist.select("image_id", "c", "cnt"), cents)).groupBy("image_id", "mean").agg(F.sum("wsum").alias("n"))
-
-    def one(centroid: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("rank")
-        found = clusters.clamp(dict(zip(centroid["mean"], centroid["n"], strict=True)), t["c"].to_numpy(), t["cnt"].to_numpy(), int(t["total"].iloc[0]), 0.3, "oklab")
-        return pd.DataFrame({"image_id": t["image_id"].iloc[0], "c": list(found), "n": list(found.values())})
-
-    table = hist.join(own.groupBy("image_id").agg(F.count("*").alias("total")), "image_id")
-    means = means.select(C("image_id").alias("image"), "mean", "n")
-    return means.groupBy("image").cogroup(table.groupBy("image_id")).applyInPandas(one, "image_id long, c int, n long")
+    table, cents = centroids(spark, d)
+    means = px.centroid_means(px.assign(table.select("image_id", "c", "cnt"), cents)).groupBy("image_id", C("mean").alias("c")).agg(F.sum("wsum").alias("cnt"))
+    arrays = means.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("c", "cnt"))).alias("cents"))
+    return clusters.clamp(arrays, table, 0.3, "oklab").select("image_id", F.explode("cents").alias("x")).select("image_id", "x.c", C("x.cnt").alias("n"))
 
 
 def _errors(spark, d):
     """(image_id, k, wcss) of the first k of eight fixed centroids."""
-    own, sal, cents = centroids(spark, d)
-    met = px.histogram(own, sal).select("image_id", "c", "cnt").join(cents.select("image_id", "ord", "cent"), "image_id")
+    table, cents = centroids(spark, d)
+    met = table.select("image_id", "c", "cnt").join(cents.select("image_id", "ord", "cent"), "image_id")
     upto = Window.partitionBy("image_id", "c").orderBy("ord")
     near = met.withColumn("d", F.min(spaces.distance(C("c"), C("cent"), "oklab")).over(upto))
     return near.groupBy("image_id", C("ord").alias("k")).agg((F.sum(C("d") * C("d") * C("cnt")) / F.sum("cnt")).alias("wcss"))
@@ -299,12 +284,8 @@ def iqr_outliers(spark, d):
 @query
 def elbow_slope(spark, d):
     """The slope of the line through the errors of k = 1 .. 8."""
-
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("k")
-        return pd.DataFrame({"image_id": t["image_id"].iloc[:1], "slope": clusters.slope(t["k"].tolist(), t["wcss"].tolist())})
-
-    return _errors(spark, d).groupBy("image_id").applyInPandas(one, "image_id long, slope double").withColumn("slope", r6(C("slope")))
+    points = _errors(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("k", C("wcss").alias("error")))).alias("points"))
+    return points.select("image_id", r6(clusters.slope(C("points"))).alias("slope"))
 
 
 @query
@@ -372,7 +353,8 @@ _fitted("merge_groups", clusters.Options(strategy="constant", k=8), clamped=True
 
 @query
 def kmeans_k(spark, d):
-    return clusters.fits(whole(spark, d), (2, 4, 8))
+    """k-means of all images to the end, a row a centroid."""
+    return clusters.fits(whole(spark, d), (2, 4, 8)).withColumn("wcss", r6(C("wcss")))
 
 
 @query

@@ -1,7 +1,9 @@
 """The colour engine against its SQL, hand-made images and invariants."""
 
 import glob
+import math
 import os
+import sys
 
 import duckdb
 import numpy as np
@@ -9,13 +11,16 @@ import pytest
 
 import __spark_entry__ as entry
 from huescope.functions import arrays, names, spaces
-from huescope.operators import clusters, regions
+from huescope.operators import clusters, kmeans, regions
 from huescope.operators import pixels as px
 from huescope.plans import queries
 from huescope.sources.images import pixels_of
 
+sys.path.insert(0, os.path.dirname(__file__))
+import plain_clusters as plain  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
-CHECKED = ("third_pick", "clamp_nearest", "text_segments", "opening", "distance_lab", "nearest_css_name", "pixels_trim", "pack_oklab", "unpack_oklab", "saliency_mask", "hist_weighted", "centroid_update", "border_tally", "sobel", "scramble", "top_colors")
+CHECKED = ("kmeans_k", "strategy_elbow", "strategy_gap", "merge_groups", "summary", "role_names", "seed_colours", "elbow_slope", "saliency_share", "third_pick", "clamp_nearest", "text_segments", "opening", "distance_lab", "nearest_css_name", "pixels_trim", "pack_oklab", "unpack_oklab", "saliency_mask", "hist_weighted", "centroid_update", "border_tally", "sobel", "scramble", "top_colors")
 
 
 def value(v):
@@ -70,15 +75,95 @@ def test_greys_pack_and_come_back(spark):
     assert [int(x) for x in arrays.to_rgb(np.array([r.c for r in rows]), "oklab")] == [r.back for r in rows]
 
 
-def test_kmeans_keeps_counts_and_medoids():
+def same(a, b):
+    if isinstance(a, dict):
+        return a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
+    if isinstance(a, (list, tuple)):
+        return len(a) == len(b) and all(map(same, a, b))
+    return a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def plain_records(spark, pixels, o):
+    table = clusters.colour_table(pixels, o).toPandas()
+    ks = range(o.min_k, o.max_k + 1)
+    even = {t: [plain.kmeans(*plain.uniform_reference(int(t)), k, o.space, o.rounds)[1] for k in ks] for t in (table["total"].unique() if o.strategy == "gap" else ())}
+    return {i: plain.summary(t, o, even.get(t["total"].iloc[0]))[1] for i, t in table.groupby("image_id")}
+
+
+def records(frame):
+    out = {r.image_id: r.asDict(True) for r in frame.collect()}
+    for r in out.values():
+        r.pop("image_id")
+        for k in ("outer_colors", "inner_colors", "centroids"):
+            r[k] = [(x["rgb"], x["cnt"]) for x in r[k]]
+    return out
+
+
+@pytest.mark.parametrize(
+    "o,block",
+    [
+        (clusters.Options(), 64),
+        (clusters.Options(space="lab", strategy="constant", k=8), 4096),
+        (clusters.Options(strategy="gap", min_k=2, max_k=6, clamp=0.5), 50),
+        (clusters.Options(space="rgb", strategy="constant", k=0, clamp=None), 4096),
+        (clusters.Options(strategy="constant", k=20, rounds=2, clamp=1.0), 100),
+    ],
+)
+def test_all_images_at_once_equal_one_by_one(spark, monkeypatch, o, block):
+    """Rounds over blocks, folds and roles against the plain summary of each image; small blocks make every image take part in shuffled rounds."""
+    monkeypatch.setattr(kmeans, "BLOCK", block)
+    pixels = entry.plans.whole(spark, SF).filter("image_id < 5")
+    got, want = records(clusters.extract_colors(pixels, o)), plain_records(spark, pixels, o)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert same({k: v for k, v in want[i].items()}, got[i]), i
+
+
+def test_queries_of_whole_records_equal_the_plain_ones(spark):
+    gap = clusters.Options(strategy="gap", min_k=4, max_k=20, clamp=0.005)  # the options of the published tests
+    got = records(queries.QUERIES["extract_colors_gap"](spark, SF))
+    want = plain_records(spark, entry.plans.whole(spark, SF), gap)
+    assert got.keys() == want.keys() and all(same(want[i], got[i]) for i in want)
+    for r in got.values():
+        assert sorted(r["outer_colors"] + r["inner_colors"]) == sorted(r["centroids"])
+
+
+def test_seeds_and_slope(spark):
     rng = np.random.default_rng(1)
-    colours = np.unique(rng.integers(0, 1 << 24, 300))
-    counts = rng.integers(1, 9, len(colours))
-    for k in (1, 3, 9):
-        found, error = clusters.kmeans(colours, counts, k, "rgb")
-        assert sum(found.values()) == counts.sum() and set(found) <= set(colours.tolist()) and error >= 0
-        merged = clusters.merge(clusters.clamp(found, colours, counts, int(counts.sum()), 0.5, "rgb"), "rgb")
-        assert sum(merged.values()) == counts.sum()
+    colours = np.unique(rng.integers(0, 1 << 24, 300)).tolist()
+    df = spark.createDataFrame([(colours, k) for k in (1, 5, 40)], "c array<int>, k int")
+    for space in ("rgb", "oklab"):
+        for r in df.select("k", kmeans.seeds(spaces.F.col("c"), spaces.F.col("k"), space).alias("s")).collect():
+            assert r.s == plain.seeds(np.array(colours), r.k, space).tolist()
+    points = [[(1, 3.0), (2, 2.0), (3, 1.0)], [(1, 5.0)], [(k, float(100 if k == 4 else 9 - k)) for k in range(1, 9)], [(2, 1.0), (2, 4.0)]]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(points)], "i int, p array<struct<k:int,error:double>>")
+    got = {r.i: r.s for r in df.select("i", clusters.slope(spaces.F.col("p")).alias("s")).collect()}
+    assert got == {i: plain.slope([k for k, _ in p], [e for _, e in p]) for i, p in enumerate(points)}
+
+
+def test_elbow_choice(spark):
+    cases = [(1, []), (3, [(1, 9.0), (2, 4.0)]), (300, [(1, 90.0), (2, 40.0), (3, 20.0), (4, 12.0), (50, 1.0), (100, 0.5)]), (60, [(1, 9.0), (2, 8.0), (3, 7.5), (4, 7.0), (50, 1.0)]), (300, [(k, 5.0) for k in (1, 2, 3, 4, 50, 100)])]
+    df = spark.createDataFrame([(i, n, e) for i, (n, e) in enumerate(cases)], "i int, n int, e array<struct<k:int,error:double>>")
+    got = {r.i: r.k for r in df.select("i", clusters.elbow_k(spaces.F.col("e"), spaces.F.col("n"), (1, 2, 3, 4), (50, 100)).alias("k")).collect()}
+    assert got == {i: plain.elbow_k(lambda k, e=dict(e): e[k], n, (1, 2, 3, 4), (50, 100)) for i, (n, e) in enumerate(cases)}
+
+
+@pytest.mark.parametrize("pool", ["often", "all"])
+def test_clamp_and_merge_in_order(spark, pool):
+    """Moves onto centroids that stay, onto each other, and groups that join, as the plain folds do them."""
+    rng = np.random.default_rng(4)
+    colours = (rng.integers(90, 110, (40, 3)) @ np.array([65536, 256, 1])).tolist()
+    colours = list(dict.fromkeys(colours))
+    counts = rng.integers(0, 30, len(colours)).tolist()
+    total, percent = sum(counts), 3.0 if pool == "often" else 90.0
+    cents = dict(zip(colours[::3] + [colours[0] + 1, colours[3] + 257], rng.integers(1, 50, len(colours[::3]) + 2).tolist(), strict=True))
+    table = spark.createDataFrame([(1, c, i + 1, n, total) for i, (c, n) in enumerate(zip(colours, counts, strict=True))], "image_id long, c int, rank int, cnt long, total long")
+    few = spark.createDataFrame([(1, list(cents.items()))], "image_id long, cents array<struct<c:int,cnt:long>>")
+    moved = clusters.clamp(few, table, percent, "rgb")
+    want = plain.clamp(cents, np.array(colours), np.array(counts), total, percent, "rgb")
+    assert [tuple(x) for x in moved.first().cents] == list(want.items())
+    joined = moved.select(clusters.merged(spaces.F.col("cents"), "rgb").alias("m")).first().m
+    assert [tuple(x) for x in joined] == list(plain.merge(want, "rgb").items()) and len(joined) < len(want)
 
 
 def test_roles_are_of_the_image(spark):
@@ -129,12 +214,6 @@ def test_contours_and_names_are_whole(spark):
     assert named.count() == colours.count() > colours.filter("rank <= 3").count()
 
 
-def test_elbow_and_slope():
-    assert clusters.slope([1, 2, 3], [3.0, 2.0, 1.0]) == -1.0
-    assert clusters.elbow_k(lambda k: 1 / k, 1, (1, 2), (50,)) == 1
-    assert 0 <= clusters.elbow_k(lambda k: 1 / k, 300, (1, 2, 3, 4), (50, 100)) <= 300
-
-
 @pytest.mark.parametrize("w", [20, 64, 640])
 def test_text_segments_against_a_scan(spark, w):
     """Runs against a scan pixel by pixel with its counters."""
@@ -181,16 +260,7 @@ def test_numpy_spaces_equal_columns(spark, space):
     packed = np.array([r.c for r in rows])
     assert np.allclose(arrays.lightness(packed, space), [r.light for r in rows]) and np.allclose(arrays.chroma(packed, space), [r.chroma for r in rows])
     assert (arrays.to_rgb(packed, space) == [r.rgb for r in rows]).all()
-    assert np.allclose(arrays.distances(packed, np.array([spaces.WHITE[space]]), space)[:, 0], [r.d for r in rows])
+    assert np.allclose(arrays.nearest(packed, np.array([spaces.WHITE[space]]), space)[1], [r.d for r in rows])
+    assert np.allclose(arrays.apart(packed, np.full(len(packed), spaces.WHITE[space]), space), [r.d for r in rows])
     ends = spark.range(1).select(*[spaces.to_packed(*(spaces.F.lit(v),) * 3, space) for v in (0, 255)]).first()
     assert tuple(ends) == (spaces.BLACK[space], spaces.WHITE[space])
-
-
-def test_gap_reference_and_pools(spark):
-    out = clusters.extract_colors(entry.plans.whole(spark, SF), clusters.Options(strategy="gap", min_k=4, max_k=8)).collect()
-    for r in out:
-        assert sorted(map(tuple, r.outer_colors + r.inner_colors)) == sorted(map(tuple, r.centroids))
-    sizes = spark.createDataFrame([(361,), (361,), (100,)], "total long")
-    known = {r.total: r.reference for r in clusters.references(sizes, clusters.Options(min_k=1, max_k=3)).collect()}
-    assert {t: len(x) for t, x in known.items()} == {361: 3, 100: 3}
-    assert known[100][1] == clusters.kmeans(*clusters.uniform_reference(100), 2, "oklab")[1]

@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .offsets import running_start
@@ -115,10 +115,11 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, block=BLO
 
 
 def mix_sizes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row."""
+    """doc_id, size, source_size, target, taken, n_shards (the output shards that its words go to) for each row."""
     rows, taken = mix_plan(docs, **options)
-    sums = taken.groupBy("row_no").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    return rows.join(sums.hint("merge"), "row_no", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    sums = taken.groupBy("row_no").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.size(F.collect_set("shard")).alias("n_shards"))
+    counted = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_shards")]
+    return rows.join(sums.hint("merge"), "row_no", "left").select("doc_id", "size", "source_size", "target", *counted)
 
 
 def _passages(columns: list[str], more: list[str], merged: bool):
@@ -161,15 +162,22 @@ def _passages(columns: list[str], more: list[str], merged: bool):
 
 def _texts(docs: DataFrame, rows: DataFrame, taken: DataFrame, by: list[str]) -> DataFrame:
     """c0, c1, ... (the columns of docs) and runs, for each row that is taken and each value of `by`. Rows that agree in doc_id, source and text are
-    copies of each other: their other columns are those of one of them."""
+    told apart by a number: the plan's by row_no, those of docs by a hash of all columns."""
     runs = taken.groupBy("row_no", *by).agg(F.collect_list(F.struct("first", "last", "source_no", "slot", "shard")).alias("runs"))
-    keyed = rows.select("row_no", "doc_id", "source", "tie").join(runs.hint("merge"), "row_no")
-    tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    own = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"c{j}") for j, c in enumerate(docs.columns)], F.struct("doc_id", "source", tie).alias("key"))
-    again = rows.filter("size > 0").groupBy("source", "doc_id", "tie").count().filter("count > 1")
-    if not again.isEmpty():
-        own = own.dropDuplicates(["key"])
-    return keyed.select(F.struct("doc_id", "source", "tie").alias("key"), "runs").join(own, "key").drop("key")
+    tie, names = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), [f"c{j}" for j in range(len(docs.columns))]
+    own = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.struct("doc_id", "source", tie.alias("tie")).alias("key"))
+    planned = rows.filter("size > 0").select("row_no", F.struct("doc_id", "source", "tie").alias("key"))
+    again = planned.groupBy("key").count().filter("count > 1").select("key")
+    if again.isEmpty():
+        return planned.join(runs.hint("merge"), "row_no").select("key", "runs").join(own, "key").drop("key")
+
+    def numbered(df: DataFrame, order: Column) -> DataFrame:
+        """df with `n`: 0 where its key stands alone, else its place among the rows of its key."""
+        several = running_start(df.join(again, "key", "left_semi").withColumn("one", F.lit(1)), [order], "one", "n", group="key").drop("one")
+        return df.join(again, "key", "left_anti").withColumn("n", F.lit(0).cast("long")).unionByName(several)
+
+    keyed = numbered(planned, F.col("row_no")).join(runs.hint("merge"), "row_no").select("key", "n", "runs")
+    return keyed.join(numbered(own, F.xxhash64(F.to_json(F.struct(*names)))), ["key", "n"]).drop("key", "n")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import drop, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,4 +27,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = table(moved.union(low).distinct(), "stars")
+        before, now = now, table(moved.union(low).distinct(), "stars")
+        drop(before)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import table, whole_row
+from .shared import collected, drop, table, whole_row
 from .spans import LOWER, chunks, mix, span_hashes, word_spans
 
 WIDTH, SIMILARITY = 5, 80
@@ -182,7 +182,15 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows: doc_id, tie, n, h1, h2; classes: node, n, h1, h2, first_id; roots: node, root of the linked ones)."""
+    """(rows: doc_id, tie, n, h1, h2; classes: node, n, h1, h2, first_id; roots: node, root of the linked ones), tables all; others that were made on the way are gone."""
+    with collected() as made:
+        kept = _classes_and_roots(docs, width, similarity)
+    drop(*[t for t in made if all(t is not k for k in kept)])
+    rows, classes, roots = kept
+    return rows.drop("bands"), classes.drop("bands"), roots
+
+
+def _classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text"))
     rows = table(texts.mapInArrow(_sketches(width), "doc_id long, tie long, n long, h1 long, h2 long, bands array<long>"), "sketches")
     same = rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
@@ -267,7 +275,7 @@ def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[Dat
         last = table(_rooted(last, roots), "last")
         fetch(last.select("node"))
         confirm(_by_prefix(last, sets, similarity))
-    return rows.drop("bands"), classes.drop("bands"), roots
+    return rows, classes, roots
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
@@ -289,7 +297,10 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY)
 
     Rows with empty sets all stay. Columns of docs may have any names.
     """
-    found = table(near_duplicates(docs, width, similarity), "found")
+    with collected() as made:
+        near = near_duplicates(docs, width, similarity)
+    found = table(near, "found")
+    drop(*made)
     best = found.filter("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tie")).alias("w"))
     best = table(best.select(F.col("w.doc_id").alias("id"), F.col("w.tie").alias("tie")).distinct(), "winners")
     empty = found.filter("class is null").select(F.col("doc_id").alias("id"), "tie").distinct()

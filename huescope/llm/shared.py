@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_watching: list[list[DataFrame]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -33,7 +36,7 @@ def _gone_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it again: its lineage is cut, it survives lost executors. It goes when the application ends.
+    """Write df to the shared folder and read it again: its lineage is cut, it survives lost executors. It goes by drop(), or when the application ends.
 
     Spark deletes the shuffles of the write once the table is there, instead of when the driver's heap is next collected.
     """
@@ -48,9 +51,22 @@ def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     _gone_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._own_table = path
+    for made in _watching:
+        made.append(out)
     return out
 
 
+@contextlib.contextmanager
+def collected() -> Iterator[list[DataFrame]]:
+    """The tables that table() makes inside, for drop() once they have served."""
+    made: list[DataFrame] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching[:] = [w for w in _watching if w is not made]
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the folders of what table() returned; nothing may read them any more."""
     for t in tables:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spaces
@@ -76,28 +76,45 @@ def text_edges(pixels: DataFrame) -> DataFrame:
     return sobel(closing(opening(adaptive_threshold(luma(pixels)))))
 
 
+def islands(rows: DataFrame, low: str, high: str, apart: Column, by: list[str], name: str) -> DataFrame:
+    """rows with `name`, the number of their island within `by`: a row whose [low, high] begins more than `apart` after all before it ended begins one."""
+    order = Window.partitionBy(*by).orderBy(low, high)
+    before = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(before.isNull() | (F.col(low) - before > apart), 1).otherwise(0)
+    return rows.withColumn("_fresh", fresh).withColumn(name, F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")
+
+
+def _fill(t: pd.DataFrame) -> pd.DataFrame:
+    """The flood fills of an island's pixels: first (x, y), ord, x, y."""
+    left, out = set(zip(t["y"].tolist(), t["x"].tolist(), strict=True)), []
+    for start in sorted(left):
+        if start in left:
+            left.discard(start)
+            todo, n = [start], 0
+            while todo:
+                y, x = todo.pop()
+                for p in [(y + j, x + i) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1))]:
+                    if p in left:
+                        left.discard(p)
+                        todo.append(p)
+                        out.append((t["image_id"].iloc[0], *start, n, p[1], p[0]))
+                        n += 1
+    return pd.DataFrame(out, columns=["image_id", "first_y", "first_x", "ord", "x", "y"])
+
+
 def contour_points(edges: DataFrame) -> DataFrame:
-    """(image_id, contour_id, ord, x, y): 8-connected edge pixels in the order in which a flood fill from their first in raster order, left out itself, finds them."""
-
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        left, out, contour = set(zip(t["y"].tolist(), t["x"].tolist(), strict=True)), [], 0
-        for start in sorted(left):
-            if start in left:
-                left.discard(start)
-                todo, found = [start], []
-                while todo:
-                    y, x = todo.pop()
-                    for p in [(y + j, x + i) for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1))]:
-                        if p in left:
-                            left.discard(p)
-                            found.append(p)
-                            todo.append(p)
-                if found:
-                    out += [(t["image_id"].iloc[0], contour, n, x, y) for n, (y, x) in enumerate(found)]
-                    contour += 1
-        return pd.DataFrame(out, columns=["image_id", "contour_id", "ord", "x", "y"])
-
-    return edges.filter("v = 255").select("image_id", "x", "y").groupBy("image_id").applyInPandas(one, "image_id long, contour_id int, ord int, x int, y int")
+    """(image_id, contour_id, ord, x, y): 8-connected edge pixels in the order in which a flood fill from their first in raster order, left out itself, finds them.
+
+    An image's pixels are first cut into islands, which no empty row or column divides, by rows, columns and rows again: windows only. An island is a task's group, and
+    contours are numbered by their first pixels afterwards.
+    """
+    one, image = F.lit(1), ["image_id"]
+    cut = islands(edges.filter("v = 255").select("image_id", "x", "y"), "y", "y", one, image, "a")
+    cut = islands(cut, "x", "x", one, [*image, "a"], "b")
+    cut = islands(cut, "y", "y", one, [*image, "a", "b"], "c")
+    found = cut.groupBy("image_id", "a", "b", "c").applyInPandas(_fill, "image_id long, first_y int, first_x int, ord int, x int, y int")
+    number = F.dense_rank().over(Window.partitionBy("image_id").orderBy("first_y", "first_x")) - 1
+    return found.select("image_id", number.alias("contour_id"), "ord", "x", "y")
 
 
 def contours(edges: DataFrame) -> DataFrame:
@@ -127,38 +144,42 @@ def text_segments(binary: DataFrame) -> DataFrame:
     return found.filter("closes").filter((F.col("x") - F.col("start")) * 640 >= 30 * F.col("w")).select("image_id", "h", "y", F.col("start").alias("x1"), F.col("x").alias("x2"))
 
 
+def _joined(t: pd.DataFrame) -> pd.DataFrame:
+    """An island's segments after merging; path: the order in their line, originals by x, then what was merged, by the line and order it came from."""
+    lines: dict[int, list[tuple]] = {}
+    for y, x1, x2 in sorted(zip(t["y"].tolist(), t["x1"].tolist(), t["x2"].tolist(), strict=True)):
+        lines.setdefault(y, []).append((x1, y, x2, y, [0, x1]))
+    h = int(t["h"].iloc[0])
+    gap = 6 * h // 640
+    for y in sorted(y for y in range(int(t["y"].min()), int(t["y"].max()) + 1) if y < h - gap):
+        for w in range(y + 1, y + gap + 1):
+            stay, others = [], lines.get(w, [])
+            for a in lines.get(y, []):
+                at = next((j for j, b in enumerate(others) if a[0] <= b[2] and b[0] <= a[2]), None)
+                if at is None:
+                    stay.append(a)
+                else:
+                    b = others.pop(at)
+                    others.append((min(a[0], b[0]), a[1], max(a[2], b[2]), b[3], [1, y, *a[4]]))
+            lines[y] = stay
+    rows = [(t["image_id"].iloc[0], y, *s) for y in lines for s in lines[y]]
+    return pd.DataFrame(rows, columns=["image_id", "line", "x1", "y1", "x2", "y2", "path"])
+
+
 def text_regions(segments: DataFrame) -> DataFrame:
     """(image_id, ord, x1, y1, x2, y2, area): segments (image_id, h, y, x1, x2) joined over lines less than 6 h / 640 apart where they overlap.
 
-    A line's segments, in order, meet those of each following line; one that meets another takes its extent and moves to that line's end, in its place. An image's segments are few
-    against its pixels and are one task's group.
+    A line's segments, in order, meet those of each following line; one that meets another takes its extent and moves to that line's end, in its place. What is joined never grows
+    beyond its island, which more empty lines or any empty column divide from others; an island is a task's group.
     """
-
-    def joined(lines: dict[int, list[list[int]]], h: int) -> list[list[int]]:
-        gap = 6 * h // 640
-        for y in range(h - gap):
-            for w in range(y + 1, y + gap + 1):
-                stay = []
-                for a in lines.get(y, []):
-                    others = lines.get(w, [])
-                    at = next((j for j, b in enumerate(others) if a[0] <= b[2] and b[0] <= a[2]), None)
-                    if at is None:
-                        stay.append(a)
-                    else:
-                        b = others.pop(at)
-                        others.append([min(a[0], b[0]), a[1], max(a[2], b[2]), b[3]])
-                lines[y] = stay
-        return [s for y in sorted(lines) for s in lines[y]]
-
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        lines: dict[int, list[list[int]]] = {}
-        for y, x1, x2 in sorted(zip(t["y"].tolist(), t["x1"].tolist(), t["x2"].tolist(), strict=True)):
-            lines.setdefault(y, []).append([x1, y, x2, y])
-        out = pd.DataFrame(joined(lines, int(t["h"].iloc[0])), columns=["x1", "y1", "x2", "y2"])
-        area = (out["x2"] - out["x1"] + 1) * (out["y2"] - out["y1"] + 1)
-        return out.assign(image_id=t["image_id"].iloc[0], ord=range(len(out)), area=area)[["image_id", "ord", "x1", "y1", "x2", "y2", "area"]]
-
-    return segments.groupBy("image_id").applyInPandas(one, "image_id long, ord int, x1 int, y1 int, x2 int, y2 int, area long")
+    gap, image = F.floor(F.col("h") * 6 / 640), ["image_id"]
+    cut = islands(segments.select("image_id", "h", "y", "x1", "x2"), "y", "y", gap, image, "a")
+    cut = islands(cut, "x1", "x2", F.lit(0), [*image, "a"], "b")
+    cut = islands(cut, "y", "y", gap, [*image, "a", "b"], "c")
+    found = cut.groupBy("image_id", "a", "b", "c").applyInPandas(_joined, "image_id long, line int, x1 int, y1 int, x2 int, y2 int, path array<int>")
+    place = F.row_number().over(Window.partitionBy("image_id").orderBy("line", "path")) - 1
+    area = ((F.col("x2") - F.col("x1") + 1) * (F.col("y2") - F.col("y1") + 1)).cast("long")
+    return found.select("image_id", place.alias("ord"), "x1", "y1", "x2", "y2", area.alias("area"))
 
 
 def crop_regions(pixels: DataFrame, regions: DataFrame) -> DataFrame:

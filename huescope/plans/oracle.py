@@ -156,7 +156,7 @@ def sql() -> dict[str, str]:
         "mask_preview": f"SELECT image_id, idx, CASE WHEN {keep} THEN r ELSE 0 END AS r, CASE WHEN {keep} THEN g ELSE 0 END AS g, CASE WHEN {keep} THEN b ELSE 0 END AS b FROM pix",
         "saliency_overlay": "SELECT p.image_id, p.idx, p.r * s.sal AS r, p.g * s.sal AS g, p.b * s.sal AS b, s.sal * 255 AS a FROM px p JOIN sal s USING (image_id, idx)",
         "scramble": f"SELECT p.image_id, p.idx, coalesce(m.r, 0) AS r, coalesce(m.g, 0) AS g, coalesce(m.b, 0) AS b FROM pix p LEFT JOIN (SELECT image_id, CASE WHEN {moved} THEN w * h - idx ELSE idx END AS dest, arg_max(r, idx) AS r, arg_max(g, idx) AS g, arg_max(b, idx) AS b FROM pix GROUP BY ALL) m ON m.image_id = p.image_id AND m.dest = p.idx",
-        "uniform_reference": "SELECT i AS id, CASE WHEN 2 * i < 361 THEN CAST(floor(2 * i * (16777215 / 361e0) + 0.5e0) AS BIGINT) WHEN 2 * i = 361 THEN 1 ELSE 0 END AS c, CASE WHEN 2 * i + 1 < 361 THEN CAST(floor((2 * i + 1) * (16777215 / 361e0) + 0.5e0) AS BIGINT) WHEN 2 * i + 1 = 361 THEN 1 ELSE 0 END AS cnt FROM range(361) t(i)",
+        "uniform_reference": "SELECT n AS total, CAST(i AS INT) AS id, CAST(CASE WHEN 2 * i < n THEN CAST(floor((2 * i) * (16777215 / CAST(n AS DOUBLE)) + 0.5e0) AS BIGINT) WHEN 2 * i = n THEN 1 ELSE 0 END AS INT) AS c, CASE WHEN 2 * i + 1 < n THEN CAST(floor((2 * i + 1) * (16777215 / CAST(n AS DOUBLE)) + 0.5e0) AS BIGINT) WHEN 2 * i + 1 = n THEN 1 ELSE 0 END AS cnt FROM (SELECT n, unnest(range(n)) AS i FROM (SELECT DISTINCT n FROM (SELECT count(*) AS n FROM px GROUP BY image_id)))",
     }
     finals |= {
         "pack_lab": f"SELECT image_id, idx, c FROM ({_lab()})",
@@ -187,19 +187,50 @@ def sql() -> dict[str, str]:
     from . import oracle_clusters  # its steps come after these
 
     out |= oracle_clusters.sql()
-    out["text_segments"] = f"WITH RECURSIVE {_pixels('l_linenumber', 64)},\n{_SCAN}"
+    out["text_segments"] = f"WITH RECURSIVE {_pages()}\nSELECT image_id, y, x1, x2 FROM segments"
+    out["text_regions"] = f"WITH RECURSIVE {_pages()},\n{_JOINED}\nSELECT image_id, ord, x1, y1, x2, y2, area FROM regions"
+    out["text_region_pixels"] = f"WITH RECURSIVE {_pages()},\n{_JOINED}\nSELECT DISTINCT p.image_id, p.idx, p.x, p.y, p.r, p.g, p.b FROM pix p JOIN regions r ON r.image_id = p.image_id AND p.x BETWEEN r.x1 AND r.x2 AND p.y BETWEEN r.y1 AND r.y2"
+    edges = smooth + _morph("e1", "adaptive", "min") + _morph("e2", "e1", "max") + _morph("e3", "e2", "max") + _morph("e4", "e3", "min")
+    gx, gy = sum_of("(q.x - p.x) * (2 - abs(q.y - p.y))"), sum_of("(q.y - p.y) * (2 - abs(q.x - p.x))")
+    edges += f",\nedges AS MATERIALIZED (SELECT p.image_id, p.w, p.idx FROM e4 p JOIN e4 q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 GROUP BY p.image_id, p.w, p.h, p.idx, p.x, p.y HAVING p.x BETWEEN 1 AND p.w - 2 AND p.y BETWEEN 1 AND p.h - 2 AND sqrt({gx} * {gx} + {gy} * {gy}) > 128),\n{_FILLED}"
+    out["contours"] = f"{edges}\nSELECT image_id, CAST(contour AS INT) AS contour_id, CAST(ord AS INT) AS ord, CAST(p % w AS INT) AS x, CAST(p // w AS INT) AS y FROM points"
+    out["contour_pixels"] = f"{edges}\nSELECT image_id, idx, x, y, r, g, b FROM pix SEMI JOIN points ON points.image_id = pix.image_id AND points.p = pix.idx"
     return out
 
 
+def _pages() -> str:
+    return f"{_pixels('l_suppkey // 16', 64)},\n{_SCAN}"
+
+
+#: The segments of each line meet those of the next lines, one at a time: `todo` are those of line y that have yet to meet line y + w.
+_JOINED = """listed AS (SELECT s.image_id, p.h, 6 * p.h // 640 AS gap, list({'id': s.id, 'line': s.y, 'pos': s.x1, 'x1': s.x1, 'y1': s.y, 'x2': s.x2, 'y2': s.y}) AS segs FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x1) AS id FROM segments) s
+    JOIN (SELECT image_id, any_value(h) AS h FROM pix GROUP BY image_id) p ON p.image_id = s.image_id GROUP BY s.image_id, p.h),
+met AS (SELECT image_id, h, gap, -1 AS y, gap AS w, CAST([] AS BIGINT[]) AS todo, segs, CAST(1000000 AS BIGINT) AS n FROM listed
+    UNION ALL SELECT image_id, h, gap, y, w, CASE WHEN a IS NULL THEN list_transform(list_sort(list_transform(list_filter(segs, lambda s: s.line = y), lambda s: {'pos': s.pos, 'id': s.id})), lambda s: s.id) ELSE todo[2:] END,
+        CASE WHEN b IS NULL THEN segs ELSE list_append(list_filter(segs, lambda s: s.id <> a.id AND s.id <> b.id), {'id': n, 'line': b.line, 'pos': n, 'x1': least(a.x1, b.x1), 'y1': a.y1, 'x2': greatest(a.x2, b.x2), 'y2': b.y2}) END, n + 1
+    FROM (SELECT *, list_sort(list_transform(list_filter(segs, lambda s: a IS NOT NULL AND s.line = y + w AND a.x1 <= s.x2 AND s.x1 <= a.x2), lambda s: {'pos': s.pos, 's': s}))[1].s AS b
+        FROM (SELECT image_id, h, gap, CASE WHEN len(todo) > 0 THEN y WHEN w < gap THEN y ELSE y + 1 END AS y, CASE WHEN len(todo) > 0 THEN w WHEN w < gap THEN w + 1 ELSE 1 END AS w, todo, segs, n, CASE WHEN len(todo) > 0 THEN list_filter(segs, lambda s: s.id = todo[1])[1] END AS a
+            FROM met WHERE gap > 0 AND (len(todo) > 0 OR y < h - gap))) WHERE y < h - gap),
+ended AS (SELECT image_id, arg_max(segs, n) AS segs FROM met GROUP BY image_id),
+regions AS MATERIALIZED (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY s.line, s.pos) - 1 AS INT) AS ord, CAST(s.x1 AS INT) AS x1, CAST(s.y1 AS INT) AS y1, CAST(s.x2 AS INT) AS x2, CAST(s.y2 AS INT) AS y2, CAST((s.x2 - s.x1 + 1) * (s.y2 - s.y1 + 1) AS BIGINT) AS area FROM (SELECT image_id, unnest(segs) AS s FROM ended))"""
+
+#: A flood fill a pixel at a time: `todo` is a stack, `got` what its top brought up; edge pixels never lie on an image's border.
+_FILLED = """filled AS (SELECT image_id, w, list_sort(list(idx)) AS rest, CAST([] AS INT[]) AS todo, CAST([] AS INT[]) AS got, -1 AS contour, 0 AS n, 0 AS i FROM edges GROUP BY image_id, w
+    UNION ALL SELECT image_id, w, CASE WHEN len(todo) = 0 THEN rest[2:] ELSE list_filter(rest, lambda p: NOT list_contains(new, p)) END, CASE WHEN len(todo) = 0 THEN [rest[1]] ELSE list_concat(todo[:-2], new) END,
+        CASE WHEN len(todo) = 0 THEN [] ELSE new END, CASE WHEN len(todo) > 0 AND n = 0 AND len(new) > 0 THEN contour + 1 ELSE contour END, CASE WHEN len(todo) = 0 THEN 0 ELSE n + len(new) END, i + 1
+    FROM (SELECT *, list_filter([todo[-1] - 1, todo[-1] + 1, todo[-1] - w, todo[-1] + w, todo[-1] - w - 1, todo[-1] + w - 1, todo[-1] - w + 1, todo[-1] + w + 1], lambda p: list_contains(rest, p)) AS new FROM filled WHERE len(rest) > 0)),
+points AS MATERIALIZED (SELECT image_id, w, contour, unnest(got) AS p, n - len(got) + unnest(range(len(got))) AS ord FROM filled)"""
+
+
 #: The scan of each row, pixel by pixel, with its counters as they are after each.
-_SCAN = """bw AS (SELECT image_id, w, y, x, (v > 127) <> (avg(CAST(v > 127 AS INT)) OVER (PARTITION BY image_id) > 0.5) AS white FROM (SELECT *, CAST(floor(r * 0.299e0 + g * 0.587e0 + b * 0.114e0) AS INT) AS v FROM pix)),
+_SCAN = """bw AS MATERIALIZED (SELECT image_id, w, y, x, (v > 127) <> (avg(CAST(v > 127 AS INT)) OVER (PARTITION BY image_id) > 0.5) AS white FROM (SELECT *, CAST(floor(r * 0.299e0 + g * 0.587e0 + b * 0.114e0) AS INT) AS v FROM pix)),
 scan AS (SELECT DISTINCT image_id, w, y, -1 AS x, -1 AS start, 0 AS whites, 0 AS blacks, 0 AS len, -1 AS x1, -1 AS x2 FROM bw
     UNION ALL SELECT image_id, w, y, x, CASE WHEN shut THEN -1 ELSE start END, CASE WHEN shut THEN 0 ELSE whites END, CASE WHEN shut THEN 0 ELSE blacks END, CASE WHEN shut OR start < 0 THEN 0 ELSE len + 1 END,
         CASE WHEN shut AND len >= 30 * w / 640e0 THEN start ELSE -1 END, CASE WHEN shut AND len >= 30 * w / 640e0 THEN start + len ELSE -1 END
     FROM (SELECT *, whites > 13 * w / 640e0 OR blacks > 10 * w / 640e0 OR x = w - 1 AS shut FROM (
         SELECT b.image_id, b.w, b.y, b.x, CASE WHEN s.start < 0 AND NOT b.white THEN b.x ELSE s.start END AS start, CASE WHEN NOT b.white THEN 0 WHEN s.start >= 0 THEN s.whites + 1 ELSE s.whites END AS whites,
-            CASE WHEN NOT b.white THEN s.blacks + 1 WHEN s.start >= 0 THEN 0 ELSE s.blacks END AS blacks, s.len FROM scan s JOIN bw b ON b.image_id = s.image_id AND b.y = s.y AND b.x = s.x + 1)))
-SELECT image_id, y, x1, x2 FROM scan WHERE x1 >= 0"""
+            CASE WHEN NOT b.white THEN s.blacks + 1 WHEN s.start >= 0 THEN 0 ELSE s.blacks END AS blacks, s.len FROM scan s JOIN bw b ON b.image_id = s.image_id AND b.y = s.y AND b.x = s.x + 1))),
+segments AS MATERIALIZED (SELECT image_id, y, x1, x2 FROM scan WHERE x1 >= 0)"""
 
 
 def _lab(source: str = "px") -> str:

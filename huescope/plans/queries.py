@@ -30,8 +30,8 @@ def smooth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    """Fewer and larger images, wide enough for runs of text."""
-    return derived_pixels(spark, d, "l_linenumber", 64)
+    """Larger images, an image for sixteen suppliers, wide enough for runs of text."""
+    return derived_pixels(spark, d, "l_suppkey div 16", 64)
 
 
 def trimmed(spark: SparkSession, d: str, space: str = "oklab") -> DataFrame:
@@ -328,10 +328,9 @@ def scramble(spark, d):
 
 @query
 def uniform_reference(spark, d):
-    """The gap statistic's reference for 361 pixels, by place."""
-    n = 361
-    at = lambda i: F.when(i < n, F.floor(i * (0xFFFFFF / n) + 0.5)).when(i == n, 1).otherwise(0).cast("long")
-    return spark.range(n).select("id", at(C("id") * 2).alias("c"), at(C("id") * 2 + 1).alias("cnt"))
+    """The gap statistic's reference for each size of trimmed images, by place."""
+    sizes = px.trim(whole(spark, d)).groupBy("image_id").agg(F.count("*").alias("total")).select(C("total").alias("image_id")).distinct()
+    return clusters.uniform_reference(sizes).select(C("image_id").alias("total"), (C("rank") - 1).alias("id"), "c", "cnt")
 
 
 @query
@@ -421,4 +420,6 @@ def contours(spark, d):
 @query
 def contour_pixels(spark, d):
     """The pixels on the contours."""
-    return regions.crop_contours(smooth(spark, d), regions.contour_points(regions.text_edges(smooth(spark, d))))
+    pixels = smooth(spark, d)
+    edges = written(regions.text_edges(pixels), "edges")
+    return regions.crop_contours(pixels, regions.contour_points(edges))

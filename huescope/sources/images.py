@@ -43,7 +43,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def derived_pixels(spark: SparkSession, sf_dir: str, key: str = "l_suppkey", width: int = SIDE, structured: bool = False) -> DataFrame:
-    """An image for each value of `key`, from all its lineitems: colours are quantity, discount and tax.
+    """An image for each value of `key`, an expression, from all its lineitems: colours are quantity, discount and tax.
 
     Rows are `width` pixels wide; what the last one lacks is taken from the row above. structured: pixels in the order of their luma, which makes flat areas and edges.
     """
@@ -51,9 +51,9 @@ def derived_pixels(spark: SparkSession, sf_dir: str, key: str = "l_suppkey", wid
     level = lambda c, by: F.round(F.col(c) * by).cast("int")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"]
     luma = F.floor(level("l_quantity", 5) * 0.299 + level("l_discount", 2500) * 0.587 + level("l_tax", 3000) * 0.114)
-    over = Window.partitionBy(key).orderBy(*([luma] if structured else []), *order)
-    n, at, w = F.count("*").over(Window.partitionBy(key)), F.row_number().over(over) - 1, F.lit(width)
-    rows = items.select(F.col(key).cast("long").alias("image_id"), at.alias("at"), n.cast("int").alias("n"), level("l_quantity", 5).alias("r"), level("l_discount", 2500).alias("g"), level("l_tax", 3000).alias("b"))
+    over = Window.partitionBy(F.expr(key)).orderBy(*([luma] if structured else []), *order)
+    n, at, w = F.count("*").over(Window.partitionBy(F.expr(key))), F.row_number().over(over) - 1, F.lit(width)
+    rows = items.select(F.expr(key).cast("long").alias("image_id"), at.alias("at"), n.cast("int").alias("n"), level("l_quantity", 5).alias("r"), level("l_discount", 2500).alias("g"), level("l_tax", 3000).alias("b"))
     rows = rows.withColumn("h", F.floor((F.col("n") + w - 1) / w).cast("int"))
     again = (F.col("at") + w >= F.col("n")) & (F.col("at") + w < F.col("h") * w)
     rows = rows.withColumn("idx", F.explode(F.when(again, F.array("at", F.col("at") + w)).otherwise(F.array("at"))))

@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import plain_clusters as plain  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ("kmeans_k", "strategy_elbow", "strategy_gap", "merge_groups", "summary", "role_names", "seed_colours", "elbow_slope", "saliency_share", "third_pick", "clamp_nearest", "text_segments", "opening", "distance_lab", "nearest_css_name", "pixels_trim", "pack_oklab", "unpack_oklab", "saliency_mask", "hist_weighted", "centroid_update", "border_tally", "sobel", "scramble", "top_colors")
+CHECKED = ("contours", "text_region_pixels", "kmeans_k", "strategy_gap", "merge_groups", "role_names", "elbow_slope", "third_pick", "clamp_nearest", "text_segments", "opening", "distance_lab", "nearest_css_name", "pixels_trim", "pack_oklab", "unpack_oklab", "saliency_mask", "hist_weighted", "centroid_update", "border_tally", "sobel", "scramble", "top_colors")
 
 
 def value(v):
@@ -102,7 +102,7 @@ def records(frame):
 @pytest.mark.parametrize(
     "o,block",
     [
-        (clusters.Options(), 64),
+        (clusters.Options(), 200),
         (clusters.Options(space="lab", strategy="constant", k=8), 4096),
         (clusters.Options(strategy="gap", min_k=2, max_k=6, clamp=0.5), 50),
         (clusters.Options(space="rgb", strategy="constant", k=0, clamp=None), 4096),
@@ -206,6 +206,62 @@ def test_contour_points(spark):
     assert got == [(0, 0, 2, 1), (0, 1, 3, 1), (0, 2, 4, 2), (1, 0, 7, 4)]
 
 
+def test_contours_over_islands_equal_one_fill(spark):
+    """Islands filled by themselves, numbered together, against a flood fill of the whole image."""
+    rng = np.random.default_rng(8)
+    masks = {1: rng.random((30, 40)) < 0.08, 2: rng.random((12, 50)) < 0.3, 3: np.zeros((5, 5), bool)}
+    masks[1][10:12] = masks[1][:, 20] = False
+    rows, want = [], []
+    for i, m in masks.items():
+        rows += [(i, int(x), int(y), 255 if m[y, x] else 0) for y, x in np.ndindex(m.shape)]
+        left, contour = {(int(y), int(x)) for y, x in zip(*np.nonzero(m), strict=True)}, 0
+        for start in sorted(left):
+            if start in left:
+                left.discard(start)
+                todo, n = [start], 0
+                while todo:
+                    y, x = todo.pop()
+                    for p in [(y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x), (y - 1, x - 1), (y + 1, x - 1), (y - 1, x + 1), (y + 1, x + 1)]:
+                        if p in left:
+                            left.discard(p)
+                            todo.append(p)
+                            want.append((i, contour, n, p[1], p[0]))
+                            n += 1
+                contour += n > 0
+    got = regions.contour_points(spark.createDataFrame(rows, "image_id long, x int, y int, v int")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({w[:2] for w in want}) > 10
+
+
+def test_text_regions_over_islands_equal_whole_images(spark):
+    rng = np.random.default_rng(9)
+    rows, want = [], []
+    for i, h in ((1, 320), (2, 64), (3, 700)):
+        lines: dict = {}
+        for y in range(0, 60):
+            x = int(rng.integers(0, 30))
+            while x < 120 and y % 17:
+                end = x + int(rng.integers(1, 25))
+                lines.setdefault(y, []).append((x, y, end, y))
+                rows.append((i, h, y, x, end))
+                x = end + 1 + int(rng.integers(0, 40))
+        gap = 6 * h // 640
+        for y in range(h - gap):
+            for w in range(y + 1, y + gap + 1):
+                stay = []
+                for a in lines.get(y, []):
+                    others = lines.get(w, [])
+                    b = next((b for b in others if a[0] <= b[2] and b[0] <= a[2]), None)
+                    if b is None:
+                        stay.append(a)
+                    else:
+                        others.remove(b)
+                        others.append((min(a[0], b[0]), a[1], max(a[2], b[2]), b[3]))
+                lines[y] = stay
+        want += [(i, n, *s, (s[2] - s[0] + 1) * (s[3] - s[1] + 1)) for n, s in enumerate(s for y in sorted(lines) for s in lines[y])]
+    got = regions.text_regions(spark.createDataFrame(rows, "image_id long, h int, y int, x1 int, x2 int")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) < len(rows)
+
+
 def test_contours_and_names_are_whole(spark):
     d = "/root/testdata/sf0.001"
     assert queries.QUERIES["contours"](spark, d).columns == ["image_id", "contour_id", "ord", "x", "y"]

@@ -221,18 +221,57 @@ def contrast(p: Column, q: Column, space: str) -> Column:
     return contrast_of_rgb(to_rgb(p, space), to_rgb(q, space))
 
 
-def hex_string(rgb: Column) -> Column:
-    return F.concat(F.lit("#"), F.lpad(F.lower(F.hex(rgb)), 6, "0"))
+def _walk(start: list[Column], step, contrast_at, desired: Column, of: Column, most: int) -> Column:
+    """The last colour of a walk of at most `most` steps from `start`, which ends once the contrast is reached or step() gives no colour; `of` if the first gives none."""
+    zero = F.struct(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(start)], of.cast("int").alias("c"), F.lit(0.0).alias("k"), F.lit(False).alias("end"))
 
+    def on(s: Column, _: Column) -> Column:
+        def told(n: Column) -> Column:  # n: the next values, and the colour, null beyond the range
+            values = [n[f"v{i}"] for i in range(len(start))]
+            moved = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)], n["c"].alias("c"), contrast_at(n["c"]).alias("k"), F.lit(False).alias("end"))
+            return F.when(n["c"].isNull(), s.withField("end", F.lit(True))).otherwise(moved)
 
-def luma(r: Column, g: Column, b: Column) -> Column:
-    return F.floor(r * 0.299 + g * 0.587 + b * 0.114).cast("int")
+        values, c = step([s[f"v{i}"] for i in range(len(start))])
+        new = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)], c.alias("c"))
+        return F.when(s["end"] | (s["k"] >= desired), s).otherwise(F.transform(F.array(new), told)[0])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), zero, on)["c"]
+
+
+def increase_contrast(of: Column, against: Column, towards: Column, desired: Column, space: str, foreground: bool = True) -> Column:
+    """`of` moved away from `against`, to the lighter side if `towards` is lighter, until the contrast reaches `desired` or the range ends.
+
+    In rgb the luminance goes by 0.01 within 0 .. 1 while the other two tristimulus values stay; in oklab lightness goes by 1 within 0 .. 100 and chroma by -0.01 at a fixed
+    hue, greys getting the packed axes 0. lab has none. foreground: `of` is the ground that is read on `against`, else the other way round.
+    """
+    lighter = lightness(towards, space) > lightness(against, space)
+    at = lambda c: contrast(against, c, space) if foreground else contrast(c, against, space)
+    if space == "rgb":
+        xyz = _times(M1, [linear(v.cast("double")) for v in channels(of)])
+        byte = lambda v: F.when(v < 0, 0).otherwise(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) * 1.055 - 0.055 + 0.5)))).cast("int")
 
+        def brighter(v: list[Column]) -> tuple[list[Column], Column]:
+            y = v[1] + F.when(lighter, 0.01).otherwise(-0.01)
+            c = _bound(_times(M1_INVERSE, [v[0], y, v[2]]), lambda u: pack(*[byte(x) for x in u]))
+            return [v[0], y, v[2]], F.when((y > 0) & (y < 1), c)
 
-def oklab_to_oklch(a: Column, b: Column) -> tuple[Column, Column]:
-    """(chroma, hue in degrees 0 .. 360)."""
-    return F.sqrt(a * a + b * b), F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0))
+        return _walk(xyz, brighter, at, desired, of, 101)
+    if space != "oklab":
+        raise ValueError(f"no way to increase contrast in {space}")
+    a, b = (x / 1.275 - 100 for x in channels(of)[1:])
+    hue = F.when((F.abs(a) >= 0.0002) | (F.abs(b) >= 0.0002), F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)))
 
+    def further(v: list[Column]) -> tuple[list[Column], Column]:
+        light, c = v[0] + F.when(lighter, 1.0).otherwise(-1.0), v[1] - 0.01
+        axis = lambda f: F.coalesce(F.floor((c * f(F.radians(hue)) + 100) * 1.275 + 0.5).cast("int"), F.lit(0))
+        return [light, c], F.when((light > 0) & (light < 100), pack((light * 2.06).cast("int"), axis(F.cos), axis(F.sin)))
 
-def oklch_to_oklab(chroma_: Column, hue: Column) -> tuple[Column, Column]:
-    return chroma_ * F.cos(F.radians(hue)), chroma_ * F.sin(F.radians(hue))
+    return _walk([lightness(of, space), chroma(of, space)], further, at, desired, of, 101)
+
+
+def hex_string(rgb: Column) -> Column:
+    return F.concat(F.lit("#"), F.lpad(F.lower(F.hex(rgb)), 6, "0"))
+
+
+def luma(r: Column, g: Column, b: Column) -> Column:
+    return F.floor(r * 0.299 + g * 0.587 + b * 0.114).cast("int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.names import CSS, D50
 from ..functions.names import WHITE as D50_WHITE
 from ..functions.spaces import BLACK, LAB_LOW, LAB_SLOPE, LAB_WHITE, M1, M1_INVERSE, M2, M2_INVERSE, M3, M3_INVERSE
@@ -120,6 +122,7 @@ def sql() -> dict[str, str]:
     moved = f"{_to_ring('<= greatest(w, h) / 2e0 * 0.9e0')} AND {_to_ring('> greatest(w, h) / 2e0 * 0.9e0 / 2')}"
     finals = {
         "pixels_trim": "SELECT image_id, w, h, idx, x, y, r, g, b FROM px",
+        "png_round_trip": "SELECT image_id, w, h, idx, r, g, b FROM pix",
         "pack_rgb": "SELECT image_id, idx, c FROM rgb",
         "pack_oklab": "SELECT image_id, idx, c FROM ok",
         "unpack_oklab": f"SELECT image_id, idx, {_rgb_of('c')} AS rgb FROM ok",
@@ -187,6 +190,7 @@ def sql() -> dict[str, str]:
     from . import oracle_clusters  # its steps come after these
 
     out |= oracle_clusters.sql()
+    out |= _standard()
     out["text_segments"] = f"WITH RECURSIVE {_pages()}\nSELECT image_id, y, x1, x2 FROM segments"
     out["text_regions"] = f"WITH RECURSIVE {_pages()},\n{_JOINED}\nSELECT image_id, ord, x1, y1, x2, y2, area FROM regions"
     out["text_region_pixels"] = f"WITH RECURSIVE {_pages()},\n{_JOINED}\nSELECT DISTINCT p.image_id, p.idx, p.x, p.y, p.r, p.g, p.b FROM pix p JOIN regions r ON r.image_id = p.image_id AND p.x BETWEEN r.x1 AND r.x2 AND p.y BETWEEN r.y1 AND r.y2"
@@ -198,6 +202,47 @@ def sql() -> dict[str, str]:
     return out
 
 
+def _standard() -> dict[str, str]:
+    """The standard conversions, and the walks that increase contrast."""
+    toe = lambda v: f"CASE WHEN {v} <= 0.04045e0 THEN {v} / 12.92e0 ELSE pow(({v} + 0.055e0) / 1.055e0, 2.4e0) END"
+    out = lambda v: f"CASE WHEN abs({v}) > 0.0031308e0 THEN sign({v}) * (1.055e0 * pow(abs({v}), 1 / 2.4e0) - 0.055e0) ELSE 12.92e0 * {v} END"
+    rows = lambda m, v, names, f="{}": ", ".join(f.format(f"({_row(r, v)})") + f" AS {n}" for r, n in zip(m, names, strict=True))
+    lin = ", ".join(f"{toe(e)} AS l{i}" for i, e in enumerate(("(c // 65536 / 255e0)", "(c // 256 % 256 / 255e0)", "(c % 256 / 255e0)")))
+    t, p, b, u = ([f"{n}{i}" for i in range(3)] for n in "tpbu")
+    there = f"SELECT *, {rows(M3, ('q0', 'q1', 'q2'), ('k0', 'k1', 'k2'))} FROM (SELECT *, {rows(M2, t, ('q0', 'q1', 'q2'), 'cbrt({})')} FROM (SELECT *, {rows(M1, ('l0', 'l1', 'l2'), t)} FROM (SELECT *, {lin} FROM (SELECT image_id, c, count(*) AS n FROM rgb GROUP BY ALL))))"
+    back = lambda source, v: f"SELECT *, {rows(M1_INVERSE, b, u)} FROM (SELECT *, {rows(M2_INVERSE, p, b)} FROM (SELECT *, {rows(M3_INVERSE, v, p, 'pow({}, 3)')} FROM ({source})))"
+    hue = "CASE WHEN abs(k1) >= 0.0002e0 OR abs(k2) >= 0.0002e0 THEN (degrees(atan2(k2, k1)) + 360) % 360 END"
+    polar = f"SELECT *, coalesce(ch * cos(radians(hue)), 0) AS a, coalesce(ch * sin(radians(hue)), 0) AS b FROM (SELECT *, sqrt(k1 * k1 + k2 * k2) AS ch, {hue} AS hue FROM ({there}))"
+    byte = lambda v: f"CAST(least(255, greatest(0, floor(({out(v)}) * 255 + 0.5e0))) AS INT)"
+    lch = f"{_chain()}SELECT image_id, c, n, round(k0, 6) AS lightness, round(ch, 6) AS chroma, round(hue, 3) AS hue, {byte('u0')} * 65536 + {byte('u1')} * 256 + {byte('u2')} AS back FROM ({back(polar, ('k0', 'a', 'b'))})"
+    xyz = f"{_chain()}SELECT image_id, c, {', '.join(f'round({v}{i}, 6) AS {n}{i}' for n, v in (('lab', 'k'), ('xyz', 'b'), ('linear', 'u')) for i in range(3))} FROM ({back(there, ('k0', 'k1', 'k2'))})"
+    white = {"rgb": "16777215", "oklab": _WHITE}
+    light = {"rgb": lambda c: "({})".format(_row(M1[1], [f"pow((({e}) + 0.055e0) / 1.055e0, 2.4e0)" for e in (f"{c} // 65536", f"{c} // 256 % 256", f"{c} % 256")])), "oklab": lambda c: f"(({c}) // 65536 / 2.06e0)"}
+    found = {"rgb": _apca("ground", "c"), "oklab": _apca(_rgb_of("ground"), _rgb_of("c"))}
+    held = "CASE WHEN {0} < 0 THEN 0 ELSE least(255, greatest(0, floor(pow(greatest({0}, 0), 1 / 2.4e0) * 1.055e0 - 0.055e0 + 0.5e0))) END"
+    xyz0 = ", ".join(f"{_row(r, [f'pow((({e}) + 0.055e0) / 1.055e0, 2.4e0)' for e in ('cent // 65536', 'cent // 256 % 256', 'cent % 256')])} AS v{i}" for i, r in enumerate(M1))
+    axes = ("((cent // 256 % 256) / 1.275e0 - 100)", "((cent % 256) / 1.275e0 - 100)")
+    chroma = f"(CASE WHEN abs({axes[0]}) < 7.5e-5 AND abs({axes[1]}) < 7.5e-5 THEN 0e0 ELSE sqrt({axes[0]} * {axes[0]} + {axes[1]} * {axes[1]}) END / 1.5e0)"
+    turn = f"CASE WHEN abs({axes[0]}) >= 0.0002e0 OR abs({axes[1]}) >= 0.0002e0 THEN (degrees(atan2({axes[1]}, {axes[0]})) + 360) % 360 END"
+    start = {"rgb": xyz0, "oklab": f"cent // 65536 / 2.06e0 AS v0, {chroma} AS v1, {turn} AS v2"}
+    step = {"rgb": "v0, v1 + CASE WHEN lighter THEN 0.01e0 ELSE -0.01e0 END AS v1, v2", "oklab": "v0 + CASE WHEN lighter THEN 1e0 ELSE -1e0 END AS v0, v1 - 0.01e0 AS v1, v2"}
+    inside = {"rgb": "v1 > 0 AND v1 < 1", "oklab": "v0 > 0 AND v0 < 100"}
+    colour = {
+        "rgb": "CAST(" + " + ".join(f"({held.format('(' + _row(r, ('v0', 'v1', 'v2')) + ')')}) * {m}" for r, m in zip(M1_INVERSE, (65536, 256, 1), strict=True)) + " AS INT)",
+        "oklab": "CAST(trunc(v0 * 2.06e0) * 65536 + coalesce(floor((v1 * cos(radians(v2)) + 100) * 1.275e0 + 0.5e0), 0) * 256 + coalesce(floor((v1 * sin(radians(v2)) + 100) * 1.275e0 + 0.5e0), 0) AS INT)",
+    }
+    table = {"rgb": "rgb", "oklab": "ok"}
+    result = {"standard_oklch": lch, "standard_xyz": xyz}
+    for s in ("rgb", "oklab"):
+        tops = f"SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, min(idx)) AS INT) AS ord, c AS cent FROM {table[s]} GROUP BY image_id, c QUALIFY ord <= 8"
+        result[f"increase_contrast_{s}"] = f"""{_chain().rstrip()},
+tops AS MATERIALIZED ({tops}),
+walked AS (SELECT 0 AS i, t.image_id, t.ord, t.cent, g.cent AS ground, {light[s](white[s])} > {light[s]("g.cent")} AS lighter, {re.sub(r"\bcent\b", "t.cent", start[s])}, t.cent AS c, 0e0 AS k FROM tops t JOIN tops g ON g.image_id = t.image_id AND g.ord = 1
+    UNION ALL SELECT i + 1, image_id, ord, cent, ground, lighter, v0, v1, v2, c, {found[s]} FROM (SELECT * REPLACE ({colour[s]} AS c) FROM (SELECT i, image_id, ord, cent, ground, lighter, {step[s]}, c, k FROM walked WHERE k < 40) WHERE {inside[s]}))
+SELECT image_id, ord, cent, arg_max(c, i) AS moved FROM walked GROUP BY image_id, ord, cent"""
+    return result
+
+
 def _pages() -> str:
     return f"{_pixels('l_suppkey // 16', 64)},\n{_SCAN}"
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import names, spaces
+from ..functions import conversions, names, spaces
 from ..operators import clusters, kmeans, regions
 from ..operators import pixels as px
-from ..sources.images import derived_pixels
-from ..sources.tables import written
+from ..sources.images import derived_pixels, pixels_of, read_images
+from ..sources.png import images_of, write_images
+from ..sources.tables import scratch, written
 
 C = F.col
 QUERIES: dict = {}
@@ -102,10 +103,44 @@ for _space in ("rgb", "oklab", "lab"):
 @query
 def conv_oklch(spark, d):
     lab = trimmed(spark, d).withColumn("lab", spaces.lab_of(C("r"), C("g"), C("b")))
-    chroma, hue = spaces.oklab_to_oklch(C("lab")[1], C("lab")[2])
+    chroma, hue = F.sqrt(C("lab")[1] * C("lab")[1] + C("lab")[2] * C("lab")[2]), F.pmod(F.degrees(F.atan2(C("lab")[2], C("lab")[1])), F.lit(360.0))
     return lab.select("image_id", "idx", r6(chroma).alias("chroma"), F.when(chroma > 1e-6, F.round(hue, 3)).alias("hue"))
 
 
+@query
+def standard_oklch(spark, d):
+    """Lightness, chroma and hue of each colour by the standard conversions, and the RGB that they give back."""
+    colours = trimmed(spark, d, "rgb").groupBy("image_id", "c").agg(F.count("*").alias("n"))
+    there = colours.withColumn("lch", conversions.convert(conversions.bytes_to_unit(C("c")), "rgb", "oklch"))
+    back = conversions.unit_to_bytes(conversions.convert([C("lch")[i] for i in range(3)], "oklch", "rgb"))
+    return there.select("image_id", "c", "n", r6(C("lch")[0]).alias("lightness"), r6(C("lch")[1]).alias("chroma"), F.round(C("lch")[2], 3).alias("hue"), back.alias("back"))
+
+
+@query
+def standard_xyz(spark, d):
+    """Linear light and tristimulus values of each colour, from its oklab values."""
+    colours = trimmed(spark, d, "rgb").select("image_id", "c").distinct()
+    lab = conversions.convert(conversions.bytes_to_unit(C("c")), "rgb", "oklab")
+    both = colours.withColumn("lab", lab).withColumn("xyz", conversions.convert([C("lab")[i] for i in range(3)], "oklab", "xyz"))
+    both = both.withColumn("linear", conversions.convert([C("xyz")[i] for i in range(3)], "xyz", "linear"))
+    return both.select("image_id", "c", *[r6(C(n)[i]).alias(f"{n}{i}") for n in ("lab", "xyz", "linear") for i in range(3)])
+
+
+def _contrasted(name, space, desired):
+    def run(spark, d):
+        """Each of the eight most frequent colours read on the first, moved towards white until the contrast is enough."""
+        cents = px.top_centroids(px.histogram(trimmed(spark, d, space)))
+        first = cents.filter("ord = 1").select("image_id", C("cent").alias("ground"))
+        white = F.lit(spaces.WHITE[space])
+        return cents.join(first, "image_id").select("image_id", "ord", "cent", spaces.increase_contrast(C("cent"), C("ground"), white, F.lit(desired), space).alias("moved"))
+
+    QUERIES[name] = run
+
+
+_contrasted("increase_contrast_rgb", "rgb", 40.0)
+_contrasted("increase_contrast_oklab", "oklab", 40.0)
+
+
 @query
 def grayscale_distance(spark, d):
     return px.grey(trimmed(spark, d)).select("image_id", "idx", "v")
@@ -423,3 +458,12 @@ def contour_pixels(spark, d):
     pixels = smooth(spark, d)
     edges = written(regions.text_edges(pixels), "edges")
     return regions.crop_contours(pixels, regions.contour_points(edges))
+
+
+@query
+def png_round_trip(spark, d):
+    """All images written as PNG files and read back as pixels by Spark's image source."""
+    path = scratch(spark, "png")
+    write_images(images_of(whole(spark, d)), path)
+    found = read_images(spark, path).withColumn("image_id", F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long"))
+    return pixels_of(found).select("image_id", "w", "h", "idx", "r", "g", "b")

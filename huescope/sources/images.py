@@ -42,6 +42,11 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return i.select(F.xxhash64("origin").alias("image_id"), "origin", "width", "height", F.col("nChannels").alias("channels"), F.lit("bgr").alias("colour_order"), "data")
 
 
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content): files as they are, undecoded."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+
+
 def derived_pixels(spark: SparkSession, sf_dir: str, key: str = "l_suppkey", width: int = SIDE, structured: bool = False) -> DataFrame:
     """An image for each value of `key`, an expression, from all its lineitems: colours are quantity, discount and tax.
 

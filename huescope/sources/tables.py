@@ -30,12 +30,18 @@ def _forget(spark: SparkSession, path: str, at_exit: bool) -> None:
     system.deleteOnExit(at) if at_exit else system.delete(at, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path, deleted when the application ends."""
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _forget(spark, path, at_exit=True)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: its lineage is cut and it survives lost executors. It goes when the application ends, or by drop()."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _forget(spark, path, at_exit=True)
     out = spark.read.schema(df.schema).parquet(path)
     out._own_table = path
     return out

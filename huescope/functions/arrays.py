@@ -1,10 +1,11 @@
-"""The colour space functions on numpy arrays of packed colours, for steps that iterate within one image."""
+"""Distances of numpy arrays of packed colours, for tasks that take a block of colours at a time: the twins of the spaces' Column distances."""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from .spaces import LAB_SLOPE, LAB_WHITE, M1, M1_INVERSE, M2, M2_INVERSE, M3, M3_INVERSE
+import numpy as np
 
 
 def channels(c: np.ndarray) -> np.ndarray:
@@ -17,42 +18,48 @@ def pack(v: np.ndarray) -> np.ndarray:
     return v[..., 0] << 16 | v[..., 1] << 8 | v[..., 2]
 
 
-def fields(c: np.ndarray, space: str) -> np.ndarray:
-    """What distances are of: the channels, in lab with the lightness as it is."""
-    v = channels(c).astype(float)
-    if space == "lab":
-        v[..., 0] = np.asarray(c, np.int64) >> 16
-    return v
+@dataclass(frozen=True)
+class Measure:
+    """How far colours are apart: fields(packed) gives their coordinates, between(x, y) the distances of coordinates that broadcast."""
+
+    fields: Callable[[np.ndarray], np.ndarray]
+    between: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def _scale(space: str) -> np.ndarray:
-    return np.array((1.0, 1.0, 1.0) if space == "rgb" else (1 / 2.55, 2.35 / 1.275, 2.35 / 1.275))
+def scaled(weights: tuple[float, float, float]) -> Measure:
+    """Euclidean on the three bytes, weighted."""
 
+    def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = (x - y) * np.array(weights)
+        return np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
 
-def _between(x: np.ndarray, y: np.ndarray, space: str) -> np.ndarray:
-    if space == "lab":
-        return ciede2000(x, y)
-    d = (x - y) * _scale(space)
-    return np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
+    return Measure(lambda c: channels(c).astype(float), between)
 
 
-def apart(p: np.ndarray, q: np.ndarray, space: str) -> np.ndarray:
+def apart(p: np.ndarray, q: np.ndarray, measure: Measure) -> np.ndarray:
     """The distance of each colour of p to the one of q at its place."""
-    return _between(fields(p, space), fields(q, space), space)
+    return measure.between(measure.fields(p), measure.fields(q))
 
 
-def nearest(p: np.ndarray, q: np.ndarray, space: str) -> tuple[np.ndarray, np.ndarray]:
+def nearest(p: np.ndarray, q: np.ndarray, measure: Measure) -> tuple[np.ndarray, np.ndarray]:
     """For each colour of p the place in q of the nearest one, ties to the first, and its distance; in blocks of rows."""
-    x, y = fields(p, space), fields(q, space)
+    x, y = measure.fields(p), measure.fields(q)
     at, d = np.empty(len(x), np.int64), np.empty(len(x))
     step = max(1, (1 << 18) // max(1, len(y)))
     for a in range(0, len(x), step):
-        part = _between(x[a : a + step, None, :], y[None, :, :], space)
+        part = measure.between(x[a : a + step, None, :], y[None, :, :])
         at[a : a + step] = part.argmin(1)
         d[a : a + step] = part[np.arange(len(part)), at[a : a + step]]
     return at, d
 
 
+def signed_fields(c: np.ndarray) -> np.ndarray:
+    """Two bytes, and before them the rest of the number as it is, sign and all."""
+    v = channels(c).astype(float)
+    v[..., 0] = np.asarray(c, np.int64) >> 16
+    return v
+
+
 def ciede2000(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The CIEDE2000 differences of Lab colours, by the published formula."""
     (l1, a1, b1), (l2, a2, b2) = (np.moveaxis(v, -1, 0) for v in (p, q))
@@ -72,53 +79,4 @@ def ciede2000(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, x * x + y * y + z * z + turn * y * z))
 
 
-def linear(c: np.ndarray) -> np.ndarray:
-    return ((channels(c) + 0.055) / 1.055) ** 2.4
-
-
-def to_rgb(c: np.ndarray, space: str) -> np.ndarray:
-    if space == "rgb":
-        return np.asarray(c, np.int64)
-    v = fields(c, space)
-    if space == "lab":
-        light, a, b = v[..., 0] / 2.55, v[..., 1] / 1.02 - 125, v[..., 2] / 1.02 - 125
-        f1 = (light + 16) / 116
-        cube = lambda f: np.where(f > 24 / 116, f**3, (116 * f - 16) / LAB_SLOPE)
-        xyz = np.stack([cube(a / 500 + f1), np.where(light > 8, f1**3, light / LAB_SLOPE), cube(f1 - b / 200)], -1) * np.array(LAB_WHITE)
-        flat, half = xyz @ np.array(M1_INVERSE).T, 0.5
-    else:
-        lab = np.stack([v[..., 0] / 2.55, v[..., 1] / 1.275 - 100, v[..., 2] / 1.275 - 100], -1)
-        flat, half = ((lab @ np.array(M3_INVERSE).T) ** 3) @ np.array(M2_INVERSE).T @ np.array(M1_INVERSE).T, 0.499999999
-    byte = np.where(flat < 0, 0.0, np.maximum(flat, 0) ** (1 / 2.4) * 1.055 - 0.055)
-    return pack(np.clip(np.floor(byte + half), 0, 255))
-
-
-def lightness(c: np.ndarray, space: str) -> np.ndarray:
-    if space == "rgb":
-        return linear(c) @ np.array(M1[1]) * 100
-    return (np.asarray(c, np.int64) >> 16) / (2.06 if space == "oklab" else 2.55)
-
-
-def chroma(c: np.ndarray, space: str) -> np.ndarray:
-    v = channels(c)
-    if space == "rgb":
-        lab = np.cbrt(linear(c) @ np.array(M1).T @ np.array(M2).T) @ np.array(M3).T
-        a, b = lab[..., 1], lab[..., 2]
-    else:
-        a, b = (v[..., i] / (1.275 if space == "oklab" else 1.02) - (100 if space == "oklab" else 125) for i in (1, 2))
-    return np.where((np.abs(a) < 7.5e-5) & (np.abs(b) < 7.5e-5), 0.0, np.hypot(a, b)) / 1.5
-
-
-def contrast(text: np.ndarray, ground: np.ndarray, space: str) -> np.ndarray:
-    if space == "lab":
-        return np.abs((np.asarray(text, np.int64) >> 16) - (np.asarray(ground, np.int64) >> 16)) / 2.55
-
-    def luminance(c):
-        y = ((channels(to_rgb(c, space)) / 255) ** 2.4) @ np.array((0.2126729, 0.7151522, 0.0721750))
-        return np.where(y < 0.022, y + np.maximum(0.022 - y, 0) ** 1.414, y)
-
-    t, g = luminance(text), luminance(ground)
-    raw = np.where(g > t, 1.14 * (g**0.56 - t**0.57), 1.14 * (g**0.65 - t**0.62))
-    raw = np.where(np.abs(g - t) < 0.0005, 0.0, raw)
-    cut = np.where(np.abs(raw) < 0.1, 0.0, raw - np.sign(raw) * 0.027) * 100
-    return np.where(cut < 0, -cut / 1.08, cut / 1.06)
+CIEDE2000 = Measure(signed_fields, ciede2000)

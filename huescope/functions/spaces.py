@@ -7,9 +7,14 @@ way; its numbers outgrow their bytes, so packed colours are ints whose fields ov
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import arrays
+
 #: Linear sRGB to XYZ (D65), XYZ to LMS, LMS to Lab, and their published inverses.
 M1 = ((0.41239079926595934, 0.357584339383878, 0.1804807884018343), (0.21263900587151027, 0.715168678767756, 0.07219231536073371), (0.01933081871559182, 0.11919477979462598, 0.9505321522496607))
 M2 = ((0.8190224379967030, 0.3619062600528904, -0.1288737815209879), (0.0329836539323885, 0.9292868615863434, 0.0361446663506424), (0.0481771893596242, 0.2642395317527308, 0.6335478284694309))
@@ -154,39 +159,12 @@ def ciede2000(p: list[Column], q: list[Column]) -> Column:
     return _bound([l1, a1 * stretch, b1, l2, a2 * stretch, b2], second)
 
 
-def to_packed(r: Column, g: Column, b: Column, space: str) -> Column:
-    return pack(r, g, b) if space == "rgb" else pack_lab(r, g, b) if space == "lab" else pack_oklab(r, g, b)
-
-
-def to_rgb(c: Column, space: str) -> Column:
-    return c if space == "rgb" else unpack_lab(c) if space == "lab" else unpack_oklab(c)
-
-
-def distance(p: Column, q: Column, space: str) -> Column:
-    """Euclidean; in oklab lightness on 0 .. 100 and the axes weighted by 2.35. In lab the CIEDE2000 difference of the fields as they are."""
-    if space == "lab":
-        return ciede2000([x.cast("double") for x in lab_fields(p)], [x.cast("double") for x in lab_fields(q)])
-    scale = (1.0, 1.0, 1.0) if space == "rgb" else (1 / 2.55, 2.35 / 1.275, 2.35 / 1.275)
-    d = [(x - y) * F.lit(s) for x, y, s in zip(channels(p), channels(q), scale, strict=True)]
+def euclidean(p: Column, q: Column, weights: tuple[float, float, float]) -> Column:
+    d = [(x - y) * F.lit(s) for x, y, s in zip(channels(p), channels(q), weights, strict=True)]
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
-def lightness(c: Column, space: str) -> Column:
-    if space == "oklab":
-        return F.shiftright(c, 16) / 2.06
-    if space == "lab":
-        return F.shiftright(c, 16) / 2.55
-    return _times(M1, [linear(x.cast("double")) for x in channels(c)])[1] * 100
-
-
-def chroma(c: Column, space: str) -> Column:
-    if space == "oklab":
-        a, b = (x / 1.275 - 100 for x in channels(c)[1:])
-    elif space == "lab":
-        a, b = (x / 1.02 - 125 for x in channels(c)[1:])
-    else:
-        lab = lab_of(*channels(c))
-        a, b = lab[1], lab[2]
+def _chroma_of(a: Column, b: Column) -> Column:
     grey = (F.abs(a) < 7.5e-5) & (F.abs(b) < 7.5e-5)
     return F.when(grey, 0.0).otherwise(F.sqrt(a * a + b * b)) / 1.5
 
@@ -215,12 +193,6 @@ def contrast_of_rgb(text: Column, ground: Column) -> Column:
     return _bound([luminance(text), luminance(ground)], lambda v: contrast_of_luminances(v[0], v[1]))
 
 
-def contrast(p: Column, q: Column, space: str) -> Column:
-    if space == "lab":
-        return F.abs(F.shiftright(p, 16) - F.shiftright(q, 16)) / 2.55
-    return contrast_of_rgb(to_rgb(p, space), to_rgb(q, space))
-
-
 def _walk(start: list[Column], step, contrast_at, desired: Column, of: Column, most: int) -> Column:
     """The last colour of a walk of at most `most` steps from `start`, which ends once the contrast is reached or step() gives no colour; `of` if the first gives none."""
     zero = F.struct(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(start)], of.cast("int").alias("c"), F.lit(0.0).alias("k"), F.lit(False).alias("end"))
@@ -238,35 +210,119 @@ def _walk(start: list[Column], step, contrast_at, desired: Column, of: Column, m
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), zero, on)["c"]
 
 
-def increase_contrast(of: Column, against: Column, towards: Column, desired: Column, space: str, foreground: bool = True) -> Column:
-    """`of` moved away from `against`, to the lighter side if `towards` is lighter, until the contrast reaches `desired` or the range ends.
+def _brighter(of: Column, against: Column, towards: Column, desired: Column, at) -> Column:
+    """rgb: the luminance goes by 0.01 within 0 .. 1 while the other two tristimulus values stay."""
+    lighter = lightness(towards, "rgb") > lightness(against, "rgb")
+    xyz = _times(M1, [linear(v.cast("double")) for v in channels(of)])
+    byte = lambda v: F.when(v < 0, 0).otherwise(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) * 1.055 - 0.055 + 0.5)))).cast("int")
 
-    In rgb the luminance goes by 0.01 within 0 .. 1 while the other two tristimulus values stay; in oklab lightness goes by 1 within 0 .. 100 and chroma by -0.01 at a fixed
-    hue, greys getting the packed axes 0. lab has none. foreground: `of` is the ground that is read on `against`, else the other way round.
-    """
-    lighter = lightness(towards, space) > lightness(against, space)
-    at = lambda c: contrast(against, c, space) if foreground else contrast(c, against, space)
-    if space == "rgb":
-        xyz = _times(M1, [linear(v.cast("double")) for v in channels(of)])
-        byte = lambda v: F.when(v < 0, 0).otherwise(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) * 1.055 - 0.055 + 0.5)))).cast("int")
-
-        def brighter(v: list[Column]) -> tuple[list[Column], Column]:
-            y = v[1] + F.when(lighter, 0.01).otherwise(-0.01)
-            c = _bound(_times(M1_INVERSE, [v[0], y, v[2]]), lambda u: pack(*[byte(x) for x in u]))
-            return [v[0], y, v[2]], F.when((y > 0) & (y < 1), c)
-
-        return _walk(xyz, brighter, at, desired, of, 101)
-    if space != "oklab":
-        raise ValueError(f"no way to increase contrast in {space}")
+    def step(v: list[Column]) -> tuple[list[Column], Column]:
+        y = v[1] + F.when(lighter, 0.01).otherwise(-0.01)
+        c = _bound(_times(M1_INVERSE, [v[0], y, v[2]]), lambda u: pack(*[byte(x) for x in u]))
+        return [v[0], y, v[2]], F.when((y > 0) & (y < 1), c)
+
+    return _walk(xyz, step, at, desired, of, 101)
+
+
+def _further(of: Column, against: Column, towards: Column, desired: Column, at) -> Column:
+    """oklab: lightness goes by 1 within 0 .. 100 and chroma by -0.01 at a fixed hue; greys get the packed axes 0."""
+    lighter = lightness(towards, "oklab") > lightness(against, "oklab")
     a, b = (x / 1.275 - 100 for x in channels(of)[1:])
     hue = F.when((F.abs(a) >= 0.0002) | (F.abs(b) >= 0.0002), F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)))
 
-    def further(v: list[Column]) -> tuple[list[Column], Column]:
+    def step(v: list[Column]) -> tuple[list[Column], Column]:
         light, c = v[0] + F.when(lighter, 1.0).otherwise(-1.0), v[1] - 0.01
         axis = lambda f: F.coalesce(F.floor((c * f(F.radians(hue)) + 100) * 1.275 + 0.5).cast("int"), F.lit(0))
         return [light, c], F.when((light > 0) & (light < 100), pack((light * 2.06).cast("int"), axis(F.cos), axis(F.sin)))
 
-    return _walk([lightness(of, space), chroma(of, space)], further, at, desired, of, 101)
+    return _walk([lightness(of, "oklab"), chroma(of, "oklab")], step, at, desired, of, 101)
+
+
+@dataclass(frozen=True)
+class Space:
+    """A colour space over packed ints: Column functions, and `measure`, the numpy twin of `distance` for tasks on blocks of colours.
+
+    contrast_of says what `contrast` depends on, so that it can be had from what is known of a colour: "luminance" (APCA of the RGB), "light" (the
+    difference of lightnesses), or None, for the packed colours themselves. walk, if there is one, increases contrast (see increase_contrast).
+    """
+
+    name: str
+    pack: Callable[[Column, Column, Column], Column]
+    to_rgb: Callable[[Column], Column]
+    distance: Callable[[Column, Column], Column]
+    measure: arrays.Measure
+    epsilon: float
+    lightness: Callable[[Column], Column]
+    chroma: Callable[[Column], Column]
+    contrast: Callable[[Column, Column], Column]
+    black: int
+    white: int
+    contrast_of: str | None = None
+    walk: Callable[..., Column] | None = None
+
+
+SPACES: dict[str, Space] = {}
+
+
+def register(space: Space) -> Space:
+    """Make a space known by its name, to Options and all functions here; a name that is there already is replaced."""
+    SPACES[space.name] = space
+    return space
+
+
+def of(name: str) -> Space:
+    if name not in SPACES:
+        raise ValueError(f"no colour space {name}; known: {', '.join(SPACES)}")
+    return SPACES[name]
+
+
+_OKLAB = (1 / 2.55, 2.35 / 1.275, 2.35 / 1.275)
+register(Space("rgb", pack, lambda c: c, lambda p, q: euclidean(p, q, (1.0, 1.0, 1.0)), arrays.scaled((1.0, 1.0, 1.0)), EPSILON["rgb"],
+    lambda c: _times(M1, [linear(x.cast("double")) for x in channels(c)])[1] * 100, lambda c: _chroma_of(*[lab_of(*channels(c))[i] for i in (1, 2)]),
+    contrast_of_rgb, BLACK["rgb"], WHITE["rgb"], "luminance", _brighter))
+register(Space("oklab", pack_oklab, unpack_oklab, lambda p, q: euclidean(p, q, _OKLAB), arrays.scaled(_OKLAB), EPSILON["oklab"],
+    lambda c: F.shiftright(c, 16) / 2.06, lambda c: _chroma_of(*[x / 1.275 - 100 for x in channels(c)[1:]]),
+    lambda p, q: contrast_of_rgb(unpack_oklab(p), unpack_oklab(q)), BLACK["oklab"], WHITE["oklab"], "luminance", _further))
+register(Space("lab", pack_lab, unpack_lab, lambda p, q: ciede2000(*[[x.cast("double") for x in lab_fields(c)] for c in (p, q)]), arrays.CIEDE2000, EPSILON["lab"],
+    lambda c: F.shiftright(c, 16) / 2.55, lambda c: _chroma_of(*[x / 1.02 - 125 for x in channels(c)[1:]]),
+    lambda p, q: F.abs(F.shiftright(p, 16) - F.shiftright(q, 16)) / 2.55, BLACK["lab"], WHITE["lab"], "light"))
+
+
+def to_packed(r: Column, g: Column, b: Column, space: str) -> Column:
+    return of(space).pack(r, g, b)
+
+
+def to_rgb(c: Column, space: str) -> Column:
+    return of(space).to_rgb(c)
+
+
+def distance(p: Column, q: Column, space: str) -> Column:
+    """Euclidean in rgb; in oklab lightness on 0 .. 100 and the axes weighted by 2.35. In lab the CIEDE2000 difference of the fields as they are."""
+    return of(space).distance(p, q)
+
+
+def lightness(c: Column, space: str) -> Column:
+    return of(space).lightness(c)
+
+
+def chroma(c: Column, space: str) -> Column:
+    return of(space).chroma(c)
+
+
+def contrast(p: Column, q: Column, space: str) -> Column:
+    return of(space).contrast(p, q)
+
+
+def increase_contrast(of_: Column, against: Column, towards: Column, desired: Column, space: str, foreground: bool = True) -> Column:
+    """`of_` moved away from `against`, to the lighter side if `towards` is lighter, until the contrast reaches `desired` or the range ends, by the space's own walk.
+
+    foreground: `of_` is the ground that is read on `against`, else the other way round.
+    """
+    own = of(space)
+    if own.walk is None:
+        raise ValueError(f"no way to increase contrast in {space}")
+    at = lambda c: own.contrast(against, c) if foreground else own.contrast(c, against)
+    return own.walk(of_, against, towards, desired, at)
 
 
 def hex_string(rgb: Column) -> Column:

@@ -6,6 +6,7 @@ expressions over the errors, and what follows folds an image's few centroids in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,7 @@ from . import pixels as px
 
 @dataclass(frozen=True)
 class Options:
-    """strategy: constant (k), elbow (start, end) or gap (min_k .. max_k); clamp: percent, or None for none."""
+    """strategy: constant (k), elbow (start, end), gap (min_k .. max_k) or one of register_strategy(); space: one of spaces.register(); clamp: percent, or None for none."""
 
     space: str = "oklab"
     strategy: str = "elbow"
@@ -99,26 +100,47 @@ def uniform_reference(sizes: DataFrame) -> DataFrame:
     return rows.select(F.lit(True).alias("ref"), n, (C("i") + 1).cast("int").alias("rank"), flat(C("i") * 2).cast("int").alias("c"), flat(C("i") * 2 + 1).cast("long").alias("cnt"), n.cast("int").alias("colours"))
 
 
-def choice(table: DataFrame, o: Options) -> DataFrame:
-    """(image_id, cents: array of (c, cnt)): each image's centroids by the chosen strategy, over a written colour table."""
-    colours = table.select("ref", "image_id", "rank", "c", "cnt", "colours")
-    images = table.filter("rank = 1").select("ref", "image_id", "colours", "total")
-    each = lambda ks: F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
-    picked = lambda fitted: fitted.select("image_id", C("centroids").alias("cents"))
-    if o.strategy == "constant":
-        return picked(kmeans.fits(colours, images.select("ref", "image_id", F.lit(o.k).alias("k")), o.space, o.rounds))
-    if o.strategy == "elbow":
-        probes = kmeans.fits(colours, images.select("ref", "image_id", "colours", each(sorted({*o.start, *o.end}))).filter("k < colours"), o.space, o.rounds)
-        errors = probes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("k", "error"))).alias("errors"))
-        chosen = images.join(errors, "image_id", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<struct<k:int,error:double>>")))
-        chosen = written(chosen.select("ref", "image_id", elbow_k(C("errors"), C("colours"), o.start, o.end).alias("k")), "chosen")
-        known = probes.join(chosen, ["ref", "image_id", "k"], "left_semi")
-        rest = kmeans.fits(colours, chosen.join(probes, ["ref", "image_id", "k"], "left_anti"), o.space, o.rounds)
-        return picked(known.unionByName(rest))
-    ks = range(o.min_k, o.max_k + 1)
+def _colours(table: DataFrame) -> DataFrame:
+    return table.select("ref", "image_id", "rank", "c", "cnt", "colours")
+
+
+def _images(table: DataFrame) -> DataFrame:
+    return table.filter("rank = 1").select("ref", "image_id", "colours", "total")
+
+
+def _each(ks) -> Column:
+    return F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+
+
+def _cents(fitted: DataFrame) -> DataFrame:
+    return fitted.select("image_id", C("centroids").alias("cents"))
+
+
+def with_k(table: DataFrame, k: Column, o: Options) -> DataFrame:
+    """(image_id, cents) by k-means with k, an expression over colours and total, for each image."""
+    return _cents(kmeans.fits(_colours(table), _images(table).select("ref", "image_id", k.cast("int").alias("k")), o.space, o.rounds))
+
+
+def _constant(table: DataFrame, o: Options) -> DataFrame:
+    return with_k(table, F.lit(o.k), o)
+
+
+def _elbow(table: DataFrame, o: Options) -> DataFrame:
+    colours, images = _colours(table), _images(table)
+    probes = kmeans.fits(colours, images.select("ref", "image_id", "colours", _each(sorted({*o.start, *o.end}))).filter("k < colours"), o.space, o.rounds)
+    errors = probes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("k", "error"))).alias("errors"))
+    chosen = images.join(errors, "image_id", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<struct<k:int,error:double>>")))
+    chosen = written(chosen.select("ref", "image_id", elbow_k(C("errors"), C("colours"), o.start, o.end).alias("k")), "chosen")
+    known = probes.join(chosen, ["ref", "image_id", "k"], "left_semi")
+    rest = kmeans.fits(colours, chosen.join(probes, ["ref", "image_id", "k"], "left_anti"), o.space, o.rounds)
+    return _cents(known.unionByName(rest))
+
+
+def _gap(table: DataFrame, o: Options) -> DataFrame:
+    images = _images(table)
     sizes = written(uniform_reference(images.select(C("total").alias("image_id")).distinct()), "references")
-    wanted = images.select("ref", "image_id").union(sizes.select("ref", "image_id").distinct()).select("*", each(ks))
-    fitted = kmeans.fits(colours.unionByName(sizes), wanted, o.space, o.rounds)
+    wanted = images.select("ref", "image_id").union(sizes.select("ref", "image_id").distinct()).select("*", _each(range(o.min_k, o.max_k + 1)))
+    fitted = kmeans.fits(_colours(table).unionByName(sizes), wanted, o.space, o.rounds)
     even = fitted.filter("ref").select(C("image_id").alias("total"), "k", C("error").alias("even"))
     own = fitted.filter("not ref").join(images.select("image_id", "total"), "image_id").join(even, ["total", "k"])
     gap = F.when(C("error") == 0, float("inf")).when(C("even") > 0, F.ln("even") - F.ln("error")).otherwise(float("-inf"))
@@ -126,6 +148,22 @@ def choice(table: DataFrame, o: Options) -> DataFrame:
     return best.select("image_id", C("m.centroids").alias("cents"))
 
 
+Strategy = Callable[[DataFrame, Options], DataFrame]
+STRATEGIES: dict[str, Strategy] = {"constant": _constant, "elbow": _elbow, "gap": _gap}
+
+
+def register_strategy(name: str, strategy: Strategy) -> None:
+    """Make a strategy known by a name, for Options: a function of a written colour table (see colour_table) and the options to (image_id, cents), a row an image; with_k() helps."""
+    STRATEGIES[name] = strategy
+
+
+def choice(table: DataFrame, o: Options) -> DataFrame:
+    """(image_id, cents: array of (c, cnt)): each image's centroids by the chosen strategy, over a written colour table."""
+    if o.strategy not in STRATEGIES:
+        raise ValueError(f"no strategy {o.strategy}; known: {', '.join(STRATEGIES)}")
+    return STRATEGIES[o.strategy](table, o)
+
+
 def clamp(cents: DataFrame, table: DataFrame, percent: float, space: str) -> DataFrame:
     """cents (image_id, cents) moved to colours of the image with a share of at least `percent`; one that is its own nearest stays."""
     often = C("cnt") / C("total") >= percent / 100
@@ -150,7 +188,7 @@ def clamp(cents: DataFrame, table: DataFrame, percent: float, space: str) -> Dat
 
 def merged(cents: Column, space: str) -> Column:
     """An array of (c, cnt) where colours within epsilon of each other are one, the most frequent, last in order. A pair that meets groups joins these but isn't added itself."""
-    alike = lambda a: lambda b: spaces.distance(a["c"], b["c"], space) < spaces.EPSILON[space]
+    alike = lambda a: lambda b: spaces.distance(a["c"], b["c"], space) < spaces.of(space).epsilon
     pairs = F.flatten(F.transform(cents, lambda a, i: F.transform(F.filter(F.slice(cents, i + 2, _ALL), alike(a)), lambda b: F.struct(a["c"].alias("a"), b["c"].alias("b")))))
 
     def joined(groups: Column, p: Column) -> Column:
@@ -175,8 +213,9 @@ def merged(cents: Column, space: str) -> Column:
 
 
 def contrast(p: Column, q: Column, space: str) -> Column:
-    """The contrast of two centroids (structs with y and light), as spaces.contrast() has it; the order matters."""
-    return F.abs(p["light"] - q["light"]) if space == "lab" else spaces.contrast_of_luminances(p["y"], q["y"])
+    """The contrast of two centroids (structs with c, y and light), as spaces.contrast() has it; the order matters."""
+    known = {"light": lambda: F.abs(p["light"] - q["light"]), "luminance": lambda: spaces.contrast_of_luminances(p["y"], q["y"])}
+    return known.get(spaces.of(space).contrast_of, lambda: spaces.contrast(p["c"], q["c"], space))()
 
 
 #: A centroid's fields.
@@ -196,7 +235,7 @@ def zones(cents: DataFrame, table: DataFrame, space: str) -> DataFrame:
     """
     found = table.join(cents, "image_id").withColumn("ord", px.nearest_place(C("c"), F.transform("cents", lambda x: x["c"]), space))
     own = found.groupBy("image_id", "ord").agg(F.sum("s").alias("s"), F.min("first").alias("first"), F.sum("ring_n").alias("rim"), F.min("ring_first").alias("rim_first"), F.first("total").alias("total"))
-    ends = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(0).cast("long").alias("cnt")) for c in (spaces.BLACK[space], spaces.WHITE[space], 0)])
+    ends = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(0).cast("long").alias("cnt")) for c in (spaces.of(space).black, spaces.of(space).white, 0)])
     one = cents.select("image_id", F.size("cents").alias("m"), F.posexplode(F.concat("cents", ends)).alias("i", "x"))
     one = _measured(one.select("image_id", F.when(C("i") < C("m"), C("i")).otherwise(C("i") - C("m") - 3).alias("ord"), "x.c", "x.cnt"), space)
     fields = F.struct(*[f.split(":")[0] for f in _KIND[7:-1].split(",")])

@@ -28,7 +28,7 @@ _STATS = "array<struct<w:bigint,e:double,best:struct<d:double,rank:int,c:int>>>"
 
 def seeds(colours: Column, most: Column, space: str) -> Column:
     """Of an array of colours the first `most` that are each at least epsilon from those before, as an array."""
-    far = lambda kept, c: F.forall(kept, lambda s: spaces.distance(c, s, space) >= spaces.EPSILON[space])
+    far = lambda kept, c: F.forall(kept, lambda s: spaces.distance(c, s, space) >= spaces.of(space).epsilon)
     return F.aggregate(colours, F.array().cast("array<int>"), lambda kept, c: F.when((F.size(kept) < most) & far(kept, c), F.concat(kept, F.array(c))).otherwise(kept))
 
 
@@ -51,7 +51,7 @@ def _means(c: np.ndarray, cnt: np.ndarray, mine: np.ndarray, k: int) -> tuple[np
     return sums, arrays.pack(np.where(w > 0, np.floor(sums[:, 1:] / np.maximum(w, 1) + 0.499999999), 0))
 
 
-def _step(space: str):
+def _step(measure: arrays.Measure):
     """Each block's sums by cluster. A block that is its whole image goes on by itself for up to AHEAD rounds; `prev` are the centroids that its last sums are by."""
 
     def run(batches):
@@ -61,7 +61,7 @@ def _step(space: str):
                 c, cnt, now = (batch.column(x)[i].values.to_numpy() for x in ("c", "cnt", "now"))
                 for _ in range(max(1, min(AHEAD, n)) if whole else 1):
                     used = now
-                    sums, now = _means(c, cnt, arrays.nearest(c, used, space)[0], len(used))
+                    sums, now = _means(c, cnt, arrays.nearest(c, used, measure)[0], len(used))
                     n -= 1
                     if (now == used).all():
                         break
@@ -77,7 +77,7 @@ def _step(space: str):
     return run
 
 
-def _last(space: str):
+def _last(measure: arrays.Measure):
     """Of each block and cluster: weight, squared error, and the member nearest to the mean, ties by rank."""
 
     def run(batches):
@@ -85,8 +85,8 @@ def _last(space: str):
             out, best, sizes = [], [], []
             for i, block in enumerate(batch.column("block").to_pylist()):
                 c, cnt, prev, now = (batch.column(x)[i].values.to_numpy() for x in ("c", "cnt", "prev", "now"))
-                mine = arrays.nearest(c, prev, space)[0]
-                own = arrays.apart(c, now[mine], space)
+                mine = arrays.nearest(c, prev, measure)[0]
+                own = arrays.apart(c, now[mine], measure)
                 sums, first = np.zeros((len(now), 2)), np.full(len(now), -1)
                 np.add.at(sums, mine, np.stack([cnt, own * own * cnt], 1))
                 order = np.lexsort((own, mine))  # stable: by rank within
@@ -136,7 +136,7 @@ def fits(colours: DataFrame, wanted: DataFrame, space: str, rounds: int = 100) -
     columns = [*KEYS, "k", "prev", "now", "left"]
     for _ in range(rounds):
         step = moving.join(held, KEYS).select(*KEYS, "k", "whole", "c", "cnt", "now", "left")
-        sums = step.mapInArrow(_step(space), f"ref boolean, image_id long, k int, prev array<int>, left int, sums {_SUMS}")
+        sums = step.mapInArrow(_step(spaces.of(space).measure), f"ref boolean, image_id long, k int, prev array<int>, left int, sums {_SUMS}")
         sums = sums.groupBy(*KEYS, "k").agg(F.first("prev").alias("prev"), F.min("left").alias("left"), F.collect_list("sums").alias("parts"))
         more = lambda a, b: F.struct(*[(a[x] + b[x]).alias(x) for x in "wxyz"])
         after = sums.withColumn("now", F.transform(_added("parts", more), _mean)).select(*columns)
@@ -148,7 +148,7 @@ def fits(colours: DataFrame, wanted: DataFrame, space: str, rounds: int = 100) -
     settled = [t.filter("not still").select(*columns) for t in done] or [moving]
     ended = functools.reduce(DataFrame.union, settled)
     last = ended.join(held, KEYS).select(*KEYS, "k", "block", "c", "cnt", "prev", "now")
-    stats = last.mapInArrow(_last(space), f"ref boolean, image_id long, k int, stats {_STATS}").groupBy(*KEYS, "k").agg(F.collect_list("stats").alias("parts"))
+    stats = last.mapInArrow(_last(spaces.of(space).measure), f"ref boolean, image_id long, k int, stats {_STATS}").groupBy(*KEYS, "k").agg(F.collect_list("stats").alias("parts"))
     both = lambda a, b: F.struct((a["w"] + b["w"]).alias("w"), (a["e"] + b["e"]).alias("e"), F.least(a["best"], b["best"]).alias("best"))
     stats = stats.withColumn("s", _added("parts", both)).join(ended.select(*KEYS, "k", "now"), [*KEYS, "k"])
     pairs = F.zip_with("s", "now", lambda t, m: F.struct(F.coalesce(t["best"]["c"], m).alias("c"), t["w"].alias("cnt")))

@@ -28,7 +28,7 @@ def packed(pixels: DataFrame, space: str = "oklab") -> DataFrame:
 
 def grey(pixels: DataFrame, space: str = "oklab") -> DataFrame:
     """With v, the distance to black as a byte."""
-    return pixels.withColumn("v", spaces.clamped_byte(spaces.distance(F.col("c"), F.lit(spaces.BLACK[space]), space)))
+    return pixels.withColumn("v", spaces.clamped_byte(spaces.distance(F.col("c"), F.lit(spaces.of(space).black), space)))
 
 
 def _levels(v: np.ndarray) -> list[np.ndarray]:
@@ -169,4 +169,4 @@ def near_duplicates(centroids: DataFrame, space: str = "oklab") -> DataFrame:
     """(image_id, a, b, d): pairs of an image's centroids, in their order, that are nearer than the space's epsilon."""
     a = centroids.select("image_id", F.col("ord").alias("a"), F.col("cent").alias("p"))
     b = centroids.select("image_id", F.col("ord").alias("b"), F.col("cent").alias("q"))
-    return a.join(b, "image_id").filter("a < b").withColumn("d", spaces.distance(F.col("p"), F.col("q"), space)).filter(F.col("d") < spaces.EPSILON[space]).select("image_id", "a", "b", "d")
+    return a.join(b, "image_id").filter("a < b").withColumn("d", spaces.distance(F.col("p"), F.col("q"), space)).filter(F.col("d") < spaces.of(space).epsilon).select("image_id", "a", "b", "d")

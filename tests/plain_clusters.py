@@ -7,19 +7,72 @@ import math
 import numpy as np
 
 from huescope.functions import arrays
-from huescope.functions.spaces import BLACK, EPSILON, WHITE
+from huescope.functions.spaces import BLACK, EPSILON, LAB_SLOPE, LAB_WHITE, M1, M1_INVERSE, M2, M2_INVERSE, M3, M3_INVERSE, WHITE
 from huescope.operators.clusters import Options
 
 
 def distances(p, q, space):
     """The matrix of distances between two lists of colours."""
-    x, y = arrays.fields(p, space)[:, None, :], arrays.fields(q, space)[None, :, :]
+    fields = arrays.signed_fields if space == "lab" else arrays.channels
+    x, y = fields(p)[:, None, :], fields(q)[None, :, :]
     if space == "lab":
         return arrays.ciede2000(x, y)
     d = (x - y) * np.array((1.0, 1.0, 1.0) if space == "rgb" else (1 / 2.55, 2.35 / 1.275, 2.35 / 1.275))
     return np.sqrt((d * d).sum(-1))
 
 
+def linear(c: np.ndarray) -> np.ndarray:
+    return ((arrays.channels(c) + 0.055) / 1.055) ** 2.4
+
+
+def to_rgb(c: np.ndarray, space: str) -> np.ndarray:
+    if space == "rgb":
+        return np.asarray(c, np.int64)
+    v = (arrays.signed_fields if space == "lab" else arrays.channels)(c).astype(float)
+    if space == "lab":
+        light, a, b = v[..., 0] / 2.55, v[..., 1] / 1.02 - 125, v[..., 2] / 1.02 - 125
+        f1 = (light + 16) / 116
+        cube = lambda f: np.where(f > 24 / 116, f**3, (116 * f - 16) / LAB_SLOPE)
+        xyz = np.stack([cube(a / 500 + f1), np.where(light > 8, f1**3, light / LAB_SLOPE), cube(f1 - b / 200)], -1) * np.array(LAB_WHITE)
+        flat, half = xyz @ np.array(M1_INVERSE).T, 0.5
+    else:
+        lab = np.stack([v[..., 0] / 2.55, v[..., 1] / 1.275 - 100, v[..., 2] / 1.275 - 100], -1)
+        flat, half = ((lab @ np.array(M3_INVERSE).T) ** 3) @ np.array(M2_INVERSE).T @ np.array(M1_INVERSE).T, 0.499999999
+    byte = np.where(flat < 0, 0.0, np.maximum(flat, 0) ** (1 / 2.4) * 1.055 - 0.055)
+    return arrays.pack(np.clip(np.floor(byte + half), 0, 255))
+
+
+def lightness(c: np.ndarray, space: str) -> np.ndarray:
+    if space == "rgb":
+        return linear(c) @ np.array(M1[1]) * 100
+    return (np.asarray(c, np.int64) >> 16) / (2.06 if space == "oklab" else 2.55)
+
+
+def chroma(c: np.ndarray, space: str) -> np.ndarray:
+    v = arrays.channels(c)
+    if space == "rgb":
+        lab = np.cbrt(linear(c) @ np.array(M1).T @ np.array(M2).T) @ np.array(M3).T
+        a, b = lab[..., 1], lab[..., 2]
+    else:
+        a, b = (v[..., i] / (1.275 if space == "oklab" else 1.02) - (100 if space == "oklab" else 125) for i in (1, 2))
+    return np.where((np.abs(a) < 7.5e-5) & (np.abs(b) < 7.5e-5), 0.0, np.hypot(a, b)) / 1.5
+
+
+def contrast(text: np.ndarray, ground: np.ndarray, space: str) -> np.ndarray:
+    if space == "lab":
+        return np.abs((np.asarray(text, np.int64) >> 16) - (np.asarray(ground, np.int64) >> 16)) / 2.55
+
+    def luminance(c):
+        y = ((arrays.channels(to_rgb(c, space)) / 255) ** 2.4) @ np.array((0.2126729, 0.7151522, 0.0721750))
+        return np.where(y < 0.022, y + np.maximum(0.022 - y, 0) ** 1.414, y)
+
+    t, g = luminance(text), luminance(ground)
+    raw = np.where(g > t, 1.14 * (g**0.56 - t**0.57), 1.14 * (g**0.65 - t**0.62))
+    raw = np.where(np.abs(g - t) < 0.0005, 0.0, raw)
+    cut = np.where(np.abs(raw) < 0.1, 0.0, raw - np.sign(raw) * 0.027) * 100
+    return np.where(cut < 0, -cut / 1.08, cut / 1.06)
+
+
 def seeds(colours: np.ndarray, k: int, space: str) -> np.ndarray:
     """The first k colours that are each at least epsilon from those before; fewer if there aren't so many, all for k = 0."""
     kept: list[int] = []
@@ -154,7 +207,7 @@ def roles(centroids: dict[int, int], near: dict[int, tuple[int, int]], outer: in
     c, s = dict(centroids), o.space
     salient = sum(x for x, _ in near.values())
     delta = {k: ((near[k][0] / salient - c[k] / total) + 100) / 2 for k in sorted(near, key=lambda k: near[k][1])} if salient else {}
-    ratio = lambda p, q: float(arrays.contrast(np.array([p]), np.array([q]), s)[0])
+    ratio = lambda p, q: float(contrast(np.array([p]), np.array([q]), s)[0])
     inner = next((k for k in sorted(delta, key=lambda k: -delta[k]) if ratio(outer, k) >= o.min_contrast), None)
     if inner is None:
         rest = [(ratio(outer, k), -i, k) for i, k in enumerate(c) if k != outer]
@@ -164,7 +217,7 @@ def roles(centroids: dict[int, int], near: dict[int, tuple[int, int]], outer: in
             inner = WHITE[s] if ratio(outer, WHITE[s]) > ratio(outer, BLACK[s]) else BLACK[s]
             c[inner] = 1
             c[outer] = c.get(outer, 0) - 1
-    light = lambda k: float(arrays.lightness(np.array(k), s))
+    light = lambda k: float(lightness(np.array(k), s))
     f = 0.8 if light(inner) > light(outer) else 1.2
     outside = [k for k in c if abs(light(k) - light(inner)) * f > abs(light(k) - light(outer))]
     inside = [k for k in c if k not in outside]
@@ -172,7 +225,7 @@ def roles(centroids: dict[int, int], near: dict[int, tuple[int, int]], outer: in
     for k in inside:
         if k not in (outer, inner) and c[k] / total >= 0.01 and ratio(outer, k) >= 9:
             l = 100 - light(k) if light(outer) > light(inner) else light(k)  # noqa: E741
-            value = float(arrays.chroma(np.array(k), s)) * distances(np.array([k]), np.array([inner]), s)[0, 0] * c[k] / total * 100 * l**4 * (delta.get(k, 0) + 1) ** 3
+            value = float(chroma(np.array(k), s)) * distances(np.array([k]), np.array([inner]), s)[0, 0] * c[k] / total * 100 * l**4 * (delta.get(k, 0) + 1) ** 3
             if value > best:
                 accent, best = k, value
     third, best = outer, 0.0
@@ -181,7 +234,7 @@ def roles(centroids: dict[int, int], near: dict[int, tuple[int, int]], outer: in
             value = min(ratio(k, inner), ratio(k, accent)) * c[k] / total * 100
             if value > best:
                 third, best = k, value
-    rgb = lambda ks: [int(x) for x in arrays.to_rgb(np.array(list(ks), np.int64), s)] if len(ks) else []
+    rgb = lambda ks: [int(x) for x in to_rgb(np.array(list(ks), np.int64), s)] if len(ks) else []
     counted = lambda ks: list(zip(rgb(ks), [c[k] for k in ks], strict=True))
     picked = {"outer": outer, "inner": inner, "third": third, "accent": accent}
     names = dict(zip(picked, rgb(picked.values()), strict=True))

@@ -3,10 +3,10 @@
 import glob
 import math
 import os
-import sys
 
 import duckdb
 import numpy as np
+import plain_clusters as plain
 import pytest
 
 import __spark_entry__ as entry
@@ -16,9 +16,6 @@ from huescope.operators import pixels as px
 from huescope.plans import queries
 from huescope.sources.images import pixels_of
 
-sys.path.insert(0, os.path.dirname(__file__))
-import plain_clusters as plain  # noqa: E402
-
 SF = "/root/testdata/sf0.001"
 CHECKED = ("contours", "text_region_pixels", "kmeans_k", "strategy_gap", "merge_groups", "role_names", "elbow_slope", "third_pick", "clamp_nearest", "text_segments", "opening", "distance_lab", "nearest_css_name", "pixels_trim", "pack_oklab", "unpack_oklab", "saliency_mask", "hist_weighted", "centroid_update", "border_tally", "sobel", "scramble", "top_colors")
 
@@ -57,7 +54,7 @@ def test_flat_and_single_pixel_images(spark):
         own = px.packed(image(spark, rows))
         assert {r.sal for r in px.saliency(px.grey(own)).collect()} == {0}
         out = clusters.extract_colors(image(spark, rows)).collect()
-        ends = arrays.to_rgb(np.array([spaces.BLACK["oklab"], spaces.WHITE["oklab"]]), "oklab")  # as the packed bytes give them back
+        ends = plain.to_rgb(np.array([spaces.BLACK["oklab"], spaces.WHITE["oklab"]]), "oklab")  # as the packed bytes give them back
         assert len(out) == 1 and out[0].inner in ends.tolist()
 
 
@@ -72,7 +69,7 @@ def test_greys_pack_and_come_back(spark):
     grey = spark.createDataFrame([(i, i, i) for i in range(256)], "r int, g int, b int").withColumn("c", spaces.pack_oklab(*(spaces.F.col(x) for x in "rgb")))
     rows = grey.withColumn("back", spaces.unpack_oklab(spaces.F.col("c"))).collect()
     assert {r.c & 0xFFFF for r in rows} == {127 * 256 + 127}
-    assert [int(x) for x in arrays.to_rgb(np.array([r.c for r in rows]), "oklab")] == [r.back for r in rows]
+    assert [int(x) for x in plain.to_rgb(np.array([r.c for r in rows]), "oklab")] == [r.back for r in rows]
 
 
 def same(a, b):
@@ -314,9 +311,30 @@ def test_numpy_spaces_equal_columns(spark, space):
     c = spaces.to_packed(*(spaces.F.col(x) for x in "rgb"), space)
     rows = df.select(c.alias("c")).select("c", *[f(spaces.F.col("c"), space).alias(n) for n, f in (("light", spaces.lightness), ("chroma", spaces.chroma), ("rgb", spaces.to_rgb))], spaces.distance(spaces.F.col("c"), spaces.F.lit(spaces.WHITE[space]), space).alias("d")).collect()
     packed = np.array([r.c for r in rows])
-    assert np.allclose(arrays.lightness(packed, space), [r.light for r in rows]) and np.allclose(arrays.chroma(packed, space), [r.chroma for r in rows])
-    assert (arrays.to_rgb(packed, space) == [r.rgb for r in rows]).all()
-    assert np.allclose(arrays.nearest(packed, np.array([spaces.WHITE[space]]), space)[1], [r.d for r in rows])
-    assert np.allclose(arrays.apart(packed, np.full(len(packed), spaces.WHITE[space]), space), [r.d for r in rows])
+    assert np.allclose(plain.lightness(packed, space), [r.light for r in rows]) and np.allclose(plain.chroma(packed, space), [r.chroma for r in rows])
+    assert (plain.to_rgb(packed, space) == [r.rgb for r in rows]).all()
+    assert np.allclose(arrays.nearest(packed, np.array([spaces.WHITE[space]]), spaces.of(space).measure)[1], [r.d for r in rows])
+    assert np.allclose(arrays.apart(packed, np.full(len(packed), spaces.WHITE[space]), spaces.of(space).measure), [r.d for r in rows])
     ends = spark.range(1).select(*[spaces.to_packed(*(spaces.F.lit(v),) * 3, space) for v in (0, 255)]).first()
     assert tuple(ends) == (spaces.BLACK[space], spaces.WHITE[space])
+
+
+def test_spaces_and_strategies_of_a_users_own(spark, monkeypatch):
+    """Grey levels as a space, with its own contrast, and the square root of the colours as k."""
+    grey = spaces.Space(
+        "grey", lambda r, g, b: spaces.luma(r, g, b), lambda c: c * 65793, lambda p, q: spaces.F.abs(p - q).cast("double"),
+        arrays.Measure(lambda c: np.asarray(c, float)[..., None], lambda x, y: np.abs(x - y)[..., 0]), 3.0,
+        lambda c: c / 2.55, lambda c: spaces.F.lit(0.0), lambda p, q: spaces.F.abs(p - q) / 2.55, 0, 255,
+    )
+    monkeypatch.setattr(spaces, "SPACES", dict(spaces.SPACES))
+    monkeypatch.setattr(clusters, "STRATEGIES", dict(clusters.STRATEGIES))
+    spaces.register(grey)
+    clusters.register_strategy("root", lambda table, o: clusters.with_k(table, spaces.F.ceil(spaces.F.sqrt("colours")), o))
+    rows = np.zeros((24, 24, 3), np.uint8)
+    rows[6:12, 6:18], rows[15:20, 4:20], rows[:3] = 250, 120, 7
+    r = clusters.extract_colors(image(spark, rows), clusters.Options(space="grey", strategy="root", clamp=None)).first()
+    assert r.outer in (0, 7 * 65793) and r.inner == 250 * 65793 and len(r.centroids) == 2
+    assert abs(r.contrasts.outer_inner - abs(250 - r.outer // 65793) / 2.55) < 1e-9
+    for bad in (clusters.Options(space="none"), clusters.Options(strategy="none")):
+        with pytest.raises(ValueError, match="known"):
+            clusters.extract_colors(image(spark, rows), bad)

@@ -37,7 +37,7 @@ from .spans import LOWER, chunks, mix, span_hashes, word_spans
 WIDTH, SIMILARITY = 5, 80
 ROWS, BANDS = 6, 40
 T = ROWS * BANDS
-TURNS, FIRST = 2, 8
+TURNS, FIRST = 3, 8
 _U = np.uint64
 _STEP = _U(0x9FB21C651E98DF25)
 _SEEDS = mix(np.arange(2 * T, dtype=np.uint64), 31)
@@ -262,14 +262,14 @@ def _classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[Da
         pairs = table(pairs.select("node", "other"), "meetings")
         if not turn:  # all of them at once, whether or not these pairs are similar
             fetch(pairs.select(F.explode(F.array("node", "other")).alias("node")))
-        joined = confirm(sized(pairs))
+        confirm(sized(pairs))
         now = roots.select("node", F.col("root").alias("r"))
         moved = outside.join(now, "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
         moved = moved.join(now.withColumnRenamed("node", "main"), "main", "left").withColumn("now", F.coalesce("r", "main")).drop("r")
         outside = table(moved.filter("root != now").select("key", "node", F.col("now").alias("main")), "outside")
-        if not joined:
+        if outside.isEmpty():
             break
-    if not outside.isEmpty():
+    else:
         keys = outside.select("key").distinct()
         last = classes.select("node", "n", F.explode("bands").alias("key")).join(keys, "key", "left_semi").select("node", "n").distinct()
         last = table(_rooted(last, roots), "last")

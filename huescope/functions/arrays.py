@@ -30,8 +30,8 @@ def scaled(weights: tuple[float, float, float]) -> Measure:
     """Euclidean on the three bytes, weighted."""
 
     def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        d = (x - y) * np.array(weights)
-        return np.sqrt(d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2])
+        d = [(x[..., i] - y[..., i]) * w for i, w in enumerate(weights)]
+        return np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
     return Measure(lambda c: channels(c).astype(float), between)
 

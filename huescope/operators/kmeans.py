@@ -43,10 +43,9 @@ def _structs(columns: list[pa.Array], names: list[str], sizes: list[int]) -> pa.
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays(columns, names))
 
 
-def _means(c: np.ndarray, cnt: np.ndarray, mine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(k, 4) weights and channel sums, and the packed means; without weight 0."""
-    sums = np.zeros((k, 4), np.int64)
-    np.add.at(sums, mine, np.concatenate([np.ones((len(c), 1), np.int64), arrays.channels(c)], 1) * cnt[:, None])
+def _means(weighed: np.ndarray, mine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(k, 4) weights and channel sums of rows of these, whole numbers, and the packed means; without weight 0."""
+    sums = np.stack([np.bincount(mine, w, k) for w in weighed], 1).astype(np.int64)
     w = sums[:, :1]
     return sums, arrays.pack(np.where(w > 0, np.floor(sums[:, 1:] / np.maximum(w, 1) + 0.499999999), 0))
 
@@ -59,9 +58,10 @@ def _step(measure: arrays.Measure):
             prev, left, out = [], [], []
             for i, (whole, n) in enumerate(zip(batch.column("whole").to_pylist(), batch.column("left").to_pylist(), strict=True)):
                 c, cnt, now = (batch.column(x)[i].values.to_numpy() for x in ("c", "cnt", "now"))
+                weighed = np.stack([cnt, *(arrays.channels(c) * cnt[:, None]).T])
                 for _ in range(max(1, min(AHEAD, n)) if whole else 1):
                     used = now
-                    sums, now = _means(c, cnt, arrays.nearest(c, used, measure)[0], len(used))
+                    sums, now = _means(weighed, arrays.nearest(c, used, measure)[0], len(used))
                     n -= 1
                     if (now == used).all():
                         break

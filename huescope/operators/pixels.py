@@ -1,4 +1,4 @@
-"""Operators on pixels (image_id, w, h, idx, x, y, ...): projections, grouped sums, joins and windows; the pyramid alone takes an image at a time."""
+"""Operators on pixels (image_id, w, h, idx, x, y, ...): projections, grouped sums, joins and windows, and a pyramid over tiles."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spaces
+from ..sources.tables import drop, written
 
 
 def trim(pixels: DataFrame, percent: float = 2.5) -> DataFrame:
@@ -31,58 +32,180 @@ def grey(pixels: DataFrame, space: str = "oklab") -> DataFrame:
     return pixels.withColumn("v", spaces.clamped_byte(spaces.distance(F.col("c"), F.lit(spaces.of(space).black), space)))
 
 
-def _levels(v: np.ndarray) -> list[np.ndarray]:
-    """An image and its halvings by means of 2 by 2, halves to even."""
+SIDE = 512  # pixels along a tile, a power of two, so that the 2 by 2 cells of all levels up to the tile's own lie within it
+_TILE = ["image_id", "ty", "tx"]
+
+
+def _tiles(greys: DataFrame, side: int, *carried: str) -> DataFrame:
+    y, x = (F.expr(e).cast("int") for e in (f"(idx div w) div {side}", f"(idx % w) div {side}"))
+    return greys.select("image_id", "w", "h", "idx", "v", *carried, y.alias("ty"), x.alias("tx"))
+
+
+def _halvings(v: np.ndarray, levels: int) -> list[np.ndarray]:
+    """An image, or a tile of one, and its halvings by means of 2 by 2, halves to even; a row or column without a partner is left out."""
     out = [v]
-    while min(v.shape) >= 2:
+    for _ in range(levels):
         h, w = v.shape[0] // 2, v.shape[1] // 2
         v = np.rint(v[: 2 * h, : 2 * w].reshape(h, 2, w, 2).sum((1, 3)) / 4).astype(np.int32)
         out.append(v)
     return out
 
 
-def _square(t: pd.DataFrame) -> np.ndarray:
-    out = np.zeros(int(t["w"].iloc[0]) * int(t["h"].iloc[0]), np.int32)
-    out[t["idx"].to_numpy()] = t["v"].to_numpy()
-    return out.reshape(-1, int(t["w"].iloc[0]))
+class _Tile:
+    """The pixels of one tile as an array, with the halvings that it holds whole."""
+
+    def __init__(self, t: pd.DataFrame, side: int):
+        self.image, self.w, self.h, self.ty, self.tx = (int(t[c].iloc[0]) for c in ("image_id", "w", "h", "ty", "tx"))
+        self.levels, self.alone = min(self.w, self.h).bit_length() - 1, max(self.w, self.h) <= side
+        self.inner = min(self.levels, side.bit_length() - 1)
+        self.y0, self.x0 = self.ty * side, self.tx * side
+        self.y, self.x = np.divmod(t["idx"].to_numpy(), self.w)
+        v = np.zeros((min(side, self.h - self.y0), min(side, self.w - self.x0)), np.int32)
+        v[self.y - self.y0, self.x - self.x0] = t["v"].to_numpy()
+        self.halvings = _halvings(v, self.inner)
+
+    def cells(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, columns and values of a level's cells, counted within the whole image."""
+        v = self.halvings[level]
+        row, col = np.divmod(np.arange(v.size), max(v.shape[1], 1))
+        return row + (self.y0 >> level), col + (self.x0 >> level), v.ravel()
+
+    def differences(self, edges: dict, above: dict) -> np.ndarray:
+        """Each pixel's mean difference to the coarser levels. edges: by level, the first column's cells one row below each of the tile's; above: by level, the one cell about the tile."""
+        v = self.halvings[0]
+        total = np.zeros(v.shape)
+        for k in range(1, self.inner + 1):
+            cells = self.halvings[k]
+            row, col = np.arange(v.shape[0]) >> k, np.arange(v.shape[1]) >> k
+            a, b = np.count_nonzero(row < cells.shape[0]), np.count_nonzero(col < cells.shape[1])
+            total[:a, :b] += np.abs(v[:a, :b] - cells[row[:a, None], col[None, :b]])
+            if b < v.shape[1]:
+                first = cells[1:, 0] if self.alone else edges.get(k, np.zeros(0, np.int32))
+                a = np.count_nonzero(row < len(first))
+                total[:a, b:] += np.abs(v[:a, b:] - first[row[:a], None])
+        for value in above.values():
+            total += np.abs(v - value)
+        return np.clip(np.rint(total / max(self.levels, 1)), 0, 255).astype(np.int32)
+
+
+def _shared_cells(greys: DataFrame, side: int) -> DataFrame:
+    """(image_id, w, h, level, row, col, v): the cells of large images that other tiles need: first columns, and tiles as cells of the level that is their own size."""
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        tile = _Tile(t, side)
+        out = [pd.DataFrame({"level": np.zeros(0, np.int32), "row": 0, "col": 0, "v": 0})]
+        for k in range(1, tile.inner + 1):
+            row, col, v = tile.cells(k)
+            kept = (col == 0) | (1 << k == side)
+            out.append(pd.DataFrame({"level": k, "row": row[kept], "col": col[kept], "v": v[kept]}))
+        return pd.concat(out).assign(image_id=tile.image, w=tile.w, h=tile.h)
 
+    return _tiles(greys, side).groupBy(_TILE).applyInPandas(one, "image_id long, w int, h int, level int, row int, col int, v int")
 
-def pyramid(greys: DataFrame) -> DataFrame:
+
+def _coarser(cells: DataFrame, side: int, by_tile: bool) -> DataFrame:
+    """The levels above a tile's, from tiles as cells: an image has side * side times fewer of these than pixels (8,192 of the 2**31 that idx can count), so it is one group.
+
+    by_tile: (image_id, ty, tx, level, row, v), the cell that each tile's pixels meet; else (image_id, level, pidx, v).
+    """
+    n = side.bit_length() - 1
+
+    def one(t: pd.DataFrame) -> pd.DataFrame:
+        w, h, image = int(t["w"].iloc[0]), int(t["h"].iloc[0]), t["image_id"].iloc[0]
+        v = np.zeros((h >> n, w >> n), np.int32)
+        v[t["row"].to_numpy(), t["col"].to_numpy()] = t["v"].to_numpy()
+        ty, tx = (i.ravel() for i in np.indices((-(-h // side), -(-w // side))))
+        out = []
+        for k, coarse in enumerate(_halvings(v, min(w, h).bit_length() - 1 - n)[1:], 1):
+            if by_tile:
+                at = (ty >> k) * coarse.shape[1] + (tx >> k)
+                there = at < coarse.size
+                out.append(pd.DataFrame({"ty": ty[there], "tx": tx[there], "level": n + k, "row": 0, "v": coarse.ravel()[at[there]]}))
+            else:
+                out.append(pd.DataFrame({"level": n + k, "pidx": np.arange(coarse.size), "v": coarse.ravel()}))
+        return pd.concat(out).assign(image_id=image)
+
+    kinds = "image_id long, ty int, tx int, level int, row int, v int" if by_tile else "image_id long, level int, pidx int, v int"
+    return cells.filter((F.col("level") == n) & (F.least("w", "h") >= 2 * side)).groupBy("image_id").applyInPandas(one, kinds)
+
+
+def pyramid(greys: DataFrame, side: int = SIDE) -> DataFrame:
     """(image_id, level, pidx, v): floor(log2(min(w, h))) levels above the image itself, level 0.
 
-    A level needs the rounded one before it, so a plan of grouped sums has a shuffle for each; here each image is dealt
-    to a task once, whole, as it was when it was decoded.
+    A level needs the rounded one before it, so a plan of grouped sums has a shuffle for each. Tiles of side by side pixels hold that many levels whole
+    and are dealt to tasks by themselves; what lies above is made of tiles as cells.
     """
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([pd.DataFrame({"image_id": t["image_id"].iloc[0], "level": n, "pidx": np.arange(v.size), "v": v.ravel()}) for n, v in enumerate(_levels(_square(t)))])
+        tile = _Tile(t, side)
+        out = []
+        for k in range(tile.inner + 1):
+            row, col, v = tile.cells(k)
+            out.append(pd.DataFrame({"image_id": tile.image, "level": k, "pidx": row * (tile.w >> k) + col, "v": v}))
+        return pd.concat(out)
 
-    return greys.select("image_id", "w", "h", "idx", "v").groupBy("image_id").applyInPandas(one, "image_id long, level int, pidx int, v int")
+    within = _tiles(greys, side).groupBy(_TILE).applyInPandas(one, "image_id long, level int, pidx int, v int")
+    return within.unionByName(_coarser(_shared_cells(greys.filter(F.least("w", "h") >= 2 * side), side), side, by_tile=False))
 
 
-def saliency(greys: DataFrame) -> DataFrame:
+def _met_elsewhere(large: DataFrame, cells: DataFrame, side: int) -> DataFrame:
+    """(image_id, ty, tx, level, row, v): what the tiles of large images need from others; level 0 is the image's greatest difference."""
+    n = side.bit_length() - 1
+    below = (F.col("row") - 1).alias("row")
+    ty = F.expr(f"shiftright(row - 1, {n} - level)").alias("ty")
+    tx = F.expr(f"(w - 1) div {side}").cast("int").alias("tx")
+    edges = cells.filter("col = 0 and row > 0 and w % shiftleft(1, level) > 0").select("image_id", ty, tx, "level", below, "v")
+    met = edges.unionByName(_coarser(cells, side, by_tile=True))
+
+    def greatest(t: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        tile = _Tile(t, side)
+        return pd.DataFrame({"image_id": [tile.image], "ty": tile.ty, "tx": tile.tx, "v": tile.differences(*_parts(others, side)).max()})
+
+    tops = _tiles(large, side).groupBy(_TILE).cogroup(met.groupBy(_TILE)).applyInPandas(greatest, "image_id long, ty int, tx int, v int")
+    top = F.max("v").over(Window.partitionBy("image_id"))  # a row a tile
+    zero = F.lit(0)
+    return met.unionByName(tops.select(*_TILE, zero.alias("level"), zero.alias("row"), top.alias("v")))
+
+
+def _parts(others: pd.DataFrame, side: int) -> tuple[dict, dict]:
+    """What _met_elsewhere gave one tile, as edges and above of _Tile.differences."""
+    n = side.bit_length() - 1
+    inner = others[(others["level"] > 0) & (others["level"] <= n)].sort_values(["level", "row"])
+    outer = others[others["level"] > n]
+    return {k: g["v"].to_numpy() for k, g in inner.groupby("level")}, dict(zip(outer["level"], outer["v"]))
+
+
+def saliency(greys: DataFrame, side: int = SIDE) -> DataFrame:
     """(image_id, idx, d, sal): d is the mean difference to the coarser levels, sal 1 where 2 d passes the image's greatest d.
 
     A pixel meets a level by flat index, which on widths that don't halve evenly is a cell of the next row; cells that a
     level lacks count as no difference. Images of one row or column have d 0. A column c is carried along.
+
+    An image within side by side pixels is one tile and needs no other. Of larger ones a job first writes the cells that tiles need of each other; where
+    there are none, tiles are all there is, and else each meets its own of these.
     """
     carried = ["c"] if "c" in greys.columns else []
 
-    def one(t: pd.DataFrame) -> pd.DataFrame:
-        levels = _levels(_square(t))
-        v, n = levels[0], len(levels) - 1
-        y, x = np.divmod(np.arange(v.size), v.shape[1])
-        total = np.zeros(v.size)
-        for k, coarse in enumerate(levels[1:], 1):
-            cell = (y >> k) * (v.shape[1] >> k) + (x >> k)
-            inside = cell < coarse.size
-            total[inside] += np.abs(v.ravel()[inside] - coarse.ravel()[cell[inside]])
-        d = np.clip(np.rint(total / max(n, 1)), 0, 255).astype(np.int32)
-        at = t["idx"].to_numpy()
-        return pd.DataFrame({"image_id": t["image_id"], "idx": at, "d": d[at], "sal": (2 * d[at] > d.max()).astype(np.int32), "c": t["c"] if carried else 0, "w": t["w"], "h": t["h"]})
+    def judged(t: pd.DataFrame, others: pd.DataFrame | None = None) -> pd.DataFrame:
+        tile = _Tile(t, side)
+        edges, above = ({}, {}) if others is None else _parts(others, side)
+        d = tile.differences(edges, above)
+        top = d.max() if others is None or others.empty else others["v"][others["level"] == 0].iloc[0]
+        d = d[tile.y - tile.y0, tile.x - tile.x0]
+        return pd.DataFrame({"image_id": t["image_id"], "idx": t["idx"], "d": d, "sal": (2 * d > top).astype(np.int32), "c": t["c"] if carried else 0, "w": t["w"], "h": t["h"]})
+
+    def alone(t: pd.DataFrame) -> pd.DataFrame:
+        return judged(t)
 
     kinds = "image_id long, idx int, d int, sal int, c int, w int, h int"
-    out = greys.select("image_id", "w", "h", "idx", "v", *carried).groupBy("image_id").applyInPandas(one, kinds)
+    tiles = _tiles(greys, side, *carried).groupBy(_TILE)
+    large = greys.filter(F.greatest("w", "h") > side)
+    cells = written(_shared_cells(large, side), "cells")
+    if cells.isEmpty():
+        drop(cells)
+        out = tiles.applyInPandas(alone, kinds)
+    else:
+        out = tiles.cogroup(_met_elsewhere(large, cells, side).groupBy(_TILE)).applyInPandas(judged, kinds)
     return out.select("image_id", "idx", "d", "sal", *(["c", "w", "h"] if carried else []))
 
 

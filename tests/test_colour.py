@@ -65,6 +65,38 @@ def test_blob_is_salient(spark):
     assert {(2, 2), (3, 3)} <= sal and (7, 7) not in sal
 
 
+def plain_saliency(v):
+    """The pyramid and each pixel's difference to it, a cell at a time, by flat index."""
+    h, w = v.shape
+    levels = [v.ravel().tolist()]
+    for k in range(1, min(w, h).bit_length()):
+        pw, nw, nh, before = w >> (k - 1), w >> k, h >> k, levels[-1]
+        levels.append([round((before[2 * y * pw + 2 * x] + before[2 * y * pw + 2 * x + 1] + before[(2 * y + 1) * pw + 2 * x] + before[(2 * y + 1) * pw + 2 * x + 1]) / 4) for y in range(nh) for x in range(nw)])
+    d = []
+    for i, own in enumerate(levels[0]):
+        cells = [(k, (i // w >> k) * (w >> k) + (i % w >> k)) for k in range(1, len(levels))]
+        total = sum(abs(own - levels[k][c]) for k, c in cells if c < len(levels[k]))
+        d.append(min(255, round(total / max(1, len(cells)))))
+    return levels, [(x, int(2 * x > max(d))) for x in d]
+
+
+def test_pyramid_and_saliency_by_tiles(spark):
+    """Images of many tiles, of one, and of a single row or column, with sizes that halve evenly and that don't, as by plain loops."""
+    rng, images = np.random.default_rng(5), {}
+    for i, (h, w) in enumerate([(16, 16), (37, 23), (23, 37), (40, 67), (33, 8), (1, 9), (9, 1), (3, 3), (64, 31), (5, 70)]):
+        images[i] = rng.integers(0, 256, (h, w))
+    rows = [(i, v.shape[1], v.shape[0], n, int(x), n) for i, v in images.items() for n, x in enumerate(v.ravel())]
+    greys = spark.createDataFrame(rows, "image_id long, w int, h int, idx int, v int, c int").repartition(5)
+    want = {i: plain_saliency(v) for i, v in images.items()}
+    levels = sorted((i, k, n, x) for i, (found, _) in want.items() for k, level in enumerate(found) for n, x in enumerate(level))
+    sal = sorted((i, n, *x, n) for i, (_, found) in want.items() for n, x in enumerate(found))
+    for side in (4, 8, px.SIDE):
+        assert sorted(tuple(r) for r in px.pyramid(greys, side).collect()) == levels
+        assert sorted((r.image_id, r.idx, r.d, r.sal, r.c) for r in px.saliency(greys, side).collect()) == sal
+    nothing = greys.filter("w < 0")
+    assert px.pyramid(nothing, 4).count() == px.saliency(nothing, 4).count() == 0
+
+
 def test_greys_pack_and_come_back(spark):
     grey = spark.createDataFrame([(i, i, i) for i in range(256)], "r int, g int, b int").withColumn("c", spaces.pack_oklab(*(spaces.F.col(x) for x in "rgb")))
     rows = grey.withColumn("back", spaces.unpack_oklab(spaces.F.col("c"))).collect()

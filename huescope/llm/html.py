@@ -4,13 +4,14 @@ A page's markup becomes blocks: texts between tags that start or end a block, wi
 A small linear classifier (length, sentence marks, share of linked text, telling tags and names of containers; its weights are fixed, as no labelled pages are at hand) gives
 each block log odds as its cost for either label; the costs are the capacities to the two terminals. Neighbours in page order are joined by
 an edge whose capacity falls with their distance in the page's tree, and so are blocks that follow each other in one container. The
-minimum cut, by augmenting paths, separates content from boilerplate. Before that, blocks whose own cost outweighs all their
+minimum cut, by augmenting paths, separates content from boilerplate. Names deceive: those that speak both ways say nothing, and
+where nothing would be left those of the containers that hold most of the page are passed over. Before the cut, blocks whose own cost outweighs all their
 edges take their label (no minimum cut has another) and pass their edges' weight on to their neighbours; few are left.
 
 A null or empty page, or one without content, gives an empty text. Character references are decoded, also those without a
 semicolon; unfinished tags at the end are markup. Raw text (scripts, styles, titles, form fields) is never content, nor is what stands in silent elements
 (buttons, drawings, players); these end with their parent at the latest, and one that has no end tag of its own is left out as a tag only. Formulas are text. Repeated rows
-are judged alike, null urls and ids are carried as they are, other columns are left; an empty table gives no rows.
+are judged alike, on a tie of both costs a block is boilerplate, very long pages are read whole, null urls and ids are carried as they are, other columns are left; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,19 +35,26 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements and words of names that tell, with their weights.
 ELEMENTS = {"nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "menu": -8.0, "dialog": -8.0, "search": -8.0, "fieldset": -8.0, "head": -20.0, "header": -4.0, "article": 5.0, "main": 4.0, "h1": 1.0, "p": 1.0, "blockquote": 0.5, "pre": 0.5, "li": -0.5}
 AGAINST = frozenset(
-    "ad ads adv advert advertisement advertising advertorial banner banners breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup privacy promo promoted promotion recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets".split()
+    "ad ads adv advert advertisement advertising advertorial banner banners breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup privacy promo promoted promotion recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar widget widgets"
+    " anzeige anzeigen fusszeile kommentare kopfzeile seitenleiste werbung commentaires entete partager pied publicite anuncio anuncios cabecera comentarios compartir publicidad commenti condividi pubblicita".split()
 )
 IN_FAVOUR = frozenset("article articlebody body content entry main maincontent post story text".split())
 ADJACENT, SIBLING, BOUND = 1.5, 1.0, 2.0
+ENDS = ".!?:\"'”»…"
+PROOF = 400  # characters of sentences outside links that a container must hold before its name is doubted
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def hint(tag: str, attributes: str) -> float:
-    """What an element says of the blocks in it."""
-    weight = ELEMENTS.get(tag, 0.0)
+def hint(tag: str, attributes: str, doubted: bool = False) -> float:
+    """What an element says of the blocks in it.
+
+    Its names count against it once, however many do; names that speak both ways say nothing, and against main and article names alone don't
+    outweigh the element. doubted: its names, but not whether it is hidden, are passed over.
+    """
+    weight, names = ELEMENTS.get(tag, 0.0), 0.0
     if not attributes or tag in ("html", "body"):
         return weight
     for name, a, b, c in _NAMED.findall(attributes):
@@ -57,13 +65,12 @@ def hint(tag: str, attributes: str) -> float:
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 weight -= 8.0
-        else:
+        elif not doubted:
             parts = {p.lower() for p in _PART.findall(value)}
-            if parts & AGAINST:
-                weight -= 8.0
-            elif parts & IN_FAVOUR or value.lower() == "main":
-                weight += 3.0
-    return weight
+            against, favour = bool(parts & AGAINST), bool(parts & IN_FAVOUR) or value.lower() == "main"
+            if against != favour:
+                names += -8.0 if against else 3.0
+    return weight + (max(names, -3.0) if tag in ("main", "article") else names)
 
 
 def _parts(page: str) -> list[tuple[str, str, str, str]]:
@@ -105,8 +112,8 @@ def _silent(parts: list[tuple[str, str, str, str]]) -> set[int]:
     return found
 
 
-def blocks(page: str) -> tuple[list[tuple[str, int, float, int]], list[int], list[int]]:
-    """((text, linked characters, hints' sum, container) of each block of a page that has text, each container's parent, its depth)."""
+def blocks(page: str, doubted: frozenset[int] | set[int] = frozenset()) -> tuple[list[tuple[str, int, float, int]], list[int], list[int]]:
+    """((text, linked characters, hints' sum, container) of each block of a page that has text, each container's parent, its depth). doubted: containers whose names don't count."""
     out: list[tuple[str, int, float, int]] = []
     stack: list[tuple[str, float, int]] = [("", 0.0, 0)]
     parent, depth = [0], [0]
@@ -173,7 +180,7 @@ def blocks(page: str) -> tuple[list[tuple[str, int, float, int]], list[int], lis
                 _, weight, inside = stack[-1]
                 parent.append(inside)
                 depth.append(depth[inside] + 1)
-                own = hint(tag, attributes)
+                own = hint(tag, attributes, len(parent) - 1 in doubted)
                 if tag == "header" and weight > 0:  # of an article
                     own = max(own, 0.0)
                 stack.append((tag, weight + own if tag != "head" else -20.0, len(parent) - 1))
@@ -187,7 +194,7 @@ def score(text: str, linked: int, hints: float) -> float:
     """The classifier's log odds of content; negative: of boilerplate. What the text itself says is BOUND at most, so that neighbours can outvote it;
     what names and elements say is not."""
     n = len(text)
-    value = -0.5 + min(n, 400) / 100 + (0.5 if text[-1] in ".!?:\"'”»…" else 0.0) - 5.0 * min(1.0, linked / n)
+    value = -0.5 + min(n, 400) / 100 + (0.5 if text[-1] in ENDS else 0.0) - 5.0 * min(1.0, linked / n)
     return max(-BOUND, min(BOUND, value)) + hints
 
 
@@ -258,10 +265,35 @@ def minimum_cut(own: list[float], edges: list[tuple[int, int, float]]) -> list[b
             flow[b][a] = flow[b].get(a, 0.0) + push
 
 
+def _holders(found: list, parent: list[int]) -> set[int]:
+    """The containers, each within the next, that hold more than half of a page's text outside links, if that is PROOF characters of sentences at least."""
+    free = [len(text) - linked for text, linked, _, _ in found]
+    inside, proof = [0] * len(parent), [0] * len(parent)
+    for (text, _, _, own), n in zip(found, free, strict=True):
+        inside[own] += n
+        proof[own] += n if text[-1] in ENDS else 0
+    for i in range(len(parent) - 1, 0, -1):  # a container comes after the one that it is in
+        inside[parent[i]] += inside[i]
+        proof[parent[i]] += proof[i]
+    return {i for i in range(len(parent)) if 2 * inside[i] > sum(free) and proof[i] >= PROOF}
+
+
+def labelled(page: str) -> tuple[list, list[bool]]:
+    """A page's blocks and which of them are content. Where the cut would leave nothing of it, names of the containers that hold most of the page aren't believed and it is cut once more."""
+    doubted: set[int] = set()
+    while True:
+        found, parent, depth = blocks(page, doubted)
+        content = minimum_cut([score(t, linked, h) for t, linked, h, _ in found], _edges(found, parent, depth))
+        if any(content) or doubted:
+            return found, content
+        doubted = _holders(found, parent)
+        if not doubted:
+            return found, content
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page, a line each."""
-    found, parent, depth = blocks(page or "")
-    content = minimum_cut([score(t, linked, h) for t, linked, h, _ in found], _edges(found, parent, depth))
+    found, content = labelled(page or "")
     return "\n".join(t for (t, *_), kept in zip(found, content, strict=True) if kept)
 
 

@@ -190,6 +190,26 @@ def test_html_layouts_by_hand():
     assert wrong == turned >= 2  # what the classifier's signs alone get wrong is what the cut turns
 
 
+def test_html_names_that_deceive():
+    """Names that speak both ways, names on the main element and names about the whole page don't empty it; the same names beside an article count, in other languages, too."""
+    body = "<h1>Heading</h1>" + "".join(f"<p>Paragraph {i} of the article, which has a sentence of the usual length, with a comma in it, and one more clause.</p>" for i in range(5))
+    want = html.main_text(f"<body><article>{body}</article></body>")
+    assert want.count("\n") == 5
+    around = "<body><nav><a href=a>Home</a> <a href=b>News</a></nav>{}<div class=fusszeile><p>Alle Rechte liegen bei uns, und zwar in allen Ländern.</p></div><section class=commentaires><p>Un lecteur dit ici beaucoup de choses, en une phrase.</p></section></body>"
+    for opened, shut in (("<div class='post-tags-content'>", "</div>"), ("<main class='share-page'>", "</main>"), ("<div class=widget>", "</div>"), ("<div class=promo><div id=overlay>", "</div></div>"), ("<article class=advertorial>", "</article>")):
+        assert html.main_text(around.format(opened + body + shut)) == want, opened
+    assert html.main_text(f"<body><div hidden>{body}</div></body>") == html.main_text(f"<body><aside>{body}</aside></body>") == ""
+    assert html.main_text("<body><div class=cookie-notice><p>We use cookies on this site, as all of them do.</p></div></body>") == ""
+
+
+def test_html_odd_tables(spark):
+    """An empty table, other columns with the output's names, a very long page."""
+    pages = spark.createDataFrame([(1, "u", "<article><p>" + "A word. " * 400_000 + "</p></article>", "x", 7)], "page_id long, url string, html string, text string, n_chars int")
+    got = html.extract(pages).collect()
+    assert [(r.page_id, r.url, r.text, r.n_chars) for r in got] == [(1, "u", ("A word. " * 400_000).strip(), 8 * 400_000 - 1)]
+    assert html.extract(pages.filter("page_id < 0")).count() == 0
+
+
 def test_html_silent_elements():
     """Elements without an end tag take nothing with them, nested ones end where they end, formulas stay in their sentence."""
     text = "<article><h1>Heading</h1><p>A long first paragraph, which says what the page is about.</p>{}<p>A second one, just as long, which ends the page's text.</p></article>"

@@ -5,7 +5,8 @@ tokens; a token after itself counts as such, whichever it is; the forms of two n
 ended in a capital or not) fall in BUCKETS buckets. The raw model counts those of all documents, the target model those of documents labelled
 good; labels are a bounded sample: at most SAMPLE of each quality, the least by hash, every other one to fit the
 target and the rest to calibrate. A document's log weight is the mean of log(target / raw) over its n-grams times SCALE: what a
-text of SCALE such n-grams would weigh, so long and short texts are compared alike. k is the number of documents whose weight is at least the
+text of SCALE such n-grams would weigh, so long and short texts are compared alike. Divided by a temperature (1 unless the caller names
+another) it is the log of the odds to be drawn: the higher, the more the draw decides. The caller may name k; else it is the number of documents whose weight is at least the
 calibrated threshold, the one at which the held-back labels show the least sum of error rates; the k greatest sums of log weight and Gumbel
 noise stay. The noise is a hash of doc_id and text: reruns agree. The k-th greatest is found by histograms of counts, not by a sort.
 
@@ -89,21 +90,25 @@ def gumbel(seeds: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(u))
 
 
-def _score(ratio: np.ndarray):
+def _keys(w: np.ndarray, seeds: np.ndarray, temperature: float) -> np.ndarray:
+    return w / temperature + gumbel(seeds)
+
+
+def _score(ratio: np.ndarray, temperature: float):
     def run(batches):
         for batch in batches:
             w = weights(ratio, batch.column("text"))
-            key = w + gumbel(batch.column("seed").to_numpy())
+            key = _keys(w, batch.column("seed").to_numpy(), temperature)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held"), pa.array(w), pa.array(key)], ["doc_id", "held", "score", "key"])
 
     return run
 
 
-def _choose(ratio: np.ndarray, least: float):
+def _choose(ratio: np.ndarray, least: float, temperature: float):
     def run(batches):
         for batch in batches:
             rows = batch.column("row")
-            key = weights(ratio, rows.field("text")) + gumbel(batch.column("seed").to_numpy())
+            key = _keys(weights(ratio, rows.field("text")), batch.column("seed").to_numpy(), temperature)
             yield pa.RecordBatch.from_struct_array(rows).filter(pa.array(key >= least))
 
     return run
@@ -130,8 +135,10 @@ def _seed():
     return F.xxhash64("doc_id", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE):
-    """(scored: doc_id, held, score, key; log ratios; the k-th greatest key)."""
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE, k: int | None = None, temperature: float = 1.0):
+    """(scored: doc_id, held, score, key; log ratios; the k-th greatest key). k: None for the calibrated number; 0 keeps nothing, more than there are rows all."""
+    if temperature <= 0 or (k is not None and k < 0):
+        raise ValueError("the temperature must be above 0, k not below 0")
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     order = F.xxhash64("doc_id")
     some = known.filter("q = 1").orderBy(order).limit(sample).union(known.filter("q = 0").orderBy(order).limit(sample))  # bounded by the parameter
@@ -145,29 +152,37 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sample: int
     model = np.log(counts + SMOOTH) - np.log(counts.sum(1, keepdims=True) + SMOOTH * buckets)
     ratio = model[1] - model[0] if counts[1].any() else np.zeros(buckets)
     scored = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("held").cast("int").alias("held"), _seed().alias("seed"))
-    scored = table(scored.mapInArrow(_score(ratio), "doc_id long, held int, score double, key double"), "scored")
+    scored = table(scored.mapInArrow(_score(ratio, temperature), "doc_id long, held int, score double, key double"), "scored")
+    if k is None:
+        k = scored.filter(F.col("score") >= F.lit(_threshold(scored) if counts[1].any() else -math.inf)).count()
+    elif k:
+        k = min(k, scored.count())
+    return scored, ratio, kth_greatest(scored, "key", k) if k else math.inf
+
+
+def _threshold(scored: DataFrame) -> float:
+    """The log weight at which the held-back labels show the least sum of error rates; without such of both kinds none is too small."""
     binned = scored.filter("held is not null").groupBy(F.round("score", 1).alias("s")).agg(F.sum(1 - F.col("held")).alias("bad"), F.sum("held").alias("good"))
     rows = sorted((r["s"], r["bad"], r["good"]) for r in binned.collect())  # weights lie within SCALE times the log of the counts
     bad, good = sum(r[1] for r in rows), sum(r[2] for r in rows)
     threshold = -math.inf
-    if bad and good and counts[1].any():
+    if bad and good:
         passed, lost, best = bad, 0, math.inf
         for i, (s, x, y) in enumerate(rows):
             error = passed / bad + lost / good  # rows from s on stay
             if error < best - 1e-12:
                 best, threshold = error, (s + rows[i - 1][0]) / 2 if i else -math.inf
             passed, lost = passed - x, lost + y
-    k = scored.filter(F.col("score") >= F.lit(threshold)).count()
-    return scored, ratio, kth_greatest(scored, "key", k) if k else math.inf
+    return threshold
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0) -> DataFrame:
     """doc_id, score (log weight), key (with Gumbel noise), kept: a row for each row of docs."""
-    scored, _, least = fit(docs, labels)
+    scored, _, least = fit(docs, labels, k=k, temperature=temperature)
     return scored.select("doc_id", "score", "key", (F.col("key") >= F.lit(least)).alias("kept"))
 
 
-def choose(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def choose(docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0) -> DataFrame:
     """The rows of docs that judge() keeps, in one more pass over the texts, without a shuffle."""
-    _, ratio, least = fit(docs, labels)
-    return docs.select(whole_row(docs), _seed().alias("seed")).mapInArrow(_choose(ratio, least), docs.schema)
+    _, ratio, least = fit(docs, labels, k=k, temperature=temperature)
+    return docs.select(whole_row(docs), _seed().alias("seed")).mapInArrow(_choose(ratio, least, temperature), docs.schema)

@@ -1,5 +1,6 @@
 """The operators against brute force, planted cases and odd rows."""
 
+import itertools
 import math
 import re
 import zlib
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from huescope.llm import components, decontaminate, embeddings, html, licenses, lm, mixing, near_dedup, quality, queries, tokens, urls
-from huescope.llm.spans import chunks
+from huescope.llm.spans import chunks, mix, span_hashes
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, `set` int"
@@ -149,6 +150,49 @@ def test_quality(spark, odd, empty):
     assert quality.judge(empty, none).count() == 0 and quality.choose(empty, none).count() == 0
 
 
+def test_quality_by_brute_force(spark):
+    """Weights from n-grams counted in a dictionary, keys sorted: the k greatest stay, with all that tie with the k-th; a temperature lets the draw decide more."""
+    rng = np.random.default_rng(8)
+    words = ["Water", "the", "of", "x9", "BUY", "now", "!!", "stone", "é", "--", "river", "Ok"]
+    texts = [" ".join(rng.choice(words[(i % 2) * 4 : (i % 2) * 4 + 8], rng.integers(0, 40))) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(7, texts[7])] * 3 + [(None, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    fits = {r.doc_id for r in labels.filter("quality = 1 and pmod(xxhash64(doc_id, 1), 2) = 0").collect()}
+    buckets = 512
+
+    def ngrams(text):
+        data = (text or "").encode()
+        found = re.findall(rb"[A-Za-z0-9\x80-\xff]+|[!-/:-@\[-`{-~]+", data)
+        hashes = [int(span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in found]
+        forms = [(1 if re.match(rb"[A-Za-z0-9\x80-\xff]", t) else 2) * 4 + (65 <= t[0] <= 90) * 2 + (65 <= t[-1] <= 90) for t in found]
+        mixed = lambda x, n: int(mix(np.array([x % 2**64], np.uint64), n)[0])
+        two = [int(quality._AGAIN) if a == b else mixed(3 * a + b, 5) for a, b in itertools.pairwise(hashes)]
+        return [h % buckets for h in hashes + two + [mixed(16 * a + b, 6) for a, b in itertools.pairwise(forms)]]
+
+    rows = [(r.doc_id, r.text, r.s) for r in docs.select("*", F.xxhash64("doc_id", "text").alias("s")).collect()]
+    raw = Counter(b for _, t, _ in rows for b in ngrams(t))
+    target = Counter(b for i, t, _ in rows if i in fits for b in ngrams(t))
+    share = lambda c, b: math.log((c[b] + 1) / (sum(c.values()) + buckets))
+    ratio = {b: share(target, b) - share(raw, b) for b in raw}
+    weight = lambda t: 100 * sum(ratio[b] for b in ngrams(t)) / max(1, len(ngrams(t)))
+    kept = {}
+    for temperature in (1.0, 40.0):
+        keys = {(i, t): weight(t) / temperature + float(quality.gumbel(np.array([s]))[0]) for i, t, s in rows}
+        order = sorted((keys[i, t] for i, t, _ in rows), reverse=True)
+        place = order.index(keys[7, texts[7]]) + 2  # in the midst of rows that tie
+        for k in (0, 1, place, 30, len(rows), len(rows) + 5):
+            scored, _, least = quality.fit(docs, labels, buckets=buckets, k=k, temperature=temperature)
+            want = sorted((i, t) for (i, t) in keys if k and keys[i, t] >= order[min(k, len(order)) - 1] - 1e-9 and i is not None)
+            got = scored.filter(F.col("key") >= F.lit(least)).filter("doc_id is not null").collect()
+            assert sorted({r.doc_id for r in got}) == [i for i, _ in want]
+            assert all(abs(r.key - keys[r.doc_id, texts[r.doc_id]]) < 1e-9 for r in got)
+            assert k != place or sum(r.doc_id == 7 for r in got) == 4
+            kept[temperature, k] = {i for i, _ in want}
+    assert kept[1.0, 30] != kept[40.0, 30]
+    with pytest.raises(ValueError):
+        quality.judge(docs, labels, temperature=0.0)
+
+
 def test_kth_greatest(spark):
     values = [3.0, 1.0, 2.0, 2.0, -5.5, 1e9]
     df = spark.createDataFrame([(v,) for v in values], "v double")

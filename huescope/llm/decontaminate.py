@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table, whole_row
-from .spans import chunks, mix, ragged, span_hashes, word_spans
+from .spans import chunks, lean, mix, ragged, span_hashes, word_spans
 
 BLOCK, EDITS, GROWTH = 20_000, 5, 1.25
 WALKS, TABLES, SAMPLED, PIECE = 6, 24, 3, 64
@@ -208,6 +208,7 @@ def blocks(benchmark: DataFrame, size: int = BLOCK):
 
 
 def _find(index: Index):
+    @lean
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -220,6 +221,7 @@ def _find(index: Index):
 
 
 def _clean(index: Index):
+    @lean
     def run(batches):
         for batch in batches:
             rows, keep = batch.column("row"), np.ones(batch.num_rows, bool)

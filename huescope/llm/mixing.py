@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .offsets import running_start
 from .shared import table
-from .spans import chunks, mix, word_spans
+from .spans import chunks, lean, mix, word_spans
 
 BLOCK, SHARDS, SEED = 256, 64, 20
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -74,6 +74,7 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _slots(block: int, shards: int, seed: int):
+    @lean
     def run(batches):
         for batch in batches:
             no, i, n, full = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("source_no", "slot", "blocks", "full"))
@@ -127,6 +128,7 @@ def _passages(columns: list[str], more: list[str], merged: bool):
     merged: runs that touch are one passage; one of all words is the whole text."""
     place = columns.index("text")
 
+    @lean
     def run(batches):
         for batch in batches:
             texts, runs = batch.column(f"c{place}"), batch.column("runs").to_pylist()

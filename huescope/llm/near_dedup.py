@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import collected, drop, table, whole_row
-from .spans import LOWER, chunks, mix, span_hashes, word_spans
+from .spans import LOWER, chunks, lean, mix, span_hashes, word_spans
 
 WIDTH, SIMILARITY = 5, 80
 ROWS, BANDS = 6, 40
@@ -90,6 +90,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _sketches(width: int):
+    @lean
     def run(batches):
         for batch in batches:
             ids, tie = batch.column("doc_id"), batch.column("tie")
@@ -107,6 +108,7 @@ def _sketches(width: int):
 
 
 def _sets(width: int):
+    @lean
     def run(batches):
         for batch in batches:
             node, h1, h2 = (batch.column(c).to_numpy() for c in ("node", "h1", "h2"))
@@ -122,6 +124,7 @@ def _sets(width: int):
 
 
 def _linked(similarity: int):
+    @lean
     def run(batches):
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
@@ -147,6 +150,7 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+@lean
 def _elements(batches):
     for batch in batches:
         ends = np.cumsum(pa.compute.binary_length(batch.column("set")).to_numpy())

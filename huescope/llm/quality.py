@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table, whole_row
-from .spans import SPACE, chunks, mix, span_hashes
+from .spans import SPACE, chunks, lean, mix, span_hashes
 
 BUCKETS, SAMPLE, SCALE, SMOOTH = 10_000, 20_000, 100.0, 1.0
 _KIND = np.full(256, 2, np.uint8)  # 0 white space and controls, 1 letters, 2 marks
@@ -60,6 +60,7 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> tup
 
 
 def _count(buckets: int):
+    @lean
     def run(batches):
         total = np.zeros((2, buckets), np.int64)
         for batch in batches:
@@ -95,6 +96,7 @@ def _keys(w: np.ndarray, seeds: np.ndarray, temperature: float) -> np.ndarray:
 
 
 def _score(ratio: np.ndarray, temperature: float):
+    @lean
     def run(batches):
         for batch in batches:
             w = weights(ratio, batch.column("text"))
@@ -105,6 +107,7 @@ def _score(ratio: np.ndarray, temperature: float):
 
 
 def _choose(ratio: np.ndarray, least: float, temperature: float):
+    @lean
     def run(batches):
         for batch in batches:
             rows = batch.column("row")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table
-from .spans import SPACE, chunks, mix, ragged, span_hashes
+from .spans import SPACE, chunks, lean, mix, ragged, span_hashes
 
 END = 0
 MAGIC = b"SVR1"
@@ -205,6 +205,7 @@ _encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def _encode(path: str, end: int) -> Callable:
+    @lean
     def run(batches):
         import os
 
@@ -244,6 +245,7 @@ def _parts(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
+@lean
 def _count(batches):
     total = np.zeros(0, np.int64)
     for batch in batches:
@@ -309,6 +311,7 @@ def unpack(payload: bytes) -> np.ndarray:
 
 
 def _pack(rank: np.ndarray) -> Callable:
+    @lean
     def run(batches):
         for batch in batches:
             for a, b in _parts(batch.column("ids"), 2 * _IDS):
@@ -320,6 +323,7 @@ def _pack(rank: np.ndarray) -> Callable:
 
 
 def _read(ids_of: np.ndarray) -> Callable:
+    @lean
     def run(batches):
         for batch in batches:
             for a, b in _parts(batch.column("payload"), _IDS):

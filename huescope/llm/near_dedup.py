@@ -14,7 +14,8 @@ buckets hold most rows, which is what the others were copied from; links are con
 only buckets that hold several components are looked at: members outside a bucket's largest component are compared with the member of it that met most
 at first, then with any other, and components are brought up to date. Members of buckets that are still open
 meet by their rarest shingles instead of in pairs: each set's prefix, in an order from rare to frequent, holds an
-element of every similar set (see _by_prefix). Only pairs whose connection is already proven or that can't be similar are never
+element of every similar set (see _by_prefix). Those around one large component meet by their rarest differences from what most of
+them hold, so a group of near copies isn't paired off either (see _from_core). Only pairs whose connection is already proven or that can't be similar are never
 looked at, so components are those of all links that share a bucket.
 
 Very long texts have as long sets, a pair of which is compared in one task; a chunk of texts has one long text at most. Nulls: a null or empty text, or one without words, has an empty set, is linked with nothing and kept. A null
@@ -154,6 +155,7 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _elements(batches):
     for batch in batches:
         ends = np.cumsum(pa.compute.binary_length(batch.column("set")).to_numpy())
+        kept = [c for c in batch.schema.names if c != "set"]
         a = 0
         while a < batch.num_rows:  # parts of bounded size, a longer set by itself
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 22), "right")))
@@ -161,28 +163,77 @@ def _elements(batches):
             held = part.column("set").to_pylist()
             size = np.fromiter((len(x) // 8 for x in held), np.int64, len(held))
             row = pa.array(np.repeat(np.arange(len(held)), size))
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in ("node", "root", "n")), pa.array(np.frombuffer(b"".join(held), np.int64))], ["node", "root", "n", "s"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in kept), pa.array(np.frombuffer(b"".join(held), np.int64))], [*kept, "s"])
             a = b
 
 
+@lean
+def _differences(batches):
+    """The elements that only one of a set and its group's core holds, and their number; a set less similar to the core than a half gives no row."""
+    for batch in batches:
+        held, cores, row, apart = batch.column("set"), batch.column("core"), [], []
+        for i in range(batch.num_rows):
+            both = np.sort(np.concatenate([np.frombuffer(held[i].as_buffer(), np.uint64), cores[i].values.to_numpy().view(np.uint64)]))
+            twice = both[1:] == both[:-1]
+            once = both[~(np.append(False, twice) | np.append(twice, False))]
+            if 3 * len(once) <= len(both):
+                row.append(i)
+                apart.append(once)
+        kept = [batch.column(c).take(pa.array(row, pa.int64())) for c in ("node", "root", "ref", "n")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array([len(x) for x in apart], pa.int64()), pa.array([x.tobytes() for x in apart], pa.binary())], ["node", "root", "ref", "n", "d", "set"])
+
+
 def _by_prefix(nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """(node, other): a superset of the similar pairs of nodes (node, n, root) of different roots.
+    """(node, other): pairs of nodes (node, n, root, ref) that with the roots connect all similar ones.
 
     A set of n shares at least similarity * n / 100 elements with a similar one, so of its elements in an order common
-    to all sets, one of the first n less that, plus one, is shared. The order has first the elements that one root alone has,
+    to all sets, one of the first n less that, plus one, is shared. The order has first the elements that one side alone has,
     which meet nothing, then the rarest; a long shared passage comes last and by itself brings nobody together.
+
+    Near copies of one text share all but a few elements, so each would meet each. Nodes of one ref therefore meet by their
+    differences from its core, the elements of more than half of its nodes (see _from_core), and only nodes of different refs by their elements.
+    """
+    both = nodes.join(sets, "node")
+    groups = nodes.groupBy("ref").agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("ref", "k")
+    common = both.join(groups.select("ref"), "ref", "left_semi").select("ref", "set").mapInArrow(_elements, "ref long, s long").groupBy("ref", "s").agg(F.count("*").alias("c"))
+    core = table(common.filter("c > 1").join(groups, "ref").filter("2 * c > k").groupBy("ref").agg(F.collect_list("s").alias("core")), "cores")
+    apart = both.join(core, "ref").select("node", "root", "ref", "n", "set", "core")
+    apart = table(apart.mapInArrow(_differences, "node long, root long, ref long, n long, d long, set binary"), "differences")
+    sure, inner = _from_core(apart, similarity)
+    side = F.when(F.col("near"), F.col("ref")).otherwise(-1 - F.col("root"))
+    plain = both.join(apart.select("node", F.lit(True).alias("near")), "node", "left").withColumns({"side": side, "w": 2 * similarity * F.col("n"), "least": F.floor((F.col("n") * similarity + 99) / 100)})
+    plain = plain.withColumn("ref", F.lit(-1).cast("long"))
+    rows = [x.select("ref", "node", "root", "side", "n", F.col("w").cast("long").alias("w"), F.col("least").cast("long").alias("least"), "set") for x in (plain, inner)]
+    held = table(rows[0].union(rows[1]).mapInArrow(_elements, "ref long, node long, root long, side long, n long, w long, least long, s long"), "elements")
+    meets = held.groupBy("ref", "s").agg(F.count("*").alias("c"), F.min("side").alias("lo"), F.max("side").alias("hi")).filter("lo < hi").select("ref", "s", "c")
+    met = held.join(meets, ["ref", "s"])
+    place = F.row_number().over(Window.partitionBy("ref", "node").orderBy("c", "s"))
+    ranked = met.withColumns({"place": place, "m": F.count("*").over(Window.partitionBy("ref", "node"))})
+    first = ranked.filter(F.col("place") <= F.col("m") - F.col("least") + 1)
+    first = table(first.select("ref", "node", "root", "side", "n", "w", "s", (F.col("m") - F.col("place") + 1).alias("rest")), "prefixes")
+    other = first.select("ref", "s", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("side").alias("other_side"), F.col("n").alias("k"), F.col("w").alias("other_w"), F.col("rest").alias("other_rest"))
+    enough = 2 * (100 + similarity) * F.least("rest", "other_rest") >= F.col("w") + F.col("other_w")  # if s is the first shared one, no more than these are
+    pairs = first.join(other, ["ref", "s"]).filter("node < other and root != other_root and side != other_side")
+    return pairs.filter(enough & _fits("n", "k", similarity)).select("node", "other").union(sure)
+
+
+def _from_core(apart: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """((node, other): links that need no search; apart with side, w and least): from each set's d differences from its ref's core.
+
+    Sets x, y with i differences in common are d + d' - 2 * i elements apart, so they are similar if and only if
+    2 * (100 + similarity) * i >= w + w', where w = (100 + similarity) * d - (100 - similarity) * n. Where w + w' <= 0 they are similar
+    without any in common; then both are so to the centre, the node of least w, too. Whoever is goes to the centre's side
+    with its component. All others need differences in common: at least those asked by the least w on other sides.
     """
-    held = table(nodes.join(sets, "node").select("node", "root", "n", "set").mapInArrow(_elements, "node long, root long, n long, s long"), "elements")
-    meets = held.groupBy("s").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("s", "c")
-    met = held.join(meets, "s")
-    place = F.row_number().over(Window.partitionBy("node").orderBy("c", "s"))
-    ranked = met.withColumns({"place": place, "m": F.count("*").over(Window.partitionBy("node"))})
-    least = F.floor((F.col("n") * similarity + 99) / 100)
-    first = ranked.filter(F.col("place") <= F.col("m") - least + 1)
-    first = table(first.select("node", "root", "n", "s", (F.col("m") - F.col("place") + 1).alias("rest")), "prefixes")
-    other = first.select("s", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("k"), F.col("rest").alias("other_rest"))
-    enough = (100 + similarity) * F.least("rest", "other_rest") >= similarity * (F.col("n") + F.col("k"))  # if s is the first shared one, no more than these are
-    return first.join(other, "s").filter("node < other and root != other_root").filter(enough & _fits("n", "k", similarity)).select("node", "other")
+    apart = apart.withColumn("w", (100 + similarity) * F.col("d") - (100 - similarity) * F.col("n"))
+    centre = apart.groupBy("ref").agg(F.min(F.struct("w", "node", "root")).alias("b")).select("ref", F.col("b.w").alias("low"), F.col("b.node").alias("centre"), F.col("b.root").alias("home"))
+    centred = apart.join(centre, "ref")
+    sure = centred.filter("w + low <= 0 and root != home").select("node", F.col("centre").alias("other"))
+    joined = apart.groupBy("ref", "root").agg(F.min("w").alias("w")).join(centre, "ref").filter("w + low <= 0 or root = home").select("ref", "root", F.col("home").alias("side"))
+    sided = centred.join(joined, ["ref", "root"], "left").withColumn("side", F.coalesce("side", "root"))
+    others = sided.filter("side != home").groupBy("ref").agg(F.min("w").alias("far"))
+    least = F.ceil((F.col("w") + F.when(F.col("side") == F.col("home"), F.col("far")).otherwise(F.col("low"))) / (2 * (100 + similarity)))
+    return sure, sided.join(others, "ref").withColumn("least", least).filter("d >= least")
 
 
 def classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -276,7 +327,12 @@ def _classes_and_roots(docs: DataFrame, width: int, similarity: int) -> tuple[Da
     else:
         keys = outside.select("key").distinct()
         last = classes.select("node", "n", F.explode("bands").alias("key")).join(keys, "key", "left_semi").select("node", "n").distinct()
-        last = table(_rooted(last, roots), "last")
+        # a component's ref: the largest among itself and those that it met in a bucket
+        size = roots.groupBy(F.col("root").alias("main")).agg(F.count("*").alias("size"))
+        met = _rooted(outside.select("node", "main").distinct(), roots).select("root", "main").distinct()
+        met = met.union(met.select("main", "root")).union(met.select("root", "root")).union(met.select("main", "main")).distinct().join(size, "main", "left")
+        refs = met.groupBy("root").agg(F.max(F.struct(F.coalesce("size", F.lit(1)).alias("size"), "main")).alias("r")).select("root", F.col("r.main").alias("ref"))
+        last = table(_rooted(last, roots).join(refs, "root", "left").select("node", "n", "root", F.coalesce("ref", "root").alias("ref")), "last")
         fetch(last.select("node"))
         confirm(_by_prefix(last, sets, similarity))
     return rows, classes, roots

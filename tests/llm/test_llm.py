@@ -79,6 +79,67 @@ def test_sketch_agrees_with_similarity():
     assert (near_dedup.sketch(a[:1]) < 2**64 - 1).all()
 
 
+def _roots(nodes, links):
+    root = {i: i for i in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in links:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in nodes}
+
+
+def _similar(x, y):
+    return 100 * len(x & y) >= 80 * len(x | y)
+
+
+@pytest.mark.parametrize("refs", ["group", "mixed"])
+def test_near_copies_meet_by_their_differences(spark, refs):
+    """A group of near copies, its base not among them: those that are linked to none of them aren't paired with all; no link is lost, whatever the groups."""
+    rng = np.random.default_rng(5)
+    new = lambda n: set(rng.integers(0, 2**62, n).tolist())
+    swap = lambda s, n, more: (s - set(rng.choice(sorted(s), n, replace=False).tolist())) | new(more)
+    base, second = new(200), new(120)
+    members = [swap(base, 8, int(rng.integers(4, 9))) for _ in range(60)]
+    outside = [swap(base, 30, int(rng.integers(24, 31))) for _ in range(60)]
+    outside += [swap(members[i], 14, 14) for i in range(6)] + [swap(base, 21, 3) for _ in range(6)] + [swap(x, 10, 10) for x in outside[:4]]
+    outside += [swap(base, 90, 90) for _ in range(5)] + [second, swap(second, 5, 5), swap(second, 14, 14)]
+    sets = dict(enumerate(members + outside))
+    root = {i: 0 if i < len(members) else i for i in sets}
+    pairs = list(itertools.combinations(sets, 2))
+    right = _roots(sets, [(i, j) for i, j in pairs if _similar(sets[i], sets[j])])
+    assert {right[i] for i in range(len(members))} == {0} and 20 < len(set(right.values())) < len(outside)
+    ref = {i: int(rng.integers(0, 4)) if refs == "mixed" else 0 if i < len(sets) - 3 else i for i in sets}
+    nodes = spark.createDataFrame([(i, len(s), root[i], ref[i]) for i, s in sets.items()], "node long, n long, root long, ref long")
+    held = spark.createDataFrame([(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()], "node long, set binary")
+    got = {tuple(r) for r in near_dedup._by_prefix(nodes, held, 80).collect()}
+    links = [(i, j) for i, j in got if _similar(sets[i], sets[j])]
+    assert _roots(sets, links + list(root.items())) == right
+    if refs == "group":
+        assert len(got) < 2 * len(sets)
+
+
+def test_near_copies_by_brute_force(spark, monkeypatch):
+    """Texts that are edits of one text, some of them with no similar one."""
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(150)]
+    texts = [list(base) for _ in range(240)]
+    for i, words in enumerate(texts):
+        for k in rng.choice(150, 2 + i % 5, replace=False):
+            words[k] = f"e{i}x{k}"
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in enumerate(texts)}
+    right = _roots(sets, [(i, j) for i, j in itertools.combinations(sets, 2) if _similar(sets[i], sets[j])])
+    met, by_prefix = [], near_dedup._by_prefix
+    monkeypatch.setattr(near_dedup, "_by_prefix", lambda *a: met.append(by_prefix(*a).count()) or by_prefix(*a))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == right
+    assert 10 < len(set(right.values())) and len(met) == 1 and met[0] < 2 * len(texts)
+
+
 def test_decontamination_edits(spark, odd, empty):
     item = " ".join(f"item{i}" for i in range(30))
     words = item.split()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
@@ -75,14 +75,32 @@ def linear(v: Column) -> Column:
     return F.pow((v + F.lit(0.055)) / F.lit(1.055), F.lit(2.4))
 
 
+def _staged(values: list[Column], stages) -> Column:
+    """The one value of the last stage; a stage makes Columns of those before it, each computed once."""
+    if len(stages) == 1:
+        return stages[0](values)[0]
+    return _bound(stages[0](values), lambda v: _staged(v, stages[1:]))
+
+
+def _linear_bytes(v: list[Column]) -> list[Column]:
+    return [linear(x.cast("double")) for x in v]
+
+
+OKLAB_STAGES = (
+    _linear_bytes,
+    lambda v: [F.cbrt(x) for x in _times(M2, _times(M1, v))],
+    lambda u: _times(M3, u),
+    lambda v: [pack(nearest_int(v[0] * 2.55), nearest_int((v[1] + 100) * 1.275), nearest_int((v[2] + 100) * 1.275))],
+)
+
+
 def lab_of(r: Column, g: Column, b: Column) -> Column:
     """The three coordinates, unscaled, as an array."""
-    lms = lambda v: [F.cbrt(x) for x in _times(M2, _times(M1, v))]
-    return _bound([linear(x.cast("double")) for x in (r, g, b)], lambda v: _bound(lms(v), lambda u: F.array(*_times(M3, u))))
+    return _staged([r, g, b], (*OKLAB_STAGES[:2], lambda u: [F.array(*OKLAB_STAGES[2](u))]))
 
 
 def pack_oklab(r: Column, g: Column, b: Column) -> Column:
-    return _bound([lab_of(r, g, b)[i] for i in range(3)], lambda v: pack(nearest_int(v[0] * 2.55), nearest_int((v[1] + 100) * 1.275), nearest_int((v[2] + 100) * 1.275)))
+    return _staged([r, g, b], OKLAB_STAGES)
 
 
 def unpack_oklab(c: Column) -> Column:
@@ -95,15 +113,22 @@ def unpack_oklab(c: Column) -> Column:
     return _bound(start, lambda v: _bound(_times(M1_INVERSE, _times(M2_INVERSE, cubes(v))), lambda u: pack(*[whole(x) for x in u])))
 
 
-def pack_lab(r: Column, g: Column, b: Column) -> Column:
+def _lab_curves(v: list[Column]) -> list[Column]:
     curve = lambda t: F.when(t > LAB_LOW, F.cbrt(t)).otherwise((t * LAB_SLOPE + 16) / 116)
+    return [curve(t) for t in v]
+
+
+def _lab_fields_of(f: list[Column]) -> list[Column]:
     whole = lambda v: F.floor(v + 0.5).cast("int")
+    light, first, second = whole((f[1] * 116 - 16) * 2.55), whole(((f[0] - f[1]) * 500 + 125) * 1.02), whole(((f[1] - f[2]) * 200 + 125) * 1.02)
+    return [F.shiftleft(light, 16).bitwiseOR(F.shiftleft(first, 8)).bitwiseOR(second)]
 
-    def fields(f):
-        light, first, second = whole((f[1] * 116 - 16) * 2.55), whole(((f[0] - f[1]) * 500 + 125) * 1.02), whole(((f[1] - f[2]) * 200 + 125) * 1.02)
-        return F.shiftleft(light, 16).bitwiseOR(F.shiftleft(first, 8)).bitwiseOR(second)
 
-    return _bound([linear(x.cast("double")) for x in (r, g, b)], lambda v: _bound([curve(t / w) for t, w in zip(_times(M1, v), LAB_WHITE, strict=True)], fields))
+LAB_STAGES = (_linear_bytes, lambda v: [t / w for t, w in zip(_times(M1, v), LAB_WHITE, strict=True)], _lab_curves, _lab_fields_of)
+
+
+def pack_lab(r: Column, g: Column, b: Column) -> Column:
+    return _staged([r, g, b], LAB_STAGES)
 
 
 def lab_fields(c: Column) -> tuple[Column, Column, Column]:
@@ -243,7 +268,8 @@ class Space:
     """A colour space over packed ints: Column functions, and `measure`, the numpy twin of `distance` for tasks on blocks of colours.
 
     contrast_of says what `contrast` depends on, so that it can be had from what is known of a colour: "luminance" (APCA of the RGB), "light" (the
-    difference of lightnesses), or None, for the packed colours themselves. walk, if there is one, increases contrast (see increase_contrast).
+    difference of lightnesses), or None, for the packed colours themselves. walk, if there is one, increases contrast (see increase_contrast). stages, if there are any, are the steps of `pack`
+    for with_packed(): each makes Columns of the list of those before it, the first of red, green and blue, the last the packed colour alone.
     """
 
     name: str
@@ -259,6 +285,7 @@ class Space:
     white: int
     contrast_of: str | None = None
     walk: Callable[..., Column] | None = None
+    stages: tuple[Callable[[list[Column]], list[Column]], ...] = ()
 
 
 SPACES: dict[str, Space] = {}
@@ -277,21 +304,32 @@ def of(name: str) -> Space:
 
 
 _OKLAB = (1 / 2.55, 2.35 / 1.275, 2.35 / 1.275)
-register(Space("rgb", pack, lambda c: c, lambda p, q: euclidean(p, q, (1.0, 1.0, 1.0)), arrays.scaled((1.0, 1.0, 1.0)), EPSILON["rgb"],
+register(Space("rgb", pack, lambda c: c, lambda p, q: euclidean(p, q, (1.0, 1.0, 1.0)), arrays.scaled((1.0, 1.0, 1.0), (1, 1, 1)), EPSILON["rgb"],
     lambda c: _times(M1, [linear(x.cast("double")) for x in channels(c)])[1] * 100, lambda c: _chroma_of(*[lab_of(*channels(c))[i] for i in (1, 2)]),
     contrast_of_rgb, BLACK["rgb"], WHITE["rgb"], "luminance", _brighter))
-register(Space("oklab", pack_oklab, unpack_oklab, lambda p, q: euclidean(p, q, _OKLAB), arrays.scaled(_OKLAB), EPSILON["oklab"],
+register(Space("oklab", pack_oklab, unpack_oklab, lambda p, q: euclidean(p, q, _OKLAB), arrays.scaled(_OKLAB, (100, 2209, 2209)), EPSILON["oklab"],
     lambda c: F.shiftright(c, 16) / 2.06, lambda c: _chroma_of(*[x / 1.275 - 100 for x in channels(c)[1:]]),
-    lambda p, q: contrast_of_rgb(unpack_oklab(p), unpack_oklab(q)), BLACK["oklab"], WHITE["oklab"], "luminance", _further))
+    lambda p, q: contrast_of_rgb(unpack_oklab(p), unpack_oklab(q)), BLACK["oklab"], WHITE["oklab"], "luminance", _further, OKLAB_STAGES))
 register(Space("lab", pack_lab, unpack_lab, lambda p, q: ciede2000(*[[x.cast("double") for x in lab_fields(c)] for c in (p, q)]), arrays.CIEDE2000, EPSILON["lab"],
     lambda c: F.shiftright(c, 16) / 2.55, lambda c: _chroma_of(*[x / 1.02 - 125 for x in channels(c)[1:]]),
-    lambda p, q: F.abs(F.shiftright(p, 16) - F.shiftright(q, 16)) / 2.55, BLACK["lab"], WHITE["lab"], "light"))
+    lambda p, q: F.abs(F.shiftright(p, 16) - F.shiftright(q, 16)) / 2.55, BLACK["lab"], WHITE["lab"], "light", stages=LAB_STAGES))
 
 
 def to_packed(r: Column, g: Column, b: Column, space: str) -> Column:
     return of(space).pack(r, g, b)
 
 
+def with_packed(pixels: DataFrame, space: str) -> DataFrame:
+    """pixels (r, g, b, ...) with c, the packed colour; a projection for each of the space's stages, as Spark compiles these and not the lambdas that stand for them in one Column."""
+    own, values, passing = of(space), [F.col(x) for x in "rgb"], []
+    if not own.stages:
+        return pixels.withColumn("c", own.pack(*values))
+    for n, stage in enumerate(own.stages[:-1]):
+        made = {f"_{n}_{i}": v for i, v in enumerate(stage(values))}
+        pixels, values, passing = pixels.withColumns(made), [F.col(x) for x in made], [*passing, *made]
+    return pixels.withColumn("c", own.stages[-1](values)[0]).drop(*passing)
+
+
 def to_rgb(c: Column, space: str) -> Column:
     return of(space).to_rgb(c)
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import spaces
-from ..sources.tables import written
+from ..functions import arrays, spaces
+from ..sources.tables import dealt, drop, written
 from . import kmeans
 from . import pixels as px
 
@@ -46,7 +48,11 @@ def colour_table(pixels: DataFrame, o: Options) -> DataFrame:
 
     Pixels are dealt by image once, for the saliency; all else is one grouped sum and windows over the same partitions. ref is false.
     """
-    sal = px.saliency(px.grey(px.packed(px.trim(pixels, o.trim_percent), o.space), o.space))
+    return _colour_table(px.packed(px.trim(pixels, o.trim_percent), o.space), o)
+
+
+def _colour_table(packed: DataFrame, o: Options) -> DataFrame:
+    sal = px.saliency(packed, space=o.space)
     rim = px.on_ring(C("idx"), C("w"), C("h"))
     raw = sal.groupBy("image_id", "c").agg(F.count("*").alias("n"), F.sum("sal").alias("s"), F.min("idx").alias("first"), F.count_if(rim).alias("ring_n"), F.min(F.when(rim, C("idx"))).alias("ring_first"))
     image = Window.partitionBy("image_id")
@@ -54,6 +60,14 @@ def colour_table(pixels: DataFrame, o: Options) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(image.orderBy(F.desc("cnt"), "first")))
 
 
+def written_colours(pixels: DataFrame, o: Options) -> DataFrame:
+    """colour_table() as a written table. The packed pixels are written before it, so that the look for large images doesn't derive them once more."""
+    packed = written(px.packed(px.trim(pixels, o.trim_percent), o.space).select("image_id", "w", "h", "idx", "c"), "packed")
+    table = written(_colour_table(packed, o), "colours")
+    drop(packed)
+    return table
+
+
 def _sum(values: Column, of) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + of(x))
 
@@ -164,15 +178,44 @@ def choice(table: DataFrame, o: Options) -> DataFrame:
     return STRATEGIES[o.strategy](table, o)
 
 
+def _held(table: DataFrame, cents: DataFrame, *fields: Column | str) -> DataFrame:
+    """(image_id, total, v: fields of at most BLOCK colours in any order, near: the colours of the image's centroids)."""
+    block = F.floor((C("rank") - 1) / kmeans.BLOCK).cast("int")
+    rows = dealt(table, "image_id").groupBy("image_id", block.alias("block")).agg(F.collect_list(F.struct(*fields)).alias("v"), F.first("total").alias("total"))
+    return rows.join(cents.select("image_id", F.transform("cents", lambda x: x["c"]).alias("near")), "image_id").select("image_id", "total", "v", "near")
+
+
+def _missing(measure: arrays.Measure, percent: float):
+    """Of each block and centroid: whether it is a common colour there, and else, of the common colours or where there are none of all, the nearest one."""
+
+    def run(batches):
+        for batch in batches:
+            out, at = [], []
+            for i, total in enumerate(batch.column("total").to_pylist()):
+                v, near = batch.column("v")[i].values, batch.column("near")[i].values.to_numpy()
+                rank, c, cnt = (v.field(x).to_numpy() for x in ("rank", "c", "cnt"))
+                often = cnt / total >= percent / 100
+                there = np.isin(near, c[often & (cnt > 0)])
+                pool = np.flatnonzero(often) if often.any() else np.arange(len(c))
+                pool, lost = pool[np.argsort(rank[pool])], np.flatnonzero(~there)
+                rows = np.zeros((6, len(near)))
+                rows[0], rows[1], rows[2] = np.arange(len(near)), there, not often.any()
+                if len(lost):
+                    first, d = arrays.nearest(near[lost], c[pool], measure)
+                    rows[3:, lost] = d, rank[pool[first]], c[pool[first]]
+                out.append(rows)
+                at += [i] * len(near)
+            ord_, there, rare, d, rank, c = np.concatenate(out, 1) if out else np.zeros((6, 0))
+            columns = [pa.array(ord_, pa.int32(), safe=False), pa.array(there > 0), pa.array(rare > 0), pa.array(d), pa.array(rank.astype(np.int32)), pa.array(c.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array(at, pa.int64())), *columns], ["image_id", "i", "there", "rare", "d", "rank", "c"])
+
+    return run
+
+
 def clamp(cents: DataFrame, table: DataFrame, percent: float, space: str) -> DataFrame:
     """cents (image_id, cents) moved to colours of the image with a share of at least `percent`; one that is its own nearest stays."""
-    often = C("cnt") / C("total") >= percent / 100
-    pool = table.select("image_id", "c", "rank", "cnt", often.alias("often"), F.max(often).over(Window.partitionBy("image_id")).alias("some"))
-    one = cents.select("image_id", F.posexplode("cents").alias("i", "x")).select("image_id", "i", "x.c", "x.cnt")
-    common = pool.filter("often and cnt > 0").select("image_id", "c")
-    lost = one.join(common, ["image_id", "c"], "left_anti").select("image_id", "i", C("c").alias("p"))
-    met = lost.join(pool.filter("often or not some"), "image_id").withColumn("d", spaces.distance(C("p"), C("c"), space))
-    near = met.groupBy("image_id", "i").agg(F.min(F.struct("d", "rank", "c")).alias("m")).select("image_id", "i", C("m.c").alias("near"))
+    told = _held(table, cents, "rank", "c", "cnt").mapInArrow(_missing(spaces.of(space).measure, percent), "image_id long, i int, there boolean, rare boolean, d double, rank int, c int")
+    near = told.groupBy("image_id", "i").agg(F.max("there").alias("there"), F.min(F.struct("rare", "d", "rank", "c")).alias("m")).filter("not there").select("image_id", "i", C("m.c").alias("near"))
     moves = near.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "near"))).alias("moves"))
 
     def moved(kept: Column, x: Column) -> Column:
@@ -228,13 +271,40 @@ def _measured(rows: DataFrame, space: str) -> DataFrame:
     return rgb.withColumn("y", spaces.luminance(C("rgb")))
 
 
+def _tallied(measure: arrays.Measure):
+    """Of each block of colours what is nearest to each of near, a row for each that is nearest to any."""
+
+    def run(batches):
+        room = arrays.Room()
+        for batch in batches:
+            at, out = [], []
+            for i in range(batch.num_rows):
+                v, near = batch.column("v")[i].values, batch.column("near")[i].values.to_numpy()
+                c, s, first, ring_n, ring_first = (v.field(x).to_numpy() for x in ("c", "s", "first", "ring_n", "ring_first"))
+                mine = arrays.Nearest(c, measure, room).places(near.astype(np.int64), np.array([len(near)]))[0]
+                least = np.full((2, len(near)), _ALL)
+                np.minimum.at(least[0], mine, first)
+                np.minimum.at(least[1], mine, ring_first)
+                ords = np.flatnonzero(np.bincount(mine, minlength=len(near)))
+                out.append(np.stack([ords, *(np.bincount(mine, x, len(near))[ords] for x in (s, ring_n)), *least[:, ords]]).astype(np.int64))
+                at += [i] * len(ords)
+            ords, s, rim, first, rim_first = np.concatenate(out, 1) if out else np.zeros((5, 0), np.int64)
+            keys = [batch.column(x).take(pa.array(at, pa.int64())) for x in ("image_id", "total")]
+            sums = [pa.array(ords, pa.int32()), pa.array(s), pa.array(first, pa.int32()), pa.array(rim), pa.array(rim_first, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*keys, *sums], ["image_id", "total", "ord", "s", "first", "rim", "rim_first"])
+
+    return run
+
+
 def zones(cents: DataFrame, table: DataFrame, space: str) -> DataFrame:
     """(image_id, total, all_s, zones: array of centroids as _KIND): what of each image is nearest to each of its centroids; first is null where nothing is.
 
     Every array ends with three that are not of the image: black, white and the packed colour 0, with ord -3 .. -1.
     """
-    found = table.join(cents, "image_id").withColumn("ord", px.nearest_place(C("c"), F.transform("cents", lambda x: x["c"]), space))
-    own = found.groupBy("image_id", "ord").agg(F.sum("s").alias("s"), F.min("first").alias("first"), F.sum("ring_n").alias("rim"), F.min("ring_first").alias("rim_first"), F.first("total").alias("total"))
+    held = _held(table, cents, "c", "s", "first", "ring_n", F.coalesce("ring_first", F.lit(_ALL)).alias("ring_first"))
+    parts = held.mapInArrow(_tallied(spaces.of(space).measure), "image_id long, total long, ord int, s long, first int, rim long, rim_first int")
+    own = parts.groupBy("image_id", "ord").agg(F.sum("s").alias("s"), F.min("first").alias("first"), F.sum("rim").alias("rim"), F.min("rim_first").alias("rim_first"), F.first("total").alias("total"))
+    own = own.withColumn("rim_first", F.when(C("rim") > 0, C("rim_first")))
     ends = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(0).cast("long").alias("cnt")) for c in (spaces.of(space).black, spaces.of(space).white, 0)])
     one = cents.select("image_id", F.size("cents").alias("m"), F.posexplode(F.concat("cents", ends)).alias("i", "x"))
     one = _measured(one.select("image_id", F.when(C("i") < C("m"), C("i")).otherwise(C("i") - C("m") - 3).alias("ord"), "x.c", "x.cnt"), space)
@@ -293,19 +363,20 @@ def chosen_centroids(table: DataFrame, o: Options, clamped: bool = True, merge:
     cents = choice(table, o)
     if clamped and o.clamp is not None:
         cents = clamp(cents, table, o.clamp, o.space)
-    return cents.select("image_id", merged(C("cents"), o.space).alias("cents")) if merge else cents
+    return dealt(cents).select("image_id", merged(C("cents"), o.space).alias("cents")) if merge else cents
 
 
 def extract_colors(pixels: DataFrame, o: Options = Options()) -> DataFrame:
     """A row an image: its roles, pools and centroids as RGB ints."""
-    table = written(colour_table(pixels, o), "colours")
+    table = written_colours(pixels, o)
     cents = written(chosen_centroids(table, o), "cents")
-    return record(roles(written(zones(cents, table, o.space), "zones"), o), o.space)
+    zoned = written(dealt(zones(cents, table, o.space)), "zones")  # in many files, so that many tasks read them
+    return record(roles(zoned, o), o.space)
 
 
 def fits(pixels: DataFrame, ks: tuple[int, ...], o: Options = Options()) -> DataFrame:
     """(image_id, k, wcss, ord, c, cnt): k-means of each image's weighted histogram, a row a centroid."""
-    table = written(colour_table(pixels, o), "colours")
+    table = written_colours(pixels, o)
     wanted = table.filter("rank = 1").select("ref", "image_id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     fitted = kmeans.fits(table.select("ref", "image_id", "rank", "c", "cnt", "colours"), wanted, o.space, o.rounds)
     return fitted.select("image_id", "k", C("error").alias("wcss"), F.posexplode("centroids").alias("ord", "x")).select("image_id", "k", "wcss", "ord", "x.c", "x.cnt")
@@ -313,5 +384,5 @@ def fits(pixels: DataFrame, ks: tuple[int, ...], o: Options = Options()) -> Data
 
 def chosen(pixels: DataFrame, o: Options, clamped: bool = False, merged: bool = False) -> DataFrame:
     """(image_id, ord, c, cnt): the strategy's centroids, clamped and merged if asked for."""
-    cents = chosen_centroids(written(colour_table(pixels, o), "colours"), o, clamped, merged)
+    cents = chosen_centroids(written_colours(pixels, o), o, clamped, merged)
     return cents.select("image_id", F.posexplode("cents").alias("ord", "x")).select("image_id", "ord", "x.c", "x.cnt")

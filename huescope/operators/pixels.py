@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spaces
-from ..sources.tables import drop, written
+from ..sources.tables import dealt, drop, written
 
 
 def trim(pixels: DataFrame, percent: float = 2.5) -> DataFrame:
@@ -24,7 +25,7 @@ def trim(pixels: DataFrame, percent: float = 2.5) -> DataFrame:
 
 def packed(pixels: DataFrame, space: str = "oklab") -> DataFrame:
     """With c, the packed colour."""
-    return pixels.withColumn("c", spaces.to_packed(F.col("r"), F.col("g"), F.col("b"), space))
+    return spaces.with_packed(pixels, space)
 
 
 def grey(pixels: DataFrame, space: str = "oklab") -> DataFrame:
@@ -54,14 +55,14 @@ def _halvings(v: np.ndarray, levels: int) -> list[np.ndarray]:
 class _Tile:
     """The pixels of one tile as an array, with the halvings that it holds whole."""
 
-    def __init__(self, t: pd.DataFrame, side: int):
-        self.image, self.w, self.h, self.ty, self.tx = (int(t[c].iloc[0]) for c in ("image_id", "w", "h", "ty", "tx"))
+    def __init__(self, t: pd.DataFrame | dict[str, np.ndarray], side: int):
+        self.image, self.w, self.h, self.ty, self.tx = (int(np.asarray(t[c])[0]) for c in ("image_id", "w", "h", "ty", "tx"))
         self.levels, self.alone = min(self.w, self.h).bit_length() - 1, max(self.w, self.h) <= side
         self.inner = min(self.levels, side.bit_length() - 1)
         self.y0, self.x0 = self.ty * side, self.tx * side
-        self.y, self.x = np.divmod(t["idx"].to_numpy(), self.w)
+        self.y, self.x = np.divmod(np.asarray(t["idx"]), self.w)
         v = np.zeros((min(side, self.h - self.y0), min(side, self.w - self.x0)), np.int32)
-        v[self.y - self.y0, self.x - self.x0] = t["v"].to_numpy()
+        v[self.y - self.y0, self.x - self.x0] = np.asarray(t["v"])
         self.halvings = _halvings(v, self.inner)
 
     def cells(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,37 +176,83 @@ def _parts(others: pd.DataFrame, side: int) -> tuple[dict, dict]:
     return {k: g["v"].to_numpy() for k, g in inner.groupby("level")}, dict(zip(outer["level"], outer["v"]))
 
 
-def saliency(greys: DataFrame, side: int = SIDE) -> DataFrame:
+def _by_tile(one, columns: list[str], finish):
+    """A mapInArrow function over rows that are sorted by tile: one(rows of a tile as arrays, completed by finish(rows of a batch)) gives arrays by name. A partition has many tiles, so that none of
+    them costs a stream, a frame and a conversion of its own; no more than a tile and a batch is held.
+    """
+
+    def joined(pieces: list[dict]) -> dict:
+        return pieces[0] if len(pieces) == 1 else {c: np.concatenate([p[c] for p in pieces]) for c in pieces[0]}
+
+    def run(batches):
+        held: list[dict] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = finish({c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns})
+            keys = np.stack([rows[c] for c in _TILE])
+            if held and any(held[-1][c][-1] != k for c, k in zip(_TILE, keys[:, 0], strict=True)):
+                yield pa.RecordBatch.from_pydict(one(joined(held)))
+                held = []
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            parts = [{c: x[a:b] for c, x in rows.items()} for a, b in zip(edges, edges[1:])]
+            held.append(parts[0])
+            if len(parts) > 1:
+                done = [one(joined(held)), *map(one, parts[1:-1])]
+                held = [parts[-1]]
+                yield pa.RecordBatch.from_pydict(joined(done))
+        if held:
+            yield pa.RecordBatch.from_pydict(one(joined(held)))
+
+    return run
+
+
+def saliency(greys: DataFrame, side: int = SIDE, space: str | None = None) -> DataFrame:
     """(image_id, idx, d, sal): d is the mean difference to the coarser levels, sal 1 where 2 d passes the image's greatest d.
 
     A pixel meets a level by flat index, which on widths that don't halve evenly is a cell of the next row; cells that a
-    level lacks count as no difference. Images of one row or column have d 0. A column c is carried along.
+    level lacks count as no difference. Images of one row or column have d 0. A column c is carried along; with a space, v need not be there and is made of it, as by grey().
 
     An image within side by side pixels is one tile and needs no other. Of larger ones a job first writes the cells that tiles need of each other; where
     there are none, tiles are all there is, and else each meets its own of these.
     """
     carried = ["c"] if "c" in greys.columns else []
+    ready = "v" in greys.columns
 
-    def judged(t: pd.DataFrame, others: pd.DataFrame | None = None) -> pd.DataFrame:
+    def judged(t: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         tile = _Tile(t, side)
-        edges, above = ({}, {}) if others is None else _parts(others, side)
-        d = tile.differences(edges, above)
-        top = d.max() if others is None or others.empty else others["v"][others["level"] == 0].iloc[0]
+        d = tile.differences(*_parts(others, side))
+        top = d.max() if others.empty else others["v"][others["level"] == 0].iloc[0]
         d = d[tile.y - tile.y0, tile.x - tile.x0]
         return pd.DataFrame({"image_id": t["image_id"], "idx": t["idx"], "d": d, "sal": (2 * d > top).astype(np.int32), "c": t["c"] if carried else 0, "w": t["w"], "h": t["h"]})
 
-    def alone(t: pd.DataFrame) -> pd.DataFrame:
-        return judged(t)
+    def alone(t: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        tile = _Tile(t, side)
+        d = tile.differences({}, {})
+        sal = (2 * d > d.max()).astype(np.int32)
+        at = tile.y - tile.y0, tile.x - tile.x0
+        return {"image_id": t["image_id"], "idx": t["idx"], "d": d[at], "sal": sal[at], "c": t["c"] if carried else np.zeros(len(at[0]), np.int32), "w": t["w"], "h": t["h"]}
 
     kinds = "image_id long, idx int, d int, sal int, c int, w int, h int"
-    tiles = _tiles(greys, side, *carried).groupBy(_TILE)
     large = greys.filter(F.greatest("w", "h") > side)
-    cells = written(_shared_cells(large, side), "cells")
+    cells = written(_shared_cells(large if ready else grey(large, space), side), "cells")
     if cells.isEmpty():
         drop(cells)
-        out = tiles.applyInPandas(alone, kinds)
+        measure, black = (None, 0) if ready else (spaces.of(space).measure, spaces.of(space).black)
+
+        def finish(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+            if ready:
+                return rows
+            d = measure.between(measure.fields(rows["c"]), measure.fields(np.array([black])))
+            return rows | {"v": np.clip(np.rint(np.nan_to_num(d)), 0, 255).astype(np.int32)}
+
+        y, x = (F.expr(e).cast("int") for e in (f"(idx div w) div {side}", f"(idx % w) div {side}"))
+        columns = ["image_id", "w", "h", "idx", *(["v"] if ready else []), *carried, "ty", "tx"]
+        tiles = dealt(greys.select(*columns[:-2], y.alias("ty"), x.alias("tx")), *_TILE).sortWithinPartitions(*_TILE)
+        out = tiles.mapInArrow(_by_tile(alone, columns, finish), kinds)
     else:
-        out = tiles.cogroup(_met_elsewhere(large, cells, side).groupBy(_TILE)).applyInPandas(judged, kinds)
+        whole = greys if ready else grey(greys, space)
+        out = _tiles(whole, side, *carried).groupBy(_TILE).cogroup(_met_elsewhere(large if ready else grey(large, space), cells, side).groupBy(_TILE)).applyInPandas(judged, kinds)
     return out.select("image_id", "idx", "d", "sal", *(["c", "w", "h"] if carried else []))
 
 
@@ -244,11 +291,6 @@ def on_ring(idx, w, h):
     return F.sqrt(dx * dx + dy * dy) > F.greatest(w, h) / 2 * 0.95
 
 
-def nearest_place(c, cents, space: str):
-    """The place in the array cents of the colour nearest to c, ties to the first."""
-    return F.array_min(F.transform(cents, lambda x, i: F.struct(spaces.distance(c, x, space).alias("d"), i.alias("i"))))["i"]
-
-
 def assign(colours: DataFrame, centroids: DataFrame, space: str = "oklab") -> DataFrame:
     """colours (image_id, c, ...) with ord and cent, the nearest of the image's centroids (image_id, ord, cent), and its distance d, ties to the first.
 

@@ -51,3 +51,11 @@ def drop(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for t in tables:
         _forget(t.sparkSession, t._own_table, at_exit=False)
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys, or evenly without any, to as many tasks as shuffles have, however few bytes they are: it's the work on them that takes the time.
+
+    Evenly dealt rows stay so; by keys that rows are dealt by already, Spark leaves them as they are and joins small parts again.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
